@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sillage.llm.bpe import op5_bpe
+from sillage.llm.chat import OP2_SQL, op2_chat
+from sillage.llm.mixing import op3_mixing
 from sillage.llm.near_dedup import op7_near_dedup
+from sillage.llm.warc import op6_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_chat": op2_chat,
+    "op3_mixing": op3_mixing,
+    "op5_bpe": op5_bpe,
+    "op6_warc": op6_warc,
     "op7_near_dedup": op7_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_chat": OP2_SQL,
+}
