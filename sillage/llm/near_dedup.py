@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sillage.llm import setsketch
@@ -16,6 +16,8 @@ from sillage.llm.shingles import fingerprint, shingle_sets
 
 #: Pairs at this similarity or above are linked, compared as integers: 100 * intersection >= 75 * union.
 PERCENT = 75
+#: Ratio of neighbouring classes of set sizes in the exact search.
+SIZE_STEP = 1.05
 
 _SKETCHED = "id long, n long, fp1 long, fp2 long, sketch binary"
 
@@ -84,14 +86,54 @@ def _verify(pairs: DataFrame, sketched: DataFrame, texts: DataFrame) -> DataFram
     return linked
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, texts in slices(batches, 32):
+        for k, values in zip(ids, shingle_sets(texts), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), k), pa.int64()), pa.array(values.view(np.int64))], names=["id", "h"])
+
+
+def crossing(open_: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of open_ (id, n, c) with different c that may be linked; none that is linked is missing.
+
+    Shingles are ordered from rare to frequent. A linked pair shares one among the first n - need + 1 of either, where need
+    is the least intersection that its sizes allow; so only those are joined, by classes of size that keep need tight.
+    In a large group of near copies that leaves the few documents whose own, rare shingles don't already use up what
+    a link may miss, and a shingle all of whose owners have one c drops out: the group is never paired with itself.
+    """
+    rows = stored(texts.join(open_.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "text"]).select("id", "text").mapInArrow(_shingles, "id long, h long"), "shingles")
+    frequent = stored(rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "frequent")
+    by_rarity = Window.partitionBy("id").orderBy("df", "h")
+    ranked = rows.join(frequent, "h", "left").select("id", "h", F.coalesce("df", F.lit(1)).alias("df")).withColumn("pos", F.row_number().over(by_rarity))
+    ranked = ranked.where("df > 1").join(open_, "id")
+    share = PERCENT / 100
+    ranked = ranked.where(F.col("pos") <= F.col("n") - F.ceil(share * F.col("n")) + 1)
+    step = float(np.log(SIZE_STEP))
+    klass = F.floor(F.log(F.col("n")) / step)
+    low, high = F.floor(F.log(share * F.col("n")) / step), F.floor(F.log(F.col("n") / share) / step)
+    spread = ranked.withColumn("k", klass).withColumn("q", F.explode(F.sequence(F.greatest(low, F.lit(0)), high)))
+    least = F.greatest(F.floor(F.exp(F.col("q") * step)), F.ceil(share * F.col("n")), F.lit(1))
+    need = F.ceil(share * (F.col("n") + least) / (1 + share) - 1e-9)
+    spread = spread.where(F.col("pos") <= F.col("n") - need + 1).select("id", "n", "c", "h", "k", F.least("k", "q").alias("lo"), F.greatest("k", "q").alias("hi"))
+    spread = stored(spread, "prefixes")
+    key = ["h", "lo", "hi"]
+    mixed = stored(spread.groupBy(*key).agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select(*key), "mixed")
+    kept = stored(spread.join(mixed, key, "left_semi"), "met")
+    left, right = (kept.where(f"k = {side}").select(*key, *(F.col(x).alias(f"{x}_{s}") for x in ("id", "n", "c"))) for s, side in (("a", "lo"), ("b", "hi")))
+    met = left.join(right, key).where("c_a <> c_b and (lo < hi or id_a < id_b)").where(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
+    pairs = stored(met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct(), "pairs")
+    forget(rows, frequent, spread, mixed, kept)
+    return pairs
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
     Documents with equal sets form classes first; only a class's least id goes on, so copies never meet in pairs.
-    Representatives whose registers agree in a band share a bucket. Each bucket links its members to its least
-    id, which is linear in its size. Where a bucket still spans several components, exactly those pairs of it that
-    cross components are tried too: no bucket is capped, and no link between different texts is lost but by banding
-    (a pair of similarity 0.75 shares no band with a chance of 4e-6, less above it).
+    Representatives whose registers agree in a band share a bucket. Each bucket links its members to one of them, that
+    which shares most with others, and so is linear in its size. Where a bucket still spans several components,
+    its members are tried across components too, exactly (see crossing): no bucket is capped, and no link
+    between different texts is lost but by banding (a pair of similarity 0.75 shares no band with a chance of 4e-6,
+    less above it).
 
     Nulls: a null text is empty. Texts without words have no shingles and are linked with nothing. A row with a
     null id is linked with nothing: component_id null, kept true. Repeated rows get equal results; rows of one
@@ -101,26 +143,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     made = stored(sketches(docs, id_col, text_col), "sketches")
     sets = ["fp1", "fp2", "n"]
     usable = made.where("n > 0 and id is not null")
-    classes = stored(usable.groupBy(*sets).agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "classes")
-    owned = stored(usable.select("id", *sets).join(classes, sets, "left").select("id", F.coalesce("rep", "id").alias("rep")).distinct(), "owned")
-    # Of a class, the row of its least id; there may be several such rows if rows repeat.
-    reps = stored(usable.join(classes, sets, "left").where("rep is null or rep = id").drop("rep").dropDuplicates(["id", *sets]), "reps")
+    # Equal sets have equal sketches, so any of a class's will do.
+    reps = stored(usable.groupBy(*sets).agg(F.min("id").alias("id"), F.max("sketch").alias("sketch")), "reps")
+    owned = stored(usable.select("id", *sets).join(reps.select(F.col("id").alias("rep"), *sets), sets).select("id", "rep").distinct(), "owned")
 
     banded = bands(reps)
-    buckets = stored(banded.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1").drop("size"), "buckets")
+    buckets = stored(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     members = stored(banded.join(buckets, "key"), "members")
-    pairs = members.where("head <> id").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    first = _verify(stored(pairs, "pairs"), reps, texts)
+    degree = stored(members.groupBy("id").agg(F.sum("size").alias("degree")), "degree")
+    ranked = members.join(degree, "id").select("key", "id", "degree")
+    heads = stored(ranked.groupBy("key").agg(F.max(F.struct("degree", -F.col("id"))).alias("m")).select("key", (-F.col("m")["col2"]).alias("head")), "heads")
+    headed = members.join(heads, "key").where("head <> id")
+    first = _verify(stored(headed.select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct(), "pairs"), reps, texts)
 
     grouped = components(first)
-    labelled = members.join(grouped.withColumnRenamed("node", "id"), "id", "left").select("key", "head", "id", F.coalesce("component", "id").alias("c"))
-    labelled = stored(labelled, "labelled")
+    labelled = stored(members.join(grouped.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), "labelled")
     mixed = stored(labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "mixed")
-    open_ = stored(labelled.join(mixed, "key", "left_semi").join(reps.select("id", "n").distinct(), "id"), "open")
-    left, right = (open_.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "c", "n", "head"))) for s in "ab")
-    # The head's pairs were tried in the first round.
-    crossing = left.join(right, "key").where("id_a < id_b and c_a <> c_b and id_a <> head_a").where(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
-    second = _verify(stored(crossing.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "pairs"), reps, texts)
+    loose = labelled.join(mixed, "key", "left_semi").select("id", "c").distinct()
+    open_ = stored(loose.join(reps.groupBy("id").agg(F.max("n").alias("n")), "id"), "open")
+    forget(buckets, degree, heads, labelled, mixed, members)
+    second = _verify(crossing(open_, texts), reps, texts)
 
     final = components(first.union(second))
     known = owned.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
