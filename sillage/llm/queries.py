@@ -9,15 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from sillage.llm.bpe import op5_bpe
 from sillage.llm.chat import OP2_SQL, op2_chat
 from sillage.llm.mixing import op3_mixing
+from sillage.llm.media import op1_media
 from sillage.llm.near_dedup import op7_near_dedup
+from sillage.llm.quality import op9_quality
+from sillage.llm.secrets import op8_secrets
+from sillage.llm.url_filter import op4_url_filter
 from sillage.llm.warc import op6_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media": op1_media,
     "op2_chat": op2_chat,
     "op3_mixing": op3_mixing,
+    "op4_url_filter": op4_url_filter,
     "op5_bpe": op5_bpe,
     "op6_warc": op6_warc,
     "op7_near_dedup": op7_near_dedup,
+    "op8_secrets": op8_secrets,
+    "op9_quality": op9_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
