@@ -5,9 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import Broadcast
@@ -21,7 +22,9 @@ _SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 _OTHERS = regex.compile("[\x1c-\x1f]")
 _NEVER = 1 << 62
 #: Words and pieces that a worker remembers, in two generations of this many each.
-REMEMBERED = 60_000
+REMEMBERED, REMEMBERED_PIECES = 250_000, 120_000
+#: Rows that are encoded together; pieces of more bytes are merged one by one.
+TOGETHER, LONGEST_TOGETHER = 256, 64
 
 
 def default_vocabulary() -> str:
@@ -40,22 +43,26 @@ def byte_alphabet() -> list[str]:
 class Memory(dict):
     """A dict that forgets what was not used for a while, and so never holds more than twice its limit."""
 
-    def __init__(self, make: Callable, limit: int = REMEMBERED) -> None:
+    def __init__(self, make: Callable, limit: int) -> None:
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):  # noqa: ANN001, ANN204
         value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) > 64:
-            return value
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
+        return self.keep(key, self.make(key) if value is None else value)
+
+    def keep(self, key, value):  # noqa: ANN001, ANN201
+        if len(key) <= LONGEST_TOGETHER:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
         return value
 
+    def unknown(self, keys: Iterable) -> list:
+        old = self.old
+        return [k for k in keys if k not in self and k not in old]
+
 
 class Bpe:
     """A byte-level BPE tokenizer with word ends, from its JSON description."""
@@ -80,7 +87,12 @@ class Bpe:
         self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"\s", _SPACE.pattern[1:-2]))
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.mark = min((s[:2] for s in self.special), default="\0")
-        self.pieces, self.words = Memory(self.merged), Memory(self.word)
+        self.pieces, self.words = Memory(self.piece, REMEMBERED_PIECES), Memory(self.word, REMEMBERED)
+        order = sorted(self.rank)
+        self.pair_keys = np.array(order, np.int64)
+        self.pair_ranks = np.array([self.rank[k] for k in order], np.int64)
+        self.results = np.array(self.into, np.int64)
+        self.inner_ids, self.last_ids = np.array(self.inner, np.int64), np.array(self.last, np.int64)
 
     def merged(self, piece: str) -> list[int]:
         """Ids of one piece.
@@ -133,39 +145,124 @@ class Bpe:
                     tree[at] = least
         return [x for x in ids if x >= 0]
 
-    def word(self, word: str) -> tuple[tuple[int, ...], str, str]:
-        """Of a run without white space: ids, the ids as text, and the tokens as text, each joined by one space."""
-        ids: list[int] = []
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids, -1 for those that don't merge."""
+        keys = left << 20 | right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], -1)
+
+    def merged_together(self, pieces: list[bytes], size: int) -> list[list[int]]:
+        """merged() for many pieces at once, each with a segment tree of size leaves, a power of two, as a row of one table.
+
+        Every turn takes the root of each tree that has a mergeable pair left, and walks its three changed leaves up.
+        """
+        n, width = len(pieces), size + 2
+        lengths = np.array([len(p) for p in pieces])
+        raw = np.frombuffer(b"".join(p.ljust(size + 1, b"\0") for p in pieces), np.uint8).reshape(n, size + 1)
+        column = np.arange(size + 1)
+        ids = np.full((n, width), -1, np.int64)
+        ids[:, : size + 1] = np.where(column < lengths[:, None], np.where(column == lengths[:, None] - 1, self.last_ids[raw], self.inner_ids[raw]), -1)
+        end = size + 1  # the column that stands for no symbol
+        after = np.where(np.arange(width) + 1 < lengths[:, None], np.arange(width) + 1, end)
+        before = np.tile(np.arange(width) - 1, (n, 1))
+        tree = np.full((n, 2 * size), _NEVER, np.int64)
+        ranks = np.where(ids[:, 1 : size + 1] >= 0, self._ranks(np.maximum(ids[:, :size], 0), np.maximum(ids[:, 1 : size + 1], 0)), -1)
+        tree[:, size:] = np.where(ranks >= 0, ranks * size + column[:size], _NEVER)
+        level = size
+        while level > 1:
+            tree[:, level // 2 : level] = np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2])
+            level //= 2
+        rows = np.flatnonzero(tree[:, 1] < _NEVER)
+        while len(rows):
+            root = tree[rows, 1]
+            i = root & (size - 1)
+            j = after[rows, i]
+            k, h = after[rows, j], before[rows, i]
+            new = self.results[root // size]
+            ids[rows, i], ids[rows, j] = new, -1
+            after[rows, i] = k
+            before[rows, k] = i
+            has_left = h >= 0
+            right = np.where(k < end, self._ranks(new, np.maximum(ids[rows, k], 0)), -1)
+            left = np.where(has_left, self._ranks(np.maximum(ids[rows, np.maximum(h, 0)], 0), new), -1)
+            inside = j < size
+            tree[rows[inside], size + j[inside]] = _NEVER
+            tree[rows, size + i] = np.where(right >= 0, right * size + i, _NEVER)
+            tree[rows[has_left], size + h[has_left]] = np.where(left >= 0, left * size + h, _NEVER)[has_left]
+            at = np.stack([np.where(inside, j, i), i, np.where(has_left, h, i)]) + size
+            while at[0, 0] > 1:
+                at >>= 1
+                tree[rows, at] = np.minimum(tree[rows, 2 * at], tree[rows, 2 * at + 1])
+            rows = rows[tree[rows, 1] < _NEVER]
+        live = ids[:, : size + 1] >= 0
+        flat, ends = ids[:, : size + 1][live].tolist(), np.cumsum(live.sum(axis=1)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _entry(self, ids: list[int]) -> tuple[int, str, str]:
+        """How many ids, the ids as text, and their tokens as text, each joined by one space."""
+        return len(ids), " ".join(map(str, ids)), " ".join([self.tokens[i] for i in ids])
+
+    def piece(self, piece: str) -> tuple[int, str, str]:
+        return self._entry(self.merged(piece))
+
+    def cut(self, word: str) -> list[str]:
+        """Pieces of a run without white space; special tokens are pieces of their own."""
+        out: list[str] = []
         for part in self.specials.split(word) if self.mark in word and self.specials else (word,):
             if part in self.special:
-                ids.append(self.special[part])
+                out.append(part)
             elif part:
                 if not part.isascii():
                     part = unicodedata.normalize("NFC", part)
                     part = "".join(c.lower() for c in part) if "Σ" in part else part.lower()
                 else:
                     part = part.lower()
-                for piece in self.pattern.findall(part):
-                    ids += self.pieces[piece]
-        return tuple(ids), " ".join(map(str, ids)), " ".join(self.tokens[i] for i in ids)
+                out += self.pattern.findall(part)
+        return out
+
+    def word(self, word: str) -> tuple[int, str, str]:
+        # No piece of the pattern holds a whole special token, so that names tell them apart.
+        parts = [self._entry([self.special[p]]) if p in self.special else self.pieces[p] for p in self.cut(word)]
+        return parts[0] if len(parts) == 1 else (sum(p[0] for p in parts), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts]))
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Remember the pieces of all words that aren't known yet, merged together by size."""
+        cut = {w: self.cut(w) for w in self.words.unknown(words)}
+        groups: dict[int, list[str]] = {}
+        for p in self.pieces.unknown({p for parts in cut.values() for p in parts if p not in self.special}):
+            n = len(p.encode("utf-8", "surrogatepass"))
+            if n <= LONGEST_TOGETHER:
+                groups.setdefault(1 << (max(n - 2, 0)).bit_length(), []).append(p)
+        made = {p: self._entry(ids) for size, group in groups.items() for p, ids in zip(group, self.merged_together([p.encode("utf-8", "surrogatepass") for p in group], size), strict=True)}
+        for p, entry in made.items():
+            self.pieces.keep(p, entry)
+        for w, parts in cut.items():
+            entries = [made.get(p) or (self._entry([self.special[p]]) if p in self.special else self.pieces[p]) for p in parts]
+            self.words.keep(w, entries[0] if len(entries) == 1 else (sum(p[0] for p in entries), " ".join([p[1] for p in entries]), " ".join([p[2] for p in entries])))
 
     def _split(self, text: str) -> list[str]:
         return [w for w in _SPACE.split(text) if w] if _OTHERS.search(text) else text.split()
 
-    def encode(self, text: str) -> list[int]:
+    def encode_all(self, texts: list[str]) -> Iterator[list[tuple[int, str, str]]]:
+        """Of each text the entries of its words that have ids."""
+        split = [self._split(t) for t in texts]
+        self.learn(set().union(*split))
         words = self.words
-        return [i for w in self._split(text) for i in words[w][0]]
+        for ws in split:
+            yield [x for x in [words[w] for w in ws] if x[0]]
+
+    def encode(self, text: str) -> list[int]:
+        return [int(i) for entries in self.encode_all([text]) for x in entries for i in x[1].split(" ")]
 
     def decode(self, ids: list[int]) -> str:
         """Without a decoder of its own, a vocabulary's tokens are joined by one space; special ones stay."""
         tokens = self.tokens
         return " ".join(tokens[i] for i in ids if i in tokens)
 
-    def both(self, text: str) -> tuple[int, str, str]:
-        """How many ids, the ids joined by one space, and what decode() makes of them."""
-        words = self.words
-        parts = [x for x in [words[w] for w in self._split(text)] if x[0]]
-        return sum(len(x[0]) for x in parts), " ".join([x[1] for x in parts]), " ".join([x[2] for x in parts])
+    def both(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        """Of each text how many ids, the ids joined by one space, and what decode() makes of them."""
+        for entries in self.encode_all(texts):
+            yield sum([x[0] for x in entries]), " ".join([x[1] for x in entries]), " ".join([x[2] for x in entries])
 
 
 _made: dict[str, Bpe] = {}
@@ -195,8 +292,9 @@ def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _of(described.value)
-        for keys, texts in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([bpe.encode(t) for t in texts], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        for keys, texts in slices(batches, TOGETHER):
+            ids = [[int(i) for x in entries for i in x[1].split(" ")] for entries in bpe.encode_all(texts)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -219,9 +317,9 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _of(described.value)
-        for keys, texts in slices(batches):
-            made = [bpe.both(t) for t in texts]
-            columns = [pa.array(keys, pa.int64()), pa.array([m[0] for m in made], pa.int64()), pa.array([_sha(m[1]) for m in made]), pa.array([_sha(m[2]) for m in made])]
+        for keys, texts in slices(batches, TOGETHER):
+            made = [(n, _sha(ids), _sha(decoded)) for n, ids, decoded in bpe.both(texts)]
+            columns = [pa.array(c, t) for c, t in zip((keys, *zip(*made, strict=True)), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
