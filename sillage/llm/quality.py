@@ -24,8 +24,9 @@ COMMON = (
 WORDS = sorted({w for line in COMMON for w in line.split()})
 #: A text is judged by character classes from so many characters in words on, by common words from so many words on.
 GUARD_CHARS, GUARD_WORDS = 120, 60
-#: Greatest Jensen-Shannon distances (0 to 1) of kept texts.
-MOST_CHARS, MOST_WORDS = 0.16, 0.6
+#: Greatest Jensen-Shannon distances (0 to 1) of kept texts. That of character classes grows as texts get shorter, by so much
+#: over the square root of the characters in words, since short texts stray further by chance.
+MOST_CHARS, SHORT_CHARS, MOST_WORDS = 0.12, 1.2, 0.36
 
 CLASSES = ("vowel", "consonant", "capital", "digit", "space", "stop", "mark", "symbol", "bar", "control", "beyond")
 
@@ -128,20 +129,26 @@ def distance(p: Column, q: Column) -> Column:
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Counts of the base rules, both distances, base_failed and kept for every row of docs.
 
-    The references are the summed histograms of all texts of a language that pass the base rules, so they cover the whole
-    table; rows without a language share one reference. Texts too short for a histogram are judged by the base rules alone.
+    A language's reference is the median share of each class or word over all its texts that pass the base rules, so that it covers
+    the whole table and junk, while less than half of it, doesn't move it; rows without a language share one reference. Texts too short for a histogram are judged by the base rules alone.
     Null texts are empty (and fail the base rules), null ids stay null, repeated rows repeat, other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), whole(text_col).alias("text"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     measured = stored(rows.mapInArrow(_measure, _DDL).withColumn("base_failed", failed), "measured")
-    sums = [F.array(*(F.sum(F.col(c)[i]) for i in range(n))).alias(f"ref_{c}") for c, n in (("classes", len(CLASSES)), ("common", len(WORDS) + 1))]
-    references = stored(measured.where("not base_failed").groupBy("lang").agg(*sums).withColumnRenamed("lang", "ref_lang"), "references")
+    long_enough = {"classes": F.col("word_chars") >= GUARD_CHARS, "common": F.col("n_words") >= GUARD_WORDS}
+
+    def medians(c: str, n: int) -> Column:
+        total = F.aggregate(F.col(c), F.lit(0.0), lambda s, x: s + x)
+        shares = (F.when(long_enough[c] & (total > 0), F.col(c)[i] / total) for i in range(n))
+        return F.array(*(F.coalesce(F.percentile_approx(x, 0.5, 1000), F.lit(0.0)) for x in shares)).alias(f"ref_{c}")
+
+    references = stored(measured.where("not base_failed").groupBy(F.col("lang").alias("ref_lang")).agg(medians("classes", len(CLASSES)), medians("common", len(WORDS) + 1)), "references")
     met = measured.join(references, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
-    by_class = F.when(F.col("word_chars") >= GUARD_CHARS, distance(F.col("classes"), F.col("ref_classes"))).otherwise(0.0)
-    by_word = F.when(F.col("n_words") >= GUARD_WORDS, distance(F.col("common"), F.col("ref_common"))).otherwise(0.0)
+    by_class = F.when(long_enough["classes"], distance(F.col("classes"), F.col("ref_classes"))).otherwise(0.0)
+    by_word = F.when(long_enough["common"], distance(F.col("common"), F.col("ref_common"))).otherwise(0.0)
     met = met.withColumn("class_distance", F.coalesce(by_class, F.lit(0.0))).withColumn("word_distance", F.coalesce(by_word, F.lit(0.0)))
-    kept = ~F.col("base_failed") & (F.col("class_distance") <= MOST_CHARS) & (F.col("word_distance") <= MOST_WORDS)
+    kept = ~F.col("base_failed") & (F.col("class_distance") <= MOST_CHARS + SHORT_CHARS / F.sqrt(F.greatest(F.col("word_chars"), F.lit(1)))) & (F.col("word_distance") <= MOST_WORDS)
     return met.select(*(n for n in _NAMES if n not in ("lang", "classes", "common")), "base_failed", kept.alias("kept"), "class_distance", "word_distance")
 
 
