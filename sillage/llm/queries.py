@@ -13,6 +13,7 @@ from sillage.llm.media import op1_media
 from sillage.llm.near_dedup import op7_near_dedup
 from sillage.llm.quality import op9_quality
 from sillage.llm.secrets import op8_secrets
+from sillage.llm.toxicity import op10_toxicity
 from sillage.llm.url_filter import op4_url_filter
 from sillage.llm.warc import op6_warc
 
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_near_dedup": op7_near_dedup,
     "op8_secrets": op8_secrets,
     "op9_quality": op9_quality,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -41,7 +41,7 @@ SEED = 5
 _LETTERS = 30  # 0 for no letter, a to z, start, end, and any other letter
 _START, _END, _OTHER = 27, 28, 29
 _LIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"}
-_SENTENCE = re.compile(r"[.!?\n]+")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_] ){3,}[^\W\d_](?!\S)")
 _code: dict[str, int] = {}
 
@@ -222,20 +222,14 @@ class Scorer:
     def pooled(self, text: str, tokens: list[str]) -> list[np.ndarray]:
         """Of each sentence that resembles a toxic landmark at all, its greatest similarity to each landmark."""
         now = self.now
-        active = {t for t in tokens if now[t] is not None}
-        if not active:
+        if not any([now[t] is not None for t in tokens]):
             return []
         out = []
         for sentence in _SENTENCE.split(text):
-            ts = tokens_of(sentence)
-            if any(t not in now for t in ts):
-                self.learn(set(ts))
-                now = self.now
-            found = [now[t] for t in ts if now[t] is not None]
+            found = [v for t in tokens_of(sentence) if (v := now.get(t)) is not None]
             if found:
                 out.append(np.max(found, axis=0))
-        # Marks inside a token end no sentence for it: such a token counts as a sentence of its own, too.
-        return out + [now[t] for t in active if now.get(t) is not None and _SENTENCE.search(t.strip(".!?"))]
+        return out
 
     def bags(self, texts: list[str]) -> list[list[np.ndarray]]:
         found = [tokens_of(t) for t in texts]
@@ -386,6 +380,21 @@ def rated(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return got.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs without the rows that the model scores 0.5 or more; all columns stay, and null texts are judged as empty."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(sent.value)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 128):
+                part = batch.slice(start, 128)
+                yield part.filter(pa.array([s < 0.5 for s in scorer.scores([t or "" for t in part.column(at).to_pylist()])], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return rated(docs, train(docs, read(spark, sf_dir, "labels")))
