@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -99,5 +100,42 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return met.select("doc_id", "size", "place", taken.alias("taken")).join(sources, "place").select("doc_id", "size", "source", "source_size", "target", "taken")
 
 
+_WORD = re.compile(WORD)
+
+
+def first_words(text: str, n: int) -> str:
+    """The text up to the end of its n-th word."""
+    end = 0
+    for k, m in enumerate(_WORD.finditer(text), 1):
+        end = m.end()
+        if k >= n:
+            break
+    return text[:end]
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix of docs itself, with all their columns: a row for each whole use of a document, and one of its first words for the rest
+    of what is taken of it. Documents of which nothing is taken go; rows that repeat an id are taken alike."""
+    taken = mix(docs, id_col, text_col, source_col).groupBy(F.col("doc_id").alias("_id")).agg(F.max("size").alias("_size"), F.max("taken").alias("_taken")).where("_taken > 0")
+    met = docs.join(taken, F.col(id_col).cast("long").eqNullSafe(F.col("_id"))).drop("_id")
+    at, schema = docs.columns.index(text_col), docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                texts, sizes, uses = part.column(at).to_pylist(), part.column(part.num_columns - 2).to_pylist(), part.column(part.num_columns - 1).to_pylist()
+                rows, out = [], []
+                for row, (text, size, use) in enumerate(zip(texts, sizes, uses, strict=True)):
+                    size = max(size, 1)
+                    rows += [row] * -(-use // size)
+                    out += [text] * (use // size) + ([first_words(text, use % size)] if use % size else [])
+                body = pa.Table.from_batches([part]).take(rows).combine_chunks().to_batches()[0] if rows else part.slice(0, 0)
+                columns = [pa.array(out, c.type) if k == at else c for k, c in enumerate(body.columns[:-2])]
+                yield pa.RecordBatch.from_arrays(columns, names=body.schema.names[:-2])
+
+    return met.mapInArrow(run, schema)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
