@@ -11,6 +11,7 @@ from sillage.functions import text as T
 from sillage.functions import urls as U
 from sillage.functions import vectors as V
 from sillage.operators import bm25, context, corpus, crawl, index, rerank
+from sillage.operators import pages as P
 from sillage.session import ship
 from sillage.sources import tables
 
@@ -655,3 +656,92 @@ def index_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{tables.scratch(spark)}/sillage/index-{uuid.uuid4().hex}"
     tables.save_index(vector_index(spark, sf_dir), path)
     return tables.load_index(spark, path).select("vec_id", "label")
+
+
+# ---- pages, segments, ingest, answers --------------------------------------------------------------------------------------
+
+
+@query()
+def html_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of all pages by heading and sliding window."""
+    return P.chunks(table(spark, sf_dir, "pages")).select("page_id", "chunk_index", "id", "length", "hierarchy", F.size("outgoing_links").alias("n_links"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("select page_id, cast(0 as bigint) as pos, 1 as n from pages where false union all select page_id, max(pos) as pos, count(*)::int as n from (" + _LINKS + "select page_id, pos from kept) group by page_id")
+def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all pages by parser, counted; on these pages all are root-relative."""
+    found = P.links(table(spark, sf_dir, "pages").select("url", "html"))
+    ids = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("from_url"))
+    return found.join(ids, "from_url").groupBy("page_id").agg(F.max("pos").cast("long").alias("pos"), F.count("*").cast("int").alias("n"))
+
+
+@query()
+def html_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.texts(table(spark, sf_dir, "pages")).select("page_id", F.length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query()
+def text_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of 200 tokens of all documents."""
+    return P.segments(table(spark, sf_dir, "documents").select("doc_id", "text"), 200).select("doc_id", "seg_index", "seg_count", F.length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("select doc_id, 0 as seg_index, 1 as seg_count, md5(text) as digest from documents where greatest(1, length(text) // 4) <= 7372 and trim(text) <> ''")
+def text_segments_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that an embedder takes whole."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return P.segments(docs).where("seg_count = 1").select("doc_id", "seg_index", "seg_count", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("select page_id, url, not (starts_with(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/en/') or starts_with(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/de/')) as allowed from pages")
+def robots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that a robots.txt of each host allows."""
+    from sillage.sources import web
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = pages.select(F.lower(F.regexp_extract("url", r"//([^/?#]*)", 1)).alias("host")).distinct().withColumn("robots_txt", F.lit("User-agent: *\nDisallow: /en/\nDisallow: /de/\n"))
+    return web.robots_allowed(pages, rules)
+
+
+@query("with keep as (select page_id, url, html from pages where page_id % 3 <> 0) select p.url, p.html is null or k.html is null as missing from pages p left join keep k using (page_id)")
+def fetch_from_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All URLs fetched from a corpus that lacks a third of the pages."""
+    from sillage.sources import web
+
+    pages = table(spark, sf_dir, "pages")
+    return web.from_corpus(pages, pages.where("page_id % 3 <> 0")).select("url", F.col("reason").isNotNull().alias("missing"))
+
+
+def toy_vector(text: str) -> list[float]:
+    """Four numbers from a text's MD5: an embedder for tests."""
+    import hashlib
+
+    digest = int.from_bytes(hashlib.md5(text.encode("utf-8", "surrogatepass")).digest(), "big")
+    return [((digest >> (8 * k)) & 255) / 255 for k in range(4)]
+
+
+@query()
+def ingest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as records of an index: chunks, segments, vectors, links both ways."""
+    from sillage.plans import ingest
+
+    pages = table(spark, sf_dir, "pages").withColumn("crawled_at", F.lit("2024-01-01T00:00:00+00:00"))
+    made = ingest.records(pages, P.links(pages), toy_vector)
+    return made.select("id", "url", "chunk_index", "seg_index", "seg_count", F.size("outgoing_links").alias("n_out"), F.size("incoming_links").alias("n_in"), F.size("embedding").alias("n_dims"))
+
+
+@query()
+def answer_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question end to end over all documents, with a model that always says yes."""
+    from sillage.plans.agents import Answerer
+    from sillage.plans.answers import Pipeline, Retriever
+
+    class Yes:
+        def generate(self, prompt: str) -> str:
+            return "YES" if prompt.endswith("Sufficient?") else f"an answer from {prompt.count('(Source:')} sources"
+
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id")
+    rows = docs.select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("id"), F.concat(F.lit("http://x/"), "source").alias("url"), F.lit(0).alias("chunk_index"), "text", F.array("source").alias("hierarchy"), F.concat(F.lit("http://x/"), "source").alias("parent"), F.array().cast("array<struct<from_page:string,anchor_text:string,source_chunk:string>>").alias("incoming_links"), "embedding")
+    first = table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(1).first()["embedding"]
+    made = Pipeline(Retriever(spark, index.added(rows), lambda q: list(first)), Answerer(Yes()), mode="classic", expand=False).query(QUESTION)
+    return spark.createDataFrame([(made.answer, made.supported, len(made.sources), made.trace["answer_path"])], "answer string, supported boolean, n_sources int, path string")
