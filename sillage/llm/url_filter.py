@@ -95,7 +95,7 @@ def scores(shapes: DataFrame) -> tuple[DataFrame, DataFrame]:
     tally = scored.where(held & F.col("listed").isNotNull()).groupBy(bins.alias("bin")).agg(*(F.sum((F.col("listed") == c).cast("long")).alias(c) for c in ("allow", "block")))
     # At most 2 * WIDEST * STEPS + 1 rows.
     above, below, every = Window.orderBy("bin").rowsBetween(0, Window.unboundedFollowing), Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(0))
-    recall = F.coalesce(F.sum("allow").over(above) / F.sum("allow").over(every), F.lit(0.0)) + F.coalesce(F.coalesce(F.sum("block").over(below), F.lit(0)) / F.sum("block").over(every), F.lit(0.0))
+    recall = F.coalesce(F.try_divide(F.sum("allow").over(above), F.sum("allow").over(every)), F.lit(0.0)) + F.coalesce(F.try_divide(F.sum("block").over(below), F.sum("block").over(every)), F.lit(0.0))
     best = tally.withColumn("recall", recall).agg(F.max(F.struct("recall", -F.abs("bin"), "bin"))["bin"].alias("bin"))
     return scored, best.select(F.coalesce((F.col("bin") - 0.5) / STEPS, F.lit(0.0)).alias("threshold"))
 
