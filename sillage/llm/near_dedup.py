@@ -70,19 +70,22 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
 
-def _verify(pairs: DataFrame, sketched: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those that are linked: first by likelihood of both sketches, then on the full sets of whole texts."""
-
-    def side(c: str) -> DataFrame:
-        return sketched.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
-
-    met = pairs.join(side("b"), "b").join(side("a"), "a").where(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
-    likely = stored(met.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_likely, "a long, b long"), "likely")
-    ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = stored(texts.join(ids, "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
-    full = likely.join(wanted.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(wanted.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    linked = stored(full.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long"), "linked")
-    forget(likely, wanted)
+def _verify(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Of pairs (a, b) those that are linked: first by likelihood of both sketches, then on the full sets of whole texts.
+
+    wanted has id, n, sketch, text of every document that may be in a pair.
+    """
+
+    def side(c: str, *columns: str) -> DataFrame:
+        return wanted.select(F.col("id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in columns))
+
+    def met(rows: DataFrame, *columns: str) -> DataFrame:
+        return rows.join(side("b", *columns), "b").join(side("a", *columns), "a")
+
+    sized = met(pairs, "n", "sketch").where(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
+    likely = stored(sized.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_likely, "a long, b long"), "likely")
+    linked = stored(met(likely, "text").select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long"), "linked")
+    forget(likely)
     return linked
 
 
@@ -92,7 +95,7 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), k), pa.int64()), pa.array(values.view(np.int64))], names=["id", "h"])
 
 
-def crossing(open_: DataFrame, texts: DataFrame) -> DataFrame:
+def crossing(open_: DataFrame, wanted: DataFrame) -> DataFrame:
     """Pairs (a, b) of open_ (id, n, c) with different c that may be linked; none that is linked is missing.
 
     Shingles are ordered from rare to frequent. A linked pair shares one among the first n - need + 1 of either, where need
@@ -100,7 +103,7 @@ def crossing(open_: DataFrame, texts: DataFrame) -> DataFrame:
     In a large group of near copies that leaves the few documents whose own, rare shingles don't already use up what
     a link may miss, and a shingle all of whose owners have one c drops out: the group is never paired with itself.
     """
-    rows = stored(texts.join(open_.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "text"]).select("id", "text").mapInArrow(_shingles, "id long, h long"), "shingles")
+    rows = stored(wanted.select("id", "text").join(open_.select("id"), "id", "left_semi").mapInArrow(_shingles, "id long, h long"), "shingles")
     frequent = stored(rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "frequent")
     by_rarity = Window.partitionBy("id").orderBy("df", "h")
     ranked = rows.join(frequent, "h", "left").select("id", "h", F.coalesce("df", F.lit(1)).alias("df")).withColumn("pos", F.row_number().over(by_rarity))
@@ -136,8 +139,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     less above it).
 
     Nulls: a null text is empty. Texts without words have no shingles and are linked with nothing. A row with a
-    null id is linked with nothing: component_id null, kept true. Repeated rows get equal results; rows of one
-    id with different texts are linked if either text is. Empty tables give empty results. Other columns are ignored.
+    null id is linked with nothing: component_id null, kept true. Repeated rows get equal results. Ids are meant to be
+    unique: of rows of one id with different texts the greatest text is compared for all. Empty tables give empty results. Other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), whole(text_col).alias("text"))
     made = stored(sketches(docs, id_col, text_col), "sketches")
@@ -151,10 +154,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = stored(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     members = stored(banded.join(buckets, "key"), "members")
     degree = stored(members.groupBy("id").agg(F.sum("size").alias("degree")), "degree")
+    # Texts and sketches go by id once, and later steps read only those that share a bucket. Sizes don't change this plan: nothing is broadcast.
+    near = degree.select("id").hint("merge").join(reps.select("id", "n", "sketch").hint("merge"), "id")
+    # Rows come sorted by id from the join, so that repeated ones fold as they pass.
+    one = texts.hint("merge").join(near, "id").groupBy("id").agg(*(F.max(c).alias(c) for c in ("n", "sketch", "text")))
+    wanted = stored(one, "wanted")
     ranked = members.join(degree, "id").select("key", "id", "degree")
     heads = stored(ranked.groupBy("key").agg(F.max(F.struct("degree", -F.col("id"))).alias("m")).select("key", (-F.col("m")["col2"]).alias("head")), "heads")
     headed = members.join(heads, "key").where("head <> id")
-    first = _verify(stored(headed.select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct(), "pairs"), reps, texts)
+    first = _verify(stored(headed.select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct(), "pairs"), wanted)
 
     grouped = components(first)
     labelled = stored(members.join(grouped.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), "labelled")
@@ -162,7 +170,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     loose = labelled.join(mixed, "key", "left_semi").select("id", "c").distinct()
     open_ = stored(loose.join(reps.groupBy("id").agg(F.max("n").alias("n")), "id"), "open")
     forget(buckets, degree, heads, labelled, mixed, members)
-    second = _verify(crossing(open_, texts), reps, texts)
+    second = _verify(crossing(open_, wanted), wanted)
 
     final = components(first.union(second))
     known = owned.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
@@ -170,5 +178,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each group; all columns stay. Rows with a null id stay; rows that repeat an id stay or go together."""
+    dropped = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
+    return docs.join(dropped, F.col(id_col) == F.col("_dropped"), "left_anti")
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
