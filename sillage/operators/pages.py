@@ -45,8 +45,9 @@ def _by_page(pages: DataFrame, name: str, kind: str, make: Callable[[str, str],
 
 
 def chunks(pages: DataFrame, most: int = H.MAX_WORDS, overlap: int = H.OVERLAP) -> DataFrame:
-    """A row for each chunk of each page, with the page's other columns."""
-    made = _by_page(pages, "chunk", _CHUNKS, lambda url, page: H.chunks(url, page, most, overlap))
+    """A row for each chunk of each page, with the page's other columns; of columns that both have the chunk's stays."""
+    own = ("id", "chunk_index", "text", "length", "hierarchy", "outgoing_links")
+    made = _by_page(pages.drop(*own), "chunk", _CHUNKS, lambda url, page: H.chunks(url, page, most, overlap))
     return made.withColumn("chunk", F.explode("chunk")).select(*(c for c in made.columns if c != "chunk"), "chunk.*")
 
 
