@@ -12,6 +12,10 @@ from sillage.functions import urls as U
 from sillage.sources.tables import stored
 
 
+#: Levels after which those known so far are written as one table.
+MERGED = 8
+
+
 @dataclass
 class Policy:
     """What a crawl may visit. Lists are settings of a project, a few entries each; no domains means all."""
@@ -38,12 +42,12 @@ def allowed_domains(start_url: str, given: list[str], entire_site: bool) -> list
 def domain_allowed(url: Column, p: Policy) -> Column:
     """Blocked ones never, the allowed ones or all; subdomains count for both if the policy says so."""
     name = U.domain(url)
-    listed = [U_host(d) for d in p.allowed_domains]
+    listed = [_bare_host(d) for d in p.allowed_domains]
     ok = U.in_domains(name, listed, p.allow_subdomains) if listed else F.lit(True)
-    return ok & ~U.in_domains(name, [U_host(d) for d in p.blocked_domains], p.allow_subdomains) if p.blocked_domains else ok
+    return ok & ~U.in_domains(name, [_bare_host(d) for d in p.blocked_domains], p.allow_subdomains) if p.blocked_domains else ok
 
 
-def U_host(name: str) -> str:
+def _bare_host(name: str) -> str:
     return name.strip().lower().split(":")[0].removeprefix("www.")
 
 
@@ -108,6 +112,8 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, expa
         found = edges.join(out, "src").select(F.col("dst").alias("node")).where(F.col("node").isNotNull()).distinct()
         frontier = stored(found.join(known.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         known = known.unionByName(frontier)
+        if depth % MERGED == 0:
+            known = stored(known, "reach")
     return known
 
 

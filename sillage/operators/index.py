@@ -34,13 +34,14 @@ def added(records: DataFrame, id_col: str = "id", vector_col: str = "embedding",
 def search(index: DataFrame, queries: DataFrame, k: int, threshold: float = 0.0) -> DataFrame:
     """qid, the record, score (cosine) and rank from 0: the k nearest records of each query, ties by key, those below the threshold cut after.
 
-    queries (qid, vector) are the questions of one batch. Each task keeps its own k best of each query before the shuffle, so what
-    is shuffled grows with queries and tasks, not with records.
+    queries (qid, vector) is a stated set against all rows. While it is below Spark's broadcast threshold it goes to where the records
+    lie; beyond, Spark pairs blocks of both sides instead. Either way each task keeps its own k best of each query before the
+    shuffle, so what is shuffled grows with queries and tasks, not with records.
     """
     if k <= 0:
         return index.limit(0).select(F.lit(None).cast(queries.schema["qid"].dataType).alias("qid"), *index.columns, F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
     asked = queries.select("qid", V.normalised(F.col("vector")).alias("asked"))
-    near = index.crossJoin(F.broadcast(asked)).withColumn("score", V.dot(F.col("unit"), F.col("asked"))).drop("asked")
+    near = index.crossJoin(asked).withColumn("score", V.dot(F.col("unit"), F.col("asked"))).drop("asked")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "_key")
     hits = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
     return hits.where(F.col("score") >= threshold) if threshold > 0 else hits
@@ -62,7 +63,7 @@ def search_cells(placed: DataFrame, centres: DataFrame, queries: DataFrame, k: i
     asked = queries.select("qid", V.normalised(F.col("vector")).alias("asked"))
     closest = Window.partitionBy("qid").orderBy(F.desc(V.dot(F.col("centre"), F.col("asked"))), "cell")
     probed = asked.crossJoin(F.broadcast(centres)).withColumn("n", F.row_number().over(closest)).where(F.col("n") <= probes).select("qid", "asked", "cell")
-    near = placed.join(F.broadcast(probed), "cell").withColumn("score", V.dot(F.col("unit"), F.col("asked")))
+    near = placed.join(probed, "cell").withColumn("score", V.dot(F.col("unit"), F.col("asked")))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "_key")
     return near.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k).drop("asked", "cell")
 
