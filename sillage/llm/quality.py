@@ -28,6 +28,8 @@ GUARD_CHARS, GUARD_WORDS = 120, 60
 #: over the square root of the characters in words, since short texts stray further by chance.
 MOST_CHARS, SHORT_CHARS, MOST_WORDS = 0.12, 1.2, 0.36
 
+#: Digits count so many to one: numbers, which clean short texts have as well, say little about language.
+DIGITS_TOGETHER = 4
 CLASSES = ("vowel", "consonant", "capital", "digit", "space", "stop", "mark", "symbol", "bar", "control", "beyond")
 
 
@@ -94,10 +96,12 @@ def features(text: str) -> tuple:
     counts = np.bincount(ids, minlength=len(place)) if got else np.zeros(0, np.int64)
     by_byte = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
     lines = [line for line in data.split(b"\n") if line.strip()]
+    classes = (by_byte @ _OF).tolist()
+    classes[CLASSES.index("digit")] //= DIGITS_TOGETHER
     common = [sum(int(counts[place[f]]) for f in forms if f in place) for forms in _FORMS]
     return (
         len(got), len(text) - (len(data) - sum(map(len, got))), int(by_byte[_SYMBOLS].sum()), len(lines) - len(set(lines)),
-        repeated_words(ids, len(place)), (by_byte @ _OF).tolist(), [*common, len(got) - sum(common)],
+        repeated_words(ids, len(place)), classes, [*common, len(got) - sum(common)],
     )
 
 
