@@ -7,6 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sillage.functions import text as T
 from sillage.functions import vectors as V
 
 VERSION = 1
@@ -83,3 +84,17 @@ def require(index: DataFrame, key: str) -> None:
     """KeyError unless the index has the key."""
     if index.where(F.col("_key") == key).isEmpty():
         raise KeyError(key)
+
+
+def id_of(index: DataFrame, key: str) -> int:
+    """The number of a key (blake2b of eight bytes), -1 where the index lacks it."""
+    got = index.where(F.col("_key") == key).select(T.key_hash("_key").alias("n")).first()
+    return -1 if got is None else got["n"]
+
+
+def find(index: DataFrame, queries: DataFrame, k: int, kind: str = "flat", n_cells: int = 1024, probes: int = 8) -> DataFrame:
+    """search() by kind: exact for flat, within the nearest cells for the others. Graph and product codes of other engines have no
+    counterpart in a table scan; their place is taken by cells, whose recall grows with probes."""
+    if create(kind) == "flat":
+        return search(index, queries, k)
+    return search_cells(*cells(index, n_cells), queries, k, probes)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -123,16 +124,20 @@ class Answerer:
 
 @dataclass
 class Summariser:
-    """Summaries of chunks; long texts keep their head and tail, and a failure keeps the text."""
+    """Summaries of chunks; long texts keep their head and tail, then as many tokens as the model takes; a failure keeps the text.
+
+    tokens cuts a text to a number of tokens; without one, four characters count as a token.
+    """
 
     llm: Llm
     prompt: str = "Summarise:\n\n{text}"
-    calls: int = field(default=0)
+    most_tokens: int = 2000
+    tokens: Callable[[str, int], str] = field(default=lambda text, n: text[: 4 * n])
 
     def __call__(self, text: str) -> str:
         short = text if len(text) <= 12_000 else f"{text[:10_000]}\n\n[...] (truncated)\n\n{text[-2_000:]}"
+        short = self.tokens(short, self.most_tokens)
         try:
-            self.calls += 1
             return self.llm.generate(self.prompt.format(text=short) if "{text}" in self.prompt else self.prompt) or text
         except Exception:  # noqa: BLE001
             return text

@@ -79,6 +79,7 @@ class Ingest:
     crawl: Callable[[str], None] | None = None
     summarise: Callable[[str], str] | None = None
     disallowed: Callable[[], dict] | None = None
+    debug: bool = False
 
     @property
     def results(self) -> str:
@@ -112,6 +113,9 @@ class Ingest:
             return self._nothing(crawled=mode == "both")
         try:
             graph = corpus.edges(tables.graph(self.spark, f"{self.folder}/graph.json"))
+            if self.debug:
+                preview = P.chunks(pages).withColumn("text", F.substring("text", 1, 500))
+                preview.write.mode("overwrite").json(f"{self.folder}/debug/raw_chunks")
             made = index.added(records(pages, graph, self.embed, self.summarise))
             tables.save_index(made, f"{self.folder}/index")
             count = tables.load_index(self.spark, f"{self.folder}/index").agg(F.countDistinct("url").alias("n")).first()["n"]

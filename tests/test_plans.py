@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sillage.operators import crawl, index
-from sillage.plans import agents, config, ingest
+from sillage.plans import agents, config, ingest, runtime
 from sillage.plans.answers import NOT_ENOUGH, NOTHING, Pipeline, Retriever
 from sillage.queries import toy_vector
 from sillage.sources import tables, web
@@ -230,3 +230,36 @@ def test_streams(spark, tmp_path):
     (source / "2.json").write_text(json.dumps(page | {"url": "http://b"}) + "\n" + json.dumps(page | {"html": ""}))
     stream.append(rows, out, str(tmp_path / "cp")).awaitTermination()
     assert sorted(r["url"] for r in spark.read.parquet(out).collect()) == ["http://a", "http://b"]
+
+
+def test_runtime(spark, tmp_path):
+    folder = str(tmp_path / "p")
+    c = config.Config.of({"start_url": "http://a"}, output_dir=folder, index_dir=f"{folder}/index")
+    pages = "\n".join(json.dumps({"url": f"http://a/{k}", "html": f"<p>page {k} tells of five things", "crawled_at": "t"}) for k in range(3))
+
+    def crawl_into(path):
+        (tmp_path / "p").mkdir(exist_ok=True)
+        (tmp_path / "p" / "results.jsonl").write_text(pages)
+
+    rt = runtime.build(spark, c, toy_vector, Script(("Sufficient?", "YES"), ("Context", "done")), crawl_into, usage_folder=str(tmp_path / "usage"))
+    rt.ingest.debug = True
+    rt.usage.embedding("m", 400)
+    rt.usage.chat("m", 100, 50)
+    assert rt.run_ingest()["indexed"] and rt.usage.pending == []
+    assert spark.read.json(f"{folder}/debug/raw_chunks").count() == 3
+    got = {r["type"]: r["total_tokens"] for r in tables.usage(spark, str(tmp_path / "usage")).collect()}
+    assert got == {"embedding": 400, "chat": 150}
+    answer = rt.query_result("page 1 tells of five things")
+    assert answer.supported and answer.answer == "done" and answer.sources
+    records = tables.load_index(spark, f"{folder}/index")
+    assert index.id_of(records, "none") == -1 and index.id_of(records, "http://a/0#chunk_0__seg_0") != -1
+    q = records.limit(1).select(F.lit(1).alias("qid"), F.col("embedding").alias("vector"))
+    assert index.find(records, q, 1, "ivf_flat", 2, 2).count() == index.find(records, q, 1).count() == 1
+    with pytest.raises(RuntimeError, match="chat"):
+        runtime.build(spark, c, toy_vector).query_result("q")
+
+
+def test_summaries():
+    llm = Script(("keep", "short"))
+    assert agents.Summariser(llm, "keep {text}")("x" * 30_000) == "short" and len(llm.asked[0]) < 9000
+    assert agents.Summariser(Script())("text") == "text"
