@@ -14,12 +14,20 @@ K1, B = 1.5, 0.75
 
 @dataclass
 class Index:
-    """postings (term, id, tf, dl), terms (term, df, idf), and totals (n_docs, avgdl), a table of one row. The postings are the only large one."""
+    """occurrences (id, dl, term) of tokens, terms (term, df, idf), and totals (n_docs, avgdl), a table of one row.
 
-    postings: DataFrame
+    Occurrences are counted once it is known which terms are asked for, so that only those are shuffled.
+    """
+
+    occurrences: DataFrame
     terms: DataFrame
     totals: DataFrame
 
+    def postings(self, asked: DataFrame | None = None) -> DataFrame:
+        """id, dl, term, tf of all terms, or of those asked for (term)."""
+        rows = self.occurrences if asked is None else self.occurrences.join(asked.select("term").distinct(), "term", "left_semi")
+        return rows.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+
 
 def documents(records: DataFrame, id_col: str, text_col: str, summary_col: str | None = None) -> DataFrame:
     """id, tokens and dl of records that have a token; an empty text gives way to the summary."""
@@ -28,12 +36,12 @@ def documents(records: DataFrame, id_col: str, text_col: str, summary_col: str |
 
 
 def index(docs: DataFrame) -> Index:
-    """From documents(). Term counts are combined where documents lie, before anything is shuffled by term."""
+    """From documents()."""
     totals = docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    postings = docs.select("id", "dl", F.explode("tokens").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    occurrences = docs.select("id", "dl", F.explode("tokens").alias("term"))
     df = docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     terms = df.crossJoin(F.broadcast(totals)).select("term", "df", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    return Index(postings, terms, totals)
+    return Index(occurrences, terms, totals)
 
 
 def scores(ix: Index, questions: DataFrame) -> DataFrame:
@@ -43,7 +51,7 @@ def scores(ix: Index, questions: DataFrame) -> DataFrame:
     """
     asked = questions.select("qid", F.explode(T.tokens(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
     weighted = asked.join(ix.terms, "term")
-    met = ix.postings.join(weighted, "term").crossJoin(F.broadcast(ix.totals))
+    met = ix.postings(asked).join(weighted, "term").crossJoin(F.broadcast(ix.totals))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) * F.col("qtf")
     return met.groupBy("qid", "id").agg(F.sum(part).alias("score"))
 

@@ -41,11 +41,11 @@ def with_links(pages: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def first_of_content(pages: DataFrame, text_col: str = "text", seq_col: str = "seq") -> DataFrame:
-    """pages whose text none of an earlier seq has; empty texts are never the same. Only digests meet by key."""
-    digest = F.md5(F.col(text_col).cast("binary"))
-    known = pages.where(F.col(text_col) != "").groupBy(digest.alias("_d")).agg(F.min(seq_col).alias("_first"))
+    """pages whose text none of an earlier seq has; empty texts are never the same. seq is unique, and texts
+    meet by it alone: digests are combined where they lie, so that no text's copies, however many, go to one task."""
+    known = pages.where(F.col(text_col) != "").groupBy(F.md5(F.col(text_col).cast("binary")).alias("_d")).agg(F.min(seq_col).alias(seq_col))
     blank = pages.where(F.coalesce(F.col(text_col), F.lit("")) == "")
-    return pages.withColumn("_d", digest).join(known, "_d").where(F.col(seq_col) == F.col("_first")).drop("_d", "_first").unionByName(blank)
+    return pages.join(known.select(seq_col), seq_col, "left_semi").unionByName(blank)
 
 
 def usage_totals(events: DataFrame) -> DataFrame:

@@ -328,7 +328,7 @@ def bm25_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {_BM25} select n as n_docs, round(avgdl, 6) as avgdl, (select count(*) from postings) as n_postings from totals")
 def bm25_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     ix = bm25.index(bm25.documents(table(spark, sf_dir, "documents"), "doc_id", "text"))
-    return ix.totals.select("n_docs", F.round("avgdl", 6).alias("avgdl")).crossJoin(ix.postings.agg(F.count("*").alias("n_postings")))
+    return ix.totals.select("n_docs", F.round("avgdl", 6).alias("avgdl")).crossJoin(ix.postings().agg(F.count("*").alias("n_postings")))
 
 
 @query(f"""
