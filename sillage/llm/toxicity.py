@@ -39,39 +39,42 @@ SCREENED_TOGETHER, COST = 8, 4.0
 SEED = 5
 
 _LETTERS = 30  # 0 for no letter, a to z, start, end, and any other letter
-_START, _END, _OTHER = 27, 28, 29
+_EDGES, _OTHER = (bytes([27]), bytes([28])), 29
 _LIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"}
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
+_MAYBE_SPACED = re.compile(r" [^\W\d_] [^\W\d_] [^\W\d_](?!\S)")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_] ){3,}[^\W\d_](?!\S)")
-_code: dict[str, int] = {}
-
-
-def _letter(c: str) -> int:
-    code = _code.get(c)
-    if code is None:
-        base = unicodedata.normalize("NFKD", _LIKE.get(c, c).lower())[:1]
-        code = ord(base) - 96 if "a" <= base <= "z" else _OTHER if base.isalpha() else 0
-        if c == "ß":
-            code = 19
-        if len(_code) < 100_000:
-            _code[c] = code
-    return code
-
-
-def codes(token: str) -> list[tuple[int, ...]]:
-    """A token as codes with a start and an end, without what is no letter at its ends; long ones as overlapping pieces."""
-    got = [_letter(c) for c in token]
-    a, b = 0, len(got)
-    while a < b and not got[a]:
-        a += 1
-    while b > a and not got[b - 1]:
-        b -= 1
-    got = [_START, *got[a:b], _END]
-    if len(got) <= 4:
+
+
+class _Codes(dict):
+    """Code points to the characters of their codes, as str.translate() takes them; only letters of a few alphabets are remembered."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        base = "s" if c == "ß" else unicodedata.normalize("NFKD", _LIKE.get(c, c).lower())[:1]
+        code = chr(ord(base) - 96 if "a" <= base <= "z" else _OTHER if base.isalpha() else 0)
+        if len(self) < 100_000:
+            self[point] = code
+        return code
+
+
+_CODES = _Codes()
+
+
+def codes(token: str) -> list[bytes]:
+    """A token as codes with a start and an end, without what is no letter at its ends; long ones as overlapping pieces; none of two letters or fewer."""
+    got = token.translate(_CODES).encode("latin-1").strip(b"\0")
+    if len(got) < 3:
         return []
+    got = _EDGES[0] + got + _EDGES[1]
     if len(got) <= LONGEST:
-        return [tuple(got)]
-    return [tuple(got[k : k + LONGEST]) for k in range(0, len(got) - LONGEST // 2, LONGEST // 2)]
+        return [got]
+    return [got[k : k + LONGEST] for k in range(0, len(got) - LONGEST // 2, LONGEST // 2)]
+
+
+def _table(tokens: list[bytes]) -> np.ndarray:
+    """Codes of tokens of one length as rows."""
+    return np.frombuffer(b"".join(tokens), np.uint8).reshape(len(tokens), -1).astype(np.int32)
 
 
 _places: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -85,9 +88,9 @@ def _triples(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return _places[n]
 
 
-def subsequences(tokens: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
+def subsequences(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Of tokens of one length: ids of their subsequences (0 where one holds no letter), and their weights over the token's norm."""
-    c = np.array(tokens, np.int32)
+    c = _table(tokens)
     i, j, k, w = _triples(c.shape[1])
     ids = (c[:, i] * _LETTERS + c[:, j]) * _LETTERS + c[:, k]
     ids[(c[:, i] == 0) | (c[:, j] == 0) | (c[:, k] == 0)] = 0
@@ -103,7 +106,7 @@ def subsequences(tokens: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]
     return ids, (np.where(ids > 0, w, 0) / np.maximum(norm, 1e-9)[:, None]).astype(np.float32)
 
 
-def embedded(tokens: list[tuple[int, ...]]) -> np.ndarray:
+def embedded(tokens: list[bytes]) -> np.ndarray:
     """A dense column of weights by subsequence for each of a few tokens."""
     out = np.zeros((_LETTERS**3, len(tokens)), np.float32)
     for t, token in enumerate(tokens):
@@ -118,7 +121,7 @@ def bounds(marks: np.ndarray) -> np.ndarray:
     return np.stack([marks[:, k : k + SCREENED_TOGETHER].max(axis=1) for k in range(0, marks.shape[1], SCREENED_TOGETHER)], axis=1)
 
 
-def promising(tokens: list[tuple[int, ...]], above: np.ndarray) -> np.ndarray:
+def promising(tokens: list[bytes], above: np.ndarray) -> np.ndarray:
     """Places of tokens whose kernel with some landmark may reach FLOOR: none that does is missing, since the norm is taken too small."""
     out = []
     by_length: dict[int, list[int]] = {}
@@ -128,7 +131,7 @@ def promising(tokens: list[tuple[int, ...]], above: np.ndarray) -> np.ndarray:
         i, j, k, w = _triples(n)
         for at in range(0, len(places), 4096):
             part = np.array(places[at : at + 4096])
-            c = np.array([tokens[t] for t in part.tolist()], np.int32)
+            c = _table([tokens[t] for t in part.tolist()])
             got, norm = np.zeros((len(part), above.shape[1]), np.float32), np.zeros(len(part), np.float32)
             gap = c == 0
             for x, y, z, weight in zip(i.tolist(), j.tolist(), k.tolist(), w.tolist(), strict=True):
@@ -140,7 +143,7 @@ def promising(tokens: list[tuple[int, ...]], above: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, int)
 
 
-def similarity(tokens: list[tuple[int, ...]], marks: np.ndarray) -> np.ndarray:
+def similarity(tokens: list[bytes], marks: np.ndarray) -> np.ndarray:
     """The kernel, 0 to 1, of every token with every landmark (columns of marks)."""
     out = np.zeros((len(tokens), marks.shape[1]), np.float32)
     by_length: dict[int, list[int]] = {}
@@ -182,7 +185,7 @@ class Model:
 
 def tokens_of(text: str) -> list[str]:
     found = text.split()
-    if " " in text:
+    if _MAYBE_SPACED.search(text):
         found += [m[0].replace(" ", "") for m in _SPACED.finditer(text)]
     return found
 
@@ -288,17 +291,16 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     if not len(y) or y.min() == y.max():
         share = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
         return Model(np.zeros((_LETTERS**3, 1), np.float32), 1, np.eye(1, dtype=np.float32), np.zeros(1), 0.0, 1.0, float(np.log(share / (1 - share))))
-    seen = [{p for t in tokens_of(text) for p in codes(t)} for text in texts]
     toxic, clean = Counter(), Counter()
-    for tokens, label in zip(seen, labels, strict=True):
-        (toxic if label else clean).update(tokens)
+    for text, label in zip(texts, labels, strict=True):
+        (toxic if label else clean).update({p for t in set(tokens_of(text)) for p in codes(t)})
     n_toxic, n_clean = int(y.sum()), int(len(y) - y.sum())
 
-    def evidence(t: tuple[int, ...]) -> float:
+    def evidence(t: bytes) -> float:
         return toxic[t] / n_toxic - 3 * clean[t] / n_clean
 
-    def spread(candidates: list[tuple[int, ...]], most: int, alike: float) -> list[tuple[int, ...]]:
-        taken: list[tuple[int, ...]] = []
+    def spread(candidates: list[bytes], most: int, alike: float) -> list[bytes]:
+        taken: list[bytes] = []
         columns = np.zeros((_LETTERS**3, most), np.float32)
         for t in candidates:
             if len(taken) == most:
@@ -320,7 +322,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         hard = [frequent[k] for k in np.argsort(-near, kind="stable")]
         picked += spread(hard, CLEAN_MARKS, 0.8)
     if not picked:
-        picked, n_picked_toxic = [max(toxic or clean, key=lambda t: (toxic[t], t))] if toxic or clean else [(_START, 1, 1, 1, _END)], 1
+        picked, n_picked_toxic = [max(toxic or clean, key=lambda t: (toxic[t], t))] if toxic or clean else [_EDGES[0] + bytes([1, 1, 1]) + _EDGES[1]], 1
     marks = embedded(picked)
     values, vectors = np.linalg.eigh((marks.T @ marks).astype(np.float64))
     onto = (vectors / np.sqrt(np.maximum(values, 1e-3))).astype(np.float32)
