@@ -35,7 +35,7 @@ MOST_NEGATIVES = 8000
 #: Tokens whose verdict a worker remembers, in two generations.
 REMEMBERED = 400_000
 #: Landmarks that share one bound when tokens are screened, and the machine's cost of an error.
-SCREENED_TOGETHER, COST = 8, 4.0
+SCREENED_TOGETHER, COST = 8, 1.0
 SEED = 5
 
 _LETTERS = 30  # 0 for no letter, a to z, start, end, and any other letter
@@ -343,7 +343,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         positives = [w for w, label in zip(witness, labels, strict=True) if label]
         x = np.array(positives + negatives, np.float32) @ onto
         target = np.array([1.0] * len(positives) + [-1.0] * len(negatives))
-        cost = COST * np.where(target > 0, 1.0, min(1.0, 3 * len(positives) / len(negatives)))
+        cost = np.full(len(target), COST)
         model.weights, model.bias = _train_svm(x, target, cost)
         witness = [b[int(np.argmax(model.margins(np.array(b))))] if b else nothing for b in bags]
     model.slope, model.offset = _logistic(model.margins(np.array(witness)), y)
