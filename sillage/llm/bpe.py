@@ -240,6 +240,12 @@ class Bpe:
             entries = [made.get(p) or (self._entry([self.special[p]]) if p in self.special else self.pieces[p]) for p in parts]
             self.words.keep(w, entries[0] if len(entries) == 1 else (sum(p[0] for p in entries), " ".join([p[1] for p in entries]), " ".join([p[2] for p in entries])))
 
+    def forget(self) -> None:
+        """Free what was remembered: a task's words are learned within its first few thousand rows, and workers outlive tasks."""
+        for memory in (self.words, self.pieces):
+            memory.old = {}
+            memory.clear()
+
     def _split(self, text: str) -> list[str]:
         return [w for w in _SPACE.split(text) if w] if _OTHERS.search(text) else text.split()
 
@@ -295,6 +301,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
         for keys, texts in slices(batches, TOGETHER):
             ids = [[int(i) for x in entries for i in x[1].split(" ")] for entries in bpe.encode_all(texts)]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        bpe.forget()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -321,6 +328,7 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, id_col: str =
             made = [(n, _sha(ids), _sha(decoded)) for n, ids, decoded in bpe.both(texts)]
             columns = [pa.array(c, t) for c, t in zip((keys, *zip(*made, strict=True)), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.forget()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
