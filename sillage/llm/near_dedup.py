@@ -186,3 +186,17 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+#: All pairs that share a shingle, then what links reach: for small tables.
+OP7_SQL = r"""
+with recursive texts as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+shingles as (select distinct doc_id, array_to_string(list_slice(w, i, i + 4), ' ') as s from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from texts where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as shared from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by all),
+links as (select a, b from pairs join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * shared >= 75 * (x.n + y.n - shared)),
+both_ways as (select a, b from links union all select b, a from links),
+reach as (select doc_id, doc_id as root from documents union select r.doc_id, e.b from reach r join both_ways e on e.a = r.root),
+roots as (select doc_id, min(root) as component_id from reach group by doc_id)
+select d.doc_id, coalesce(n, 0) as n_shingles, component_id, d.doc_id = component_id as kept from documents d join roots using (doc_id) left join sizes using (doc_id)
+"""

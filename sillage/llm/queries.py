@@ -10,12 +10,12 @@ from sillage.llm.bpe import op5_bpe
 from sillage.llm.chat import OP2_SQL, op2_chat
 from sillage.llm.mixing import op3_mixing
 from sillage.llm.media import op1_media
-from sillage.llm.near_dedup import op7_near_dedup
+from sillage.llm.near_dedup import OP7_SQL, op7_near_dedup
 from sillage.llm.quality import op9_quality
 from sillage.llm.secrets import op8_secrets
 from sillage.llm.toxicity import op10_toxicity
 from sillage.llm.url_filter import op4_url_filter
-from sillage.llm.warc import op6_warc
+from sillage.llm.warc import OP6_SQL, op6_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
@@ -32,4 +32,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_chat": OP2_SQL,
+    "op6_warc": OP6_SQL,
+    "op7_near_dedup": OP7_SQL,
 }

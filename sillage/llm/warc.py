@@ -166,3 +166,13 @@ def read_archives(archive: DataFrame) -> DataFrame:
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(write_archives(read(spark, sf_dir, "pages")))
+
+
+OP6_SQL = r"""
+with hashed as (select page_id, coalesce(html, '') as html, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as h from pages),
+digested as (select page_id, html, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  cast(((cast('0x' || substr(h, cast((i // 8) * 10 + 1 as bigint), 10) as bigint) >> cast(35 - 5 * (i % 8) as integer)) & 31) + 1 as bigint), 1)), '') as payload_digest from hashed),
+ranked as (select *, max(page_id) over (partition by html) as last_id from digested)
+select page_id, payload_bytes, payload_digest, case when page_id = last_id then 'response' else 'revisit' end as record_type,
+  case when page_id < last_id then last_id end as refers_to, true as intact from ranked
+"""

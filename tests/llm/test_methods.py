@@ -17,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from sillage.llm import bpe, chat, media, mixing, near_dedup, quality, secrets, setsketch, shingles, toxicity, url_filter, warc
-from sillage.llm.queries import QUERIES
+from sillage.llm.queries import ORACLE_SQL, QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -346,3 +346,17 @@ def test_op10(spark, sf):
     got = QUERIES["op10_toxicity"](spark, sf).collect()
     for r in got:
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.5)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_against_sql(spark, sf, name):
+    import duckdb
+
+    db = duckdb.connect()
+    for t in ("documents", "pages", "conversations"):
+        db.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    ran = db.execute(ORACLE_SQL[name])
+    names = [d[0] for d in ran.description]
+    made = QUERIES[name](spark, sf)
+    assert sorted(made.columns) == sorted(names)
+    assert sorted(str([r[c] for c in names]) for r in made.collect()) == sorted(str(list(r)) for r in ran.fetchall())
