@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sillage.llm import bpe, mixing, near_dedup, secrets, toxicity
-from sillage.llm.common import read, stored
+from sillage.llm.common import forget, read, stored
 from sillage.session import ship
 
 
@@ -56,9 +56,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir, each stored before the next."""
     docs = read(ship(spark), sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, f"stage-{name}")
+        made = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return made
+        made = stored(made, f"stage-{name}")
+        if k:
+            forget(docs)
+        docs = made
     return docs
 
 

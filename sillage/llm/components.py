@@ -17,20 +17,21 @@ def components(edges: DataFrame) -> DataFrame:
     """
     ends = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
     now = stored(ends.distinct(), "edges")
-    mapping = None
+    mapping = held = None
     while not now.isEmpty():
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to")), "roots")
         if mapping is None:
-            mapping = to.withColumnRenamed("to", "component")
+            mapping, held = to.withColumnRenamed("to", "component"), to
         else:
             moved = to.where("node <> to").select(F.col("node").alias("component"), F.col("to").alias("next"))
-            older = mapping
-            mapping = stored(older.join(moved, "component", "left").select("node", F.coalesce("next", "component").alias("component")), "mapping")
+            mapping = stored(mapping.join(moved, "component", "left").select("node", F.coalesce("next", "component").alias("component")), "mapping")
+            forget(held)
+            held = mapping
         left, right = to.select(F.col("node").alias("a"), F.col("to").alias("p")), to.select(F.col("node").alias("b"), F.col("to").alias("q"))
         later = now.join(left, "a").join(right, "b").where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
         last, now = now, stored(later, "edges")
-        forget(last)
+        forget(last, *([to] if to is not held else []))
     if mapping is None:
         return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return mapping

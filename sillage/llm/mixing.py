@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sillage.llm.common import WORD, read, stored
+from sillage.llm.common import WORD, forget, read, stored
 
 #: Weights of the sources in order of code point, null last, over and over.
 WEIGHTS = (3, 1, 2)
@@ -88,6 +88,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     draw = F.xxhash64(F.lit(SEED), F.col("doc_id"))
     placed = sized.join(sources.select(F.col("source").alias("s"), "place"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("draw", draw)
     placed = stored(placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED + 1), F.col("draw")), shards).cast("long")), "placed")
+    forget(sized)
     cells = placed.groupBy("shard", "place").agg(F.sum("size").alias("words")).where("words > 0")
     owed = cells.join(sources.select("place", "source_size", "target"), "place").withColumn("target", F.col("target") * F.col("words") / F.col("source_size"))
     gathered = owed.groupBy("shard").agg(F.collect_list(F.struct("place", "words", "target")).alias("cells"))

@@ -162,15 +162,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ranked = members.join(degree, "id").select("key", "id", "degree")
     heads = stored(ranked.groupBy("key").agg(F.max(F.struct("degree", -F.col("id"))).alias("m")).select("key", (-F.col("m")["col2"]).alias("head")), "heads")
     headed = members.join(heads, "key").where("head <> id")
-    first = _verify(stored(headed.select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct(), "pairs"), wanted)
+    pairs = stored(headed.select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct(), "pairs")
+    first = _verify(pairs, wanted)
 
     grouped = components(first)
     labelled = stored(members.join(grouped.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), "labelled")
     mixed = stored(labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "mixed")
     loose = labelled.join(mixed, "key", "left_semi").select("id", "c").distinct()
     open_ = stored(loose.join(reps.groupBy("id").agg(F.max("n").alias("n")), "id"), "open")
-    forget(buckets, degree, heads, labelled, mixed, members)
-    second = _verify(crossing(open_, wanted), wanted)
+    forget(buckets, degree, heads, labelled, mixed, members, pairs, reps)
+    pairs = crossing(open_, wanted)
+    second = _verify(pairs, wanted)
+    forget(pairs, open_, wanted)
 
     final = components(first.union(second))
     known = owned.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sillage.llm.common import read, stored
+from sillage.llm.common import forget, read, stored
 
 #: Rules (verdict, host, path). A rule fits its host and all below it, where the path starts with its own; the longest wins.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -87,10 +87,12 @@ def scores(shapes: DataFrame) -> tuple[DataFrame, DataFrame]:
     held = F.pmod(F.xxhash64("shape"), F.lit(HELD_OUT)) == 0
     seen = grams(shapes)
     counts = [F.sum(F.when((F.col("listed") == c) & ~held, 1).otherwise(0)).alias(f"n_{c}") for c in ("allow", "block")]
-    fitted = stored(model(stored(seen.groupBy("g").agg(*counts), "grams")), "llr")
+    counted = stored(seen.groupBy("g").agg(*counts), "grams")
+    fitted = stored(model(counted), "llr")
     # At most ALPHABET ** (ORDER + 1) rows, about a million.
     each = seen.join(F.broadcast(fitted), "g").groupBy("shape", "listed").agg((F.sum("llr") / F.count("*")).alias("score"))
     scored = stored(each, "scores")
+    forget(counted, fitted)
     bins = F.round(F.greatest(F.lit(-WIDEST), F.least(F.lit(WIDEST), F.col("score"))) * STEPS).cast("int")
     tally = scored.where(held & F.col("listed").isNotNull()).groupBy(bins.alias("bin")).agg(*(F.sum((F.col("listed") == c).cast("long")).alias(c) for c in ("allow", "block")))
     # At most 2 * WIDEST * STEPS + 1 rows.
@@ -112,6 +114,7 @@ def judge(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     # Hosts differ in digits, too; of a shape's verdicts the greater counts.
     shapes = stored(urls.groupBy("shape").agg(F.max("listed").alias("listed")), "shapes")
     scored, threshold = scores(shapes)
+    forget(shapes)
     met = urls.join(scored.select("shape", "score"), "shape")
     by_model = F.when(F.col("score") >= threshold.scalar(), "allow").otherwise("block")
     return met.select("page_id", "host", "path", "rule", F.coalesce("listed", by_model).alias("verdict"), "score")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sillage.llm.common import read, slices, stored, whole
+from sillage.llm.common import forget, read, slices, stored, whole
 
 #: Bytes of a record in one row, at most.
 CHUNK = 1 << 18
@@ -155,7 +155,9 @@ def write_archives(pages: DataFrame, least_revisit: int = LEAST_REVISIT) -> Data
     decided = hashed.join(first, ["sha1", "size"], "left").withColumn("refers_to", F.expr("if(page_id < to, to, null)"))
     # Rows may repeat a page_id, so that a record's own name has to come from elsewhere.
     named = decided.select(F.expr("uuid()").alias("record"), "page_id", "url", "payload", "size", "sha1", "refers_to")
-    return stored(named.mapInArrow(_write, _CHUNKS), "warc")
+    archive = stored(named.mapInArrow(_write, _CHUNKS), "warc")
+    forget(first)
+    return archive
 
 
 def read_archives(archive: DataFrame) -> DataFrame:
