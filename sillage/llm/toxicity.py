@@ -193,15 +193,15 @@ def tokens_of(text: str) -> list[str]:
 class Scorer:
     """Scores texts by a model; remembers the tokens' similarities, None for those that resemble no toxic landmark."""
 
-    def __init__(self, model: Model) -> None:
-        self.model, self.now, self.old = model, {}, {}
+    def __init__(self, model: Model, remembered: int = REMEMBERED) -> None:
+        self.model, self.remembered, self.now, self.old = model, remembered, {}, {}
         self.above = bounds(model.marks[:, : model.n_toxic])
         self.none = model.score(float(model.margins(np.zeros((1, model.marks.shape[1]), np.float32))[0]))
 
     def learn(self, tokens: set[str]) -> None:
         now, old = self.now, self.old
         new = [t for t in tokens if t not in now]
-        if len(now) + len(new) > REMEMBERED:
+        if len(now) + len(new) > self.remembered:
             self.old = old = now
             self.now = now = {}
             new = list(tokens)
@@ -327,10 +327,11 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     values, vectors = np.linalg.eigh((marks.T @ marks).astype(np.float64))
     onto = (vectors / np.sqrt(np.maximum(values, 1e-3))).astype(np.float32)
     model = Model(marks, n_picked_toxic, onto, np.zeros(len(picked)), 0.0, 1.0, 0.0)
-    scorer = Scorer(model)
+    scorer = Scorer(model, REMEMBERED // 8)  # the driver has other things to hold
     bags = []
     for at in range(0, len(texts), 64):
         bags += scorer.bags(texts[at : at + 64])
+    del scorer, toxic, clean, telling, frequent
     # A toxic text needs one toxic sentence only: first that which is most like a toxic landmark, then that which the machine picks.
     nothing = np.zeros(len(picked), np.float32)
     witness = [max(b, key=lambda v: v[:n_picked_toxic].max()) if b else nothing for b in bags]
