@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sillage.session import ship
+from sillage.session import ship, spread
 
 #: A word everywhere in these contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,7 +23,7 @@ SLICE = 128
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of a test folder, through Spark alone, so that any store Spark knows will do."""
-    return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(ship(spark).read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def scratch(spark: SparkSession) -> str:
