@@ -30,14 +30,16 @@ class Index:
 
 
 def documents(records: DataFrame, id_col: str, text_col: str, summary_col: str | None = None) -> DataFrame:
-    """id, tokens and dl of records that have a token; an empty text gives way to the summary."""
+    """id, tokens and dl of records; an empty text gives way to the summary. Those without a token are in no posting and no total;
+    they are not filtered here, since a filter on tokens would have them made twice."""
     text = F.coalesce(F.nullif(F.col(text_col), F.lit("")), F.col(summary_col)) if summary_col else F.col(text_col)
-    return records.select(F.col(id_col).alias("id"), T.tokens(text).alias("tokens")).where(F.size("tokens") > 0).withColumn("dl", F.size("tokens"))
+    return records.select(F.col(id_col).alias("id"), T.tokens(text).alias("tokens")).withColumn("dl", F.size("tokens"))
 
 
 def index(docs: DataFrame) -> Index:
     """From documents()."""
-    totals = docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    some = F.when(F.col("dl") > 0, F.col("dl"))
+    totals = docs.agg(F.count(some).alias("n_docs"), F.avg(some).alias("avgdl"))
     occurrences = docs.select("id", "dl", F.explode("tokens").alias("term"))
     df = docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     terms = df.crossJoin(F.broadcast(totals)).select("term", "df", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))

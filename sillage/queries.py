@@ -12,7 +12,7 @@ from sillage.functions import urls as U
 from sillage.functions import vectors as V
 from sillage.operators import bm25, context, corpus, crawl, index, rerank
 from sillage.operators import pages as P
-from sillage.session import ship
+from sillage.session import ship, spread
 from sillage.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,7 +36,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of a test folder; those with long texts over all cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
 
 
 # ---- URLs -------------------------------------------------------------------------------------------------------------------
