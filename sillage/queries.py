@@ -124,13 +124,13 @@ def url_policy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""
-select url, list_sort(list_distinct(list(reason))) as reasons from (
+select url, array_to_string(list_sort(list_distinct(list(reason))), ', ') as reasons from (
   select regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) as url, {_POLICY_CASE.replace('url,', 'pages.url,')} as reason from pages
 ) where reason is not null group by url""")
 def disallowed_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reasons by site of its pages that a policy refuses."""
     rows = table(spark, sf_dir, "pages").select(U.home(F.col("url")).alias("url"), crawl.reason(F.col("url"), POLICY).alias("reason"))
-    return corpus.reasons(rows.where("reason is not null"))
+    return corpus.reasons(rows.where("reason is not null")).select("url", F.array_join("reasons", ", ").alias("reasons"))
 
 
 @query()
@@ -512,6 +512,28 @@ def anchor_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rerank.anchor_queries(seeds, ["qid"]).select("qid", "n", "query")
 
 
+@query("""
+select qid, id, cast(row_number() over (partition by qid order by grp, seq) as int) as seq from (
+  select doc_id % 5 as qid, cast(doc_id as varchar) as id, doc_id as seq, doc_id % 3 as grp from documents)""")
+def union_of_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of three searches one after the other, for each of five questions."""
+    rows = table(spark, sf_dir, "documents").select((F.col("doc_id") % 5).alias("qid"), F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("seq"))
+    return rerank.arrived(*(rows.where(f"seq % 3 = {k}") for k in range(3)), keys=["qid"]).select("qid", "id", "seq")
+
+
+@query("""
+with s as (select doc_id % 5 as qid, doc_id as seq, [source || ' > ' || lang, ' ' || lang || ' ', '', 'a' || (doc_id % 4)] as hints from documents),
+t as (select *, row_number() over (partition by qid order by seq) as n from s qualify n <= 8),
+l as (select qid, n, unnest(hints) as hint, generate_subscripts(hints, 1) as i from t)
+select qid, cast(row_number() over (partition by qid order by n, i) as int) as n, hint from l where hint <> ''""")
+def rewrite_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings and incoming anchors of each question's first eight hits."""
+    link = lambda a: F.struct(F.lit("f").alias("from_page"), a.alias("anchor_text"), F.lit("c").alias("source_chunk"))
+    links = F.array(link(F.concat(F.lit(" "), "lang", F.lit(" "))), link(F.lit("")), link(F.concat(F.lit("a"), F.col("doc_id") % 4)))
+    rows = table(spark, sf_dir, "documents").select((F.col("doc_id") % 5).alias("qid"), F.col("doc_id").alias("seq"), F.array("source", "lang").alias("hierarchy"), links.alias("incoming_links"))
+    return rerank.hints(rows, ["qid"])
+
+
 # ---- context ----------------------------------------------------------------------------------------------------------------
 
 BUDGET = 9000
