@@ -60,19 +60,19 @@ class Planner:
     prompt: str = "You plan searches over the pages of one website."
 
     def _ask(self, task: str, shape: str, *lines: str) -> dict:
-        return payload(self.llm.generate("\n".join([self.prompt, f"Task: {task}", f"Return JSON only in this shape: {shape}", *lines]))) if self.llm else {}
+        return payload(self.llm.generate("\n".join([self.prompt, task, f"Reply with one JSON object like {shape}", *lines]))) if self.llm else {}
 
     def route(self, question: str, memory: str = "") -> dict:
-        got = self._ask("route the request and extract concepts.", '{"mode":"retrieve_new","standalone_query":"","concepts":["..."]}', f"Modes: {', '.join(ROUTES)}", f"User query: {question}", f"Memory context: {memory.strip()[:1800]}")
+        got = self._ask("Choose a mode for this request and name what it is about.", '{"mode": "...", "standalone_query": "...", "concepts": ["..."]}', f"Modes: {', '.join(ROUTES)}", f"Request: {question}", f"Earlier turns: {memory.strip()[:1800]}")
         mode = str(got.get("mode") or "").strip().lower()
         return {"mode": mode if mode in ROUTES else "retrieve_new", "standalone_query": str(got.get("standalone_query") or "").strip(), "concepts": clean_concepts(got.get("concepts"))}
 
     def concepts(self, question: str) -> list[str]:
-        return clean_concepts(self._ask("extract core concepts from user query.", '{"concepts": ["..."]}', f"User query: {question}").get("concepts"))
+        return clean_concepts(self._ask("Name what this request is about.", '{"concepts": ["..."]}', f"Request: {question}").get("concepts"))
 
     def followups(self, question: str, missing: list[str], hits: list[dict]) -> dict:
         shown = [f"- id={h['id']} url={h['url']} text={' '.join((h['text'] or '').split(chr(10))).strip()[:220]}" for h in hits[:8]]
-        got = self._ask("propose minimal follow-up retrieval actions.", '{"queries": ["..."], "drop_chunk_ids": ["..."]}', f"User query: {question}", f"Missing concepts: {missing}", "Current chunks:", *shown)
+        got = self._ask("Say what else to search for, and which hits to drop.", '{"queries": ["..."], "drop_chunk_ids": ["..."]}', f"Request: {question}", f"Not covered so far: {', '.join(missing)}", "Hits:", *shown)
         return {"queries": _texts(got.get("queries"), 4), "drop_chunk_ids": _texts(got.get("drop_chunk_ids"), 8)}
 
 
@@ -99,7 +99,7 @@ class Answerer:
         """An answer, and whether the context supports it; a reply that is no JSON is taken as it stands and judged anew."""
         if not context.strip():
             return APOLOGY, False
-        got = payload(self.llm.generate(self._prompt(question, context.strip()) + '\n\nReturn JSON only with this exact schema:\n{"answer":"...", "supported":"Y|N"}'))
+        got = payload(self.llm.generate(self._prompt(question, context.strip()) + '\n\nReply with one JSON object: {"answer": "...", "supported": "Y or N"}'))
         if not got:
             return self.answer(question, context), self.sufficient(question, context)
         return str(got.get("answer") or "").strip() or APOLOGY, str(got.get("supported") or "").strip().upper() == "Y"
@@ -107,14 +107,14 @@ class Answerer:
     def sufficient(self, question: str, context: str) -> bool:
         """Whether the first 6000 characters can answer; a model that fails says no."""
         try:
-            reply = self.llm.generate(f"Does the context hold enough to answer in full? Answer ONLY 'YES' or 'NO'.\n\nQuestion: {question}\n\nContext:\n{context[:6000]}\n\nSufficient?")
+            reply = self.llm.generate(f"Context:\n{context[:6000]}\n\nQuestion: {question}\n\nDoes the context alone answer this in full? YES or NO:")
         except Exception:  # noqa: BLE001
             return False
         return (reply or "").strip().upper().startswith("Y")
 
     def rewrite(self, question: str, hints: list[str], most: int = 500) -> list[str]:
         """Other questions to search for, none if the model leaves it the SAME. A list gives one for each line."""
-        reply = (self.llm.generate(f"You reformulate search queries.\nOriginal query:\n{question.strip()}\n\nContext hints:\n{'; '.join(h for h in hints[:8] if h)[:1000]}\n\nOutput exactly SAME, one better query, or 2-4 of them as a list, in {most} characters at most.") or "").strip()
+        reply = (self.llm.generate(f"Better searches for: {question.strip()}\nThe site has: {'; '.join(h for h in hints[:8] if h)[:1000]}\nReply SAME to leave it, or with up to four searches, one on each line, in {most} characters at most.") or "").strip()
         if not reply or reply.upper() == "SAME":
             return []
         lines = [x for line in reply.splitlines() if (x := line.strip(" -*\t"))]

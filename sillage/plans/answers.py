@@ -15,6 +15,8 @@ FIRST_K, SECOND_K, EXPANSION_K, MOST_HITS, HOPS = 8, 10, 3, 40, 2
 #: Replies where nothing is found or nothing supports an answer (fixed values).
 NOTHING = "I couldn't find anything on this site related to your question."
 NOT_ENOUGH = "I couldn't find enough information on this site to answer that directly."
+NO_MEMORY = "I don't have enough prior conversation context to transform yet."
+NOT_MADE = "I couldn't transform the previous response from the available memory."
 _LINK = "array<struct<from_page:string,anchor_text:string,source_chunk:string>>"
 
 
@@ -195,16 +197,16 @@ class Pipeline:
 
     def _transform(self, question: str, prior: str, trace: dict) -> Result:
         if not prior:
-            return Result("I don't have enough prior conversation context to transform yet.", False, [], trace)
-        made = (self.answerer.llm.generate(f"You transform a prior answer as told; no new facts.\n\nInstruction: {question}\n\nPrior context:\n{prior}") or "").strip()
+            return Result(NO_MEMORY, False, [], trace)
+        made = (self.answerer.llm.generate(f"Earlier turns:\n{prior}\n\nRework them as told, without new facts: {question}") or "").strip()
         if made:
             return Result(made, True, [], trace | {"answer_path": "transform_only"})
-        return Result("I couldn't transform the previous response from the available memory.", False, [], trace | {"answer_path": "transform_only_failed"})
+        return Result(NOT_MADE, False, [], trace | {"answer_path": "transform_only_failed"})
 
     def _read_more(self, question: str, text: str, coverage: dict, sources: list[dict], trace: dict) -> Result:
         """A best effort; links to what was used follow only an answer that the context supports."""
         if coverage["missing"]:
-            question = f"{question}\n\nInstruction: use the website context alone, and say so where it covers nothing.\nMissing concepts detected: {', '.join(coverage['missing'])}"
+            question = f"{question}\n\nThe context may lack {', '.join(coverage['missing'])}; say so where it does, and add nothing."
         answer, supported = self.answerer.answer_with_support(question, text)
         urls = list(dict.fromkeys(s["url"] for s in sources if s["url"]))[:3]
         if supported and urls:

@@ -77,22 +77,22 @@ def _number(v: object, *kinds: type) -> bool:
 
 def violations(c: Mapping[str, object]) -> list[str]:
     """All that is wrong with settings; missing ones aside from the required are right."""
-    found = [f"'{n}' is required and must be a non-empty string" for n in ("start_url", *_DERIVED) if not (isinstance(c.get(n), str) and c[n].strip())]
+    found = [f"'{n}' is missing: give a text that isn't blank" for n in ("start_url", *_DERIVED) if not (isinstance(c.get(n), str) and c[n].strip())]
     url = c.get("start_url") or ""
     if isinstance(url, str) and url.strip() and not url.startswith(("http://", "https://")):
-        found.append(f"'start_url' must start with http:// or https://, got: {url!r}")
+        found.append(f"'start_url' is no http address: {url!r}")
     model = c.get("embedding_model") or ""
     if model == "openai:":
-        found.append(f"'embedding_model' needs a model name after the prefix, got: {model!r}")
+        found.append(f"'embedding_model' names no model after its prefix: {model!r}")
     elif model.lower() != "default" and not model.startswith("openai:") and " " in model:
-        found.append(f"'embedding_model' must be 'openai:<model-name>' or a path without spaces, got: {model!r}")
+        found.append(f"'embedding_model' has spaces: {model!r}")
     for name, allowed in (("answering_mode", ANSWERING), ("retrieval_mode", RETRIEVAL)):
         if c.get(name) is not None and c[name] not in allowed:
-            found.append(f"'{name}' must be one of {' | '.join(allowed)}, got: {c[name]!r}")
+            found.append(f"'{name}' is {c[name]!r}, but may be {', '.join(allowed)}")
     ranges = (
         ("score_threshold", (int, float), lambda v: 0 <= v <= 1, "a number between 0.0 and 1.0"),
         ("max_depth", (int,), lambda v: v >= -1, "an integer >= -1"),
         ("builder_max_rounds", (int,), lambda v: v >= 0, "a non-negative integer"),
         ("rate_limit_delay", (int, float), lambda v: v >= 0, "a non-negative number"),
     )
-    return found + [f"'{n}' must be {what}, got: {c[n]!r}" for n, kinds, ok, what in ranges if c.get(n) is not None and not (_number(c[n], *kinds) and ok(c[n]))]
+    return found + [f"'{n}' is {c[n]!r}, but takes {what}" for n, kinds, ok, what in ranges if c.get(n) is not None and not (_number(c[n], *kinds) and ok(c[n]))]

@@ -762,7 +762,7 @@ def answer_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     class Yes:
         def generate(self, prompt: str) -> str:
-            return "YES" if prompt.endswith("Sufficient?") else f"an answer from {prompt.count('(Source:')} sources"
+            return "YES" if prompt.endswith("YES or NO:") else f"an answer from {prompt.count('(Source:')} sources"
 
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id")
     rows = docs.select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("id"), F.concat(F.lit("http://x/"), "source").alias("url"), F.lit(0).alias("chunk_index"), "text", F.array("source").alias("hierarchy"), F.concat(F.lit("http://x/"), "source").alias("parent"), F.array().cast("array<struct<from_page:string,anchor_text:string,source_chunk:string>>").alias("incoming_links"), "embedding")

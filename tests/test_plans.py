@@ -61,13 +61,13 @@ class Script:
 
 def test_planner():
     assert agents.Planner().route("q") == {"mode": "retrieve_new", "standalone_query": "", "concepts": []}
-    p = agents.Planner(Script(("route", 'ok {"mode": "RETRIEVE_FOLLOWUP", "standalone_query": " s ", "concepts": ["Ab", "Abc", "abc ", 3]}'), ("extract core", "no json"), ("follow-up", '{"queries": ["a", " ", 1, "b", "c", "d", "e"], "drop_chunk_ids": ["x"]}')))
+    p = agents.Planner(Script(("Choose a mode", 'ok {"mode": "RETRIEVE_FOLLOWUP", "standalone_query": " s ", "concepts": ["Ab", "Abc", "abc ", 3]}'), ("Name what", "no json"), ("what else", '{"queries": ["a", " ", 1, "b", "c", "d", "e"], "drop_chunk_ids": ["x"]}')))
     assert p.route("q", "m") == {"mode": "retrieve_followup", "standalone_query": "s", "concepts": ["abc"]}
     assert p.concepts("q") == [] and p.followups("q", ["m"], []) == {"queries": ["a", "b", "c", "d"], "drop_chunk_ids": ["x"]}
 
 
 def test_answerer():
-    a = agents.Answerer(Script(("Return JSON", ['{"answer": "A", "supported": "y"}', "plain"]), ("Sufficient?", "yes"), ("reformulate", ["SAME", "- a\n- b", "c"]), ("Context", "N")))
+    a = agents.Answerer(Script(("one JSON object: {", ['{"answer": "A", "supported": "y"}', "plain"]), ("YES or NO", "yes"), ("Better searches", ["SAME", "- a\n- b", "c"]), ("Context", "N")))
     assert a.answer("q", " ") == agents.APOLOGY and a.answer("q", "c") == agents.APOLOGY
     assert a.answer_with_support("q", "c") == ("A", True) and a.answer_with_support("q", "c") == (agents.APOLOGY, True)
     assert (a.rewrite("q", []), a.rewrite("q", []), a.rewrite("q", [])) == ([], ["a", "b"], ["c"])
@@ -98,39 +98,39 @@ def pipeline(spark, records, llm, threshold=0.5, **more):
 
 
 def test_classic_answers_at_once(spark, records):
-    got = pipeline(spark, records, Script(("Sufficient?", "YES"), ("Context", "the answer")), mode="classic", expand=False).query("intro?")
+    got = pipeline(spark, records, Script(("YES or NO", "YES"), ("Context", "the answer")), mode="classic", expand=False).query("intro?")
     assert (got.answer, got.supported, got.trace["answer_path"], [s["chunk_id"] for s in got.sources]) == ("the answer", True, "answerable_initial", ["intro"])
 
 
 def test_classic_rewrites(spark, records):
-    got = pipeline(spark, records, Script(("Sufficient?", ["NO", "YES"]), ("reformulate", "retry"), ("Context", "found")), mode="classic", expand=False).query("intro?")
+    got = pipeline(spark, records, Script(("YES or NO", ["NO", "YES"]), ("Better searches", "retry"), ("Context", "found")), mode="classic", expand=False).query("intro?")
     assert got.supported and got.trace["answer_path"] == "answerable_hop_1" and [s["chunk_id"] for s in got.sources] == ["intro", "retries"]
 
 
 def test_classic_expands_and_falls_back(spark, records):
-    llm = Script(("Sufficient?", "NO"), ("reformulate", "SAME"), ("Return JSON", '{"answer": "a", "supported": "Y"}'))
+    llm = Script(("YES or NO", "NO"), ("Better searches", "SAME"), ("one JSON object: {", '{"answer": "a", "supported": "Y"}'))
     got = pipeline(spark, records, llm, mode="classic", expand=True, best_effort=False, hybrid=True).query("intro?")
     assert not got.supported and got.answer.startswith(NOT_ENOUGH) and "http://x/intro" in got.answer
     assert pipeline(spark, records, llm, mode="classic", threshold=0.999).query("unknown words").answer == NOTHING
 
 
 def test_duplicate_urls_collapse(spark, records):
-    got = pipeline(spark, records, Script(("Sufficient?", "YES"), ("Context", "x")), mode="classic", expand=False, threshold=0.1).query("limit")
+    got = pipeline(spark, records, Script(("YES or NO", "YES"), ("Context", "x")), mode="classic", expand=False, threshold=0.1).query("limit")
     assert [s["chunk_id"] for s in got.sources] == ["limits"]
 
 
 def test_builder(spark, records):
-    planner = Script(("route", '{"mode": "retrieve_new", "concepts": ["alpha", "retries"]}'), ("follow-up", '{"queries": ["retry"], "drop_chunk_ids": []}'))
-    got = pipeline(spark, records, Script(("Sufficient?", "NO"), ("Return JSON", '{"answer": "a", "supported": "Y"}')), planner=planner).query("intro")
+    planner = Script(("Choose a mode", '{"mode": "retrieve_new", "concepts": ["alpha", "retries"]}'), ("what else", '{"queries": ["retry"], "drop_chunk_ids": []}'))
+    got = pipeline(spark, records, Script(("YES or NO", "NO"), ("one JSON object: {", '{"answer": "a", "supported": "Y"}')), planner=planner).query("intro")
     assert got.supported and got.answer == "a\n\nRead more:\n- http://x/intro\n- http://x/retries" and got.trace["coverage"] == {"covered": ["alpha", "retries"], "missing": []}
-    planner = Script(("route", '{"mode": "retrieve_new", "concepts": ["retries"]}'), ("follow-up", '{"queries": ["retry"], "drop_chunk_ids": ["intro"]}'))
-    got = pipeline(spark, records, Script(("Sufficient?", "YES"), ("Context", "z")), planner=planner).query("intro")
+    planner = Script(("Choose a mode", '{"mode": "retrieve_new", "concepts": ["retries"]}'), ("what else", '{"queries": ["retry"], "drop_chunk_ids": ["intro"]}'))
+    got = pipeline(spark, records, Script(("YES or NO", "YES"), ("Context", "z")), planner=planner).query("intro")
     assert [s["chunk_id"] for s in got.sources] == ["retries"]
 
 
 def test_builder_transforms(spark, records):
-    planner = Script(("route", '{"mode": "transform_only"}'))
-    assert pipeline(spark, records, Script(("Instruction", "shorter")), planner=planner).query("shorten", "User: x").answer == "shorter"
+    planner = Script(("Choose a mode", '{"mode": "transform_only"}'))
+    assert pipeline(spark, records, Script(("Rework", "shorter")), planner=planner).query("shorten", "User: x").answer == "shorter"
     assert not pipeline(spark, records, Script(), planner=planner).query("shorten").supported
 
 
@@ -241,7 +241,7 @@ def test_runtime(spark, tmp_path):
         (tmp_path / "p").mkdir(exist_ok=True)
         (tmp_path / "p" / "results.jsonl").write_text(pages)
 
-    rt = runtime.build(spark, c, toy_vector, Script(("Sufficient?", "YES"), ("Context", "done")), crawl_into, usage_folder=str(tmp_path / "usage"))
+    rt = runtime.build(spark, c, toy_vector, Script(("YES or NO", "YES"), ("Context", "done")), crawl_into, usage_folder=str(tmp_path / "usage"))
     rt.ingest.debug = True
     rt.usage.embedding("m", 400)
     rt.usage.chat("m", 100, 50)
