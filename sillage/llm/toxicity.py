@@ -219,7 +219,7 @@ class Scorer:
             found = floored(similarity([pieces[k] for k in near], self.model.marks))
             toxic = found[:, : self.model.n_toxic].any(axis=1)
             for row in np.flatnonzero(toxic).tolist():
-                t, values = owner[near[row]], found[row]
+                t, values = owner[near[row]], found[row].copy()  # a view would keep the whole table
                 now[t] = values if now[t] is None else np.maximum(now[t], values)
 
     def pooled(self, text: str, tokens: list[str]) -> list[np.ndarray]:
