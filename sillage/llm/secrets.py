@@ -24,7 +24,13 @@ _SENSITIVE = re.compile("(?ai)" + "|".join(SENSITIVE))
 NEAR = 48
 #: Candidates: so many characters at least, with letters and digits; each must cost so many bytes for each of its own.
 LEAST_LENGTH, LEAST_NOVELTY = 16, 0.6
-_CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST_LENGTH},}}")
+_CHARS = "A-Za-z0-9+/_-"
+_PADDED = rf"[{_CHARS}]{{{LEAST_LENGTH},}}(?:={{1,2}}(?![={_CHARS}]))?"
+#: A value, which may follow '='; a value joined to a sensitive word by a separator; a run with any '=' inside.
+_VALUE = re.compile(rf"(?<![{_CHARS}]){_PADDED}")
+_JOINED = re.compile(rf"[+/_-]+({_PADDED})")
+_RUN = re.compile(rf"(?<![={_CHARS}])[={_CHARS}]{{{LEAST_LENGTH},}}")
+_NAME = re.compile("[A-Za-z+/_-]+=+")
 #: Code and text around a candidate that prime the compressor.
 AROUND = 256
 #: What programs and settings call things: the identifier dictionary.
@@ -72,24 +78,49 @@ def base_spans(text: str, lowered: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def _candidates(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of what stands near a sensitive word, each once.
+
+    A value may start anywhere after '=', or at a separator behind the word itself; of words in one value only the first and the
+    last count, so that no text is read again for each of its words.
+    """
+    words = [(m.start(), m.end()) for m in _SENSITIVE.finditer(text)]
+    tried: set[tuple[re.Pattern[str], int]] = set()
+    until = 0
+    for k, (at, after) in enumerate(words):
+        if at >= until or k + 1 == len(words) or words[k + 1][0] >= until:
+            m = _JOINED.match(text, after)
+            if m:
+                until = m.end()
+                yield m.span(1)
+        # A candidate that starts in time shows by then; it is taken to its own end, wherever the window ends.
+        for pattern in (_VALUE, _RUN):
+            for m in pattern.finditer(text, after, after + NEAR + LEAST_LENGTH):
+                if (pattern, m.start()) not in tried:
+                    tried.add((pattern, m.start()))
+                    yield pattern.match(text, m.start()).span()
+
+
 def novel_spans(text: str, lowered: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Candidates outside the known spans that stand near a sensitive word and that the primed compressor cannot shorten."""
+    """Candidates outside the known spans that stand near a sensitive word and that the primed compressor cannot shorten.
+
+    Of candidates in one another the longest counts, without a name and '=' before a novel value.
+    """
     if not any(k in lowered for k in SENSITIVE):
         return []
-    found, seen = [], -1
-    for s in _SENSITIVE.finditer(text):
-        for m in _CANDIDATE.finditer(text, s.end(), min(len(text), s.end() + NEAR + 4096)):
-            if m.start() > s.end() + NEAR:
-                break
-            if m.start() <= seen:
-                continue
-            # A long candidate is taken to its own end, wherever the window ends.
-            m = _CANDIDATE.match(text, m.start())
-            seen, start, end, word = m.start(), m.start(), m.end(), m[0]
-            if not (re.search("[0-9]", word) and re.search("[A-Za-z]", word)) or any(a < end and start < b for a, _, b in known):
-                continue
-            if novelty(text[max(0, start - AROUND) : start], word, text[end : end + AROUND]) >= LEAST_NOVELTY:
-                found.append((start, 3, end))
+    novel = set()
+    for start, end in _candidates(text):
+        word = text[start:end]
+        if (start, end) in novel or not (re.search("[0-9]", word) and re.search("[A-Za-z]", word)) or any(a < end and start < b for a, _, b in known):
+            continue
+        if novelty(text[max(0, start - AROUND) : start], word, text[end : end + AROUND]) >= LEAST_NOVELTY:
+            novel.add((start, end))
+    found: list[tuple[int, int, int]] = []
+    for start, end in sorted(novel, key=lambda s: (s[0], -s[1])):
+        if not found or start >= found[-1][2]:
+            found.append((start, 3, end))
+        elif _NAME.fullmatch(text, found[-1][0], start):
+            found[-1] = start, 3, max(end, found[-1][2])
     return found
 
 

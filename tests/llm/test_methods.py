@@ -275,6 +275,27 @@ def test_novel_secrets():
     assert secrets.scan("no context Zx9Qm2Lr7Tb4Vk8Wn3Yd") == []
 
 
+VALUE = "Qx7vLm2Rt9Zb4Kw8Nd3Y"
+
+
+@pytest.mark.parametrize("before", ["aws_secret_access_key=", "signature=", "PWD=", "export DB_PWD=", "Cookie: session_id=", "GET /x?key=abc&signature=", "session_", "auth-", "cookie: a=1;b="])
+@pytest.mark.parametrize("after", ["", "&b=1", "; x", "\nUSER=me", "=="])
+def test_novel_secrets_without_quotes(before, after):
+    text = before + VALUE + after
+    found = [text[a:b] for a, k, b in secrets.scan(text) if k == 3]
+    assert found == [VALUE + ("==" if after == "==" else "")]
+
+
+def test_novel_secrets_with_signs_inside():
+    for value in ("aB3dE5g7=H9jK1mN3p", "aB3dE5g7=H9jK1mN3pQ5rS7tU9vW1", "Qx7vLm2Rt9Zb4K==="):
+        assert value[:7] not in secrets.redacted(f"the session {value}", secrets.scan(f"the session {value}"))
+
+
+@pytest.mark.parametrize("text", ["key_" * 100_000 + VALUE, "key=a1" * 60_000, "key-" + "=" * 200_000 + VALUE])
+def test_long_runs_are_read_once(text):
+    assert all(0 <= a < b <= len(text) for a, _, b in secrets.scan(text))
+
+
 def test_op9(spark, sf, documents):
     got = rows(spark, sf, "op9_quality")
     labels = dict(zip(*(pq.read_table(f"{sf}/labels.parquet").to_pydict()[c] for c in ("doc_id", "quality")), strict=True))
