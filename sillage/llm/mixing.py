@@ -1,4 +1,4 @@
-"""Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks."""
+"""Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks, split over shards to the word."""
 
 from __future__ import annotations
 
@@ -19,12 +19,22 @@ SHARE, REPEATS = 1.5, 2
 #: Words in a block, and about how many words of input a shard has.
 BLOCK, SHARD = 64, 1 << 16
 SEED = 17
+#: Shards whose words are summed up in one task; above them their sums are.
+SPAN = 1024
 
 
 def apportion(targets: list[float], seats: int, caps: list[int]) -> list[int]:
     """Seats by highest quotients target / (2 * seats so far + 1); ties go to the earlier; none goes beyond its cap."""
     got = [0] * len(targets)
-    queue = [(-t, i) for i, t in enumerate(targets) if t > 0 and caps[i] > 0]
+    if seats > 1000 + len(targets):
+        # Quotients above one that gives out no more than all seats are among the highest; one less each for rounding.
+        least = sum(targets) / (2 * seats)
+        while least > 0 and sum(counts := [min(int((t / least + 1) / 2), c) for t, c in zip(targets, caps, strict=True)]) > seats:
+            least *= 1 + max(1e-12, len(targets) / seats)
+        if least > 0:
+            got = [max(0, n - 1) for n in counts]
+            seats -= sum(got)
+    queue = [(-t / (2 * got[i] + 1), i) for i, t in enumerate(targets) if t > 0 and got[i] < caps[i]]
     heapq.heapify(queue)
     while seats > 0 and queue:
         _, i = queue[0]
@@ -39,13 +49,13 @@ def apportion(targets: list[float], seats: int, caps: list[int]) -> list[int]:
 
 def _quotas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[tuple[int, int, int, int]] = []
-        for shard, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            cells = sorted(cells, key=lambda c: c["place"])
-            targets = [c["target"] for c in cells]
-            got = apportion(targets, round(sum(targets) / BLOCK), [-(-REPEATS * c["words"] // BLOCK) for c in cells])
-            out += [(shard, c["place"], c["words"], n) for c, n in zip(cells, got, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)] or [pa.array([], pa.int64())] * 4, names=["shard", "place", "cell", "blocks"])
+        out: list[tuple[int, int, int]] = []
+        for (sources,) in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            sources = sorted(sources, key=lambda c: c["place"])
+            targets = [c["target"] for c in sources]
+            got = apportion(targets, round(sum(targets) / BLOCK), [-(-REPEATS * c["words"] // BLOCK) for c in sources])
+            out += [(c["place"], c["words"], min(n * BLOCK, REPEATS * c["words"])) for c, n in zip(sources, got, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)] or [pa.array([], pa.int64())] * 3, names=["place", "words", "quota"])
 
 
 def source_targets(sized: DataFrame) -> DataFrame:
@@ -72,11 +82,13 @@ def source_targets(sized: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, size, source, source_size, target, taken for every row of docs.
 
-    Documents fall into shards of about SHARD words by a seeded hash. In each shard the sources compete for its
-    blocks of BLOCK words, by highest quotients of their part of their target that lies in the shard. A source's documents in a
-    shard, in seeded order, form a stream of blocks; its quota takes blocks from the start of it, and from there again
-    where the quota exceeds the stream. So no document is used more than REPEATS times, and no source or shard
-    is gathered in one task: a source of any size is spread over all shards.
+    The sources compete for all blocks of BLOCK words by highest quotients of their targets, which gives each its quota.
+    Documents fall into shards of about SHARD words by a seeded hash. Every document is taken as often as its source's quota goes
+    round all of the source; the rest of the quota is split over the source's shards by the words they have, its running
+    total rounded down, so that fractions carry over from shard to shard and nothing of it is lost, however little of a source a
+    shard has. A source's documents in a shard, in seeded order, form a stream, and the rest takes words from the start of it.
+    So no document is used more than REPEATS times, and no source or shard is gathered in one task: a source of
+    any size is spread over all shards.
 
     Nulls: a null text has no words, null sources are a source of their own, the last one; null ids are kept. Rows that
     repeat are documents of their own. Sources without words have target 0. Empty tables give no rows. Reruns agree.
@@ -90,14 +102,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = stored(placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED + 1), F.col("draw")), shards).cast("long")), "placed")
     forget(sized)
     cells = placed.groupBy("shard", "place").agg(F.sum("size").alias("words")).where("words > 0")
-    owed = cells.join(sources.select("place", "source_size", "target"), "place").withColumn("target", F.col("target") * F.col("words") / F.col("source_size"))
-    gathered = owed.groupBy("shard").agg(F.collect_list(F.struct("place", "words", "target")).alias("cells"))
-    quotas = gathered.mapInArrow(_quotas, "shard long, place long, cell long, blocks long")
+    gathered = sources.groupBy().agg(F.collect_list(F.struct("place", F.col("source_size").alias("words"), "target")).alias("sources"))
+    quotas = gathered.mapInArrow(_quotas, "place long, words long, quota long").where("words > 0")
+    quotas = quotas.selectExpr("place", "words as whole", "div(quota, words) as rounds", "quota % words as rest")
+    # Words of a source in the shards before: in spans of shards, and of the spans.
+    cells = stored(cells.withColumn("span", F.expr("div(shard, %d)" % SPAN)), "cells")
+    earlier = lambda *keys, by: F.coalesce(F.sum("words").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = cells.groupBy("place", "span").agg(F.sum("words").alias("words")).select("place", "span", earlier("place", by="span").alias("base"))
+    cells = cells.withColumn("before", earlier("place", "span", by="shard")).join(spans, ["place", "span"]).join(quotas, "place")
+    # The products go beyond long in large tables.
+    share = "div(cast({0} as decimal(18, 0)) * cast(rest as decimal(18, 0)), cast(whole as decimal(18, 0)))"
+    due = cells.select("shard", "place", "rounds", F.expr(share.format("(base + before + words)") + " - " + share.format("(base + before)")).alias("due"))
     stream = Window.partitionBy("shard", "place").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    met = placed.join(quotas, ["shard", "place"], "left").withColumn("start", F.coalesce(F.sum("size").over(stream), F.lit(0)))
-    quota = F.least(F.col("blocks") * BLOCK, F.col("cell") * REPEATS)
-    met = met.withColumn("rounds", F.expr("div({0}, cell)".format("least(blocks * %d, cell * %d)" % (BLOCK, REPEATS)))).withColumn("rest", quota - F.col("rounds") * F.col("cell"))
-    taken = F.coalesce(F.col("size") * F.col("rounds") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start"))), F.lit(0)).cast("long")
+    met = placed.join(due, ["shard", "place"], "left").withColumn("start", F.coalesce(F.sum("size").over(stream), F.lit(0)))
+    taken = F.coalesce(F.col("size") * F.col("rounds") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("due") - F.col("start"))), F.lit(0)).cast("long")
     return met.select("doc_id", "size", "place", taken.alias("taken")).join(sources, "place").select("doc_id", "size", "source", "source_size", "target", "taken")
 
 

@@ -96,6 +96,30 @@ def test_apportionment_takes_highest_quotients(targets, seats):
     assert got == [count[i] for i in range(len(targets))]
 
 
+def test_apportionment_of_many_seats_is_the_same():
+    rng = random.Random(4)
+    for n in (1, 2, 7, 30):
+        targets = [rng.choice([0.0, 1.0, 64.0, rng.random() * 1e6]) for _ in range(n)] + [5e5]
+        caps = [rng.choice([0, 3, 10**7]) for _ in range(n)] + [10**7]
+        seats = round(sum(targets) / mixing.BLOCK)
+        quotients = sorted((-t / (2 * k + 1), i) for i, (t, c) in enumerate(zip(targets, caps, strict=True)) if t > 0 for k in range(min(c, seats)))[:seats]
+        count = Counter(i for _, i in quotients)
+        assert mixing.apportion(targets, seats, caps) == [count[i] for i in range(n + 1)]
+
+
+@pytest.mark.parametrize("words", [1, 10, 15])
+def test_small_sources_over_many_shards_get_their_target(spark, monkeypatch, words):
+    monkeypatch.setattr(mixing, "SHARD", 1 << 11)
+    monkeypatch.setattr(mixing, "SPAN", 16, raising=False)
+    rows = [(k, "w " * 300, "abcde"[k % 5]) for k in range(500)] + [(1000 + k, "w " * words, "small") for k in range(60)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == len(rows) and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+    for source in ("a", "b", "c", "d", "e", "small"):
+        of = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in of) - of[0]["target"]) <= mixing.BLOCK
+    assert of[0]["target"] == 2 * 60 * words
+
+
 def test_op4(spark, sf):
     urls = dict(zip(*(pq.read_table(f"{sf}/pages.parquet").to_pydict()[c] for c in ("page_id", "url")), strict=True))
     got = rows(spark, sf, "op4_url_filter", "page_id")
