@@ -393,6 +393,87 @@ def test_op10(spark, sf):
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.5)
 
 
+def test_op10_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    toxic = dict(zip(*(pq.read_table(f"{sf}/labels.parquet").to_pydict()[c] for c in ("doc_id", "toxic")), strict=True))
+    kept = [(r["predicted"], toxic[r["doc_id"]]) for r in QUERIES["op10_toxicity"](spark, sf).collect() if r["held_out"] and toxic.get(r["doc_id"]) is not None]
+    caught, left = [p for p, y in kept if y == 1], [1 - p for p, y in kept if y == 0]
+    assert len(caught) > 50 and len(left) > 500 and np.mean(caught) > 0.75 and np.mean(left) > 0.95
+
+
+def plain_mix(spark, docs):
+    """Words taken of each (id, text, source): targets by water filling, seats over all blocks, quotas split over shards."""
+    size = {i: len(WORD.findall(t)) for i, t, _ in docs}
+    names = sorted({s for _, _, s in docs})
+    whole = {s: sum(size[i] for i, _, x in docs if x == s) for s in names}
+    weight = {s: mixing.WEIGHTS[k % len(mixing.WEIGHTS)] for k, s in enumerate(names)}
+    want, left = {}, mixing.SHARE * sum(whole.values())
+    while over := [s for s in names if s not in want and weight[s] * left / sum(weight[x] for x in names if x not in want) > mixing.REPEATS * whole[s]]:
+        for s in over:
+            want[s] = float(mixing.REPEATS * whole[s])
+        left = mixing.SHARE * sum(whole.values()) - sum(want.values())
+    open_ = [s for s in names if s not in want]
+    want |= {s: weight[s] * left / sum(weight[x] for x in open_) for s in open_}
+    seats = [0] * len(names)
+    for _ in range(round(sum(want.values()) / mixing.BLOCK)):
+        free = [k for k, s in enumerate(names) if seats[k] * mixing.BLOCK < mixing.REPEATS * whole[s]]
+        if not free:
+            break
+        seats[max(free, key=lambda k: (want[names[k]] / (2 * seats[k] + 1), -k))] += 1
+    shards = max(1, math.ceil(sum(whole.values()) / mixing.SHARD))
+    ids = spark.createDataFrame([(i,) for i in size], "i long").selectExpr("i", f"xxhash64({mixing.SEED}, i) as draw").selectExpr("i", "draw", f"pmod(xxhash64({mixing.SEED + 1}, draw), {shards}) as shard")
+    place = {r["i"]: (r["shard"], r["draw"], r["i"]) for r in ids.collect()}
+    taken = {}
+    for k, s in enumerate(names):
+        if not whole[s]:
+            continue
+        quota = min(seats[k] * mixing.BLOCK, mixing.REPEATS * whole[s])
+        before = 0
+        for shard in range(shards):
+            of = sorted((i for i, _, x in docs if x == s and place[i][0] == shard), key=place.get)
+            words = sum(size[i] for i in of)
+            due = (before + words) * (quota % whole[s]) // whole[s] - before * (quota % whole[s]) // whole[s]
+            before += words
+            for i in of:
+                taken[i] = size[i] * (quota // whole[s]) + min(size[i], due)
+                due -= min(size[i], due)
+    return size, taken
+
+
+def test_pipeline_against_plain_stages(spark, sf, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    # The documents, with secrets in some of them.
+    given = pq.read_table(f"{sf}/documents.parquet")
+    table = given.to_pydict()
+    table["text"] = [f"{t} signature={VALUE} password: hunter2hunter2" if k % 7 == 0 else t for k, t in enumerate(table["text"])]
+    pq.write_table(given.set_column(given.schema.get_field_index("text"), given.schema.field("text"), [table["text"]]), tmp_path / "documents.parquet")
+    pq.write_table(pq.read_table(f"{sf}/labels.parquet"), tmp_path / "labels.parquet")
+    documents = dict(zip(table["doc_id"], table["text"], strict=True))
+    source = dict(zip(table["doc_id"], table["source"], strict=True))
+    labels = {i: y for i, y in zip(*(pq.read_table(f"{sf}/labels.parquet").to_pydict()[c] for c in ("doc_id", "toxic")), strict=True) if y is not None and zlib.crc32(str(i).encode()) % 5}
+    known = sorted(i for i in labels if i in documents)
+    scorer = toxicity.Scorer(toxicity.fit([documents[i] for i in known], [labels[i] for i in known]))
+    clean = {i: t for i, t in documents.items() if scorer.scores([t])[0] < 0.5}
+    assert 0 < len(clean) < len(documents)
+    _, roots = brute_components(clean)
+    single = {i: t for i, t in clean.items() if roots[i] == i}
+    assert len(single) < len(clean)
+    safe = {i: secrets.redacted(t, secrets.scan(t)) for i, t in single.items()}
+    assert safe != single
+    size, taken = plain_mix(spark, [(i, t, source[i]) for i, t in safe.items()])
+    tokenizer = Tokenizer.from_file(bpe.default_vocabulary())
+    want = []
+    for i, n in taken.items():
+        texts = [safe[i]] * (n // max(size[i], 1)) + ([mixing.first_words(safe[i], n % size[i])] if n and n % size[i] else [])
+        want += [(i, tuple(tokenizer.encode(t, add_special_tokens=False).ids)) for t in texts]
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert all(r["n_tokens"] == len(r["ids"]) for r in got)
+    assert sorted((r["doc_id"], tuple(r["ids"])) for r in got) == sorted(want)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_against_sql(spark, sf, name):
     import duckdb
