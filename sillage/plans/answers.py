@@ -32,7 +32,7 @@ class Result:
 class Retriever:
     """Searches of an index (id, url, text, hierarchy, parent, incoming_links, unit, _key). embed turns questions into vectors on the driver.
 
-    Both scores of a record meet on one row, by id, before ranking.
+    Both scores of a record meet on one row, by id, before ranking. Records without a vector are found by their words only.
     """
 
     spark: SparkSession
@@ -46,7 +46,7 @@ class Retriever:
         """Hits of all questions in one pass, seq in order of question and rank."""
         asked = [(n, q, self.embed(q)) for n, q in enumerate(questions) if q and q.strip()]
         vectors = self.spark.createDataFrame([(n, v) for n, _, v in asked if v], "qid int, vector array<double>")
-        found = index.search(self.records, vectors, k, self.threshold).withColumn("_origin", F.lit(tag)).withColumn("_score_vec", F.col("score")).withColumn("part", F.lit(0))
+        found = index.search(self.records.where(F.col("unit").isNotNull()), vectors, k, self.threshold).withColumn("_origin", F.lit(tag)).withColumn("_score_vec", F.col("score")).withColumn("part", F.lit(0))
         if self.hybrid:
             if self.postings is None:
                 self.postings = bm25.index(bm25.documents(self.records, "id", "text"))

@@ -756,7 +756,10 @@ def ingest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def answer_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A question end to end over all documents, with a model that always says yes."""
+    """A question end to end over all documents, those without a vector by their words, with a model that always says yes.
+
+    The pages' anchors and headings are not part of documents, so there is nothing to expand by.
+    """
     from sillage.plans.agents import Answerer
     from sillage.plans.answers import Pipeline, Retriever
 
@@ -764,7 +767,7 @@ def answer_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
         def generate(self, prompt: str) -> str:
             return "YES" if prompt.endswith("YES or NO:") else f"an answer from {prompt.count('(Source:')} sources"
 
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id")
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id", "left")
     rows = docs.select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("id"), F.concat(F.lit("http://x/"), "source").alias("url"), F.lit(0).alias("chunk_index"), "text", F.array("source").alias("hierarchy"), F.concat(F.lit("http://x/"), "source").alias("parent"), F.array().cast("array<struct<from_page:string,anchor_text:string,source_chunk:string>>").alias("incoming_links"), "embedding")
     first = table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(1).first()["embedding"]
     made = Pipeline(Retriever(spark, index.added(rows), lambda q: list(first)), Answerer(Yes()), mode="classic", expand=False).query(QUESTION)

@@ -119,6 +119,25 @@ def test_duplicate_urls_collapse(spark, records):
     assert [s["chunk_id"] for s in got.sources] == ["limits"]
 
 
+def test_records_without_vectors_are_found_by_words(spark, records):
+    bare = index.added(records.drop("unit", "_key").unionByName(spark.createDataFrame([("bare", "http://x/bare", "bare")], "id string, url string, parent string").withColumn("text", F.lit("delta zebra words")), allowMissingColumns=True))
+    hits = Retriever(spark, bare, lambda q: [1.0, 0.0, 0.0]).search(["zebra"], 9, "t").collect()
+    assert [(r["id"], r["_score_vec"]) for r in hits if r["_score_bm25"] is not None] == [("bare", None)]
+    assert len(hits) == 5 and all(r["_score_vec"] is not None for r in hits if r["id"] != "bare")
+
+
+def test_answer_flow_searches_all_documents(spark, monkeypatch):
+    sf = "/root/testdata/sf0.1"
+    from sillage.plans import answers
+    from sillage.queries import QUERIES
+
+    seen = []
+    given = answers.Pipeline.query
+    monkeypatch.setattr(answers.Pipeline, "query", lambda self, *a, **k: (seen.append(self.retriever.records.count()), given(self, *a, **k))[1])
+    assert QUERIES["answer_flow"](spark, sf).count() == 1
+    assert seen == [spark.read.parquet(f"{sf}/documents.parquet").count()]
+
+
 def test_builder(spark, records):
     planner = Script(("Choose a mode", '{"mode": "retrieve_new", "concepts": ["alpha", "retries"]}'), ("what else", '{"queries": ["retry"], "drop_chunk_ids": []}'))
     got = pipeline(spark, records, Script(("YES or NO", "NO"), ("one JSON object: {", '{"answer": "a", "supported": "Y"}')), planner=planner).query("intro")
