@@ -10,6 +10,9 @@ The grammar, with texts escaped:
 
 A control string inside a text is broken by a backslash after its first character; a backslash is doubled. Texts
 that survive the round trip as they are stay as they are.
+
+The loss mask is a span of each learned turn: code points from the conversation's start, end exclusive. It covers the turn's
+escaped text and none of its marks.
 """
 
 from __future__ import annotations
@@ -52,15 +55,17 @@ def _turn(role: str, text: str) -> str:
     return f"{start}{text}{end}" if role in MARKS else f"{start}{escaped(role).replace(chr(10), chr(92) + 'n')}\n{text}{end}"
 
 
-def parse(rendered: str) -> list[tuple[str, str]]:
-    """(role, text) of every turn. Raises ValueError where the grammar ends."""
+def _turns(text: str, whole: bool) -> tuple[list[tuple[str, str]], int]:
+    """(role, text) of the turns of a text, and how far they reach; unless it is whole, what is left may be a turn's beginning."""
     turns, at = [], 0
-    while at < len(rendered):
-        role, (start, end) = next(((r, m) for r, m in MARKS.items() if rendered.startswith(m[0], at)), ("", ("", "")))
-        stop = rendered.find(end, at + len(start)) if start else -1
+    while at < len(text):
+        role, (start, end) = next(((r, m) for r, m in MARKS.items() if text.startswith(m[0], at)), ("", ("", "")))
+        stop = text.find(end, at + len(start)) if start else -1
         if stop < 0:
+            if not whole and (start or any(m[0].startswith(text[at:]) for m in MARKS.values())):
+                break
             raise ValueError(f"no turn at {at}")
-        body = rendered[at + len(start) : stop]
+        body = text[at + len(start) : stop]
         if role is None:
             named, line, body = body.partition("\n")
             if not line:
@@ -70,56 +75,95 @@ def parse(rendered: str) -> list[tuple[str, str]]:
             raise ValueError(f"a control string in a text at {at}")
         turns.append((role, unescaped(body)))
         at = stop + len(end)
-    return turns
+    return turns, at
+
+
+def parse(rendered: str) -> list[tuple[str, str]]:
+    """(role, text) of every turn. Raises ValueError where the grammar ends."""
+    return _turns(rendered, True)[0]
 
 
-def render(role: str, text: str) -> tuple[str, int]:
-    """A turn's text in the template and how far it had to be escaped: 0 as it is, 1 escaped."""
+def render(role: str, text: str) -> tuple[str, int, int, int]:
+    """A turn in the template, how far its text had to be escaped (0 as it is, 1 escaped), and where the text begins and ends in it."""
     for level, body in enumerate((text, escaped(text))):
         rendered = _turn(role, body)
         try:
             if parse(rendered) == [(role, text)]:
-                return rendered, level
+                end = len(rendered) - len(MARKS[role if role in MARKS else None][1])
+                return rendered, level, end - len(body), end
         except ValueError:
             pass
     raise AssertionError("an escaped turn must read back as it was")
 
 
-def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for conv, turn, roles, texts in slices(batches):
-        made = [render(r, t) for r, t in zip(roles, texts, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(conv, pa.int64()), pa.array(turn, pa.int64()), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int32())], names=["conv_id", "turn", "rendered", "level"])
+class Reader:
+    """Reads a conversation's text as it comes, in parts of any size: holds no more than what is left of an unfinished turn.
 
-
-def format_turns(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, rendered, level for every row of turns (conv_id, turn, role, text).
-
-    A conversation's text is its rendered turns, one after the other. A null text is empty, a null role the empty role.
-    Null ids are kept and make one conversation; other columns are ignored; empty tables give no rows.
+    Loss spans come in order, each before the text that it ends in.
     """
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(_render, "conv_id long, turn long, rendered string, level int")
 
-
-class _Digest:
     def __init__(self, conv: int | None) -> None:
-        self.conv, self.turns, self.loss, self.chars, self.formatted, self.all, self.learned = conv, 0, 0, 0, 0, hashlib.sha256(), hashlib.sha256()
-
-    def add(self, rendered: str) -> None:
-        self.formatted += len(rendered)
-        for role, text in parse(rendered):
+        self.conv, self.turns, self.loss, self.at, self.all, self.learned = conv, 0, 0, 0, hashlib.sha256(), hashlib.sha256()
+        self.waiting, self.spans = "", []
+
+    def feed(self, text: str, spans: list[tuple[int, int]]) -> None:
+        start, self.at = self.at - len(self.waiting), self.at + len(text)
+        self.waiting += text
+        self.spans += spans
+        turns, read = _turns(self.waiting, False)
+        for role, said in turns:
             self.turns += 1
-            self.all.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-            if role == LEARNED:
-                self.loss += len(text)
-                self.learned.update(text.encode("utf-8", "surrogatepass"))
+            self.all.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
+        while self.spans and self.spans[0][1] <= start + read:
+            first, end = self.spans.pop(0)
+            masked = unescaped(self.waiting[first - start : end - start])
+            self.loss += len(masked)
+            self.learned.update(masked.encode("utf-8", "surrogatepass"))
+        self.waiting = self.waiting[read:]
 
     def row(self) -> tuple:
-        return self.conv, self.turns, self.all.hexdigest(), self.loss, self.learned.hexdigest(), self.formatted
+        if self.waiting or self.spans:
+            raise ValueError("a conversation ends within a turn")
+        return self.conv, self.turns, self.all.hexdigest(), self.loss, self.learned.hexdigest(), self.at
+
 
+def _by_conversation(df: DataFrame, *order: str) -> DataFrame:
+    return df.repartition("conv_id").sortWithinPartitions("conv_id", *order)
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Conversations come in order of turn; only digests of the current one are held, however long it is."""
+
+_FORMATTED = "conv_id long, turn long, at long, rendered string, level int, loss_start long, loss_end long"
+
+
+def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Turns come by conversation and in order, so that a running length tells where each begins."""
+    conv, at, begun = None, 0, False
+    for convs, turns, roles, texts in slices(batches):
+        rows = []
+        for c, turn, role, text in zip(convs, turns, roles, texts, strict=True):
+            if not begun or c != conv:
+                conv, at, begun = c, 0, True
+            rendered, level, start, end = render(role, text)
+            rows.append((c, turn, at, rendered, level, *((at + start, at + end) if role == LEARNED else (None, None))))
+            at += len(rendered)
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["conv_id", "turn", "at", "rendered", "level", "loss_start", "loss_end"])
+
+
+def format_turns(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, at, rendered, level, loss_start, loss_end for every row of turns (conv_id, turn, role, text).
+
+    A conversation's text is its rendered turns, one after the other; at is where a turn begins in it, and the loss span, of learned
+    turns, covers its text. A null text is empty, a null role the empty role. Null ids are kept and make one conversation; turns that
+    tie come by role and text; other columns are ignored; empty tables give no rows. A conversation's offsets are a running sum, so a
+    conversation is formatted in one task, as a stream.
+    """
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    return _by_conversation(rows, "turn", "role", "text").mapInArrow(_format, _FORMATTED)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Conversations come in order of their text; only digests and an unfinished turn of the current one are held, however long it is."""
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
     now, done = None, []
@@ -127,13 +171,13 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    for conv, rendered in slices(batches):
-        for c, text in zip(conv, rendered, strict=True):
+    for columns in slices(batches):
+        for c, text, start, end in zip(*columns, strict=True):
             if now is None or now.conv != c:
                 if now is not None:
                     done.append(now.row())
-                now = _Digest(c)
-            now.add(text)
+                now = Reader(c)
+            now.feed(text, [] if start is None else [(start, end)])
         if len(done) >= 1024:
             yield batch(done)
             done = []
@@ -144,9 +188,13 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """One row for each conversation, from its rendered turns alone; turns that tie are taken in order of their rendered text."""
-    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "rendered")
-    return ordered.select("conv_id", "rendered").mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    """One row for each conversation of format_turns(), from its text and loss mask alone: the text is parsed as a whole, and what is
+    learned is read through the mask.
+
+    The null id is a conversation of its own; an empty table gives no rows; other columns are ignored. Text that the grammar doesn't
+    cover, as repeated rows of formatted would make, raises ValueError.
+    """
+    return _by_conversation(formatted, "at").select("conv_id", "rendered", "loss_start", "loss_end").mapInArrow(_read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 #: A conversation made of the template's own control strings.
@@ -159,20 +207,22 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_turns(turns.unionByName(own)))
 
 
-_COUNTED = " + ".join(f"(length(text) - length(replace(text, '{c}', ''))) // {len(c)}" for c in CONTROL)
+_COUNTED = " + ".join(f"(length({{t}}) - length(replace({{t}}, '{c}', ''))) // {len(c)}" for c in CONTROL) + " + length({t}) - length(replace({t}, '\\', ''))"
 _FRAME = " ".join(f"when '{r}' then {len(a) + len(b)}" for r, (a, b) in MARKS.items() if r)
+#: Any other role is written out, its own control strings, backslashes and line ends escaped.
+_NAMED = f"{sum(map(len, MARKS[None])) + 1} + length(role) + {_COUNTED.format(t='role')} + length(role) - length(replace(role, chr(10), ''))"
 OP2_SQL = f"""
 with turns as (
-  select conv_id, turn, role, coalesce(text, '') as text from conversations
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -7, 0, 'user', '{HOSTILE}'
   union all select -7, 1, 'assistant', '{HOSTILE}'
 ), sized as (
-  select *, case role {_FRAME} end + length(text) + {_COUNTED} + length(text) - length(replace(text, '\\', '')) as chars from turns
+  select *, case role {_FRAME} else {_NAMED} end + length(text) + {_COUNTED.format(t='text')} as chars from turns
 )
 select conv_id, count(*) as n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
   cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
-  sha256(coalesce(string_agg(text, '' order by turn) filter (where role = 'assistant'), '')) as loss_sha256,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
   cast(sum(chars) as bigint) as formatted_chars
 from sized group by conv_id
 """

@@ -1,8 +1,8 @@
 """Media columns: HTML documents as ordered sequences of text and media references, resolved by digest.
 
-A sequence's part is (position, kind, text, digest, caption). Media live in a table of their own, one stored form for each
-digest; sequences refer to them, and a join by digest brings a payload's facts to every place it is used, so that
-positions and captions stay with their part whatever the order of rows.
+A sequence's part is (position, kind, text, digest, caption). Stored forms lie beside the pages that first had them; sequences refer
+to them by digest, and a join by digest brings a payload's facts to every place it is used, so that positions and captions
+stay with their part whatever the order of rows.
 """
 
 from __future__ import annotations
@@ -77,18 +77,21 @@ def feature(payload: bytes) -> str:
     return f"{len(rows)}:{rows.mean():.3f}:{np.packbits(bits).tobytes().hex()}"
 
 
-class _Sequence(HTMLParser):
-    """Collects text and figures in document order. Captions belong to the picture of their figure."""
+_MEDIA = {"img", "audio", "video", "source"}
+_BLOCK = {"p", "div", "article", "section", "h1", "h2", "h3", "h4", "h5", "h6", "li", "br", "figure", "table", "tr", "blockquote", "pre"}
+
 
-    _HIDDEN, _BLOCK = {"script", "style", "template", "noscript"}, {"p", "div", "article", "section", "h1", "h2", "h3", "h4", "h5", "h6", "li", "br", "figure", "table", "tr", "blockquote", "pre"}
+class _Sequence(HTMLParser):
+    """Collects text and figures in document order. A caption, before or after, belongs to all media of its figure."""
 
-    def __init__(self) -> None:
+    def __init__(self, hidden: set[str]) -> None:
         super().__init__(convert_charrefs=True)
         self.parts: list[dict] = []
         self.text: list[str] = []
+        self.hides, self.hidden = hidden, 0
+        self.figure: list[dict] | None = None
         self.caption: list[str] | None = None
-        self.hidden = 0
-        self.figure: dict | None = None
+        self.captions: list[str] = []
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -99,49 +102,98 @@ class _Sequence(HTMLParser):
     def add(self, kind: str, text: str | None = None, digest: str | None = None, caption: str | None = None) -> None:
         self.parts.append({"position": len(self.parts), "kind": kind, "text": text, "digest": digest, "caption": caption})
 
+    def end_caption(self) -> None:
+        if self.caption is not None:
+            text, self.caption = " ".join("".join(self.caption).split()), None
+            if text:
+                self.captions.append(text)
+
+    def end_figure(self) -> None:
+        """Captions go to the figure's media; without any they are text."""
+        self.end_caption()
+        self.flush()
+        for media in self.figure or []:
+            if self.captions:
+                media["caption"] = " ".join(self.captions)
+        if not self.figure:
+            for text in self.captions:
+                self.add("text", text=text)
+        self.figure, self.captions = None, []
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in self._HIDDEN:
+        if tag in self.hides:
             self.hidden += 1
-        if tag in self._BLOCK or tag in ("img", "audio", "video", "source"):
+        if tag == "figure":
+            self.end_figure()
+            self.figure = []
+        elif tag == "figcaption":
+            self.end_caption()
             self.flush()
-        if tag in ("img", "audio", "video", "source"):
+            self.caption = []
+        elif tag in _BLOCK or tag in _MEDIA:
+            # A caption may hold blocks of its own, but a picture after it shows that it had ended.
+            if tag in _MEDIA:
+                self.end_caption()
+            elif self.caption is not None:
+                self.caption.append(" ")
+            self.flush()
+        if tag in _MEDIA and not self.hidden:
             found = dict(attrs)
             src = found.get("src") or ""
             if src:
-                self.add("media", digest=src.removeprefix(_SCHEME) if src.startswith(_SCHEME) else None, text=None if src.startswith(_SCHEME) else src, caption=found.get("alt"))
+                known = src.startswith(_SCHEME)
+                self.add("media", digest=src.removeprefix(_SCHEME) if known else None, text=None if known else src, caption=found.get("alt"))
                 if self.figure is not None:
-                    self.figure["last"] = self.parts[-1]
-        elif tag == "figure":
-            self.figure = {}
-        elif tag == "figcaption":
-            self.flush()
-            self.caption = []
+                    self.figure.append(self.parts[-1])
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in self._HIDDEN:
+        if tag in self.hides:
             self.hidden = max(0, self.hidden - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            caption, self.caption = " ".join("".join(self.caption).split()), None
-            if self.figure and "last" in self.figure:
-                self.figure["last"]["caption"] = caption
-            elif caption:
-                self.add("text", text=caption)
-        elif tag in self._BLOCK:
-            self.flush()
         if tag == "figure":
-            self.figure = None
+            self.end_figure()
+        elif tag == "figcaption":
+            if self.figure is None:
+                # A caption of no figure is text.
+                self.end_figure()
+            else:
+                self.end_caption()
+        elif tag in _BLOCK:
+            if self.caption is None:
+                self.flush()
+            else:
+                self.caption.append(" ")
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
             (self.text if self.caption is None else self.caption).append(data)
 
+    def finish(self) -> None:
+        self.close()
+        # An unclosed figure whose media came first may have taken the rest of the page for its caption: that is text.
+        if self.caption is not None:
+            self.text, self.caption = [*self.text, *self.caption], None
+        self.end_figure()
+
 
 def parse(html: str) -> list[dict]:
-    """The ordered parts of a page. A picture whose src is no digest keeps its src as text."""
-    parser = _Sequence()
-    parser.feed(html)
-    parser.close()
-    parser.flush()
+    """The ordered parts of a page. A picture whose src is no digest keeps its src as text.
+
+    Broken pages lose no text: what is left open at the end (a caption, a template) was no such thing, and declarations that
+    the parser can't read are text. Scripts and styles end where a browser ends them.
+    """
+    hidden = {"script", "style", "template"}
+    for _ in range(3):
+        parser = _Sequence(hidden)
+        try:
+            parser.feed(html)
+            parser.close()
+        except AssertionError:
+            html = html.replace("<![", "&lt;![")
+            continue
+        if not parser.hidden or hidden == {"script", "style"}:
+            break
+        hidden = {"script", "style"}
+    parser.finish()
     return parser.parts
 
 
@@ -168,13 +220,20 @@ def resolve(parts: DataFrame, media: DataFrame) -> DataFrame:
     return parts.join(media, "digest", "left")
 
 
+def page_of(text: str, digest: str, size: int) -> str:
+    """A text as a page: a paragraph for each line that has a word, and after the first a figure that refers to the digest, its caption the text's size."""
+    lines = [f"<p>{escape(line, False)}</p>" for line in text.split("\n") if line.split()]
+    lines.insert(1, f'<figure><figcaption>{size} bytes</figcaption><img src="{_SCHEME}{digest}"></figure>')
+    return "<article>" + "\n".join(lines) + "</article>"
+
+
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for ids, texts in slices(batches, 64):
         payloads = [padded(t) for t in texts]
         digests = [hashlib.sha256(p).hexdigest() for p in payloads]
         sizes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
-        pages = [f'<article><h1>Document {escape(str(i))}</h1><figure><img src="{_SCHEME}{d}"><figcaption>{n} bytes</figcaption></figure></article>' for i, d, n in zip(ids, digests, sizes, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(pages), pa.array(digests), pa.array([to_png(p) for p in payloads], pa.binary())], names=["doc_id", "n_bytes", "html", "digest", "media"])
+        pages = [page_of(t, d, n) for t, d, n in zip(texts, digests, sizes, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pages), pa.array(digests), pa.array([to_png(p) for p in payloads], pa.binary())], names=["doc_id", "html", "digest", "media"])
 
 
 _FACTS = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
@@ -189,24 +248,46 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def interleave(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A table of doc_id, n_bytes, html, digest, media: every text becomes a stored picture, and a page that refers to it by digest.
+    """A table of doc_id, html, digest, media: every text becomes a page of its paragraphs (see page_of) and a stored picture that the page refers to.
 
-    Null texts are empty; an empty text is a row of FILL. Ids may be null or repeat. The table is in the shared folder.
+    Null texts are empty; an empty text is a row of FILL. Ids may be null or repeat. Other columns are ignored; empty tables give no rows.
+    The table is in the shared folder.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
-    return stored(rows.mapInArrow(_store, "doc_id long, n_bytes long, html string, digest string, media binary"), "media")
+    return stored(rows.mapInArrow(_store, "doc_id long, html string, digest string, media binary"), "media")
 
 
 def media_facts(kept: DataFrame) -> DataFrame:
-    """A row for each digest of kept (digest, media) with what reading its stored form back gives; copies of a form are read where they lie and meet as facts only."""
-    read_back = kept.select("digest", "media").mapInArrow(_facts, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    """A row for each digest of kept (digest, media) with what reading its stored form back gives; copies of a form are read where they lie and meet as facts only.
+
+    Rows without a digest or a form are left out; an empty table gives no rows. A form that is damaged raises ValueError.
+    """
+    read_back = kept.select("digest", "media").where("digest is not null and media is not null").mapInArrow(_facts, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     return read_back.groupBy("digest").agg(*(F.max(c).alias(c) for c in _FACTS[1:]))
 
 
+def _shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "digest", "position", "caption", "n_parts", "text_sha256"]
+    types = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string()]
+    for ids, pages in slices(batches, 64):
+        rows = []
+        for i, page in zip(ids, pages, strict=True):
+            parts = parse(page)
+            told = "\n".join(p["text"] for p in parts if p["kind"] == "text")
+            sha = hashlib.sha256(told.encode("utf-8", "surrogatepass")).hexdigest()
+            rows += [(i, p["digest"], p["position"], p["caption"], len(parts), sha) for p in parts if p["kind"] == "media"]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, types, strict=True)], names=names)
+
+
+def shown(pages: DataFrame) -> DataFrame:
+    """doc_id, digest, position, caption, n_parts, text_sha256: a row for each medium of each page (doc_id, html), beside how many parts
+    the page has and a digest of its text parts, a line each. Null and empty pages have none; repeated rows repeat."""
+    return pages.select("doc_id", whole("html").alias("html")).mapInArrow(_shown, "doc_id long, digest string, position int, caption string, n_parts int, text_sha256 string")
+
+
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = interleave(read(spark, sf_dir, "documents"))
     facts = stored(media_facts(kept), "facts")
-    shown = resolve(sequences(kept).where("kind = 'media'"), facts)
     # The caption states the text's size, so it shows that captions stayed with their pictures.
     size = F.regexp_extract("caption", r"^(\d+) bytes$", 1).cast("long")
-    return shown.select("doc_id", size.alias("n_bytes"), *_FACTS[1:], "position", "caption")
+    return resolve(shown(kept), facts).select("doc_id", size.alias("n_bytes"), *_FACTS[1:], "position", "caption", "n_parts", "text_sha256")

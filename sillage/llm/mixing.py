@@ -7,10 +7,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sillage.llm.common import WORD, forget, read, stored
+from sillage.llm.common import WORD, forget, read, stored, unused, whole
 
 #: Weights of the sources in order of code point, null last, over and over.
 WEIGHTS = (3, 1, 2)
@@ -79,29 +79,15 @@ def source_targets(sized: DataFrame) -> DataFrame:
     return w.select("source", F.col("place").cast("long").alias("place"), "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source, source_size, target, taken for every row of docs.
+def _quota(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sources, and by shard and place how many rounds a source's documents are taken whole, and the words due of the shard besides.
 
-    The sources compete for all blocks of BLOCK words by highest quotients of their targets, which gives each its quota.
-    Documents fall into shards of about SHARD words by a seeded hash. Every document is taken as often as its source's quota goes
-    round all of the source; the rest of the quota is split over the source's shards by the words they have, its running
-    total rounded down, so that fractions carry over from shard to shard and nothing of it is lost, however little of a source a
-    shard has. A source's documents in a shard, in seeded order, form a stream, and the rest takes words from the start of it.
-    So no document is used more than REPEATS times, and no source or shard is gathered in one task: a source of
-    any size is spread over all shards.
-
-    Nulls: a null text has no words, null sources are a source of their own, the last one; null ids are kept. Rows that
-    repeat are documents of their own. Sources without words have target 0. Empty tables give no rows. Reruns agree.
+    sized has source, size and draw. Both tables are in the shared folder.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sized = stored(rows, "sizes")
     sources = stored(source_targets(sized), "sources")
     shards = F.greatest(F.lit(1), F.ceil(sized.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).select(F.col("n") / SHARD).scalar()))
-    draw = F.xxhash64(F.lit(SEED), F.col("doc_id"))
-    placed = sized.join(sources.select(F.col("source").alias("s"), "place"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("draw", draw)
-    placed = stored(placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED + 1), F.col("draw")), shards).cast("long")), "placed")
-    forget(sized)
-    cells = placed.groupBy("shard", "place").agg(F.sum("size").alias("words")).where("words > 0")
+    met = sized.select("source", "size", F.pmod(F.xxhash64(F.lit(SEED + 1), F.col("draw")), shards).cast("long").alias("shard")).join(sources.select(F.col("source").alias("s"), "place"), F.col("source").eqNullSafe(F.col("s")))
+    cells = met.groupBy("shard", "place").agg(F.sum("size").alias("words")).where("words > 0")
     gathered = sources.groupBy().agg(F.collect_list(F.struct("place", F.col("source_size").alias("words"), "target")).alias("sources"))
     quotas = gathered.mapInArrow(_quotas, "place long, words long, quota long").where("words > 0")
     quotas = quotas.selectExpr("place", "words as whole", "div(quota, words) as rounds", "quota % words as rest")
@@ -109,14 +95,54 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cells = stored(cells.withColumn("span", F.expr("div(shard, %d)" % SPAN)), "cells")
     earlier = lambda *keys, by: F.coalesce(F.sum("words").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     spans = cells.groupBy("place", "span").agg(F.sum("words").alias("words")).select("place", "span", earlier("place", by="span").alias("base"))
-    cells = cells.withColumn("before", earlier("place", "span", by="shard")).join(spans, ["place", "span"]).join(quotas, "place")
+    before = cells.withColumn("before", earlier("place", "span", by="shard")).join(spans, ["place", "span"]).join(quotas, "place")
     # The products go beyond long in large tables.
     share = "div(cast({0} as decimal(18, 0)) * cast(rest as decimal(18, 0)), cast(whole as decimal(18, 0)))"
-    due = cells.select("shard", "place", "rounds", F.expr(share.format("(base + before + words)") + " - " + share.format("(base + before)")).alias("due"))
-    stream = Window.partitionBy("shard", "place").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    met = placed.join(due, ["shard", "place"], "left").withColumn("start", F.coalesce(F.sum("size").over(stream), F.lit(0)))
-    taken = F.coalesce(F.col("size") * F.col("rounds") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("due") - F.col("start"))), F.lit(0)).cast("long")
-    return met.select("doc_id", "size", "place", taken.alias("taken")).join(sources, "place").select("doc_id", "size", "source", "source_size", "target", "taken")
+    due = stored(before.select("shard", "place", "rounds", F.expr(share.format("(base + before + words)") + " - " + share.format("(base + before)")).alias("due")), "due")
+    forget(cells)
+    return sources.withColumn("shards", shards), due
+
+
+def _drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> dict[str, Column]:
+    """What a row is mixed by: its size, and the seeded hash that places it. The text is part of the hash, so that rows that share an id, or have none, spread like any other."""
+    return {"size": F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"), "draw": F.xxhash64(F.lit(SEED), F.col(id_col).cast("long"), F.xxhash64(whole(text_col)))}
+
+
+def _taken(rows: DataFrame, sources: DataFrame, due: DataFrame, c: dict[str, str]) -> DataFrame:
+    """rows (with size, draw and source by the names of c) and what is taken of each, a source's documents of a shard in seeded order."""
+    named = sources.select(F.col("source").alias(c["s"]), F.col("place").alias(c["place"]), F.col("shards").alias(c["shards"]), F.col("source_size").alias(c["source_size"]), F.col("target").alias(c["target"]))
+    met = rows.join(named, F.col(c["source"]).eqNullSafe(F.col(c["s"]))).withColumn(c["shard"], F.pmod(F.xxhash64(F.lit(SEED + 1), F.col(c["draw"])), F.col(c["shards"])).cast("long"))
+    keys = [c["shard"], c["place"]]
+    met = met.join(due.toDF(*keys, c["rounds"], c["due"]), keys, "left")
+    stream = Window.partitionBy(*keys).orderBy(c["draw"], c["size"]).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(c["size"]).over(stream), F.lit(0))
+    taken = F.col(c["size"]) * F.col(c["rounds"]) + F.greatest(F.lit(0), F.least(F.col(c["size"]), F.col(c["due"]) - start))
+    return met.withColumn(c["taken"], F.coalesce(taken, F.lit(0)).cast("long"))
+
+
+_COLUMNS = ("s", "place", "shards", "shard", "source_size", "target", "rounds", "due", "size", "draw", "source", "taken")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, size, source, source_size, target, taken for every row of docs.
+
+    The sources compete for all blocks of BLOCK words by highest quotients of their targets, which gives each its quota.
+    Documents fall into shards of about SHARD words by a seeded hash. Every document is taken as often as its source's quota goes
+    round all of the source; the rest of the quota is split over the source's shards by the words they have, its running
+    total rounded down, so that fractions carry over from shard to shard and nothing of it is lost, however little of a source a
+    shard has. A source's documents in a shard, in seeded order, form a stream, and the rest takes words from the start of it.
+    So no document is used more than REPEATS times, and no source or shard is gathered in one task: a source of
+    any size is spread over all shards.
+
+    Nulls: a null text has no words, null sources are a source of their own, the last one; null ids are kept, and spread by their
+    texts. Rows that repeat are documents of their own; those that repeat altogether share a shard. Sources without words have
+    target 0. Empty tables give no rows. Reruns agree.
+    """
+    drawn = _drawn(docs, id_col, text_col, source_col)
+    sized = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), *(v.alias(k) for k, v in drawn.items())), "sizes")
+    sources, due = _quota(sized)
+    names = {k: k for k in _COLUMNS}
+    return _taken(sized, sources, due, names).select("doc_id", "size", "source", "source_size", "target", "taken")
 
 
 _WORD = re.compile(WORD)
@@ -134,9 +160,17 @@ def first_words(text: str, n: int) -> str:
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix of docs itself, with all their columns: a row for each whole use of a document, and one of its first words for the rest
-    of what is taken of it. Documents of which nothing is taken go; rows that repeat an id are taken alike."""
-    taken = mix(docs, id_col, text_col, source_col).groupBy(F.col("doc_id").alias("_id")).agg(F.max("size").alias("_size"), F.max("taken").alias("_taken")).where("_taken > 0")
-    met = docs.join(taken, F.col(id_col).cast("long").eqNullSafe(F.col("_id"))).drop("_id")
+    of what is taken of it. Documents of which nothing is taken go. What is taken is by row, as mix() has it: rows may repeat an id.
+
+    Whole rows go to their shards, which hold about SHARD words of all sources, so that texts are shuffled once.
+    """
+    drawn = _drawn(docs, id_col, text_col, source_col)
+    sized = stored(docs.select(F.col(source_col).alias("source"), *(v.alias(k) for k, v in drawn.items())), "sizes")
+    sources, due = _quota(sized)
+    forget(sized)
+    c = {k: unused(docs, k) for k in _COLUMNS}
+    rows = docs.withColumns({c["source"]: F.col(source_col), **{c[k]: v for k, v in drawn.items()}})
+    met = _taken(rows, sources, due, c).where(F.col(c["taken"]) > 0).select(*docs.columns, c["size"], c["taken"])
     at, schema = docs.columns.index(text_col), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

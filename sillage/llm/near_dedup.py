@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sillage.llm import setsketch
-from sillage.llm.common import forget, read, slices, stored, whole
+from sillage.llm.common import forget, read, slices, stored, unused, whole
 from sillage.llm.components import components
 from sillage.llm.shingles import fingerprint, shingle_sets
 
@@ -19,23 +19,28 @@ PERCENT = 75
 #: Ratio of neighbouring classes of set sizes in the exact search.
 SIZE_STEP = 1.05
 
-_SKETCHED = "id long, n long, fp1 long, fp2 long, sketch binary"
+_SKETCHED = "id long, th long, n long, fp1 long, fp2 long, sketch binary"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, texts in slices(batches, 64):
+    for ids, hashes, texts in slices(batches, 64):
         sets = shingle_sets(texts)
         rows = setsketch.registers(sets)
         prints = [fingerprint(s) for s in sets]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array([r.astype(">u2").tobytes() for r in rows], pa.binary())],
-            names=["id", "n", "fp1", "fp2", "sketch"],
+            [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array([r.astype(">u2").tobytes() for r in rows], pa.binary())],
+            names=["id", "th", "n", "fp1", "fp2", "sketch"],
         )
 
 
+def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, th (a hash of the text, which tells the texts of one id apart) and text."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(whole(text_col)).alias("th"), whole(text_col).alias("text"))
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n (distinct shingles), a 128-bit fingerprint of the set, and its registers, two bytes each."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), whole(text_col).alias("text")).mapInArrow(_sketch, _SKETCHED)
+    """id, th, n (distinct shingles), a 128-bit fingerprint of the set, and its registers, two bytes each."""
+    return texts_of(docs, id_col, text_col).mapInArrow(_sketch, _SKETCHED)
 
 
 def bands(sketched: DataFrame) -> DataFrame:
@@ -129,36 +134,36 @@ def crossing(open_: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs.
+    """doc_id, th (a hash of the text), n_shingles, component_id, kept for every row of docs.
 
-    Documents with equal sets form classes first; only a class's least id goes on, so copies never meet in pairs.
-    Representatives whose registers agree in a band share a bucket. Each bucket links its members to one of them, that
+    Documents with equal sets form classes first, and only classes go on, each by a number of its own, so copies never meet in pairs.
+    Classes whose registers agree in a band share a bucket. Each bucket links its members to one of them, that
     which shares most with others, and so is linear in its size. Where a bucket still spans several components,
     its members are tried across components too, exactly (see crossing): no bucket is capped, and no link
     between different texts is lost but by banding (a pair of similarity 0.75 shares no band with a chance of 4e-6,
     less above it).
 
     Nulls: a null text is empty. Texts without words have no shingles and are linked with nothing. A row with a
-    null id is linked with nothing: component_id null, kept true. Repeated rows get equal results. Ids are meant to be
-    unique: of rows of one id with different texts the greatest text is compared for all. Empty tables give empty results. Other columns are ignored.
+    null id is linked with nothing: component_id null, kept true. Repeated rows get equal results. Ids are meant to be unique, but
+    rows of one id with different texts are texts of their own: each has the component of its own links, by the least id
+    in it. Empty tables give empty results. Other columns are ignored.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), whole(text_col).alias("text"))
+    texts = texts_of(docs, id_col, text_col)
     made = stored(sketches(docs, id_col, text_col), "sketches")
     sets = ["fp1", "fp2", "n"]
-    usable = made.where("n > 0 and id is not null")
-    # Equal sets have equal sketches, so any of a class's will do.
-    reps = stored(usable.groupBy(*sets).agg(F.min("id").alias("id"), F.max("sketch").alias("sketch")), "reps")
-    owned = stored(usable.select("id", *sets).join(reps.select(F.col("id").alias("rep"), *sets), sets).select("id", "rep").distinct(), "owned")
+    # Equal sets have equal sketches, so any of a class's will do. Numbers are fixed once written; they are no more than names.
+    classes = made.where("n > 0 and id is not null").groupBy(*sets).agg(F.min(F.struct("id", "th")).alias("first"), F.max("sketch").alias("sketch"))
+    reps = stored(classes.select(F.monotonically_increasing_id().alias("id"), F.col("first.id").alias("doc"), F.col("first.th").alias("th"), *sets, "sketch"), "reps")
 
     banded = bands(reps)
     buckets = stored(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     members = stored(banded.join(buckets, "key"), "members")
     degree = stored(members.groupBy("id").agg(F.sum("size").alias("degree")), "degree")
-    # Texts and sketches go by id once, and later steps read only those that share a bucket. Sizes don't change this plan: nothing is broadcast.
-    near = degree.select("id").hint("merge").join(reps.select("id", "n", "sketch").hint("merge"), "id")
-    # Rows come sorted by id from the join, so that repeated ones fold as they pass.
-    one = texts.hint("merge").join(near, "id").groupBy("id").agg(*(F.max(c).alias(c) for c in ("n", "sketch", "text")))
-    wanted = stored(one, "wanted")
+    # Texts and sketches meet by id and text once, and later steps read only those that share a bucket. Sizes don't change this plan: nothing is broadcast.
+    near = degree.select("id").hint("merge").join(reps.select("id", "doc", "th", "n", "sketch").hint("merge"), "id")
+    met = texts.withColumnRenamed("id", "doc").hint("merge").join(near.hint("merge"), ["doc", "th"])
+    # Rows come sorted from the join, so that repeated ones fold as they pass.
+    wanted = stored(met.groupBy("doc", "th").agg(*(F.max(c).alias(c) for c in ("id", "n", "sketch", "text"))).select("id", "n", "sketch", "text"), "wanted")
     ranked = members.join(degree, "id").select("key", "id", "degree")
     heads = stored(ranked.groupBy("key").agg(F.max(F.struct("degree", -F.col("id"))).alias("m")).select("key", (-F.col("m")["col2"]).alias("head")), "heads")
     headed = members.join(heads, "key").where("head <> id")
@@ -169,26 +174,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = stored(members.join(grouped.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), "labelled")
     mixed = stored(labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "mixed")
     loose = labelled.join(mixed, "key", "left_semi").select("id", "c").distinct()
-    open_ = stored(loose.join(reps.groupBy("id").agg(F.max("n").alias("n")), "id"), "open")
-    forget(buckets, degree, heads, labelled, mixed, members, pairs, reps)
+    open_ = stored(loose.join(reps.select("id", "n"), "id"), "open")
+    forget(buckets, degree, heads, labelled, mixed, members, pairs, grouped)
     pairs = crossing(open_, wanted)
     second = _verify(pairs, wanted)
     forget(pairs, open_, wanted)
 
     final = components(first.union(second))
-    known = owned.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
-    out = made.select("id", "n").join(known, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    # A component goes by its least document; classes outside of any by their own.
+    joined = final.join(reps.select(F.col("id").alias("node"), "doc"), "node")
+    least = joined.groupBy("component").agg(F.min("doc").alias("component_id"))
+    named = joined.join(least, "component").select(F.col("node").alias("id"), "component_id")
+    known = stored(reps.select("id", "doc", *sets).join(named, "id", "left").select(*sets, F.coalesce("component_id", "doc").alias("component_id")), "known")
+    forget(first, second, reps, final)
+    out = made.select("id", "th", *sets).join(known, sets, "left").select(F.col("id").alias("doc_id"), "th", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each group; all columns stay. Rows with a null id stay; rows that repeat an id stay or go together."""
-    dropped = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col(id_col) == F.col("_dropped"), "left_anti")
+    """docs with one document of each group; all columns stay. Rows with a null id stay. Of an id that repeats with different texts
+    those rows go whose own text is dropped; rows that repeat altogether stay or go together."""
+    got = near_duplicates(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    gone = got.where("not kept").select("doc_id", "th").distinct()
+    name_id, name_th = unused(docs, "id"), unused(docs, "th")
+    gone = gone.select(F.col("doc_id").alias(name_id), F.col("th").alias(name_th))
+    return docs.join(gone, (F.col(id_col).cast("long") == F.col(name_id)) & (F.xxhash64(whole(text_col)) == F.col(name_th)), "left_anti")
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents")).drop("th")
 
 
 #: All pairs that share a shingle, then what links reach: for small tables.

@@ -1,29 +1,37 @@
-"""WARC archives as a table of chunks: no record, however large, is ever held whole.
+"""WARC archives as a table of chunks: once a payload is in Arrow's buffers, nothing copies it but a chunk at a time.
 
-A row is (record, page_id, chunk, last, data, sha1_so_far): the bytes of a record in pieces of at most CHUNK,
-numbered from 0, each with the digest of the payload up to its end. A file is the data of its records, one after the other, each in order of chunk.
+A row is (record, chunk, last, data, sha1_so_far): the bytes of a record in pieces of at most CHUNK and its headers, numbered from 0,
+each with the digest of the payload up to its end. Payloads are cut into such rows first; what follows (finding equal payloads,
+deciding which records are revisits, writing and reading) moves chunks and narrow rows only. A file is the data of its records, one
+after the other, each in order of chunk; export() writes such files and load() reads them.
 """
 
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
-from collections.abc import Iterable, Iterator
+import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sillage.llm.common import forget, read, slices, stored, whole
 
-#: Bytes of a record in one row, at most.
+#: Bytes of a payload in one row, at most.
 CHUNK = 1 << 18
 #: Payloads of fewer bytes are never written as revisits.
 LEAST_REVISIT = 0
+#: Bytes of chunks that go to Spark in one batch, about.
+TOGETHER = 1 << 21
 
-_CHUNKS = "record string, page_id long, chunk long, last boolean, data binary, sha1_so_far string"
+_PIECES = "record string, page_id long, url string, chunk long, last boolean, data binary, sha1_so_far string, size long, sha256 binary"
 _PARSED = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+_CRLF = "\r\n"
 
 
 def digest(sha1: hashlib._Hash) -> str:
@@ -31,35 +39,70 @@ def digest(sha1: hashlib._Hash) -> str:
     return base64.b32encode(sha1.digest()).decode()
 
 
-def _urn(page_id: int | None) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+def pieces(payload: memoryview) -> Iterator[tuple[int, bool, memoryview, str, int, bytes | None]]:
+    """(chunk, last, data, sha1_so_far, size so far, sha256 of the whole with the last) of a payload; data are views of it, not copies.
+
+    An empty payload is one empty chunk. Chunks count from 1, since 0 is for the headers.
+    """
+    sha1, sha256 = hashlib.sha1(), hashlib.sha256()
+    for number, at in enumerate(range(0, max(len(payload), 1), CHUNK), 1):
+        part = payload[at : at + CHUNK]
+        sha1.update(part)
+        sha256.update(part)
+        last = at + CHUNK >= len(payload)
+        yield number, last, part, digest(sha1), at + len(part), sha256.digest() if last else None
+
+
+def _views(column: pa.Array) -> Iterator[memoryview]:
+    """The values of a string column as views of its buffer; nulls as empty ones."""
+    column = column.cast(pa.large_binary()) if column.type in (pa.large_string(), pa.large_binary()) else column.cast(pa.binary())
+    _, _, data = column.buffers()
+    view = memoryview(data) if data is not None else memoryview(b"")
+    wide = 8 if column.type == pa.large_binary() else 4
+    offsets = memoryview(column.buffers()[1]).cast("B")[column.offset * wide : (column.offset + len(column) + 1) * wide].cast("q" if wide == 8 else "i") if len(column) else []
+    for k in range(len(column)):
+        yield view[offsets[k] : offsets[k + 1]]
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["record", "page_id", "url", "chunk", "last", "data", "sha1_so_far", "size", "sha256"]
+    types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.binary(), pa.string(), pa.int64(), pa.binary()]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    rows, held = [], 0
+    for given in batches:
+        records, ids, urls = (given.column(k).to_pylist() for k in range(3))
+        for record, page, url, payload in zip(records, ids, urls, _views(given.column(3)), strict=True):
+            for number, last, part, so_far, size, sha256 in pieces(payload):
+                rows.append((record, page, url, number, last, part, so_far, size, sha256))
+                held += len(part)
+                if held >= TOGETHER or len(rows) >= 1024:
+                    yield batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield batch(rows)
+            rows, held = [], 0
 
 
-def head(page_id: int | None, url: str, size: int, sha1: str, refers_to: int | None) -> bytes:
-    """WARC and HTTP headers. A revisit keeps the HTTP headers, and so its payload's size, but not the payload."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
-    clean = "".join(c for c in url if c not in "\r\n")
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_urn(page_id)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {clean}", f"WARC-Payload-Digest: sha1:{sha1}", "Content-Type: application/http; msgtype=response"]
-    if refers_to is not None:
-        lines += [f"WARC-Refers-To: {_urn(refers_to)}", f"WARC-Profile: {_PROFILE}"]
-    lines.append(f"Content-Length: {len(http) + (size if refers_to is None else 0)}")
-    return "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + http
+def _lines(*lines: Column) -> Column:
+    return F.concat_ws(_CRLF, *lines)
 
 
-def chunks(header: bytes, payload: Iterable[bytes]) -> Iterator[tuple[int, bool, bytes, str]]:
-    """(chunk, last, data, sha1_so_far) of a record; payload comes in parts of any size, and is not held."""
-    sha1, waiting, number = hashlib.sha1(), bytearray(header), 0
-    for part in payload:
-        view = memoryview(part)
-        for at in range(0, len(view), CHUNK):
-            piece = view[at : at + CHUNK]
-            if len(waiting) + len(piece) > CHUNK and waiting:
-                yield number, False, bytes(waiting), digest(sha1)
-                number += 1
-                waiting.clear()
-            waiting += piece
-            sha1.update(piece)
-    yield number, True, bytes(waiting) + b"\r\n\r\n", digest(sha1)
+def head() -> Column:
+    """WARC and HTTP headers as bytes, of a record's row (record, page_id, url, size, sha1, to_record, to_page). A revisit keeps the HTTP headers, and so
+    its payload's size, but not the payload. Pages have their ids in a field of their own, since record ids are unique and these may repeat."""
+    revisit = F.col("to_record").isNotNull()
+    http = F.concat(_lines(F.lit("HTTP/1.1 200 OK"), F.lit("Content-Type: text/html; charset=utf-8"), F.concat(F.lit("Content-Length: "), "size")), F.lit(_CRLF * 2))
+    warc = _lines(
+        F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")), F.concat(F.lit("WARC-Record-ID: <urn:uuid:"), "record", F.lit(">")),
+        F.lit("WARC-Date: 1970-01-01T00:00:00Z"), F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("url", "[\r\n]", "")), F.concat(F.lit("WARC-Payload-Digest: sha1:"), "sha1"),
+        F.lit("Content-Type: application/http; msgtype=response"), F.when(F.col("page_id").isNotNull(), F.concat(F.lit("X-Page-ID: "), "page_id")),
+        F.when(revisit, _lines(F.concat(F.lit("WARC-Refers-To: <urn:uuid:"), "to_record", F.lit(">")), F.concat(F.lit("X-Refers-To-Page-ID: "), "to_page"), F.lit(f"WARC-Profile: {_PROFILE}"))),
+        F.concat(F.lit("Content-Length: "), F.length(http) + F.when(revisit, 0).otherwise(F.col("size"))),
+    )
+    return F.encode(F.concat(warc, F.lit(_CRLF * 2), http), "UTF-8")
 
 
 class Reader:
@@ -91,7 +134,7 @@ class Reader:
                     self.size = int(line[16:])
             self.left = int(self.fields["content-length"]) - (http - ends)
             data, at, self.waiting = self.waiting, http + 4, b""
-        part = memoryview(data)[at : at + self.left]
+        part = memoryview(data)[at : at + self.left] if data else memoryview(b"")
         self.sha1.update(part)
         self.left -= len(part)
         self.got += len(part)
@@ -99,39 +142,13 @@ class Reader:
         if not last:
             return None
         stated, kind = self.fields["warc-payload-digest"].removeprefix("sha1:"), self.fields["warc-type"]
-        number = lambda urn: int(urn[10:-1]) if urn and urn[10:-1] else None
+        number = lambda name: int(self.fields[name]) if name in self.fields else None
         size, sha1 = (self.size, stated) if kind == "revisit" else (self.got, digest(self.sha1))
-        record = number(self.fields["warc-record-id"]), size, sha1, kind, number(self.fields.get("warc-refers-to", "")), self.whole and self.left == 0 and sha1 == stated
+        record = number("x-page-id"), size, sha1, kind, number("x-refers-to-page-id"), self.whole and self.left == 0 and sha1 == stated
         self.clear()
         return record
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, urls, texts in slices(batches):
-        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(raw, pa.binary()), pa.array([len(r) for r in raw], pa.int64()), pa.array([digest(hashlib.sha1(r)) for r in raw])], names=["page_id", "url", "payload", "size", "sha1"])
-
-
-def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["record", "page_id", "chunk", "last", "data", "sha1_so_far"]
-    types = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.string()]
-
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-
-    rows, held = [], 0
-    for record, ids, urls, payloads, sizes, sha1s, refers in slices(batches, 32):
-        for row, page, url, payload, size, sha1, to in zip(record, ids, urls, payloads, sizes, sha1s, refers, strict=True):
-            for number, last, data, so_far in chunks(head(page, url or "", size, sha1, to), [] if to is not None else [payload]):
-                rows.append((row, page, number, last, data, so_far))
-                held += len(data)
-                if held > 8 * CHUNK or len(rows) >= 1024:
-                    yield batch(rows)
-                    rows, held = [], 0
-    if rows:
-        yield batch(rows)
-
-
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     reader = Reader()
     for last, data, so_far in slices(batches, 64):
@@ -141,29 +158,138 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"])
 
 
+def cut(pages: DataFrame) -> DataFrame:
+    """The payloads of pages (page_id, url, html) as chunk rows, in the shared folder: record (a new UUID for each row), page_id, url, chunk, last,
+    data, sha1_so_far, size so far, and with the last chunk the sha256 of all."""
+    rows = pages.select(F.expr("uuid()").alias("record"), F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), whole("html").alias("html"))
+    return stored(rows.mapInArrow(_cut, _PIECES), "payloads")
+
+
 def write_archives(pages: DataFrame, least_revisit: int = LEAST_REVISIT) -> DataFrame:
-    """The chunk table of pages (page_id, url, html), one record each.
+    """The chunk table of pages (page_id, url, html), one record each: record, chunk, last, data, sha1_so_far.
 
-    Of equal payloads of at least least_revisit bytes the largest page_id is the response; rows that repeat that id
+    Of equal payloads (by SHA-256 and size) of at least least_revisit bytes the largest page_id is the response; rows that repeat that id
     are responses too. A null html is the empty payload, a null url an empty target. A row with a null page_id is
     a response of its own, to which nothing refers. Empty tables give no rows; other columns are ignored.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), whole("html").alias("html"))
-    hashed = rows.mapInArrow(_digests, "page_id long, url string, payload binary, size long, sha1 string")
-    narrow = hashed.where(f"page_id is not null and size >= {least_revisit}")
-    first = stored(narrow.groupBy("sha1", "size").agg(F.max("page_id").alias("to"), F.count("*").alias("n")).where("n > 1").drop("n"), "responses")
-    decided = hashed.join(first, ["sha1", "size"], "left").withColumn("refers_to", F.expr("if(page_id < to, to, null)"))
-    # Rows may repeat a page_id, so that a record's own name has to come from elsewhere.
-    named = decided.select(F.expr("uuid()").alias("record"), "page_id", "url", "payload", "size", "sha1", "refers_to")
-    archive = stored(named.mapInArrow(_write, _CHUNKS), "warc")
-    forget(first)
+    payloads = cut(pages)
+    ends = payloads.where("last").select("record", "page_id", "url", "size", "sha256", F.col("sha1_so_far").alias("sha1"))
+    able = ends.where(f"page_id is not null and size >= {least_revisit}")
+    first = able.groupBy("sha256", "size").agg(F.max(F.struct("page_id", "record")).alias("to"), F.count("*").alias("n")).where("n > 1").select("sha256", "size", F.col("to.page_id").alias("to_page"), F.col("to.record").alias("to_record"))
+    refers = F.expr("page_id < to_page")
+    decided = stored(ends.join(first, ["sha256", "size"], "left").select("record", "page_id", "url", "size", "sha1", F.when(refers, F.col("to_page")).alias("to_page"), F.when(refers, F.col("to_record")).alias("to_record")), "records")
+    heads = decided.select("record", F.lit(0).cast("long").alias("chunk"), F.col("to_record").isNotNull().alias("last"), F.concat(head(), F.when(F.col("to_record").isNotNull(), F.encode(F.lit(_CRLF * 2), "UTF-8")).otherwise(F.lit(b""))).alias("data"), F.lit(digest(hashlib.sha1())).alias("sha1_so_far"))
+    bodies = payloads.join(decided.where("to_record is not null").select("record"), "record", "left_anti")
+    bodies = bodies.select("record", "chunk", "last", F.when(F.col("last"), F.concat("data", F.encode(F.lit(_CRLF * 2), "UTF-8"))).otherwise(F.col("data")).alias("data"), "sha1_so_far")
+    archive = stored(heads.unionByName(bodies), "warc")
+    forget(payloads, decided)
     return archive
 
 
+def _in_order(archive: DataFrame) -> DataFrame:
+    return archive.repartition("record").sortWithinPartitions("record", "chunk")
+
+
 def read_archives(archive: DataFrame) -> DataFrame:
-    """Every record of a chunk table: page_id, payload_bytes, payload_digest, record_type, refers_to, intact."""
-    ordered = archive.repartition("record").sortWithinPartitions("record", "chunk")
-    return ordered.select("last", "data", "sha1_so_far").mapInArrow(_parse, _PARSED)
+    """Every record of a chunk table: page_id, payload_bytes, payload_digest, record_type, refers_to, intact.
+
+    Null ids stay null; records are known by their own ids, so rows that repeat a page_id stay apart; an empty table gives no rows;
+    other columns are ignored. A record that lacks its last chunk gives no row.
+    """
+    return _in_order(archive).select("last", "data", "sha1_so_far").mapInArrow(_parse, _PARSED)
+
+
+def _opened(uri: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+
+
+def export(archive: DataFrame, folder: str) -> DataFrame:
+    """Write a chunk table as .warc files into a folder that all executors share (any store that Arrow knows); a row for each file: path, records, bytes.
+
+    A task writes one file, chunk by chunk, under a name of its own, and gives it its last name when it is complete, so that a task that runs again
+    leaves no half file behind. The files are written as the result is read, and once: it is stored.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _opened(folder)
+        name = f"{base.rstrip('/')}/part-{uuid.uuid4().hex}"
+        records = size = 0
+        out = None
+        try:
+            for lasts, data in slices(batches, 16):
+                out = out or store.open_output_stream(f"{name}.part")
+                for last, piece in zip(lasts, data, strict=True):
+                    out.write(piece)
+                    records, size = records + last, size + len(piece)
+        finally:
+            if out is not None:
+                out.close()
+        if out is not None:
+            store.move(f"{name}.part", f"{name}.warc")
+            yield pa.RecordBatch.from_arrays([pa.array([f"{name}.warc"]), pa.array([records], pa.int64()), pa.array([size], pa.int64())], names=["path", "records", "bytes"])
+
+    with contextlib.suppress(OSError):
+        store, base = _opened(folder)
+        store.create_dir(base)
+    return stored(_in_order(archive).select("last", "data").mapInArrow(run, "path string, records long, bytes long"), "exported")
+
+
+def records_of(stream, size: int = CHUNK) -> Iterator[tuple[int, bool, bytes, str]]:  # noqa: ANN001
+    """(chunk, last, data, sha1_so_far) of every record of a WARC stream, which is read size bytes at a time."""
+    waiting = b""
+    while True:
+        while b"\r\n\r\n" not in waiting:
+            more = stream.read(size)
+            if not more:
+                if waiting.strip():
+                    raise ValueError("a WARC file ends within a header")
+                return
+            waiting += more
+        ends = waiting.index(b"\r\n\r\n") + 4
+        fields = dict(line.lower().split(b": ", 1) for line in waiting[:ends].split(b"\r\n")[1:] if b": " in line)
+        left = int(fields[b"content-length"])
+        # The record's HTTP headers go with its own.
+        while waiting.find(b"\r\n\r\n", ends) < 0 and len(waiting) - ends < left:
+            more = stream.read(size)
+            if not more:
+                raise ValueError("a WARC file ends within a record")
+            waiting += more
+        http = min(waiting.find(b"\r\n\r\n", ends) + 4, ends + left)
+        left -= http - ends
+        sha1, number, data = hashlib.sha1(), 0, waiting[:http]
+        waiting = waiting[http:]
+        while left:
+            yield number, False, data, digest(sha1)
+            number += 1
+            if not waiting:
+                waiting = stream.read(size)
+                if not waiting:
+                    raise ValueError("a WARC file ends within a record")
+            data, waiting = waiting[: min(left, size)], waiting[min(left, size) :]
+            sha1.update(data)
+            left -= len(data)
+        while len(waiting) < 4:
+            more = stream.read(size)
+            if not more:
+                break
+            waiting += more
+        yield number, True, data + waiting[:4], digest(sha1)
+        waiting = waiting[4:]
+
+
+def load(files: DataFrame) -> DataFrame:
+    """The chunk table of .warc files (path), uncompressed: each is read as a stream. Files that aren't whole raise ValueError."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (paths,) in slices(batches, 16):
+            for path in paths:
+                store, at = _opened(path)
+                with store.open_input_stream(at) as stream:
+                    for number, last, data, so_far in records_of(stream):
+                        record = uuid.uuid4().hex if not number else record
+                        yield pa.RecordBatch.from_arrays([pa.array([record]), pa.array([number], pa.int64()), pa.array([last]), pa.array([data], pa.binary()), pa.array([so_far])], names=["record", "chunk", "last", "data", "sha1_so_far"])
+
+    return stored(files.select("path").mapInArrow(run, "record string, chunk long, last boolean, data binary, sha1_so_far string"), "warc")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
