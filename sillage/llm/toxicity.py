@@ -1,45 +1,61 @@
 """Toxicity by a support vector machine over a gapped subsequence kernel, with Nystrom landmarks.
 
-A token is the weighted set of its subsequences of three letters that lie within SPAN places, each weighing DECAY for each
-place it takes up; letters in between, or characters that are no letters, cost weight but don't hide the subsequence. So the
-kernel of an insult and of the insult with inserted characters, a missing letter or another ending stays high. A
-sentence's similarity to a landmark is that of its most similar token. Nystrom's map turns similarities to the landmarks into
-coordinates, and a linear machine is trained on labelled sentences in these.
+A piece is a token, or two neighbouring tokens with a gap between them. It is the weighted set of its subsequences of three
+letters that lie within SPAN places, each weighing DECAY for each place it takes up; letters in between, or characters that are
+no letters, cost weight but don't hide the subsequence. So the kernel of an insult and of the insult with inserted characters, a
+missing letter or another ending stays high. A sentence's similarity to a landmark is that of its most similar piece: tokens
+count for all landmarks, pairs of tokens where both resemble the words of a landmark of two words. Nystrom's map turns
+similarities to the landmarks into coordinates, and a linear machine is trained on labelled sentences in these.
+
+Counts of pieces, and the similarities of sentences, are made by the executors; the driver gets landmarks and a bounded number
+of sentences.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sillage.llm.common import read, slices, whole
+from sillage.llm.common import forget, read, slices, stored, whole
 
 #: Subsequences: letters, the places they may lie within, weight for each place.
 SPAN, DECAY = 6, 0.6
 #: Tokens are cut to pieces of so many characters, which overlap by half.
 LONGEST = 24
-#: Landmarks from toxic and from clean sentences; similarity below FLOOR counts as none.
-TOXIC_MARKS, CLEAN_MARKS, FLOOR = 96, 32, 0.35
-#: Labelled documents of each label that training uses at most, chosen by hash of their id. This bounds what reaches the driver.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000
-#: Sentences of clean documents that the machine is trained on at most, of those that resemble a toxic landmark.
-MOST_NEGATIVES = 8000
+#: Landmarks from toxic sentences, of one word and of two, and from clean ones; similarity below FLOOR counts as none.
+TOXIC_MARKS, PHRASE_MARKS, CLEAN_MARKS, FLOOR = 96, 16, 32, 0.35
+#: Similarity from which a token may stand for a word of a landmark of two words, and from which landmarks are too alike to have both.
+PART, ALIKE = 0.6, 0.8
+#: Toxic documents that a landmark of one word is in at least, and the share of them that one of two words is in.
+LEAST_SEEN, LEAST_PHRASE = 2, 0.05
+#: Labelled documents of each label that training uses at most, chosen by hash of their id, and their characters. This bounds the sample.
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2000, 4000, 40_000_000
+#: Sentences that the machine is trained on at most: of clean documents those that resemble a toxic landmark, of toxic ones those that hold one.
+MOST_NEGATIVES, MOST_POSITIVES = 8000, 8000
+#: Times that the machine is trained, from the second on with the clean sentences that it took for the most toxic.
+ROUNDS = 3
+#: How far the rarer label is made up for where the score is calibrated: 0 not at all, 1 so that both labels weigh the same.
+BALANCE = 0.3
+#: Similarity, above FLOOR, from which a sentence of a toxic document is taken to be one of those that make it so.
+HOLDS = 0.6
 #: Tokens whose verdict a worker remembers, in two generations.
 REMEMBERED = 400_000
-#: Landmarks that share one bound when tokens are screened, and the machine's cost of an error.
-SCREENED_TOGETHER, COST = 8, 1.0
+#: Landmarks that share one bound when tokens are screened, and the machine's costs of a toxic sentence missed and of a clean one taken.
+SCREENED_TOGETHER, COST, COST_CLEAN = 8, 0.6, 0.5
 SEED = 5
 
-_LETTERS = 30  # 0 for no letter, a to z, start, end, and any other letter
-_EDGES, _OTHER = (bytes([27]), bytes([28])), 29
+_LETTERS = 30  # 0 for no letter, a to z, start, end, and one more for letters of other alphabets
+_EDGES = bytes([27]), bytes([28])
+#: The codes that letters of other alphabets are spread over: neighbours in an alphabet get different ones.
+_OTHERS = [*range(1, 27), 29]
 _LIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"}
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 _MAYBE_SPACED = re.compile(r" [^\W\d_] [^\W\d_] [^\W\d_](?!\S)")
@@ -52,7 +68,8 @@ class _Codes(dict):
     def __missing__(self, point: int) -> str:
         c = chr(point)
         base = "s" if c == "ß" else unicodedata.normalize("NFKD", _LIKE.get(c, c).lower())[:1]
-        code = chr(ord(base) - 96 if "a" <= base <= "z" else _OTHER if base.isalpha() else 0)
+        letter = c if "\uac00" <= c <= "\ud7a3" else base  # a syllable of Hangul is more than its first letter
+        code = chr(ord(base) - 96 if "a" <= base <= "z" else _OTHERS[ord(letter) % len(_OTHERS)] if letter.isalpha() else 0)
         if len(self) < 100_000:
             self[point] = code
         return code
@@ -61,10 +78,15 @@ class _Codes(dict):
 _CODES = _Codes()
 
 
+def letters(token: str) -> bytes:
+    """A token as codes, without what is no letter at its ends."""
+    return token.translate(_CODES).encode("latin-1").strip(b"\0")
+
+
 def codes(token: str) -> list[bytes]:
-    """A token as codes with a start and an end, without what is no letter at its ends; long ones as overlapping pieces; none of two letters or fewer."""
-    got = token.translate(_CODES).encode("latin-1").strip(b"\0")
-    if len(got) < 3:
+    """A token as codes with a start and an end; long ones as overlapping pieces; none of one letter."""
+    got = letters(token)
+    if len(got) < 2:
         return []
     got = _EDGES[0] + got + _EDGES[1]
     if len(got) <= LONGEST:
@@ -72,6 +94,11 @@ def codes(token: str) -> list[bytes]:
     return [got[k : k + LONGEST] for k in range(0, len(got) - LONGEST // 2, LONGEST // 2)]
 
 
+def phrase(one: bytes, two: bytes) -> bytes | None:
+    """Two tokens' letters as one piece with a gap; none where they are too long, or one of them has no letter."""
+    return _EDGES[0] + one + b"\0" + two + _EDGES[1] if one and two and len(one) + len(two) + 3 <= LONGEST else None
+
+
 def _table(tokens: list[bytes]) -> np.ndarray:
     """Codes of tokens of one length as rows."""
     return np.frombuffer(b"".join(tokens), np.uint8).reshape(len(tokens), -1).astype(np.int32)
@@ -166,7 +193,8 @@ def floored(k: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Landmarks as dense columns, toxic ones first, the Nystrom map, the machine's weights, and the logistic curve of its margin."""
+    """Landmarks as dense columns, toxic ones first, the words of those of two words (first ones, then second ones), the Nystrom
+    map, the machine's weights, and the logistic curve of its margin."""
 
     marks: np.ndarray
     n_toxic: int
@@ -175,6 +203,7 @@ class Model:
     bias: float
     slope: float
     offset: float
+    parts: tuple[list[bytes], list[bytes]] = field(default_factory=lambda: ([], []))
 
     def margins(self, pooled: np.ndarray) -> np.ndarray:
         return pooled @ self.map @ self.weights + self.bias
@@ -197,6 +226,10 @@ class Scorer:
         self.model, self.remembered, self.now, self.old = model, remembered, {}, {}
         self.above = bounds(model.marks[:, : model.n_toxic])
         self.none = model.score(float(model.margins(np.zeros((1, model.marks.shape[1]), np.float32))[0]))
+        #: Tokens that may be a first, or a second word of a landmark of two; the similarities of pairs of such tokens.
+        self.sides: tuple[set[str], set[str]] = set(), set()
+        self.pairs: dict[tuple[str, str], np.ndarray | None] = {}
+        self.words = [embedded(p) for p in model.parts] if model.parts[0] else []
 
     def learn(self, tokens: set[str]) -> None:
         now, old = self.now, self.old
@@ -205,6 +238,8 @@ class Scorer:
             self.old = old = now
             self.now = now = {}
             new = list(tokens)
+            self.pairs.clear()
+            self.sides = tuple({t for t in side if t in old} for side in self.sides)
         pieces, owner = [], []
         for t in new:
             if t in old:
@@ -221,17 +256,34 @@ class Scorer:
             for row in np.flatnonzero(toxic).tolist():
                 t, values = owner[near[row]], found[row].copy()  # a view would keep the whole table
                 now[t] = values if now[t] is None else np.maximum(now[t], values)
+        for side, words in zip(self.sides, self.words, strict=False):
+            may = promising(pieces, bounds(words)).tolist()
+            if may:
+                alike = similarity([pieces[k] for k in may], words).max(axis=1) >= PART
+                side.update(owner[may[row]] for row in np.flatnonzero(alike).tolist())
+
+    def together(self, one: str, two: str) -> np.ndarray | None:
+        """Similarities of two neighbouring tokens as one piece."""
+        if (one, two) not in self.pairs:
+            got = phrase(letters(one), letters(two))
+            values = floored(similarity([got], self.model.marks))[0] if got else None
+            self.pairs[one, two] = values if values is not None and values[: self.model.n_toxic].any() else None
+        return self.pairs[one, two]
 
     def pooled(self, text: str, tokens: list[str]) -> list[np.ndarray]:
         """Of each sentence that resembles a toxic landmark at all, its greatest similarity to each landmark."""
-        now = self.now
-        if not any([now[t] is not None for t in tokens]):
+        now, (first, second) = self.now, self.sides
+        joined = bool(first) and not first.isdisjoint(tokens) and not second.isdisjoint(tokens)
+        if not joined and not any([now[t] is not None for t in tokens]):
             return []
         out = []
         for sentence in _SENTENCE.split(text):
-            found = [v for t in tokens_of(sentence) if (v := now.get(t)) is not None]
+            of = tokens_of(sentence)
+            found = [v for t in of if (v := now.get(t)) is not None]
+            if joined:
+                found += [v for a, b in zip(of, of[1:], strict=False) if a in first and b in second and (v := self.together(a, b)) is not None]
             if found:
-                out.append(np.max(found, axis=0))
+                out.append(np.maximum.reduce(found) if len(found) > 1 else found[0])
         return out
 
     def bags(self, texts: list[str]) -> list[list[np.ndarray]]:
@@ -239,17 +291,16 @@ class Scorer:
         self.learn(set().union(*found))
         return [self.pooled(t, ts) for t, ts in zip(texts, found, strict=True)]
 
-    def scores(self, texts: list[str]) -> list[float]:
+    def most(self, texts: list[str]) -> list[float | None]:
+        """Of each text the greatest margin of a sentence, None where no sentence resembles a toxic landmark."""
         pooled = self.bags(texts)
         flat = [v for p in pooled for v in p]
         margins = self.model.margins(np.array(flat, np.float32)) if flat else np.zeros(0)
-        out, at = [], 0
-        for p in pooled:
-            got = margins[at : at + len(p)]
-            at += len(p)
-            out.append(self.model.score(float(got.max())) if len(p) else self.none)
-            out[-1] = max(out[-1], self.none)
-        return out
+        ends = np.cumsum([0, *map(len, pooled)]).tolist()
+        return [float(margins[a:b].max()) if b > a else None for a, b in zip(ends, ends[1:], strict=False)]
+
+    def scores(self, texts: list[str]) -> list[float]:
+        return [self.none if m is None else max(self.model.score(m), self.none) for m in self.most(texts)]
 
 
 def _train_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float]:
@@ -270,85 +321,70 @@ def _train_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30)
     return w[:-1], float(w[-1])
 
 
-def _logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve over margins, by Newton's method, with a little weight on slope 1."""
+def _logistic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of a logistic curve over weighted margins, by Newton's method, with a little weight on slope 1."""
     a, b = 1.0, 0.0
-    for _ in range(50):
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-        r, v = p - y, np.maximum(p * (1 - p), 1e-9)
+        r, v = weight * (p - y), weight * np.maximum(p * (1 - p), 1e-9)
         g = np.array([(r * margin).sum() + 0.1 * (a - 1), r.sum() + 0.01 * b])
         h = np.array([[(v * margin * margin).sum() + 0.1, (v * margin).sum()], [(v * margin).sum(), v.sum() + 0.01]])
-        step = np.linalg.solve(h, g)
+        step = np.clip(np.linalg.solve(h, g), -0.5, 0.5)
         a, b = a - step[0], b - step[1]
         if np.abs(step).max() < 1e-6:
             break
     return float(max(a, 1e-3)), float(b)
 
 
-def fit(texts: list[str], labels: list[int]) -> Model:
-    """A model from labelled texts. Where one label is missing, every score is the share of toxic texts (0 without any)."""
-    y = np.array(labels, float)
-    if not len(y) or y.min() == y.max():
-        share = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
-        return Model(np.zeros((_LETTERS**3, 1), np.float32), 1, np.eye(1, dtype=np.float32), np.zeros(1), 0.0, 1.0, float(np.log(share / (1 - share))))
-    toxic, clean = Counter(), Counter()
-    for text, label in zip(texts, labels, strict=True):
-        (toxic if label else clean).update({p for t in set(tokens_of(text)) for p in codes(t)})
-    n_toxic, n_clean = int(y.sum()), int(len(y) - y.sum())
-
-    def evidence(t: bytes) -> float:
-        return toxic[t] / n_toxic - 3 * clean[t] / n_clean
-
-    def spread(candidates: list[bytes], most: int, alike: float) -> list[bytes]:
-        taken: list[bytes] = []
-        columns = np.zeros((_LETTERS**3, most), np.float32)
-        for t in candidates:
-            if len(taken) == most:
-                break
-            ids, weights = subsequences([t])
-            if not taken or float((weights[0][:, None] * columns[ids[0], : len(taken)]).sum(axis=0).max()) < alike:
-                columns[:, len(taken)] = embedded([t])[:, 0]
-                taken.append(t)
-        return taken
-
-    telling = sorted((t for t in toxic if toxic[t] >= 2 and evidence(t) > 0 and len(t) > 5), key=lambda t: (-evidence(t), t))
+def pieces_of(text: str) -> tuple[set[bytes], set[tuple[bytes, bytes]]]:
+    """The distinct pieces of a text's tokens, and its distinct pairs of neighbouring tokens in a sentence."""
+    single = {p for t in set(tokens_of(text)) for p in codes(t)}
+    pairs: set[tuple[bytes, bytes]] = set()
+    for sentence in _SENTENCE.split(text):
+        got = [letters(t) for t in sentence.split()]
+        pairs.update(zip(got, got[1:], strict=False))
+    return single, {p for p in pairs if phrase(*p)}
+
+
+def spread(candidates: list[bytes], most: int, alike: float = ALIKE) -> list[bytes]:
+    """Of candidates, the best first, those that are not alike one taken before, most of them at most."""
+    taken: list[bytes] = []
+    columns = np.zeros((_LETTERS**3, most), np.float32)
+    for t in candidates:
+        if len(taken) == most:
+            break
+        ids, weights = subsequences([t])
+        if not taken or float((weights[0][:, None] * columns[ids[0], : len(taken)]).sum(axis=0).max()) < alike:
+            columns[:, len(taken)] = embedded([t])[:, 0]
+            taken.append(t)
+    return taken
+
+
+def landmarks(telling: list[bytes], phrases: list[tuple[bytes, bytes]], frequent: list[bytes]) -> Model:
+    """A model without weights from toxic tokens and pairs, the most telling first, and frequent clean tokens."""
+    words = spread(telling, TOXIC_MARKS)
+    by_piece = {phrase(*p): p for p in phrases}
+    pairs = spread(list(by_piece), PHRASE_MARKS)
     # In order of their letters, so that neighbours are alike and share close bounds.
-    picked = sorted(spread(telling[: 40 * TOXIC_MARKS], TOXIC_MARKS, 0.8))
-    n_picked_toxic = len(picked)
+    picked = sorted(words) + sorted(pairs)
+    n_toxic = len(picked)
     # Clean tokens most like the toxic landmarks, so that the machine learns where the likeness ends.
-    frequent = sorted((t for t in clean if clean[t] >= 2 and evidence(t) < 0), key=lambda t: (-clean[t], t))[:20_000]
     if picked and frequent:
         near = similarity(frequent, embedded(picked)).max(axis=1)
-        hard = [frequent[k] for k in np.argsort(-near, kind="stable")]
-        picked += spread(hard, CLEAN_MARKS, 0.8)
+        picked += spread([frequent[k] for k in np.argsort(-near, kind="stable")], CLEAN_MARKS)
     if not picked:
-        picked, n_picked_toxic = [max(toxic or clean, key=lambda t: (toxic[t], t))] if toxic or clean else [_EDGES[0] + bytes([1, 1, 1]) + _EDGES[1]], 1
+        picked, n_toxic = [_EDGES[0] + bytes([1, 1, 1]) + _EDGES[1]], 1
     marks = embedded(picked)
     values, vectors = np.linalg.eigh((marks.T @ marks).astype(np.float64))
     onto = (vectors / np.sqrt(np.maximum(values, 1e-3))).astype(np.float32)
-    model = Model(marks, n_picked_toxic, onto, np.zeros(len(picked)), 0.0, 1.0, 0.0)
-    scorer = Scorer(model, REMEMBERED // 8)  # the driver has other things to hold
-    bags = []
-    for at in range(0, len(texts), 64):
-        bags += scorer.bags(texts[at : at + 64])
-    del scorer, toxic, clean, telling, frequent
-    # A toxic text needs one toxic sentence only: first that which is most like a toxic landmark, then that which the machine picks.
-    nothing = np.zeros(len(picked), np.float32)
-    witness = [max(b, key=lambda v: v[:n_picked_toxic].max()) if b else nothing for b in bags]
-    rng = np.random.default_rng(SEED)
-    negatives = [v for b, label in zip(bags, labels, strict=True) if not label for v in b]
-    if len(negatives) > MOST_NEGATIVES:
-        negatives = [negatives[k] for k in rng.choice(len(negatives), MOST_NEGATIVES, replace=False)]
-    negatives.append(nothing)
-    for _ in range(3):
-        positives = [w for w, label in zip(witness, labels, strict=True) if label]
-        x = np.array(positives + negatives, np.float32) @ onto
-        target = np.array([1.0] * len(positives) + [-1.0] * len(negatives))
-        cost = np.full(len(target), COST)
-        model.weights, model.bias = _train_svm(x, target, cost)
-        witness = [b[int(np.argmax(model.margins(np.array(b))))] if b else nothing for b in bags]
-    model.slope, model.offset = _logistic(model.margins(np.array(witness)), y)
-    return model
+    parts = tuple([_EDGES[0] + by_piece[p][side] + _EDGES[1] for p in sorted(pairs)] for side in (0, 1))
+    return Model(marks, n_toxic, onto, np.zeros(len(picked)), 0.0, 1.0, 0.0, parts)
+
+
+def constant(share: float) -> Model:
+    """A model that scores every text by the share of toxic ones."""
+    share = float(np.clip(share, 1e-6, 1 - 1e-6))
+    return Model(np.zeros((_LETTERS**3, 1), np.float32), 1, np.eye(1, dtype=np.float32), np.zeros(1), 0.0, 1.0, float(np.log(share / (1 - share))))
 
 
 def held_out(id_col: str = "doc_id"):  # noqa: ANN201
@@ -356,18 +392,120 @@ def held_out(id_col: str = "doc_id"):  # noqa: ANN201
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from labels (doc_id, toxic) and docs (doc_id, text), held-out rows apart; at most SAMPLE_TOXIC and SAMPLE_CLEAN documents.
+def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text, toxic of the labelled documents that training uses, held-out ones apart, in the shared folder.
 
-    Of an id that has both labels the toxic one counts. The sample's ids, at most 6000, are broadcast.
+    Documents of each label come in order of a hash of their id, SAMPLE_TOXIC and SAMPLE_CLEAN at most, and while their whole texts
+    come to no more than half of SAMPLE_CHARS. Of an id that has both labels the toxic one counts, of one that has several texts the greatest.
     """
-    known = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    known = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     draw = F.xxhash64("doc_id")
-    parts = [known.where("toxic > 0").orderBy(draw, "doc_id").limit(SAMPLE_TOXIC), known.where("toxic <= 0").orderBy(draw, "doc_id").limit(SAMPLE_CLEAN)]
-    sample = parts[0].union(parts[1])
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text")).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    return fit([r["text"] for r in rows], [int(r["toxic"] > 0) for r in rows])
+    parts = [known.where(f"toxic = {c}").orderBy(draw, "doc_id").limit(n) for c, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
+    # At most SAMPLE_TOXIC + SAMPLE_CLEAN ids.
+    few = F.broadcast(parts[0].union(parts[1]))
+    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text")).join(few, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text")), "labelled")
+    before = F.sum("n").over(Window.partitionBy("toxic").orderBy(draw, "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    fits = rows.select("doc_id", "toxic", F.length("text").alias("n")).withColumn("sum", before).where(f"sum <= {SAMPLE_CHARS // 2}").select("doc_id")
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    kept = stored(rows.join(F.broadcast(fits), "doc_id").repartition(2 * cores, "doc_id"), "sample")
+    forget(rows)
+    return kept
+
+
+def _counted(sample: DataFrame) -> DataFrame:
+    """a, b, n_toxic, n_clean: in how many documents of each label a piece is (b null), or a pair of neighbouring tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for labels, texts in slices(batches, 16):
+            for label, text in zip(labels, texts, strict=True):
+                single, pairs = pieces_of(text)
+                one, two = [*single, *(p[0] for p in pairs)], [*([None] * len(single)), *(p[1] for p in pairs)]
+                yield pa.RecordBatch.from_arrays([pa.array(one, pa.binary()), pa.array(two, pa.binary()), pa.array([label] * len(one), pa.int32())], names=["a", "b", "toxic"])
+
+    rows = sample.select("toxic", "text").mapInArrow(run, "a binary, b binary, toxic int")
+    return rows.groupBy("a", "b").agg(F.sum("toxic").alias("n_toxic"), F.sum(1 - F.col("toxic")).alias("n_clean"))
+
+
+def _sentences(sample: DataFrame, model: Model) -> DataFrame:
+    """doc_id, toxic, v, near of every sentence of the sample that resembles a toxic landmark: its similarities, and the greatest of them to such."""
+    sent = sample.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(sent.value, REMEMBERED // 4)
+        for ids, labels, texts in slices(batches, 32):
+            rows = [(i, y, v) for i, y, bag in zip(ids, labels, scorer.bags(texts), strict=True) for v in bag]
+            if rows:
+                near = [float(v[: scorer.model.n_toxic].max()) for _, _, v in rows]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2].tobytes() for r in rows], pa.binary()), pa.array(near, pa.float32())], names=["doc_id", "toxic", "v", "near"])
+
+    return sample.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, v binary, near float")
+
+
+def _margins(sentences: DataFrame, model: Model) -> DataFrame:
+    """sentences with margin."""
+    sent = sentences.sparkSession.sparkContext.broadcast((model.map @ model.weights, model.bias))
+    at, schema = sentences.columns.index("v"), T.StructType([*sentences.schema, T.StructField("margin", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        onto, bias = sent.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                vs = part.column(at).to_pylist()
+                margins = np.frombuffer(b"".join(vs), np.float32).reshape(len(vs), -1) @ onto + bias
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(margins, pa.float64())], names=[*part.schema.names, "margin"])
+
+    return sentences.mapInArrow(run, schema)
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """A model from labels (doc_id, toxic) and docs (doc_id, text), held-out rows apart, from a bounded sample (see _sample).
+
+    A toxic document's sentences that hold a toxic landmark are taken to be toxic, or else the one that is most like one, since it needs
+    one such sentence only. Without documents of both labels every score is the share of toxic ones (0 without any).
+    """
+    sample = _sample(docs, labels)
+    n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
+    if not n_toxic or not n_clean:
+        forget(sample)
+        return constant(n_toxic / max(n_toxic + n_clean, 1))
+    counted = stored(_counted(sample).withColumn("evidence", F.col("n_toxic") / n_toxic - 3 * F.col("n_clean") / n_clean), "pieces")
+    single = counted.where("b is null")
+    best = single.where(f"n_toxic >= {LEAST_SEEN} and evidence > 0 and length(a) > 4").orderBy(F.desc("evidence"), "a").limit(40 * TOXIC_MARKS)
+    common = single.where("n_clean >= 2 and evidence < 0").orderBy(F.desc("n_clean"), "a").limit(20_000)
+    # A pair counts where it tells more than either word alone.
+    edged = [single.select(F.expr(f"substring(a, 2, length(a) - 2)").alias(c), F.col("evidence").alias(f"of_{c}")) for c in ("a", "b")]
+    pairs = counted.where(f"b is not null and n_toxic >= {LEAST_PHRASE * n_toxic} and evidence > 0").join(edged[0], "a", "left").join(edged[1], "b", "left")
+    pairs = pairs.where("evidence > 2 * greatest(coalesce(of_a, 0), coalesce(of_b, 0))").orderBy(F.desc("evidence"), "a", "b").limit(40 * PHRASE_MARKS)
+    model = landmarks([bytes(r["a"]) for r in best.select("a").collect()], [(bytes(r["a"]), bytes(r["b"])) for r in pairs.select("a", "b").collect()], [bytes(r["a"]) for r in common.select("a").collect()])
+    sentences = stored(_sentences(sample, model), "sentences")
+    draw = F.xxhash64("doc_id", "v")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("near"), "v")) == 1
+    positive = sentences.where("toxic = 1").withColumn("first", first).where(f"first or near >= {HOLDS}").orderBy(F.desc("first"), draw, "doc_id", "v").limit(MOST_POSITIVES)
+    clean = sentences.where("toxic = 0")
+    nothing = np.zeros((1, model.marks.shape[1]), np.float32)
+
+    def table(rows: DataFrame) -> np.ndarray:
+        return np.frombuffer(b"".join(bytes(r["v"]) for r in rows.select("v").collect()), np.float32).reshape(-1, model.marks.shape[1])
+
+    positives, negatives = table(positive), np.concatenate([nothing, table(clean.orderBy(draw, "doc_id", "v").limit(MOST_NEGATIVES // 2))])
+    hardest = negatives[:0]
+    for turn in range(ROUNDS):
+        if turn:
+            hardest = table(_margins(clean, model).orderBy(F.desc(F.round("margin", 4)), draw, "doc_id", "v").limit(MOST_NEGATIVES // 2))
+        x = np.concatenate([positives, negatives, hardest])
+        toxic = np.arange(len(x)) < len(positives)
+        model.weights, model.bias = _train_svm(x @ model.map, np.where(toxic, 1.0, -1.0), np.where(toxic, COST, COST_CLEAN))
+    # Documents without a sentence have the margin of nothing.
+    ends = [(r["toxic"], r["margin"]) for r in _margins(sentences, model).groupBy("doc_id", "toxic").agg(F.max("margin").alias("margin")).collect()]
+    least = float(model.margins(nothing)[0])
+    ends += [(c, least) for c, total in ((1, n_toxic), (0, n_clean)) for _ in range(total - sum(y == c for y, _ in ends))]
+    y = np.array([float(y) for y, _ in ends])
+    # Toxic documents are rare: one counts for as many clean ones as there are to it, to the power of BALANCE.
+    model.slope, model.offset = _logistic(np.array([m for _, m in ends]), y, np.where(y > 0, (n_clean / n_toxic) ** BALANCE, 1.0))
+    forget(sample, counted, sentences)
+    return model
 
 
 def rated(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
