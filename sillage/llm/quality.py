@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sillage.llm.common import read, slices, stored, whole, words
@@ -30,6 +30,8 @@ MOST_CHARS, SHORT_CHARS, MOST_WORDS = 0.12, 1.2, 0.36
 
 #: Digits count so many to one: numbers, which clean short texts have as well, say little about language.
 DIGITS_TOGETHER = 4
+#: Steps in which shares are counted for the medians.
+BINS = 1 << 12
 CLASSES = ("vowel", "consonant", "capital", "digit", "space", "stop", "mark", "symbol", "bar", "control", "beyond")
 
 
@@ -116,44 +118,93 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _TYPES, strict=True)], names=_NAMES)
 
 
-def distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance, 0 to 1, of two histograms; 0 where one of them is empty."""
+def _bins(counts: np.ndarray) -> np.ndarray:
+    """Shares of histograms (rows) as whole numbers of 1 / BINS."""
+    return np.floor(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1) * BINS + 0.5).astype(np.int64)
 
-    def share(h: Column) -> Column:
-        total = F.aggregate(h, F.lit(0.0), lambda s, x: s + x)
-        return F.transform(h, lambda x: x / F.when(total > 0, total))
 
-    def part(a: Column, b: Column) -> Column:
-        return F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0)
+def distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distance, 0 to 1, of histograms row by row; 0 where one of them is empty."""
+    some = (p.sum(axis=1) > 0) & (q.sum(axis=1) > 0)
+    p, q = (x / np.maximum(x.sum(axis=1, keepdims=True), 1e-300) for x in (p, q))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        terms = np.where(p > 0, p * np.log2(2 * p / (p + q)), 0) + np.where(q > 0, q * np.log2(2 * q / (p + q)), 0)
+    return np.where(some, np.sqrt(np.maximum(terms.sum(axis=1) / 2, 0)), 0.0)
 
-    terms = F.zip_with(share(p), share(q), lambda a, b: part(a, b) + part(b, a))
-    return F.coalesce(F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2)), F.lit(0.0))
+
+def _rows(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+_WIDTHS = {"classes": len(CLASSES), "common": len(WORDS) + 1}
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, place, bin, n: how many texts of a language have that share of a class or word. Batches are lang, whether either histogram is long enough, and both."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        langs = batch.column(0).dictionary_encode()
+        code = langs.indices.fill_null(len(langs.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+        names = [*langs.dictionary.to_pylist(), None]
+        first = 0
+        for k, (name, width) in enumerate(_WIDTHS.items()):
+            counts = _rows(batch.column(3 + k), width)
+            use = batch.column(1 + k).to_numpy(zero_copy_only=False) & (counts.sum(axis=1) > 0)
+            keys = (code[use, None] * width + np.arange(width)) * (BINS + 1) + _bins(counts[use])
+            found, n = np.unique(keys, return_counts=True)
+            place = found // (BINS + 1)
+            yield pa.RecordBatch.from_arrays([pa.array([names[c] for c in (place // width).tolist()], pa.string()), pa.array(place % width + first, pa.int32()), pa.array(found % (BINS + 1), pa.int32()), pa.array(n, pa.int64())], names=["lang", "place", "bin", "n"])
+            first += width
+
+
+def references(measured: DataFrame) -> DataFrame:
+    """ref_lang, ref: by language the median share of each class, then of each common word, over all texts that pass the base rules.
+
+    Shares are counted in steps of 1 / BINS, so that the medians (the lower one of two) are exact for these whatever the order of
+    rows, and a language's table has BINS + 1 rows for each share at most.
+    """
+    enough = [F.col("word_chars") >= GUARD_CHARS, F.col("n_words") >= GUARD_WORDS]
+    counted = measured.where("not base_failed").select("lang", *enough, "classes", "common").mapInArrow(_tally, "lang string, place int, bin int, n long").groupBy("lang", "place", "bin").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("lang", "place").orderBy("bin"))
+    total = F.sum("n").over(Window.partitionBy("lang", "place"))
+    medians = counted.withColumn("upto", upto).withColumn("total", total).where("2 * upto >= total").groupBy("lang", "place").agg(F.min("bin").cast("double").alias("share"))
+    return medians.groupBy(F.col("lang").alias("ref_lang")).agg(F.map_from_entries(F.collect_list(F.struct("place", "share"))).alias("shares")).select("ref_lang", F.transform(F.sequence(F.lit(0), F.lit(sum(_WIDTHS.values()) - 1)), lambda k: F.coalesce(F.try_element_at("shares", k), F.lit(0.0))).alias("ref"))
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    width = sum(_WIDTHS.values())
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ref = _rows(batch.column(batch.num_columns - 1).fill_null(pa.scalar([0.0] * width, batch.column(batch.num_columns - 1).type)), width)
+        out = list(batch.columns[:-5])
+        first = 0
+        for k, (name, n) in enumerate(_WIDTHS.items()):
+            use = batch.column(batch.num_columns - 5 + k).to_numpy(zero_copy_only=False)
+            got = distances(_rows(batch.column(batch.num_columns - 3 + k), n).astype(np.float64), ref[:, first : first + n])
+            out.append(pa.array(np.where(use, got, 0.0), pa.float64()))
+            first += n
+        yield pa.RecordBatch.from_arrays(out, names=[*batch.schema.names[:-5], "class_distance", "word_distance"])
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Counts of the base rules, both distances, base_failed and kept for every row of docs.
 
-    A language's reference is the median share of each class or word over all its texts that pass the base rules, so that it covers
-    the whole table and junk, while less than half of it, doesn't move it; rows without a language share one reference. Texts too short for a histogram are judged by the base rules alone.
-    Null texts are empty (and fail the base rules), null ids stay null, repeated rows repeat, other columns are ignored.
+    A language's reference is the median share of each class or word over all its texts that pass the base rules, the judged one
+    among them, so that it covers the whole table and junk, while less than half of it, doesn't move it; rows without a language share
+    one reference. Texts too short for a histogram are judged by the base rules alone. Null texts are empty (and fail the base
+    rules), null ids stay null, repeated rows repeat, other columns are ignored, an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), whole(text_col).alias("text"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     measured = stored(rows.mapInArrow(_measure, _DDL).withColumn("base_failed", failed), "measured")
-    long_enough = {"classes": F.col("word_chars") >= GUARD_CHARS, "common": F.col("n_words") >= GUARD_WORDS}
-
-    def medians(c: str, n: int) -> Column:
-        total = F.aggregate(F.col(c), F.lit(0.0), lambda s, x: s + x)
-        shares = (F.when(long_enough[c] & (total > 0), F.col(c)[i] / total) for i in range(n))
-        return F.array(*(F.coalesce(F.percentile_approx(x, 0.5, 1000), F.lit(0.0)) for x in shares)).alias(f"ref_{c}")
-
-    references = stored(measured.where("not base_failed").groupBy(F.col("lang").alias("ref_lang")).agg(medians("classes", len(CLASSES)), medians("common", len(WORDS) + 1)), "references")
-    met = measured.join(references, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
-    by_class = F.when(long_enough["classes"], distance(F.col("classes"), F.col("ref_classes"))).otherwise(0.0)
-    by_word = F.when(long_enough["common"], distance(F.col("common"), F.col("ref_common"))).otherwise(0.0)
-    met = met.withColumn("class_distance", F.coalesce(by_class, F.lit(0.0))).withColumn("word_distance", F.coalesce(by_word, F.lit(0.0)))
+    met = measured.join(stored(references(measured), "references"), F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
+    counts = [n for n in _NAMES if n not in ("lang", "classes", "common")]
+    ddl = ", ".join(f"{n} long" for n in counts) + ", base_failed boolean, class_distance double, word_distance double"
+    met = met.select(*counts, "base_failed", F.col("word_chars") >= GUARD_CHARS, F.col("n_words") >= GUARD_WORDS, "classes", "common", "ref").mapInArrow(_compare, ddl)
     kept = ~F.col("base_failed") & (F.col("class_distance") <= MOST_CHARS + SHORT_CHARS / F.sqrt(F.greatest(F.col("word_chars"), F.lit(1)))) & (F.col("word_distance") <= MOST_WORDS)
-    return met.select(*(n for n in _NAMES if n not in ("lang", "classes", "common")), "base_failed", kept.alias("kept"), "class_distance", "word_distance")
+    return met.select(*counts, "base_failed", kept.alias("kept"), "class_distance", "word_distance")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -18,12 +19,16 @@ KINDS = ("assign", "access", "hex", "novel")
 _ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-#: What makes a context sensitive, lower case, and how far before a candidate it may stand.
+#: What makes a context sensitive, lower case, and how far before or after a candidate it may stand.
 SENSITIVE = ("passw", "secret", "token", "key", "auth", "bearer", "credential", "private", "signature", "session", "cookie", "pwd")
 _SENSITIVE = re.compile("(?ai)" + "|".join(SENSITIVE))
 NEAR = 48
-#: Candidates: so many characters at least, with letters and digits; each must cost so many bytes for each of its own.
-LEAST_LENGTH, LEAST_NOVELTY = 16, 0.6
+#: Candidates: so many characters at least; each must cost so many bytes for each of its own. Those of letters and digits are told from
+#: prose by that alone. Those of letters alone must cost more, since words that the dictionary lacks cost much as well, and have
+#: capitals inside, as no word has; those before a sensitive word, or where one is only near, must cost more, too.
+LEAST_LENGTH, LEAST_NOVELTY, LEAST_OF_LETTERS, LEAST_BEFORE = 16, 0.6, 0.8, 0.8
+#: Capitals that start no word of three letters or more: so many of them, for each letter, has a candidate of letters alone.
+LEAST_CAPITALS = 0.12
 _CHARS = "A-Za-z0-9+/_-"
 _PADDED = rf"[{_CHARS}]{{{LEAST_LENGTH},}}(?:={{1,2}}(?![={_CHARS}]))?"
 #: A value, which may follow '='; a value joined to a sensitive word by a separator; a run with any '=' inside.
@@ -78,8 +83,8 @@ def base_spans(text: str, lowered: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def _candidates(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of what stands near a sensitive word, each once.
+def _candidates(text: str) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, whether a sensitive word stands before) of what stands near a sensitive word; each once or, on both sides of such words, twice.
 
     A value may start anywhere after '=', or at a separator behind the word itself; of words in one value only the first and the
     last count, so that no text is read again for each of its words.
@@ -92,13 +97,40 @@ def _candidates(text: str) -> Iterator[tuple[int, int]]:
             m = _JOINED.match(text, after)
             if m:
                 until = m.end()
-                yield m.span(1)
+                yield *m.span(1), True
         # A candidate that starts in time shows by then; it is taken to its own end, wherever the window ends.
         for pattern in (_VALUE, _RUN):
             for m in pattern.finditer(text, after, after + NEAR + LEAST_LENGTH):
                 if (pattern, m.start()) not in tried:
                     tried.add((pattern, m.start()))
-                    yield pattern.match(text, m.start()).span()
+                    yield *pattern.match(text, m.start()).span(), True
+    if words:
+        # Before a word: one pass over the text, each value against the next word that begins after it.
+        nth = 0
+        for m in _VALUE.finditer(text):
+            while nth < len(words) and words[nth][0] < m.end():
+                nth += 1
+            if nth == len(words):
+                break
+            if words[nth][0] - m.end() <= NEAR and (_VALUE, m.start()) not in tried:
+                yield *m.span(), False
+
+
+def _novel_letters(word: str) -> bool:
+    """Whether capitals lie in a run of letters as no name has them: inside, and before fewer than two small letters."""
+    odd = len(re.findall("(?<=[A-Za-z])[A-Z](?![a-z]{2})", word))
+    return bool(re.search("[a-z]", word)) and odd >= LEAST_CAPITALS * len(word)
+
+
+def _joined(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Where spans lie, as stretches that don't overlap, in order."""
+    out: list[tuple[int, int]] = []
+    for start, _, end in sorted(spans):
+        if out and start < out[-1][1]:
+            out[-1] = out[-1][0], max(end, out[-1][1])
+        else:
+            out.append((start, end))
+    return out
 
 
 def novel_spans(text: str, lowered: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -109,11 +141,14 @@ def novel_spans(text: str, lowered: str, known: list[tuple[int, int, int]]) -> l
     if not any(k in lowered for k in SENSITIVE):
         return []
     novel = set()
-    for start, end in _candidates(text):
+    taken = _joined(known)
+    for start, end, behind in _candidates(text):
         word = text[start:end]
-        if (start, end) in novel or not (re.search("[0-9]", word) and re.search("[A-Za-z]", word)) or any(a < end and start < b for a, _, b in known):
+        mixed = bool(re.search("[0-9]", word) and re.search("[A-Za-z]", word))
+        if (start, end) in novel or not (mixed or _novel_letters(word)) or ((at := bisect.bisect_left(taken, (end, 0))) and taken[at - 1][1] > start):
             continue
-        if novelty(text[max(0, start - AROUND) : start], word, text[end : end + AROUND]) >= LEAST_NOVELTY:
+        least = max(LEAST_NOVELTY, 0 if mixed else LEAST_OF_LETTERS, 0 if behind else LEAST_BEFORE)
+        if novelty(text[max(0, start - AROUND) : start], word, text[end : end + AROUND]) >= least:
             novel.add((start, end))
     found: list[tuple[int, int, int]] = []
     for start, end in sorted(novel, key=lambda s: (s[0], -s[1])):
