@@ -6,6 +6,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -74,6 +75,7 @@ class Bpe:
         end = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in d["added_tokens"]}
         self.tokens = {i: t for t, i in [*vocab.items(), *self.special.items()]}
+        self.numbers = {i: str(i) for i in self.tokens}
         self.rank: dict[int, int] = {}
         self.into: list[int] = []
         for r, pair in enumerate(model["merges"]):
@@ -86,7 +88,6 @@ class Bpe:
         split = next(p for p in d["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"\s", _SPACE.pattern[1:-2]))
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.mark = min((s[:2] for s in self.special), default="\0")
         self.pieces, self.words = Memory(self.piece, REMEMBERED_PIECES), Memory(self.word, REMEMBERED)
         order = sorted(self.rank)
         self.pair_keys = np.array(order, np.int64)
@@ -198,17 +199,13 @@ class Bpe:
         flat, ends = ids[:, : size + 1][live].tolist(), np.cumsum(live.sum(axis=1)).tolist()
         return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
-    def _entry(self, ids: list[int]) -> tuple[int, str, str]:
-        """How many ids, the ids as text, and their tokens as text, each joined by one space."""
-        return len(ids), " ".join(map(str, ids)), " ".join([self.tokens[i] for i in ids])
-
-    def piece(self, piece: str) -> tuple[int, str, str]:
-        return self._entry(self.merged(piece))
+    def piece(self, piece: str) -> list[int]:
+        return self.merged(piece)
 
     def cut(self, word: str) -> list[str]:
         """Pieces of a run without white space; special tokens are pieces of their own."""
         out: list[str] = []
-        for part in self.specials.split(word) if self.mark in word and self.specials else (word,):
+        for part in self.specials.split(word) if self.specials else (word,):
             if part in self.special:
                 out.append(part)
             elif part:
@@ -220,10 +217,10 @@ class Bpe:
                 out += self.pattern.findall(part)
         return out
 
-    def word(self, word: str) -> tuple[int, str, str]:
+    def word(self, word: str) -> list[int]:
         # No piece of the pattern holds a whole special token, so that names tell them apart.
-        parts = [self._entry([self.special[p]]) if p in self.special else self.pieces[p] for p in self.cut(word)]
-        return parts[0] if len(parts) == 1 else (sum(p[0] for p in parts), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts]))
+        parts = [[self.special[p]] if p in self.special else self.pieces[p] for p in self.cut(word)]
+        return parts[0] if len(parts) == 1 else [i for p in parts for i in p]
 
     def learn(self, words: Iterable[str]) -> None:
         """Remember the pieces of all words that aren't known yet, merged together by size."""
@@ -233,12 +230,12 @@ class Bpe:
             n = len(p.encode("utf-8", "surrogatepass"))
             if n <= LONGEST_TOGETHER:
                 groups.setdefault(1 << (max(n - 2, 0)).bit_length(), []).append(p)
-        made = {p: self._entry(ids) for size, group in groups.items() for p, ids in zip(group, self.merged_together([p.encode("utf-8", "surrogatepass") for p in group], size), strict=True)}
-        for p, entry in made.items():
-            self.pieces.keep(p, entry)
+        made = {p: ids for size, group in groups.items() for p, ids in zip(group, self.merged_together([p.encode("utf-8", "surrogatepass") for p in group], size), strict=True)}
+        for p, ids in made.items():
+            self.pieces.keep(p, ids)
         for w, parts in cut.items():
-            entries = [made.get(p) or (self._entry([self.special[p]]) if p in self.special else self.pieces[p]) for p in parts]
-            self.words.keep(w, entries[0] if len(entries) == 1 else (sum(p[0] for p in entries), " ".join([p[1] for p in entries]), " ".join([p[2] for p in entries])))
+            found = [made.get(p) or ([self.special[p]] if p in self.special else self.pieces[p]) for p in parts]
+            self.words.keep(w, found[0] if len(found) == 1 else [i for f in found for i in f])
 
     def forget(self) -> None:
         """Free what was remembered: a task's words are learned within its first few thousand rows, and workers outlive tasks."""
@@ -249,26 +246,27 @@ class Bpe:
     def _split(self, text: str) -> list[str]:
         return [w for w in _SPACE.split(text) if w] if _OTHERS.search(text) else text.split()
 
-    def encode_all(self, texts: list[str]) -> Iterator[list[tuple[int, str, str]]]:
-        """Of each text the entries of its words that have ids."""
+    def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
+        """The ids of each text."""
         split = [self._split(t) for t in texts]
         self.learn(set().union(*split))
         words = self.words
         for ws in split:
-            yield [x for x in [words[w] for w in ws] if x[0]]
+            yield list(chain.from_iterable([words[w] for w in ws]))
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for entries in self.encode_all([text]) for x in entries for i in x[1].split(" ")]
+        return next(self.encode_all([text]))
 
-    def decode(self, ids: list[int]) -> str:
-        """Without a decoder of its own, a vocabulary's tokens are joined by one space; special ones stay."""
-        tokens = self.tokens
-        return " ".join(tokens[i] for i in ids if i in tokens)
+    def listed(self, ids: list[int]) -> str:
+        """ids as decimal numbers joined by one space."""
+        return " ".join(map(self.numbers.__getitem__, ids))
 
-    def both(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
-        """Of each text how many ids, the ids joined by one space, and what decode() makes of them."""
-        for entries in self.encode_all(texts):
-            yield sum([x[0] for x in entries]), " ".join([x[1] for x in entries]), " ".join([x[2] for x in entries])
+    def decode(self, ids: list[int]) -> str:
+        """Without a decoder of its own, a vocabulary's tokens are joined by one space; special ones stay, ids outside the vocabulary don't."""
+        try:
+            return " ".join(map(self.tokens.__getitem__, ids))
+        except KeyError:
+            return " ".join([self.tokens[i] for i in ids if i in self.tokens])
 
 
 _made: dict[str, Bpe] = {}
@@ -299,8 +297,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _of(described.value)
         for keys, texts in slices(batches, TOGETHER):
-            ids = [[int(i) for x in entries for i in x[1].split(" ")] for entries in bpe.encode_all(texts)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(list(bpe.encode_all(texts)), pa.list_(pa.int32()))], names=["doc_id", "ids"])
         bpe.forget()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -319,13 +316,16 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 
 def encode_decode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, and digests of the ids and of the text that they decode to, in one pass and without keeping either."""
+    """doc_id, n_tokens, and digests of the ids and of the text that decoding these ids gives, in one pass and without keeping either.
+
+    Null and empty texts have no ids; null ids of documents stay null; rows are independent, so repeated rows repeat; other columns are ignored.
+    """
     described = _load(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _of(described.value)
         for keys, texts in slices(batches, TOGETHER):
-            made = [(n, _sha(ids), _sha(decoded)) for n, ids, decoded in bpe.both(texts)]
+            made = [(len(ids), _sha(bpe.listed(ids)), _sha(bpe.decode(ids))) for ids in bpe.encode_all(texts)]
             columns = [pa.array(c, t) for c, t in zip((keys, *zip(*made, strict=True)), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         bpe.forget()

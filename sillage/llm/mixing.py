@@ -85,7 +85,7 @@ def _quota(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
     sized has source, size and draw. Both tables are in the shared folder.
     """
     sources = stored(source_targets(sized), "sources")
-    shards = F.greatest(F.lit(1), F.ceil(sized.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).select(F.col("n") / SHARD).scalar()))
+    shards = F.greatest(F.lit(1), F.ceil(sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("n")).select(F.col("n") / SHARD).scalar()))
     met = sized.select("source", "size", F.pmod(F.xxhash64(F.lit(SEED + 1), F.col("draw")), shards).cast("long").alias("shard")).join(sources.select(F.col("source").alias("s"), "place"), F.col("source").eqNullSafe(F.col("s")))
     cells = met.groupBy("shard", "place").agg(F.sum("size").alias("words")).where("words > 0")
     gathered = sources.groupBy().agg(F.collect_list(F.struct("place", F.col("source_size").alias("words"), "target")).alias("sources"))

@@ -43,9 +43,10 @@ def by_rules(urls: DataFrame, rules: tuple = RULES) -> DataFrame:
     return out
 
 
-def shape(h: Column, p: Column) -> Column:
-    """Host and path in the alphabet of the models, digits in a row as one."""
-    lowered = F.translate(F.concat(h, p), _UPPER, _LOWER)
+def shape(url: Column) -> Column:
+    """A URL in the alphabet of the models: what follows :// or, without it, all; query and fragment included; digits in a row as one."""
+    rest = F.regexp_replace(F.coalesce(url, F.lit("")), r"(?s)^.*?://", "")
+    lowered = F.translate(rest, _UPPER, _LOWER)
     return F.concat(F.lit("^" * ORDER), F.regexp_replace(F.regexp_replace(lowered, "[0-9]+", "0"), "[^a-z0./-]", "_"), F.lit("$"))
 
 
@@ -109,8 +110,7 @@ def judge(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     null, repeated rows repeat, other columns are ignored, an empty table gives no rows. The models learn from the URLs
     that rules decide, each shape once, so that no host's many pages outweigh the rest.
     """
-    urls = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    urls = by_rules(urls, rules).withColumn("shape", shape(F.col("host"), F.col("path")))
+    urls = by_rules(pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), shape(F.col("url")).alias("shape")), rules)
     # Hosts differ in digits, too; of a shape's verdicts the greater counts.
     shapes = stored(urls.groupBy("shape").agg(F.max("listed").alias("listed")), "shapes")
     scored, threshold = scores(shapes)

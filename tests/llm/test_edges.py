@@ -42,6 +42,67 @@ def test_documents(docs, name):
     assert OPERATORS[name](docs.limit(0)).count() == 0
 
 
+#: Columns with the names that operators use inside.
+INSIDE = "_id long, _id_0 long, _dropped long, _th_0 long, _size int, _size_0 int, _taken int, _taken_0 int, _draw_0 long, th long, h long, a long, b long, c long, shard int, draw long, taken int, target double, source_size long, digest string, media binary, html string, lang_ string, ref string, v binary, near double, toxic_ int, data binary, record string, chunk int, sha256 binary, level int, spans string"
+
+
+@pytest.mark.parametrize("name", [*OPERATORS, "without_near_duplicates", "mixed", "without_toxic"])
+def test_inside_names(spark, docs, name):
+    """Extra columns named like those inside: the same rows as without them."""
+    fields = [f.strip().split(" ") for f in INSIDE.split(",")]
+    made = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    named = made.withColumns({c: F.lit(None).cast(t) for c, t in fields})
+    run = OPERATORS.get(name) or {"without_near_duplicates": near_dedup.without_near_duplicates, "mixed": mixing.mixed, "without_toxic": lambda d: toxicity.without_toxic(d, toxicity.constant(0.1))}[name]
+    assert by_row(run(named), "doc_id") == by_row(run(made), "doc_id")
+
+
+def test_rows_of_one_id_keep_their_own_links(spark):
+    """Different texts under one id: each is linked with what is like it."""
+    a, b = (" ".join(f"{c}{k}" for k in range(80)) for c in "ab")
+    near = lambda t: t.replace("40", "x")
+    rows = [(1, a), (1, b), (5, near(a)), (6, near(b)), (None, a), (2, near(a) + " z"), (2, "other words altogether here now"), (2, "other words altogether here now")]
+    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1, True), (1, 1, True), (5, 1, False), (6, 1, False), (None, None, True), (2, 1, False), (2, 2, True), (2, 2, True)], key=str)
+    left = near_dedup.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert by_row(left, "doc_id", "text") == sorted([(1, a), (1, b), (None, a), (2, "other words altogether here now"), (2, "other words altogether here now")], key=str)
+
+
+@pytest.mark.parametrize("edges", [[(k, k + 1) for k in range(2000)], [(k, 2000 - k) for k in range(1000)] + [(2000 - k, k + 1) for k in range(1000)], [(0, k) for k in range(1, 300)] + [(7, 7), (None, 3)]])
+def test_chains_end_in_few_rounds(spark, monkeypatch, edges):
+    from sillage.llm import components
+
+    steps = []
+    stored = components.stored
+    monkeypatch.setattr(components, "stored", lambda df, tag: steps.append(tag) or stored(df, tag))
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert set(got.values()) == {0} and steps.count("pointers") <= 20
+
+
+def test_mixing_spreads_rows_without_id(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD", 1 << 10)
+    rows = [(None, f"w{k} " * 40, "ab"[k % 2]) for k in range(200)] + [(7, f"v{k} " * 40, "c") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = mixing.mix(docs).collect()
+    for source in "abc":
+        of = [r for r in taken if r["source"] == source]
+        assert abs(sum(r["taken"] for r in of) - of[0]["target"]) <= mixing.BLOCK
+    words = sum(len(r["text"].split()) for r in mixing.mixed(docs).collect())
+    assert words == sum(r["taken"] for r in taken)
+    shards = docs.select((F.pmod(F.xxhash64(F.lit(mixing.SEED + 1), mixing._drawn(docs, "doc_id", "text", "source")["draw"]), F.lit(16))).alias("s")).distinct().count()
+    assert shards > 8
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from sillage.llm import common
+
+    nothing = SimpleNamespace(get=lambda *a: None)
+    cluster = SimpleNamespace(conf=nothing, sparkContext=SimpleNamespace(getConf=lambda: nothing, master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.scratch(cluster)
+
+
 def test_near_dedup_rules(docs):
     got = {r["doc_id"]: r for r in near_dedup.near_duplicates(docs).collect()}
     assert got[None]["component_id"] is None and got[None]["kept"]

@@ -219,7 +219,7 @@ def test_op4(spark, sf):
         host, path = (m[1].translate({k: k + 32 for k in range(65, 91)}), m[2]) if m else ("", "")
         fits = [(len(h + p), h + p, v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         rule = max(fits, default=(0, None, None))
-        shape = "^^^" + re.sub("[^a-z0./-]", "_", re.sub("[0-9]+", "0", (host + path).lower())) + "$"
+        shape = "^^^" + re.sub("[^a-z0./-]", "_", re.sub("[0-9]+", "0", url.split("://", 1)[-1].lower())) + "$"
         parts[i] = host, path, rule, shape
         shapes[shape] = max(filter(None, [shapes.get(shape), rule[2]]), default=None)
         assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule[1])
@@ -250,10 +250,23 @@ def test_op4(spark, sf):
         c, k = total[order][t[:-1]], kinds[order][t[:-1]]
         return (n[order][t] + k * lower) / (c + k) if c else lower
 
-    for i, (_, _, _, s) in parts.items():
-        score = sum(math.log(p("allow", s[k - 3 : k + 1])) - math.log(p("block", s[k - 3 : k + 1])) for k in range(3, len(s))) / (len(s) - 3)
-        assert math.isclose(got[i]["score"], score, rel_tol=1e-9, abs_tol=1e-9)
-    assert {r["verdict"] for r in got.values()} <= {"allow", "block"}
+    scores = {s: sum(math.log(p("allow", s[k - 3 : k + 1])) - math.log(p("block", s[k - 3 : k + 1])) for k in range(3, len(s))) / (len(s) - 3) for s in shapes}
+    # The threshold: the step with the best mean of recalls on held-out shapes, of equals that nearest 0, of these the greater.
+    tally = Counter((math.floor(max(-8, min(8, scores[s])) * 50 + 0.5) if scores[s] >= 0 else -math.floor(-max(-8, scores[s]) * 50 + 0.5), v) for s, v in shapes.items() if v and held[s])
+    total = {v: max(1, sum(n for (_, w), n in tally.items() if w == v)) for v in ("allow", "block")}
+    best = max(((sum(n for (x, v), n in tally.items() if v == "allow" and x >= b) / total["allow"] + sum(n for (x, v), n in tally.items() if v == "block" and x < b) / total["block"], -abs(b), b) for b in {x for x, _ in tally}), default=(0, 0, None))[2]
+    threshold = 0.0 if best is None else (best - 0.5) / 50
+    for i, (_, _, rule, s) in parts.items():
+        assert math.isclose(got[i]["score"], scores[s], rel_tol=1e-9, abs_tol=1e-9)
+        assert got[i]["verdict"] == (rule[2] or ("allow" if scores[s] >= threshold else "block"))
+
+
+def test_queries_tell_urls_apart(spark):
+    """URLs that differ by their query only: the models learn from it."""
+    rows = [(k, f"http://a.org/fr/p{'x' * (k % 7)}?id={k}&clean=yes{'y' * (k % 5)}") for k in range(200)] + [(1000 + k, f"http://a.net/p{'x' * (k % 7)}?utm=casino{'z' * (k % 6)}") for k in range(200)]
+    asked = [(5000, "http://b.com/p?id=3&clean=yes"), (5001, "http://b.com/p?utm=casino"), (5002, "casino"), (5003, "clean=yes")]
+    got = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(rows + asked, "page_id long, url string")).collect()}
+    assert got[5000]["score"] > got[5001]["score"] + 0.2 and got[5002]["verdict"] == "block" and got[5003]["verdict"] == "allow"
 
 
 def test_op5(spark, sf, documents):
@@ -277,9 +290,10 @@ def test_bpe_on_odd_texts():
     rng = random.Random(3)
     parts = [*"aAbB'sST ΣσÉßİ\x1c\x85\xa0\u200312½ẞ.,!😀é\u0338=ǅ한\n_-", "<|endoftext|>", "<|startoftext|>", "'ll", "'VE"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 50))) for _ in range(300)] + ["", "ab" * 3000]
-    for text, (n, ids, decoded) in zip(texts, own.both(texts), strict=True):
+    for text, ids in zip(texts, own.encode_all(texts), strict=True):
         want = known.encode(text, add_special_tokens=False).ids
-        assert (n, ids, decoded) == (len(want), " ".join(map(str, want)), known.decode(want, skip_special_tokens=False))
+        assert ids == want and own.decode(ids) == known.decode(want, skip_special_tokens=False)
+    assert own.decode([10**9, 320]) == own.decode([320])
     for piece in ("abcabc", "x", "hello", "aaaaaaa", "zq" * 15):
         raw = piece.encode()
         assert own.merged(piece) == own.merged_together([raw], 1 << max(len(raw) - 2, 0).bit_length())[0]
@@ -502,24 +516,56 @@ def test_repeats_with_many_words():
 INSULTS = ["idiot", "moron", "scumbag", "pathetic"]
 
 
-def test_toxicity_learns_and_tolerates():
-    rng = random.Random(2)
-    words = ["".join(rng.choice(["the", "an", "ti", "re", "er", "on", "ou", "st"]) for _ in range(rng.randint(1, 3))) for _ in range(400)]
-    texts, labels = [], []
-    for k in range(300):
-        text = [rng.choice(words) for _ in range(60)]
+def learned(spark, texts, labels):
+    """A model of texts whose ids are none that is held out."""
+    ids = [k for k in range(3 * len(texts)) if zlib.crc32(str(k).encode()) % 5][: len(texts)]
+    rows = list(zip(ids, texts, labels, strict=True))
+    return toxicity.train(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+
+
+def prose(insults, rng, words, n=300, length=60):
+    texts = []
+    for k in range(n):
+        text = [rng.choice(words) for _ in range(length)]
         if k % 3 == 0:
-            text[rng.randrange(60)] = rng.choice(INSULTS)
+            text[rng.randrange(length)] = rng.choice(insults)
         texts.append(" ".join(text) + ".")
-        labels.append(int(k % 3 == 0))
-    model = toxicity.fit(texts[:240], labels[:240])
-    scorer = toxicity.Scorer(model)
+    return texts, [int(k % 3 == 0) for k in range(n)]
+
+
+def test_toxicity_learns_and_tolerates(spark):
+    rng = random.Random(2)
+    words = ["".join(rng.choice(["the", "an", "ti", "re", "er", "on", "ou", "st"]) for _ in range(rng.randint(1, 3))) for _ in range(400)]
+    texts, labels = prose(INSULTS, rng, words)
+    scorer = toxicity.Scorer(learned(spark, texts[:240], labels[:240]))
     got = scorer.scores(texts[240:])
     assert np.mean([(s >= 0.5) == bool(y) for s, y in zip(got, labels[240:], strict=True)]) > 0.95
     odd = scorer.scores(["you idiot", "you i-d-i-o-t", "idi0t", "scumbbag", "p.a.t.h.e.t.i.c", "i d i o t", "the weather", ""])
     assert min(odd[:6]) > 0.5 > max(odd[6:])
 
 
+def test_insults_of_two_words(spark):
+    """Clean words that are an insult together, in this order, with characters inserted, too."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice(["the", "an", "ti", "re", "er", "on", "ou", "st"]) for _ in range(rng.randint(1, 3))) for _ in range(300)] + ["drop", "dead"] * 12
+    texts, labels = prose(["drop dead"], rng, words, 450, 40)
+    scorer = toxicity.Scorer(learned(spark, texts, labels))
+    odd = scorer.scores(["now drop dead all", "dr-op de.ad", "now drop all", "dead tired", "dead drop", "the weather"])
+    assert min(odd[:2]) > 0.5 > max(odd[2:])
+
+
+def test_other_alphabets(spark):
+    """Words of another script are different words, and its insults are learned."""
+    kernel = lambda a, b: float(toxicity.similarity(toxicity.codes(a), toxicity.embedded(toxicity.codes(b)))[0, 0])
+    for a, b in (("привет", "собака"), ("日本語文字列", "機械学習入門"), ("한국어", "사람들"), ("שלום", "ברכה")):
+        assert kernel(a, b) < 0.3 and kernel(a, a) > 0.99
+    rng = random.Random(4)
+    words = ["".join(rng.choice("аеиорстнвлкмд") for _ in range(rng.randint(3, 8))) for _ in range(300)]
+    texts, labels = prose(["негодяй", "мерзавец"], rng, words)
+    odd = toxicity.Scorer(learned(spark, texts, labels)).scores(["ты негодяй", "мерз-авец", "привет собака", "日本語文字列"])
+    assert min(odd[:2]) > 0.5 > max(odd[2:])
+
+
 def test_kernel_is_exact():
     """The kernel against its definition: subsequences of three letters within SPAN places, normalised."""
 
@@ -552,7 +598,9 @@ def test_op10_on_held_out_labels(spark):
     toxic = dict(zip(*(pq.read_table(f"{sf}/labels.parquet").to_pydict()[c] for c in ("doc_id", "toxic")), strict=True))
     kept = [(r["predicted"], toxic[r["doc_id"]]) for r in QUERIES["op10_toxicity"](spark, sf).collect() if r["held_out"] and toxic.get(r["doc_id"]) is not None]
     caught, left = [p for p, y in kept if y == 1], [1 - p for p, y in kept if y == 0]
-    assert len(caught) > 50 and len(left) > 500 and np.mean(caught) > 0.75 and np.mean(left) > 0.95
+    assert len(caught) > 50 and len(left) > 500 and np.mean(caught) > 0.8 and np.mean(left) > 0.96
+    # A model that knows the share of toxic documents only calls none of them toxic.
+    assert np.mean([p == y for p, y in kept]) > np.mean([y == 0 for _, y in kept]) + 0.05
 
 
 def plain_mix(spark, docs):
@@ -608,8 +656,7 @@ def test_pipeline_against_plain_stages(spark, sf, tmp_path):
     documents = dict(zip(table["doc_id"], table["text"], strict=True))
     source = dict(zip(table["doc_id"], table["source"], strict=True))
     labels = {i: y for i, y in zip(*(pq.read_table(f"{sf}/labels.parquet").to_pydict()[c] for c in ("doc_id", "toxic")), strict=True) if y is not None and zlib.crc32(str(i).encode()) % 5}
-    known = sorted(i for i in labels if i in documents)
-    scorer = toxicity.Scorer(toxicity.fit([documents[i] for i in known], [labels[i] for i in known]))
+    scorer = toxicity.Scorer(toxicity.train(spark.createDataFrame(list(documents.items()), "doc_id long, text string"), spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")))
     clean = {i: t for i, t in documents.items() if scorer.scores([t])[0] < 0.5}
     assert 0 < len(clean) < len(documents)
     _, roots = brute_components(clean)
