@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Incoming links that a page's row holds; readers take the first few.
+MOST_INCOMING = 1000
 LINKS = "from_url string, pos int, target string, anchor_text string, source_chunk string"
 
 
@@ -24,20 +26,23 @@ def outgoing(links: DataFrame) -> DataFrame:
     return _gathered(links, "from_url", [("target", "target"), ("anchor_text", "anchor_text"), ("source_chunk", "source_chunk")], "outgoing_links")
 
 
-def incoming(links: DataFrame, most: int | None = None) -> DataFrame:
-    """url, incoming_links by source and position. most keeps the first of pages that very many link to, where a reader
-    needs no more; without it all are gathered."""
-    if most:
-        first = Window.partitionBy("target").orderBy("from_url", "pos")
-        links = links.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).drop("_n")
-    return _gathered(links, "target", [("from_url", "from_page"), ("anchor_text", "anchor_text"), ("source_chunk", "source_chunk")], "incoming_links")
+def incoming(links: DataFrame, most: int = MOST_INCOMING) -> DataFrame:
+    """url, incoming_links by source and position, the first most of them, and n_incoming, how many there are.
 
+    A page that very many link to would have a row that no executor holds, so that its list ends there; the rest are rows of links.
+    The first of each page are found before the shuffle, and counts are combined before it, so a hot page is no hot task.
+    """
+    first = Window.partitionBy("target").orderBy("from_url", "pos")
+    few = links.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).drop("_n")
+    counted = links.groupBy(F.col("target").alias("url")).agg(F.count("*").alias("n_incoming"))
+    return _gathered(few, "target", [("from_url", "from_page"), ("anchor_text", "anchor_text"), ("source_chunk", "source_chunk")], "incoming_links").join(counted, "url")
 
-def with_links(pages: DataFrame, links: DataFrame) -> DataFrame:
-    """pages with outgoing_links and incoming_links; empty lists where there are none."""
-    out = pages.join(outgoing(links), "url", "left").join(incoming(links), "url", "left")
+
+def with_links(pages: DataFrame, links: DataFrame, most: int = MOST_INCOMING) -> DataFrame:
+    """pages with outgoing_links, incoming_links (the first most) and n_incoming; empty lists and 0 where there are none."""
+    out = pages.join(outgoing(links), "url", "left").join(incoming(links, most), "url", "left")
     empty_out, empty_in = (F.array().cast(f"array<struct<{x}:string,anchor_text:string,source_chunk:string>>") for x in ("target", "from_page"))
-    return out.withColumns({"outgoing_links": F.coalesce("outgoing_links", empty_out), "incoming_links": F.coalesce("incoming_links", empty_in)})
+    return out.withColumns({"outgoing_links": F.coalesce("outgoing_links", empty_out), "incoming_links": F.coalesce("incoming_links", empty_in), "n_incoming": F.coalesce("n_incoming", F.lit(0))})
 
 
 def first_of_content(pages: DataFrame, text_col: str = "text", seq_col: str = "seq") -> DataFrame:

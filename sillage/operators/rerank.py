@@ -17,20 +17,20 @@ def _by(keys: list[str], *order: Column | str):  # noqa: ANN202
     return Window.partitionBy(*keys).orderBy(*order)
 
 
-def arrived(*groups: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
+def arrived(*groups: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """All hits of the groups with seq, their order of arrival: groups in turn, each by its own seq."""
     out = None
     for n, g in enumerate(groups):
         g = g.withColumn("_group", F.lit(n))
         out = g if out is None else out.unionByName(g, allowMissingColumns=True)
-    return out.withColumn("seq", F.row_number().over(_by(keys or ["_one"], "_group", "seq")) if keys else F.col("_group").cast("long") * (1 << 40) + F.col("seq")).drop("_group")
+    return out.withColumn("seq", F.row_number().over(_by(keys, "_group", "seq")) if keys else F.col("_group").cast("long") * (1 << 40) + F.col("seq")).drop("_group")
 
 
 def record_id() -> Column:
     return F.coalesce(F.nullif(F.col("id").cast("string"), F.lit("")), F.concat(F.coalesce("url", F.lit("")), F.lit("#chunk_"), F.coalesce(F.col("chunk_index").cast("string"), F.lit("-1"))))
 
 
-def one_per_record(hits: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
+def one_per_record(hits: DataFrame, keys: list[str]) -> DataFrame:
     """The hit of the greatest score for each record, the earlier of equals; a score of 0 is as none.
 
     The winner keeps the place of the record's first hit. Where it has no boost reason, origin or rank, the first hit that came after
@@ -64,16 +64,18 @@ def origin_weight() -> Column:
     return out
 
 
-def ranked(hits: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
-    """hits with rank_score and place, from 1: by score, then origin, then rank within its search, then arrival."""
-    made = hits.withColumn("rank_score", rank_score())
-    order = _by(keys or ["_all"], F.desc("rank_score"), origin_weight().desc(), F.coalesce("_meta_rank", F.lit(9999)), "seq")
-    if keys:
-        return made.withColumn("place", F.row_number().over(order))
-    return made.withColumn("_all", F.lit(0)).withColumn("place", F.row_number().over(order)).drop("_all")
+def ranked(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """hits with rank_score and place, from 1: by score, then origin, then rank within its search, then arrival.
+
+    keys tell questions apart, and each question's hits are ranked in one task: there has to be such a key, since without it that would be all hits.
+    """
+    if not keys:
+        raise ValueError("hits are ranked by question: name the columns that tell questions apart")
+    order = _by(keys, F.desc("rank_score"), origin_weight().desc(), F.coalesce("_meta_rank", F.lit(9999)), "seq")
+    return hits.withColumn("rank_score", rank_score()).withColumn("place", F.row_number().over(order))
 
 
-def capped(placed: DataFrame, keys: list[str] = [], per_parent: int = PER_PARENT, per_url: int = PER_URL) -> DataFrame:  # noqa: B006
+def capped(placed: DataFrame, keys: list[str], per_parent: int = PER_PARENT, per_url: int = PER_URL) -> DataFrame:
     """At most per_parent hits of a parent, then of those at most per_url of a canonical URL, each by place."""
     parent = F.coalesce(F.nullif(F.col("parent"), F.lit("")), F.col("url"), F.lit(""))
     few = placed.withColumn("_p", parent).withColumn("_n", F.row_number().over(_by([*keys, "_p"], "place"))).where(F.col("_n") <= per_parent)
@@ -81,18 +83,18 @@ def capped(placed: DataFrame, keys: list[str] = [], per_parent: int = PER_PARENT
     return few.drop("_p", "_u", "_n")
 
 
-def rerank(hits: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
+def rerank(hits: DataFrame, keys: list[str]) -> DataFrame:
     """hits, with keys telling questions apart, as one ranked list for each question."""
     return capped(ranked(one_per_record(hits, keys), keys), keys)
 
 
-def hints(hits: DataFrame, keys: list[str] = [], most: int = 8) -> DataFrame:  # noqa: B006
+def hints(hits: DataFrame, keys: list[str], most: int = 8) -> DataFrame:
     """Headings and incoming anchors of each question's first hits, in order: what a rewrite may build on."""
-    first = hits.withColumn("_all", F.lit(0)).withColumn("_n", F.row_number().over(_by([*keys, "_all"], "seq"))).where(F.col("_n") <= most)
+    first = hits.withColumn("_n", F.row_number().over(_by(keys, "seq"))).where(F.col("_n") <= most)
     heading = F.array(F.array_join("hierarchy", " > "))
     anchors = F.transform(F.coalesce("incoming_links", F.array().cast("array<struct<from_page:string,anchor_text:string,source_chunk:string>>")), lambda x: x["anchor_text"])
     rows = first.select(*keys, "_n", F.posexplode(F.concat(heading, anchors)).alias("_i", "hint"))
-    return rows.where("hint <> ''").withColumn("n", F.row_number().over(Window.partitionBy(*keys, F.lit(0)).orderBy("_n", "_i"))).select(*keys, "n", "hint")
+    return rows.where("hint <> ''").withColumn("n", F.row_number().over(_by(keys, "_n", "_i"))).select(*keys, "n", "hint")
 
 
 def anchor_queries(seeds: DataFrame, keys: list[str], seeds_most: int = 12, links_most: int = 5) -> DataFrame:

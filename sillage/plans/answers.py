@@ -40,7 +40,6 @@ class Retriever:
     embed: Callable[[str], list[float] | None]
     hybrid: bool = True
     threshold: float = 0.0
-    postings: bm25.Index | None = None
 
     def search(self, questions: list[str], k: int, tag: str, boost: str | None = None, at: int = 0) -> DataFrame:
         """Hits of all questions in one pass, seq in order of question and rank."""
@@ -48,10 +47,9 @@ class Retriever:
         vectors = self.spark.createDataFrame([(n, v) for n, _, v in asked if v], "qid int, vector array<double>")
         found = index.search(self.records.where(F.col("unit").isNotNull()), vectors, k, self.threshold).withColumn("_origin", F.lit(tag)).withColumn("_score_vec", F.col("score")).withColumn("part", F.lit(0))
         if self.hybrid:
-            if self.postings is None:
-                self.postings = bm25.index(bm25.documents(self.records, "id", "text"))
             texts = self.spark.createDataFrame([(n, q) for n, q, _ in asked], "qid int, query string")
-            best = bm25.top(bm25.scores(self.postings, texts), max(8, k)).withColumnRenamed("score", "_score_bm25")
+            # At most max(8, k) rows for each question.
+            best = bm25.best(self.records, texts, max(8, k)).withColumnRenamed("score", "_score_bm25")
             words = self.records.join(F.broadcast(best), "id").withColumn("_origin", F.lit(f"{tag}-bm25")).withColumn("part", F.lit(1))
             found = found.unionByName(words, allowMissingColumns=True)
         order = Window.partitionBy(F.lit(0)).orderBy("qid", "part", "rank")
@@ -93,8 +91,8 @@ class Pipeline:
 
     def _kept(self, hits: DataFrame) -> DataFrame:
         """The first MOST_HITS of the ranked list, held on the driver side as a small table."""
-        rows = rerank.rerank(both_scores(hits)).orderBy("place").limit(MOST_HITS)
-        return self._small(rows)
+        rows = rerank.rerank(both_scores(hits).withColumn("qid", F.lit(0)), ["qid"]).orderBy("place").limit(MOST_HITS)
+        return self._small(rows.drop("qid"))
 
     def _small(self, rows: DataFrame) -> DataFrame:
         return self.retriever.spark.createDataFrame(rows.collect(), rows.schema)
@@ -140,7 +138,7 @@ class Pipeline:
                 return Result(self.answerer.answer(asked, text), True, sources, trace | {"answer_path": path})
             if hop == HOPS or not self.rewrite:
                 break
-            hints = [r["hint"] for r in rerank.hints(kept.withColumn("seq", F.col("place"))).orderBy("n").collect()]
+            hints = [r["hint"] for r in rerank.hints(kept.withColumn("seq", F.col("place")).withColumn("qid", F.lit(0)), ["qid"]).orderBy("n").collect()]
             others = [q for q in self.answerer.rewrite(searched, hints) if q not in tried]
             if not others:
                 break

@@ -215,7 +215,7 @@ def links_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = derived_edges(pages).join(pages.select(F.col("page_id").alias("src"), F.col("url").alias("from_url")), "src").join(pages.select(F.col("page_id").alias("dst"), F.col("url").alias("target")), "dst")
     links = e.select("from_url", "pos", "target", F.lit("").alias("anchor_text"), F.concat(F.lit("chunk_"), "pos").alias("source_chunk"))
     met = corpus.with_links(pages, links)
-    return met.select("page_id", "url", F.size("outgoing_links").cast("long").alias("n_out"), F.size("incoming_links").cast("long").alias("n_in"), F.array_join(F.transform("incoming_links", lambda x: x["from_page"]), " ").alias("linked_from"))
+    return met.select("page_id", "url", F.size("outgoing_links").cast("long").alias("n_out"), F.col("n_incoming").alias("n_in"), F.array_join(F.transform("incoming_links", lambda x: x["from_page"]), " ").alias("linked_from"))
 
 
 @query("select min(doc_id) as doc_id, md5(text) as digest from documents where text <> '' group by text union all select doc_id, md5('') from documents where coalesce(text, '') = ''")
@@ -338,8 +338,17 @@ with questions as (select item_id as qid, text as query from benchmark), {_BM25}
 select qid, id, score, cast(rank as int) as rank from (select *, row_number() over (partition by qid order by score desc, id) - 1 as rank from scored where score > 0) where rank < 10""")
 def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents for every benchmark text."""
-    docs = bm25.documents(table(spark, sf_dir, "documents"), "doc_id", "text")
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    return bm25.best(table(spark, sf_dir, "documents"), questions, 10, "doc_id", digits=6)
+
+
+@query(f"""
+with questions as (select item_id as qid, text as query from benchmark where item_id % 50 = 0), {_BM25}, {_SCORED}
+select qid, id, score, cast(rank as int) as rank from (select *, row_number() over (partition by qid order by score desc, id) - 1 as rank from scored where score > 0) where rank < 10""")
+def search_bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth benchmark text against the documents by postings: the way of batches too large to go to every task."""
+    docs = bm25.documents(table(spark, sf_dir, "documents"), "doc_id", "text")
+    questions = table(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     return bm25.top(bm25.scores(bm25.index(docs), questions).withColumn("score", F.round("score", 6)), 10)
 
 
@@ -434,14 +443,14 @@ def hybrid_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vector and BM25 hits of one question, both scores on one row for each document; a document's source is its page, its language its parent."""
     docs = table(spark, sf_dir, "documents")
     question = spark.createDataFrame([(0, QUESTION)], "qid int, query string")
-    words = bm25.top(bm25.scores(bm25.index(bm25.documents(docs, "doc_id", "text")), question).withColumn("score", F.round("score", 6)), 40)
+    words = bm25.best(docs, question, 40, "doc_id", digits=6)
     ix = vector_index(spark, sf_dir)
     near = _rounded(index.search(ix, ix.where("vec_id = 0").select(F.lit(0).alias("qid"), F.col("embedding").alias("vector")), 40))
     a = near.select(F.col("vec_id").alias("doc_id"), "score", F.col("rank").alias("vr"))
     b = words.select(F.col("id").alias("doc_id"), F.col("score").alias("_score_bm25"), F.col("rank").alias("br"))
     met = a.join(b, "doc_id", "full").join(docs.select("doc_id", "text", "source", "lang"), "doc_id")
     return met.select(
-        F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("http://x/"), "source").alias("url"), F.lit(None).cast("int").alias("chunk_index"), "text", "score", F.col("score").alias("_score_vec"), "_score_bm25",
+        F.lit(0).alias("qid"), F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("http://x/"), "source").alias("url"), F.lit(None).cast("int").alias("chunk_index"), "text", "score", F.col("score").alias("_score_vec"), "_score_bm25",
         F.when(F.col("vr").isNotNull(), "initial").otherwise("initial-bm25").alias("_origin"), F.lit(None).cast("string").alias("_boost_reason"), F.coalesce("vr", "br").alias("_meta_rank"), F.array("source", "lang").alias("hierarchy"), F.col("lang").alias("parent"),
         F.coalesce(F.col("vr").cast("long"), 100_000 + F.col("br").cast("long")).alias("seq"),
     )
@@ -449,19 +458,20 @@ def hybrid_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hybrid_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked by rounded scores, so that sums in another order give the same places."""
-    return rerank.ranked(rerank.one_per_record(hybrid_hits(spark, sf_dir)))
+    return rerank.ranked(rerank.one_per_record(hybrid_hits(spark, sf_dir), ["qid"]), ["qid"])
 
 
 @query(_HITS + "select cast(id as varchar) as id, rank_score, cast(place as int) as place from final")
 def hybrid_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One question through both searches, ranking, and the caps for each parent and URL."""
-    return rerank.capped(hybrid_ranked(spark, sf_dir)).select("id", F.round("rank_score", 6).alias("rank_score"), "place")
+    return rerank.capped(hybrid_ranked(spark, sf_dir), ["qid"]).select("id", F.round("rank_score", 6).alias("rank_score"), "place")
 
 
 def scattered_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event as a hit, many for each record: ids repeat, scores tie and vanish."""
+    """Every event as a hit of one of fifty questions, many for each record: ids repeat, scores tie and vanish."""
     e = table(spark, sf_dir, "events")
     return e.select(
+        F.pmod("event_id", F.lit(50)).alias("qid"),
         F.col("user_id").cast("string").alias("id"), F.concat(F.lit("http://x/"), F.pmod("user_id", F.lit(37)), F.when(F.col("event_id") % 2 == 0, "?utm_source=a").otherwise("/")).alias("url"), F.lit(0).alias("chunk_index"), F.lit("").alias("text"),
         F.when(F.col("event_id") % 11 != 0, F.floor("value") / 10).alias("score"), F.lit(None).cast("double").alias("_score_vec"), F.lit(None).cast("double").alias("_score_bm25"),
         F.when(F.col("event_id") % 3 == 0, "rewrite").otherwise("initial").alias("_origin"), F.when(F.col("event_id") % 4 == 1, "anchor").when(F.col("event_id") % 4 == 3, "section").alias("_boost_reason"),
@@ -470,26 +480,26 @@ def scattered_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SCATTERED = """
-with h as (select cast(user_id as varchar) as id, 'http://x/' || (user_id % 37) as canon, case when event_id % 11 <> 0 then floor(value) / 10 end as score,
+with h as (select event_id % 50 as qid, cast(user_id as varchar) as id, 'http://x/' || (user_id % 37) as canon, case when event_id % 11 <> 0 then floor(value) / 10 end as score,
   case when event_id % 3 = 0 then 'rewrite' else 'initial' end as origin, case event_id % 4 when 1 then 'anchor' when 3 then 'section' end as boost, event_id % 13 as meta, 'p' || (user_id % 11) as parent, event_id as seq from events),
-w as (select *, row_number() over (partition by id order by coalesce(nullif(score, 0), '-infinity'::double) desc, seq) as n, min(seq) over (partition by id) as first_seq from h),
+w as (select *, row_number() over (partition by qid, id order by coalesce(nullif(score, 0), '-infinity'::double) desc, seq) as n, min(seq) over (partition by qid, id) as first_seq from h),
 win as (select * from w where n = 1),
-filled as (select win.id, win.canon, win.score, win.origin, win.meta, win.parent, win.first_seq as seq,
-  coalesce(win.boost, (select h2.boost from h h2 where h2.id = win.id and h2.seq > win.seq order by h2.seq limit 1)) as boost from win),
+filled as (select win.qid, win.id, win.canon, win.score, win.origin, win.meta, win.parent, win.first_seq as seq,
+  coalesce(win.boost, (select h2.boost from h h2 where h2.qid = win.qid and h2.id = win.id and h2.seq > win.seq order by h2.seq limit 1)) as boost from win),
 ranked as (select *, 0.75 * coalesce(score, 0) + case boost when 'anchor' then 0.10 when 'section' then 0.05 else 0 end as rank_score from filled),
-placed as (select *, row_number() over (order by rank_score desc, case origin when 'initial' then 3 else 2 end desc, meta, seq) as place from ranked)
+placed as (select *, row_number() over (partition by qid order by rank_score desc, case origin when 'initial' then 3 else 2 end desc, meta, seq) as place from ranked)
 """
 
 
-@query(_SCATTERED + "select id, seq, score, origin, boost, round(rank_score, 6) as rank_score, cast(place as int) as place from placed")
+@query(_SCATTERED + "select qid, id, seq, score, origin, boost, round(rank_score, 6) as rank_score, cast(place as int) as place from placed")
 def dedupe_by_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = rerank.ranked(rerank.one_per_record(scattered_hits(spark, sf_dir)))
-    return got.select("id", "seq", "score", F.col("_origin").alias("origin"), F.col("_boost_reason").alias("boost"), F.round("rank_score", 6).alias("rank_score"), "place")
+    got = rerank.ranked(rerank.one_per_record(scattered_hits(spark, sf_dir), ["qid"]), ["qid"])
+    return got.select("qid", "id", "seq", "score", F.col("_origin").alias("origin"), F.col("_boost_reason").alias("boost"), F.round("rank_score", 6).alias("rank_score"), "place")
 
 
-@query(_SCATTERED + ", p as (select *, row_number() over (partition by parent order by place) as np from placed qualify np <= 2), u as (select *, row_number() over (partition by canon order by place) as nu from p qualify nu <= 1) select id, parent, cast(place as int) as place from u")
+@query(_SCATTERED + ", p as (select *, row_number() over (partition by qid, parent order by place) as np from placed qualify np <= 2), u as (select *, row_number() over (partition by qid, canon order by place) as nu from p qualify nu <= 1) select qid, id, parent, cast(place as int) as place from u")
 def parent_and_url_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rerank.rerank(scattered_hits(spark, sf_dir)).select("id", "parent", "place")
+    return rerank.rerank(scattered_hits(spark, sf_dir), ["qid"]).select("qid", "id", "parent", "place")
 
 
 @query("""
