@@ -88,6 +88,14 @@ class _Builder(HTMLParser):
 
 
 def tree(html: str) -> Node:
+    """A page's tree. Declarations that the parser can't read are text."""
+    try:
+        return _read(html)
+    except AssertionError:
+        return _read(html.replace("<![", "&lt;!["))
+
+
+def _read(html: str) -> Node:
     builder = _Builder()
     builder.feed(html)
     builder.close()

@@ -17,7 +17,8 @@ _LINKS = "array<struct<target:string,anchor_text:string,source_chunk:string>>"
 
 
 def _by_page(pages: DataFrame, name: str, kind: str, make: Callable[[str, str], list]) -> DataFrame:
-    """pages (url, html, ...) with a column made of each page; one that cannot be read gives an empty list, and no other row fails for it."""
+    """pages (url, html, ...) with a column made of each page; one that cannot be read gives an empty list, or no text, and no other row fails for it (see unreadable)."""
+    nothing: list | str = "" if kind == "string" else []
     at_url, at_html = pages.columns.index("url"), pages.columns.index("html")
     others = [k for k, c in enumerate(pages.columns) if c != "html"]
 
@@ -30,7 +31,7 @@ def _by_page(pages: DataFrame, name: str, kind: str, make: Callable[[str, str],
                     try:
                         made.append(make(url or "", page or ""))
                     except (ValueError, AssertionError):
-                        made.append([])
+                        made.append(nothing)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in others), pa.array(made, arrow)], names=[*(part.schema.names[k] for k in others), name])
 
     text, number = pa.string(), pa.int32()
@@ -62,6 +63,20 @@ def texts(pages: DataFrame) -> DataFrame:
     return _by_page(pages, "text", "string", lambda url, page: H.page_text(page))
 
 
+def unreadable(pages: DataFrame) -> DataFrame:
+    """The URLs of pages that cannot be read: chunks(), links() and texts() give nothing for them."""
+
+    def tell(url: str, page: str) -> str:
+        try:
+            H.chunks(url, page)
+            H.links(page, url)
+        except (ValueError, AssertionError):
+            return "y"
+        return ""
+
+    return _by_page(pages.select("url", "html"), "bad", "string", tell).where("bad <> ''").select("url")
+
+
 def segments(chunked: DataFrame, most_tokens: int = S.limit(), text_col: str = "text") -> DataFrame:
     """A row for each segment of each chunk, with seg_index and seg_count. Texts that fit never reach Python."""
     fits = T.token_estimate(F.col(text_col)) <= most_tokens

@@ -5,8 +5,11 @@ from __future__ import annotations
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from sillage.functions import html as H
 from sillage.functions import segments as S
+from sillage.functions import urls as U
 from sillage.operators import pages as P
 
 
@@ -122,3 +125,28 @@ def test_rows_survive_bad_ones(spark):
 
 def test_deep_pages_do_not_recurse(spark):
     assert len(H.chunks("u", "<div>" * 20_000 + f"<p>{words(9)}")) == 1
+
+
+def test_internal_addresses_are_those_of_the_standard_library(spark):
+    """Against the address classes of ipaddress, over edges of networks and random addresses."""
+    import ipaddress
+    import random
+
+    rng = random.Random(1)
+    hosts = [".".join(str(rng.choice([0, 1, 10, 100, 127, 128, 169, 172, 192, 198, 203, 224, 239, 240, 255, rng.randrange(256)])) for _ in range(4)) for _ in range(300)]
+    hosts += ["172.15.255.255", "172.16.0.0", "172.31.255.255", "172.32.0.0", "192.0.1.0", "192.0.3.0", "198.17.0.0", "198.18.0.0", "198.19.9.9", "198.20.0.0", "169.253.1.1", "192.168.0.1", "192.169.0.1", "01.2.3.4", "1.2.3", "256.1.1.1"]
+    hosts += ["[::1]", "[::]", "[fe80::1]", "[fc00::1]", "[fd12::9]", "[ff02::1]", "[2001:db8::1]", "[2606:4700::1111]", "[2a00:1450:4001::5]", "[::ffff:10.0.0.1]", "[64:ff9b:1::1]", "[3ffe::1]"]
+    rows = spark.createDataFrame([(h, f"http://u:p@{h}:80/x") for h in hosts], "h string, url string")
+    for r in rows.select("h", U.is_internal(F.col("url")).alias("got")).collect():
+        try:
+            a = ipaddress.ip_address(r["h"].strip("[]"))
+        except ValueError:
+            assert not r["got"], r["h"]
+            continue
+        assert r["got"] == (a.is_private or a.is_loopback or a.is_link_local or a.is_reserved or a.is_multicast), r["h"]
+
+
+def test_unreadable_pages(spark):
+    pages = spark.createDataFrame([("http://a", "<p>one two three four <![x[ y"), ("http://b", None)], "url string, html string")
+    assert {r["url"]: r["text"] for r in P.texts(pages).collect()} == {"http://a": "one two three four <![x[ y", "http://b": ""}
+    assert P.unreadable(pages).count() == 0 and P.chunks(pages).count() == 1
