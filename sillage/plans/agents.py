@@ -8,6 +8,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
 
+#: The reply where there is nothing to answer from (fixed value).
 APOLOGY = "I'm sorry, I couldn't find any relevant information to answer that question."
 ROUTES = ("transform_only", "retrieve_followup", "retrieve_new")
 MODES = {

@@ -13,35 +13,43 @@ _DERIVED = ("output_dir", "index_dir")
 
 @dataclass
 class Config:
-    start_url: str = ""
+    """Settings of a project, by use. Names and defaults are those of stored projects (fixed values)."""
+
+    # Where a project's files are.
     output_dir: str = ""
     index_dir: str = ""
-    allowed_domains: list[str] = field(default_factory=list)
+    results_file: str = "results.jsonl"
+    embedding_cache_dir: str = ""
+    # What a crawl starts from, and how far it goes.
+    start_url: str = ""
+    seed_urls: list[str] = field(default_factory=list)
     crawl_entire_site: bool = True
     max_depth: int = 3
+    # What it may ask for, and how fast.
+    allowed_domains: list[str] = field(default_factory=list)
     allow_subdomains: bool = False
-    respect_robots: bool = True
-    rate_limit_delay: float = 0.2
     allowed_paths: list[str] = field(default_factory=list)
     blocked_paths: list[str] = field(default_factory=list)
     allow_url_patterns: list[str] = field(default_factory=list)
     block_url_patterns: list[str] = field(default_factory=list)
-    seed_urls: list[str] = field(default_factory=list)
-    results_file: str = "results.jsonl"
-    embedding_model: str = EMBEDDING
+    respect_robots: bool = True
+    rate_limit_delay: float = 0.2
+    # Models.
     chat_model: str = CHAT
+    embedding_model: str = EMBEDDING
     summary_model: str = ""
-    answering_mode: str = "technical_grounded"
-    system_prompt: str = ""
-    system_prompt_custom_override: bool = False
-    allow_generated_examples: bool = False
+    # How questions are searched for and answered.
     retrieval_mode: str = "builder"
     builder_max_rounds: int = 1
-    leave_last_k: int = 2
     score_threshold: float = 0.5
+    leave_last_k: int = 2
+    answering_mode: str = "technical_grounded"
+    allow_generated_examples: bool = False
+    system_prompt: str = ""
+    system_prompt_custom_override: bool = False
+    # What is written besides.
     debug: bool = False
     query_debug: bool = False
-    embedding_cache_dir: str = ""
 
     @classmethod
     def of(cls, given: Mapping[str, object], **derived: str) -> Config:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
-from dataclasses import dataclass
-from pathlib import Path
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -20,29 +20,87 @@ from sillage.sources import tables
 MODES = ("crawl_only", "index_only", "both")
 
 
-def embedded(rows: DataFrame, embed: Callable[[str], list[float] | None], text_col: str = "text", into: str = "embedding") -> DataFrame:
-    """rows with vectors, null for blank texts and for those that the embedder fails on; order and number of rows stay."""
+@dataclass
+class Embedder:
+    """A model that turns texts into vectors, by the batch, with the window that its segments are cut for.
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def vectors(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> list[float] | None:
-            if t is None or not t.strip():
-                return None
+    many takes a list of texts and gives a vector, or None, for each; used(texts, tokens) is told of each call. A batch that fails is tried
+    again after growing pauses, then text by text, so that one bad text costs only itself.
+    """
+
+    many: Callable[[list[str]], list[list[float] | None]]
+    model: str = ""
+    window: int = 7000
+    safe_share: float = 0.8
+    batch: int = 64
+    retries: int = 3
+    backoff: float = 1.0
+    count: Callable[[str], int] = S.estimate
+    sleep: Callable[[float], None] = field(default=time.sleep)
+
+    @property
+    def most_tokens(self) -> int:
+        return S.limit(self.window, self.safe_share)
+
+    def _try(self, texts: list[str]) -> list[list[float] | None]:
+        for attempt in range(self.retries + 1):
             try:
-                return embed(t)
+                return self.many(texts)
             except Exception:  # noqa: BLE001
-                return None
+                if attempt < self.retries:
+                    self.sleep(self.backoff * 2**attempt)
+        return [None] if len(texts) == 1 else [v for t in texts for v in self._try([t])]
+
+    def vectors(self, texts: list[str | None]) -> list[list[float] | None]:
+        """None for blank texts and those that fail; each distinct text is asked for once."""
+        distinct = list(dict.fromkeys(t for t in texts if t is not None and t.strip()))
+        known: dict[str, list[float] | None] = {}
+        for at in range(0, len(distinct), self.batch):
+            part = distinct[at : at + self.batch]
+            known |= dict(zip(part, self._try(part), strict=True))
+        return [known.get(t) or None for t in texts]
 
-        return texts.map(one)
+    def __call__(self, text: str) -> list[float] | None:
+        return self.vectors([text])[0]
+
+
+def embedder(embed: Callable[[str], list[float] | None] | Embedder) -> Embedder:
+    """An Embedder as it is; a function of one text as one, without retries."""
+    return embed if isinstance(embed, Embedder) else Embedder(lambda texts: [embed(t) for t in texts], window=S.DEFAULT_WINDOW, safe_share=S.SAFE_SHARE, retries=0)
+
+
+def embedded(rows: DataFrame, embed: Callable[[str], list[float] | None] | Embedder, text_col: str = "text", into: str = "embedding") -> DataFrame:
+    """rows with vectors, null for blank texts and for those that the embedder fails on; order and number of rows stay."""
+    model = embedder(embed)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def vectors(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.vectors([None if t is None else t for t in texts]), index=texts.index, dtype=object)
 
     return rows.withColumn(into, vectors(text_col))
 
 
-def records(pages: DataFrame, links: DataFrame, embed: Callable[[str], list[float] | None], summarise: Callable[[str], str] | None = None, most_tokens: int = S.limit()) -> DataFrame:
+def embedded_once(rows: DataFrame, embed: Callable[[str], list[float] | None] | Embedder, cache: str, text_col: str = "text", into: str = "embedding") -> DataFrame:
+    """embedded(), through a cache of vectors (a folder of key, vector, created_at): only texts that it lacks go to the model, each
+    once, and their vectors are added to it."""
+    spark, model = rows.sparkSession, embedder(embed)
+    keyed = rows.withColumn("_key", X.cache_hash(F.coalesce(text_col, F.lit("")), F.lit(model.model)))
+    known = spark.read.schema(tables.CACHE).parquet(cache) if tables.exists(spark, cache) else spark.createDataFrame([], tables.CACHE)
+    known = known.groupBy("key").agg(F.first("vector", ignorenulls=True).alias("vector"))
+    missing = keyed.where(F.trim(F.coalesce(text_col, F.lit(""))) != "").groupBy(F.col("_key").alias("key")).agg(F.max(text_col).alias("text")).join(known.select("key"), "key", "left_anti")
+    fresh = tables.stored(embedded(missing, model, "text", "vector").where("vector is not null").select("key", "vector", F.lit(tables.now()).alias("created_at")), "vectors")
+    fresh.write.mode("append").parquet(cache)
+    every = spark.read.schema(tables.CACHE).parquet(cache).groupBy("key").agg(F.first("vector", ignorenulls=True).alias(into))
+    return keyed.join(every.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
+
+
+def records(pages: DataFrame, links: DataFrame, embed: Callable[[str], list[float] | None] | Embedder, summarise: Callable[[str], str] | None = None, most_tokens: int | None = None, cache: str = "") -> DataFrame:
     """A row for each segment of each chunk of pages (url, html, crawled_at): id, text, vector, and the page's links both ways.
 
-    Links are joined after the HTML is gone. Segments without a vector drop out; indexes and counts of the rest stay as they were.
+    Links are joined after the HTML is gone. Segments without a vector drop out; indexes and counts of the rest stay as they were. Segments
+    are cut for the embedder's window unless most_tokens says otherwise; cache is a folder of vectors that are not asked for again.
     """
+    most_tokens = most_tokens or embedder(embed).most_tokens
     chunked = P.chunks(pages.select("url", "html", "crawled_at").where("url <> '' and html <> ''")).drop("id")
     if summarise is not None:
 
@@ -50,14 +108,15 @@ def records(pages: DataFrame, links: DataFrame, embed: Callable[[str], list[floa
         def summaries(texts: pd.Series) -> pd.Series:
             return texts.map(summarise)
 
-        chunked = chunked.withColumn("summary", summaries("text")).withColumn("text", F.coalesce(F.nullif(F.trim("summary"), F.lit("")), "text"))
+        chunked = chunked.withColumn("original", F.substring("text", 1, 500)).withColumn("summary", summaries("text")).withColumn("text", F.coalesce(F.nullif(F.trim("summary"), F.lit("")), "text"))
     chunked = chunked.withColumn("parent", X.chunk_id(F.col("url"), F.col("chunk_index")))
     parts = P.segments(chunked, most_tokens).withColumn("id", X.segment_id(F.col("parent"), F.col("seg_index")))
-    made = embedded(parts, embed).where("embedding is not null").withColumnRenamed("outgoing_links", "chunk_links")
+    vectors = embedded_once(parts, embed, cache) if cache else embedded(parts, embed)
+    made = vectors.where("embedding is not null").withColumnRenamed("outgoing_links", "chunk_links")
     return corpus.with_links(made, links)
 
 
-def embed_file(spark: SparkSession, path: str, embed: Callable[[str], list[float] | None], field: str = "text", most_tokens: int = S.limit()) -> DataFrame:
+def embed_file(spark: SparkSession, path: str, embed: Callable[[str], list[float] | None] | Embedder, field: str = "text", most_tokens: int = S.limit()) -> DataFrame:
     """Records of a JSON-lines file (id, url, chunk_index and a text field) as segments with vectors: the short way to an index."""
     raw = spark.read.schema(f"id string, url string, chunk_index int, crawled_at string, `{field}` string").json(path).where(F.trim(field) != "")
     parent = F.coalesce(F.nullif(F.col("id"), F.lit("")), X.chunk_id(F.col("url"), F.col("chunk_index")))
@@ -75,31 +134,32 @@ class Ingest:
 
     spark: SparkSession
     folder: str
-    embed: Callable[[str], list[float] | None]
+    embed: Callable[[str], list[float] | None] | Embedder
     crawl: Callable[[str], None] | None = None
     summarise: Callable[[str], str] | None = None
     disallowed: Callable[[], dict] | None = None
     debug: bool = False
+    cache: str = ""
 
     @property
     def results(self) -> str:
-        return tables.results_path(f"{self.folder}/results.jsonl", self.folder)
+        return tables.results_path(self.spark, f"{self.folder}/results.jsonl", self.folder)
 
     def _pages(self) -> DataFrame | None:
-        if not Path(self.results).exists():
+        if not tables.exists(self.spark, self.results):
             return None
         found = tables.pages(self.spark, self.results)
         return None if found.isEmpty() else found
 
     def _mark(self, stage: str, **more: object) -> None:
-        tables.checkpoint(f"{self.folder}/checkpoint.json", stage, **more)
+        tables.checkpoint(self.spark, f"{self.folder}/checkpoint.json", stage, **more)
 
     def run(self, mode: str = "both", force: bool = False) -> dict:
         mode = (mode or "both").lower()
         if mode not in MODES:
             raise ValueError(f"Invalid mode: {mode}")
         if force:
-            Path(f"{self.folder}/checkpoint.json").unlink(missing_ok=True)
+            tables.remove(self.spark, f"{self.folder}/checkpoint.json")
         if mode != "index_only":
             if (force or self._pages() is None) and self.crawl is not None:
                 self.crawl(f"{self.folder}/results.jsonl")
@@ -116,8 +176,11 @@ class Ingest:
             if self.debug:
                 preview = P.chunks(pages).withColumn("text", F.substring("text", 1, 500))
                 preview.write.mode("overwrite").json(f"{self.folder}/debug/raw_chunks")
-            made = index.added(records(pages, graph, self.embed, self.summarise))
+            made = index.added(records(pages, graph, self.embed, self.summarise, cache=self.cache))
             tables.save_index(made, f"{self.folder}/index")
+            if self.debug and self.summarise is not None:
+                kept = tables.load_index(self.spark, f"{self.folder}/index").where("seg_index = 0 and trim(summary) <> ''")
+                kept.select("url", "chunk_index", F.col("original").alias("original_preview"), F.substring("summary", 1, 500).alias("summary_preview")).write.mode("overwrite").json(f"{self.folder}/debug/summaries")
             count = tables.load_index(self.spark, f"{self.folder}/index").agg(F.countDistinct("url").alias("n")).first()["n"]
         except Exception as error:
             self._mark("transform_or_load_failed", error=str(error))
@@ -127,15 +190,19 @@ class Ingest:
 
     def _nothing(self, crawled: bool) -> dict:
         out = {"crawled": crawled, "indexed": False, "results_path": self.results, "empty_results": True, "message": f"No pages at {self.results}: check allowed domains, seeds and robots rules, or crawl first."}
-        if crawled and self.disallowed and (report := self.disallowed()):
+        if not crawled:
+            return out
+        if self.disallowed and (report := self.disallowed()):
             out["disallowed_report_path"] = f"{self.folder}/debug/disallowed_report.json"
-            tables.save_json(out["disallowed_report_path"], report)
+            tables.put_json(self.spark, out["disallowed_report_path"], report)
+        elif tables.exists(self.spark, f"{self.folder}/disallowed.json"):
+            out["disallowed_report_path"] = f"{self.folder}/disallowed.json"
         return out
 
 
-def status(folder: str, has_key: bool = True) -> dict:
+def status(spark: SparkSession, folder: str, has_key: bool = True) -> dict:
     """What a project is ready for, and what stands in the way."""
-    results, made = Path(tables.results_path(f"{folder}/results.jsonl", folder)), Path(folder, "index", "records")
-    ready = {"results_ready": results.exists() and (results.is_dir() or results.stat().st_size > 0), "index_ready": made.exists()}
+    results = tables.results_path(spark, f"{folder}/results.jsonl", folder)
+    ready = {"results_ready": tables.exists(spark, results, True), "index_ready": tables.exists(spark, f"{folder}/index/records")}
     blockers = [text for ok, text in ((ready["results_ready"], "no pages"), (ready["index_ready"], "no index"), (has_key, "no key for the model")) if not ok]
     return ready | {"query_ready": ready["index_ready"] and has_key, "blockers": blockers}

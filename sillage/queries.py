@@ -212,6 +212,29 @@ def crawl_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.reach(derived_edges(table(spark, sf_dir, "pages")), spark.createDataFrame([(1,), (2,), (3,)], "node bigint")).select("node")
 
 
+def linked_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages (url, html) whose first links are those of derived_edges: a network that a live crawl can follow."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(U.without_fragment(F.col("url")), F.lit("/p"), "page_id").alias("url"), "html")
+    targets = derived_edges(pages).join(pages.select(F.col("page_id").alias("dst"), F.col("url").alias("target")), "dst")
+    anchors = targets.groupBy(F.col("src").alias("page_id")).agg(F.array_join(F.array_sort(F.collect_list(F.format_string('<p>see <a href="%s">another page of it</a></p>', "target"))), "").alias("anchors"))
+    return pages.join(anchors, "page_id").select("page_id", "url", F.concat("anchors", F.concat(F.lit("<p>page "), "page_id"), F.regexp_replace("html", "(?s)<a .*?</a>", "")).alias("html"))
+
+
+@query(f"""
+with recursive {_EDGES},
+walk as (select cast(0 as bigint) as node, 0 as depth union select e.dst, w.depth + 1 from walk w join edges e on e.src = w.node where w.depth < 3)
+select node as page_id, min(depth) as depth from walk group by node""")
+def crawl_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A live crawl over the pages as the network, three links deep: fetch, links, policy and robots.txt level by level."""
+    from sillage.plans import crawling
+    from sillage.sources import web
+
+    corpus_ = tables.stored(linked_corpus(spark, sf_dir), "corpus")
+    start = corpus_.where("page_id = 0").first()["url"]
+    made = crawling.live(spark, [start], lambda urls: web.from_corpus(urls, corpus_), crawl.Policy(), max_depth=3)
+    return made.pages.join(corpus_.select("page_id", "url"), "url").select("page_id", "depth")
+
+
 @query(f"""
 with {_EDGES},
 named as (select s.url as from_url, e.pos, d.url as target from edges e join pages s on s.page_id = e.src join pages d on d.page_id = e.dst)
@@ -773,21 +796,43 @@ def ingest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("id", "url", "chunk_index", "seg_index", "seg_count", F.size("outgoing_links").alias("n_out"), F.size("incoming_links").alias("n_in"), F.size("embedding").alias("n_dims"))
 
 
+class Yes:
+    """A model that supports everything, and tells how many sources it was shown."""
+
+    def generate(self, prompt: str) -> str:
+        if "Choose a mode" in prompt:
+            return '{"mode": "retrieve_new", "concepts": ["nature", "nowhere to be found"]}'
+        if "what else to search for" in prompt:
+            return '{"queries": ["the ending of that thing"]}'
+        return "YES" if prompt.endswith("YES or NO:") else f"an answer from {prompt.count('(Source:')} sources"
+
+
+def flow_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id", "left")
+    return docs.select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("id"), F.concat(F.lit("http://x/"), "source").alias("url"), F.lit(0).alias("chunk_index"), "text", F.array("source").alias("hierarchy"), F.concat(F.lit("http://x/"), "source").alias("parent"), F.array().cast("array<struct<from_page:string,anchor_text:string,source_chunk:string>>").alias("incoming_links"), "embedding")
+
+
+def flow(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    from sillage.plans.agents import Answerer, Planner
+    from sillage.plans.answers import Pipeline, Retriever
+
+    first = table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(1).first()["embedding"]
+    retriever = Retriever(spark, index.added(flow_records(spark, sf_dir)), lambda q: list(first))
+    made = Pipeline(retriever, Answerer(Yes()), Planner(Yes()), mode=mode, expand=False).query(QUESTION)
+    coverage = made.trace.get("coverage", {"covered": [], "missing": []})
+    return spark.createDataFrame([(made.answer, made.supported, len(made.sources), made.trace["answer_path"], len(coverage["covered"]), len(coverage["missing"]))], "answer string, supported boolean, n_sources int, path string, n_covered int, n_missing int")
+
+
+@query()
+def builder_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question end to end by the planner: routed, searched, what is not covered searched for again, answered."""
+    return flow(spark, sf_dir, "builder")
+
+
 @query()
 def answer_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A question end to end over all documents, those without a vector by their words, with a model that always says yes.
 
     The pages' anchors and headings are not part of documents, so there is nothing to expand by.
     """
-    from sillage.plans.agents import Answerer
-    from sillage.plans.answers import Pipeline, Retriever
-
-    class Yes:
-        def generate(self, prompt: str) -> str:
-            return "YES" if prompt.endswith("YES or NO:") else f"an answer from {prompt.count('(Source:')} sources"
-
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id", "left")
-    rows = docs.select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("id"), F.concat(F.lit("http://x/"), "source").alias("url"), F.lit(0).alias("chunk_index"), "text", F.array("source").alias("hierarchy"), F.concat(F.lit("http://x/"), "source").alias("parent"), F.array().cast("array<struct<from_page:string,anchor_text:string,source_chunk:string>>").alias("incoming_links"), "embedding")
-    first = table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(1).first()["embedding"]
-    made = Pipeline(Retriever(spark, index.added(rows), lambda q: list(first)), Answerer(Yes()), mode="classic", expand=False).query(QUESTION)
-    return spark.createDataFrame([(made.answer, made.supported, len(made.sources), made.trace["answer_path"])], "answer string, supported boolean, n_sources int, path string")
+    return flow(spark, sf_dir, "classic").drop("n_covered", "n_missing")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import tempfile
 import uuid
+import warnings
 from datetime import UTC, datetime
 from pathlib import Path
 
@@ -20,9 +22,11 @@ GRAPH = "map<string,array<struct<target:string,anchor_text:string,source_chunk:s
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir, or one of our own where that is unset."""
+    """The shared folder of spark.checkpoint.dir, or one of our own where that is unset and all runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is unset: a cluster needs a folder that all executors share")
         base = Path(tempfile.mkdtemp(prefix="sillage-")).as_uri()
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -59,24 +63,51 @@ def append_pages(rows: DataFrame, path: str) -> None:
     written_pages(rows).write.mode("append").json(path)
 
 
-def results_path(given: str, out_dir: str, non_empty: bool = False) -> str:
-    """The first of the likely places of a page file that exists (and is not empty), else the given one. Local projects only."""
-    p = Path(given)
-    other = p.with_suffix(".json" if p.suffix == ".jsonl" else ".jsonl")
-    for c in (p, other, Path(out_dir) / "results.jsonl", Path(out_dir) / "results.json"):
-        if c.exists() and not (non_empty and _size(c) == 0):
-            return str(c)
-    return given
+def _store(spark: SparkSession, path: str):  # noqa: ANN202
+    """The file system of a path, any that Spark reaches, and the path in its terms."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
 
 
-def _size(p: Path) -> int:
-    return sum(f.stat().st_size for f in p.rglob("*") if f.is_file()) if p.is_dir() else p.stat().st_size
+def exists(spark: SparkSession, path: str, non_empty: bool = False) -> bool:
+    """Whether there is a file or folder, with any bytes in it if asked."""
+    store, there = _store(spark, path)
+    return store.exists(there) and not (non_empty and store.getContentSummary(there).getLength() == 0)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    store, there = _store(spark, path)
+    store.delete(there, True)
+
+
+def put_json(spark: SparkSession, path: str, data: object) -> None:
+    """save_json() in any file system that Spark reaches."""
+    store, there = _store(spark, path)
+    part = f"{path}.{uuid.uuid4().hex}.tmp"
+    out = store.create(_store(spark, part)[1], True)
+    try:
+        out.write(json.dumps(data, ensure_ascii=False, indent=2).encode())
+    finally:
+        out.close()
+    store.delete(there, False)
+    store.rename(_store(spark, part)[1], there)
+
+
+def results_path(spark: SparkSession, given: str, out_dir: str, non_empty: bool = False) -> str:
+    """The first of the likely places of a page file that exists (and is not empty), else the given one."""
+    stem = re.sub(r"\.jsonl?$", "", given)
+    places = [given, f"{stem}.json" if given.endswith(".jsonl") else f"{stem}.jsonl", f"{out_dir}/results.jsonl", f"{out_dir}/results.json"]
+    return next((c for c in places if exists(spark, c, non_empty)), given)
 
 
 def graph(spark: SparkSession, path: str) -> DataFrame:
-    """from_url and links of a nested link graph, a JSON object by URL; none where the file is missing or broken."""
-    if not Path(path.removeprefix("file://")).exists():
-        return spark.createDataFrame([], "from_url string, links array<struct<target:string,anchor_text:string,source_chunk:string>>")
+    """from_url and links of a link graph: a JSON object by URL, or the JSON lines of write_graph(); none where the path is missing or broken."""
+    form = "from_url string, links array<struct<target:string,anchor_text:string,source_chunk:string>>"
+    if not exists(spark, path):
+        return spark.createDataFrame([], form)
+    store, there = _store(spark, path)
+    if store.getFileStatus(there).isDirectory():
+        return spark.read.schema(form).json(path)
     text = spark.read.option("wholetext", "true").text(path)
     return text.select(F.explode(F.from_json("value", GRAPH)).alias("from_url", "links"))
 
@@ -96,6 +127,8 @@ def save_index(index: DataFrame, path: str, kind: str = "flat", version: int = 1
 def load_index(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
     """RuntimeError where the stored version is another; an index without a version is taken as it is."""
     got = spark.read.schema("index_version int, index_type string").json(f"{path}/settings").first()
+    if got is None or got["index_version"] is None:
+        warnings.warn(f"the index at {path} has no version: taken as it is", stacklevel=2)
     if got is not None and got["index_version"] is not None and got["index_version"] != version:
         raise RuntimeError(f"index version {got['index_version']}, expected {version}: build it anew")
     return spark.read.parquet(f"{path}/records")
@@ -117,8 +150,8 @@ def load_json(path: str, default: object = None) -> object:
         return default
 
 
-def checkpoint(path: str, stage: str, **more: object) -> None:
-    save_json(path, {"stage": stage, "timestamp": now(), **more})
+def checkpoint(spark: SparkSession, path: str, stage: str, **more: object) -> None:
+    put_json(spark, path, {"stage": stage, "timestamp": now(), **more})
 
 
 def append_usage(events: DataFrame, path: str) -> None:

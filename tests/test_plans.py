@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import json
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from sillage.operators import crawl, index
-from sillage.plans import agents, config, ingest, runtime
+from sillage.plans import agents, config, crawling, ingest, runtime, service
 from sillage.plans.answers import NOT_ENOUGH, NOTHING, Pipeline, Retriever
 from sillage.queries import toy_vector
 from sillage.sources import tables, web
 from sillage.streaming import ingest as stream
 
+# Workers can't import this file: what it defines goes to them as it is.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 GOOD = {"start_url": "https://x", "output_dir": "o", "index_dir": "i"}
 
 
@@ -172,7 +177,7 @@ def test_ingest(spark, tmp_path):
     assert got["http://a"]["incoming_links"][0]["anchor_text"] == "to a" and got["http://a"]["crawled_at"] == "t" and got["http://a"]["hierarchy"] == ["A"] and got["http://a"]["id"] == "http://a#chunk_0__seg_0"
     with pytest.raises(RuntimeError, match="version"):
         tables.load_index(spark, f"{folder}/index", version=99)
-    assert ingest.status(folder) == {"results_ready": True, "index_ready": True, "query_ready": True, "blockers": []}
+    assert ingest.status(spark, folder) == {"results_ready": True, "index_ready": True, "query_ready": True, "blockers": []}
     (tmp_path / "more.jsonl").write_text(json.dumps({"url": "http://d", "chunk_index": 3, "text": "some text"}) + "\n" + json.dumps({"id": "x", "text": " "}))
     assert [r["id"] for r in ingest.embed_file(spark, f"{folder}/more.jsonl", toy_vector).collect()] == ["http://d#chunk_3__seg_0"]
 
@@ -282,3 +287,118 @@ def test_summaries():
     llm = Script(("keep", "short"))
     assert agents.Summariser(llm, "keep {text}")("x" * 30_000) == "short" and len(llm.asked[0]) < 9000
     assert agents.Summariser(Script())("text") == "text"
+
+
+SITE = {
+    "http://s/": '<h1>S</h1><p>the home page of it <a href="/a#x">to a</a> <a href="/b">to b</a> <a href="http://other/">away</a> <a href="/private/x">private</a>',
+    "http://s/a": '<p>page a of the site <a href="/b">to b</a> <a href="/c">to c</a> <a href="/pdf">a file</a>',
+    "http://s/b": '<p>page b of the site <a href="/">home</a> <a href="/missing">gone</a>',
+    "http://s/c": '<p>page b of the site <a href="/">home</a> <a href="/missing">gone</a>',
+    "http://s/robots.txt": "User-agent: *\nDisallow: /private/\n",
+}
+
+
+def serve(url):
+    if url == "http://s/pdf":
+        return 200, "application/pdf", None, "x"
+    return (200, "text/plain" if url.endswith(".txt") else "text/html", None, SITE[url]) if url in SITE else (404, "", None, "")
+
+
+def fetch(urls):
+    return web.fetch_all(urls, serve, web.Manners(pause=0))
+
+
+def test_live_crawl(spark):
+    made = crawling.live(spark, [" http://s/#top "], fetch, crawl.Policy(allowed_domains=["s"]), blacklist=["http://s/none"])
+    assert {r["url"]: r["depth"] for r in made.pages.collect()} == {"http://s/": 0, "http://s/a": 1, "http://s/b": 1}
+    got = {r["url"]: r["reason"] for r in made.refused.collect()}
+    assert got == {"http://other/": "domain", "http://s/private/x": "robots", "http://s/pdf": "content type", "http://s/missing": "status 404"}
+    assert made.links.where("from_url = 'http://s/a'").count() == 3
+    shallow = crawling.live(spark, ["http://s/"], fetch, crawl.Policy(allowed_domains=["s"]), robots=False, max_depth=1, deduplicate=False, blacklist=["http://s/b"])
+    assert {r["url"] for r in shallow.pages.collect()} == {"http://s/", "http://s/a"} and {(r["url"], r["reason"]) for r in shallow.refused.collect()} >= {("http://s/b", "blacklist"), ("http://s/private/x", "status 404")}
+    assert crawling.live(spark, [" "], fetch, crawl.Policy()).pages.count() == 0
+
+
+def test_crawl_and_ask_by_settings(spark, tmp_path):
+    folder, made = str(tmp_path / "p"), []
+
+    def models(name):
+        made.append(name)
+        return Script(("YES or NO", "YES"), ("Summarise", "in short"), ("Context", "told"))
+
+    def many(texts):
+        made.append(len(texts))
+        return [toy_vector(t) for t in texts]
+
+    c = config.Config.of({"start_url": "http://s/", "summary_model": "small", "rate_limit_delay": 0, "embedding_cache_dir": str(tmp_path / "cache"), "debug": True, "query_debug": True, "score_threshold": 0.0, "leave_last_k": 1}, output_dir=folder, index_dir=f"{folder}/index")
+    rt = runtime.build(spark, c, ingest.Embedder(many, "m"), models=models, fetch=crawling.fetch_by(c, serve))
+    assert rt.run_ingest()["indexed"] and made[:2] == [config.CHAT, "small"]
+    assert {r["url"] for r in tables.load_index(spark, f"{folder}/index").collect()} == {"http://s/", "http://s/a", "http://s/b"}
+    assert {r["url"] for r in spark.read.json(f"{folder}/disallowed.json").collect()} >= {"http://s/private/x", "http://other/"}
+    assert {r["summary_preview"] for r in spark.read.json(f"{folder}/debug/summaries").collect()} == {"in short"}
+    known = spark.read.parquet(str(tmp_path / "cache"))
+    assert known.count() == known.select("key").distinct().count() > 0
+    chats = tables.Chats(str(tmp_path / "chats"))
+    assert rt.query_chat(chats, "one", "what is told?").answer == "told" and [m["role"] for m in chats.load("one")["messages"]] == ["user", "assistant"]
+    assert rt.query_chat(chats, "one", "and then?").supported and len(chats.load("one")["messages"]) == 4
+    assert len(list((tmp_path / "p" / "debug" / "queries").glob("*.json"))) == 2
+
+
+def test_embedder():
+    calls, waits = [], []
+
+    def many(texts):
+        calls.append(list(texts))
+        if "bad" in texts:
+            raise RuntimeError("no")
+        return [[float(len(t))] for t in texts]
+
+    e = ingest.Embedder(many, batch=3, retries=1, sleep=waits.append)
+    assert e.vectors(["a", " ", "bb", "a", None, "bad", "cccc"]) == [[1.0], None, [2.0], [1.0], None, None, [4.0]]
+    assert calls[0] == ["a", "bb", "bad"] and waits == [1.0] * 2 and e.most_tokens == 5600
+    assert ingest.embedder(e) is e and ingest.embedder(toy_vector).most_tokens == 7372
+
+
+def test_embedding_cache_asks_once(spark, tmp_path):
+    cache = str(tmp_path / "cache")
+    rows = spark.createDataFrame([("a",), ("b",), ("a",), (None,), (" ",)], "text string")
+    first = ingest.embedded_once(rows, toy_vector, cache)
+    assert sorted(str(r["embedding"]) for r in first.collect()) == sorted(str(v) for v in (toy_vector("a"), toy_vector("b"), toy_vector("a"), None, None))
+
+    def never(text):
+        raise AssertionError(text)
+
+    assert [r["embedding"] for r in ingest.embedded_once(rows.where("text = 'b'"), never, cache).collect()] == [toy_vector("b")]
+    assert spark.read.parquet(cache).count() == 2
+
+
+def test_service(spark, tmp_path):
+    root = str(tmp_path)
+    api = service.Service(root, lambda c: runtime.build(spark, c, toy_vector, Script(("YES or NO", "YES"), ("Context", "told")), fetch=crawling.fetch_by(c, serve)))
+    assert api.handle("GET", "/healthz") == (200, {"status": "ok"}) and api.handle("GET", "/none")[0] == 404 and api.handle("PUT", "/healthz")[0] == 405
+    assert api.handle("POST", "/v1/projects", {"name": "p", "config": {"start_url": "ftp://x"}})[0] == 400 and api.handle("POST", "/v1/projects", {})[0] == 400
+    code, made = api.handle("POST", "/v1/projects", {"name": "p", "config": {"start_url": "http://s/", "rate_limit_delay": 0, "score_threshold": 0.0}})
+    assert code == 201 and made["config"]["start_url"] == "http://s/" and api.handle("POST", "/v1/projects", {"name": "p", "config": {"start_url": "http://s/"}})[0] == 409
+    assert api.handle("GET", "/v1/projects") == (200, {"items": ["p"]}) and api.handle("GET", "/v1/projects/q")[0] == 404
+    assert api.handle("PATCH", "/v1/projects/p", {"config": {"max_depth": 1}})[1]["config"]["max_depth"] == 1
+    assert not api.handle("GET", "/v1/projects/p/status")[1]["query_ready"] and api.handle("POST", "/v1/projects/p/query", {"question": "q"})[0] == 503
+    assert api.handle("POST", "/v1/projects/p/ingest", {"mode": "x"})[0] == 400 and api.handle("POST", "/v1/projects/p/ingest")[1]["result"]["indexed"]
+    code, got = api.handle("POST", "/v1/projects/p/query", {"question": "what of page a?"})
+    assert code == 200 and got["answer"] == "told" and got["supported"] and got["sources"]
+    assert api.handle("POST", "/v1/projects/p/query", {"question": " "})[0] == 400
+    assert api.handle("PUT", "/v1/projects/p/chats/one", {"title": "T", "messages": [{"role": "user", "content": "x"}]})[1]["title"] == "T"
+    assert api.handle("GET", "/v1/projects/p/chats")[1] == {"items": ["one"]} and api.handle("GET", "/v1/projects/p/chats/one")[0] == 200
+    assert api.handle("DELETE", "/v1/projects/p/chats/one") == (204, None) and api.handle("GET", "/v1/projects/p/chats/one")[0] == 404
+
+    import threading
+    import urllib.error
+    import urllib.request
+
+    http = service.server(api, port=0)
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{http.server_port}"
+    assert json.loads(urllib.request.urlopen(f"{base}/v1/projects", timeout=20).read()) == {"items": ["p"]}
+    with pytest.raises(urllib.error.HTTPError, match="400"):
+        urllib.request.urlopen(urllib.request.Request(f"{base}/v1/projects", b"no json", method="POST"), timeout=20)
+    http.shutdown()
+    assert api.handle("DELETE", "/v1/projects/p") == (204, None) and api.handle("GET", "/v1/projects") == (200, {"items": []})
