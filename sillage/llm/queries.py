@@ -11,6 +11,7 @@ from sillage.llm.chat import OP2_SQL, op2_chat
 from sillage.llm.mixing import op3_mixing
 from sillage.llm.media import op1_media
 from sillage.llm.near_dedup import OP7_SQL, op7_near_dedup
+from sillage.llm.parts import PARTS, PARTS_SQL
 from sillage.llm.quality import op9_quality
 from sillage.llm.secrets import op8_secrets
 from sillage.llm.toxicity import op10_toxicity
@@ -28,10 +29,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    **PARTS,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_chat": OP2_SQL,
     "op6_warc": OP6_SQL,
     "op7_near_dedup": OP7_SQL,
+    **PARTS_SQL,
 }
