@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sillage.functions import text as T
 from sillage.functions import vectors as V
+from sillage.sources.tables import stored
 
 VERSION = 1
 #: Kinds of index; flat searches exactly, the others look into the nearest cells only.
@@ -92,9 +95,45 @@ def id_of(index: DataFrame, key: str) -> int:
     return -1 if got is None else got["n"]
 
 
-def find(index: DataFrame, queries: DataFrame, k: int, kind: str = "flat", n_cells: int = 1024, probes: int = 8) -> DataFrame:
-    """search() by kind: exact for flat, within the nearest cells for the others. Graph and product codes of other engines have no
-    counterpart in a table scan; their place is taken by cells, whose recall grows with probes."""
+@dataclass
+class Cells:
+    """An index cut into cells, in the shared folder: records with their cell, the cells' centres, and how many cells a query looks into."""
+
+    placed: DataFrame
+    centres: DataFrame
+    probes: int
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        return search_cells(self.placed, self.centres, queries, k, self.probes)
+
+
+def build(index: DataFrame, n_cells: int | None = None, k: int = 10, recall: float = 0.95, asked: int = 64, seed: int = 7) -> Cells:
+    """index as Cells: every record is placed; the square root of their number makes the cells, 1024 at most, unless given.
+
+    Probes are measured, not guessed: for some records as queries (asked of them, by hash) the k nearest are found exactly, and the
+    cells that hold them are ranked by how near their centres are to the query; probes reach as many of them as recall says. So
+    recall follows the data: vectors without clusters need most cells, and clustered ones a few.
+    """
+    total = index.count()
+    n_cells = n_cells or max(1, min(1024, round(total**0.5)))
+    placed, centres = cells(index, n_cells, seed)
+    placed = stored(placed, "cells")
+    queries = index.orderBy(F.xxhash64(F.lit(seed), "_key"), "_key").limit(asked).select(F.col("_key").alias("qid"), F.col("unit").alias("vector"))
+    queries = stored(queries, "asked")
+    near = search(placed, queries, k).select("qid", "cell")
+    # asked * n_cells rows.
+    order = Window.partitionBy("qid").orderBy(F.desc(V.dot(F.col("centre"), V.normalised(F.col("vector")))), "cell")
+    ranks = queries.crossJoin(F.broadcast(centres)).withColumn("n", F.row_number().over(order)).select("qid", "cell", "n")
+    got = near.join(F.broadcast(ranks), ["qid", "cell"]).agg(F.expr(f"percentile_disc({recall}) within group (order by n)").alias("n")).first()
+    return Cells(placed, centres, int(got["n"] or 1))
+
+
+def find(index: DataFrame | Cells, queries: DataFrame, k: int, kind: str = "flat", n_cells: int | None = None, probes: int | None = None) -> DataFrame:
+    """search() by kind: exact for flat; within the nearest cells for the others, whose cells are made anew unless index has them (see build).
+
+    Graphs and product codes, which other engines walk record by record, have no counterpart in a table scan; cells take their place.
+    """
     if create(kind) == "flat":
-        return search(index, queries, k)
-    return search_cells(*cells(index, n_cells), queries, k, probes)
+        return search(index.placed if isinstance(index, Cells) else index, queries, k)
+    made = index if isinstance(index, Cells) else build(index, n_cells, k)
+    return search_cells(made.placed, made.centres, queries, k, probes or made.probes)

@@ -426,6 +426,13 @@ def search_vectors_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(index.search_cells(placed, centres, vector_queries(ix), 10, 12)).select("qid", "vec_id", "score", "rank")
 
 
+@query()
+def search_vectors_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest by an approximate index with its own choice of cells and probes."""
+    ix = vector_index(spark, sf_dir)
+    return _rounded(index.find(ix, vector_queries(ix), 10, "ivf_flat")).select("qid", "vec_id", "score", "rank")
+
+
 @query("select vec_id, round(list_sum(list_transform(e, lambda x: x * x)), 6) as square, round(list_sum(list_transform(e, lambda x: x / n)), 6) as sum_of_unit from (select vec_id, embedding::double[] as e, coalesce(nullif(sqrt(list_inner_product(embedding::double[], embedding::double[])), 0), 1) as n from embeddings)")
 def vectors_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("embedding")
