@@ -1,4 +1,8 @@
-"""A corpus from raw documents: toxic ones out, one of each group of near duplicates, secrets out, sources mixed, texts encoded."""
+"""A corpus from raw documents: toxic ones out, one of each group of near duplicates, secrets out, sources mixed, texts encoded.
+
+Every stage takes a table with the columns of documents, any of them null, and ignores columns besides, whatever their names; an
+empty table gives an empty one. Rows that repeat are rows of their own, and texts are taken whole.
+"""
 
 from __future__ import annotations
 
@@ -18,28 +22,28 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Trained on the labels of sf_dir; documents that score 0.5 or more go."""
+    """Trained on the labels of sf_dir; documents that score 0.5 or more go. Null texts are judged as empty ones; null ids are no label's."""
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
     return _documents(toxicity.without_toxic(docs, model))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of the least id."""
+    """One document of each group stays, that of the least id. Documents without an id, or without words, stay; rows that repeat altogether stay or go together."""
     return _documents(near_dedup.without_near_duplicates(docs))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every secret becomes a mark; no document goes."""
+    """Every secret becomes a mark; no document goes, and null texts stay null."""
     return _documents(secrets.redact(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often, and as far, as the mix takes them."""
+    """Documents as often, and as far, as the mix takes them. Null sources are a source of their own, null texts have no words and go."""
     return _documents(mixing.mixed(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and ids of every row, as a trainer reads them, and how many there are."""
+    """doc_id and ids of every row, as a trainer reads them, and how many there are. Null and empty texts have none."""
     return bpe.encode(docs).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
@@ -66,5 +70,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: SQL can't express a trained model, sketches or a tokenizer; tests/llm holds every stage against a brute-force version.
+#: SQL can't express a trained model or a tokenizer: tests/llm holds the rows of run() against plain versions of its stages.
 ORACLE_SQL: str | None = None
