@@ -734,6 +734,33 @@ def index_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- pages, segments, ingest, answers --------------------------------------------------------------------------------------
 
 
+_BARE_HTML = r"regexp_replace(html, '(?s)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<![^>]*>', '<>', 'g')"
+_UNESCAPED = r"""replace(replace(replace(replace(replace(replace(regexp_replace(x, '&amp;?', '&amp;', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"""
+
+
+def _shown(t: str) -> str:
+    """The text between tags, as SQL, for the entities that these pages have."""
+    return rf"array_to_string(list_filter(list_transform(regexp_split_to_array({t}, '<[^>]*>'), lambda x: regexp_replace({_UNESCAPED}, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), ' ')"
+
+
+def _split(t: str) -> str:
+    return rf"list_filter(regexp_split_to_array({t}, '\s+'), lambda x: x <> '')"
+
+
+_BODY = _shown("regexp_replace(regexp_extract(t, '(?s)<body>(.*)', 1), '(?s)<(nav|footer)>.*?</(nav|footer)>', '<>', 'g')")
+_ARTICLE = _shown("regexp_extract(t, '(?s)</h1>(.*)</article>', 1)")
+
+
+@query(f"""
+with bare as (select page_id, {_BARE_HTML} as t from pages), told as (select page_id, {_split(_ARTICLE)} as w, {_BODY} as body from bare),
+made as (select page_id, 0 as chunk_index, case when len(w) >= 4 then array_to_string(w, ' ') else body end as text, case when len(w) >= 4 then len(w) else len({_split('body')}) end as length from told
+  union all select page_id, 1, array_to_string(list_slice(w, len(w) - 49, len(w)), ' '), 50 from told where len(w) >= 350)
+select page_id, chunk_index::int as chunk_index, length::int as length, md5(text) as digest from made""")
+def html_chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of all pages: one section with one block each, the whole page where that is too short, and the shared words after a long block."""
+    return P.chunks(table(spark, sf_dir, "pages")).select("page_id", "chunk_index", "length", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 @query()
 def html_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of all pages by heading and sliding window."""
@@ -748,7 +775,7 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(ids, "from_url").groupBy("page_id").agg(F.max("pos").cast("long").alias("pos"), F.count("*").cast("int").alias("n"))
 
 
-@query()
+@query(f"select page_id, length(text)::int as n_chars, md5(text) as digest from (select page_id, {_shown('t')} as text from (select page_id, {_BARE_HTML} as t from pages))")
 def html_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.texts(table(spark, sf_dir, "pages")).select("page_id", F.length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
