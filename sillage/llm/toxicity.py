@@ -336,14 +336,18 @@ def _logistic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[fl
     return float(max(a, 1e-3)), float(b)
 
 
-def pieces_of(text: str) -> tuple[set[bytes], set[tuple[bytes, bytes]]]:
-    """The distinct pieces of a text's tokens, and its distinct pairs of neighbouring tokens in a sentence."""
-    single = {p for t in set(tokens_of(text)) for p in codes(t)}
+def pieces_of(text: str) -> set[bytes]:
+    """The distinct pieces of a text's tokens."""
+    return {p for t in set(tokens_of(text)) for p in codes(t)}
+
+
+def pairs_of(text: str) -> set[tuple[bytes, bytes]]:
+    """The distinct pairs of neighbouring tokens in a text's sentences that make a piece."""
     pairs: set[tuple[bytes, bytes]] = set()
     for sentence in _SENTENCE.split(text):
         got = [letters(t) for t in sentence.split()]
         pairs.update(zip(got, got[1:], strict=False))
-    return single, {p for p in pairs if phrase(*p)}
+    return {p for p in pairs if phrase(*p)}
 
 
 def spread(candidates: list[bytes], most: int, alike: float = ALIKE) -> list[bytes]:
@@ -413,17 +417,43 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _counted(sample: DataFrame) -> DataFrame:
-    """a, b, n_toxic, n_clean: in how many documents of each label a piece is (b null), or a pair of neighbouring tokens."""
+    """a, n_toxic, n_clean: in how many documents of each label a piece is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for labels, texts in slices(batches, 16):
             for label, text in zip(labels, texts, strict=True):
-                single, pairs = pieces_of(text)
-                one, two = [*single, *(p[0] for p in pairs)], [*([None] * len(single)), *(p[1] for p in pairs)]
-                yield pa.RecordBatch.from_arrays([pa.array(one, pa.binary()), pa.array(two, pa.binary()), pa.array([label] * len(one), pa.int32())], names=["a", "b", "toxic"])
+                got = list(pieces_of(text))
+                yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary()), pa.array([label] * len(got), pa.int32())], names=["a", "toxic"])
+
+    rows = sample.select("toxic", "text").mapInArrow(run, "a binary, toxic int")
+    return rows.groupBy("a").agg(F.sum("toxic").alias("n_toxic"), F.sum(1 - F.col("toxic")).alias("n_clean"))
+
+
+def _paired(sample: DataFrame, only: set[tuple[bytes, bytes]] | None = None) -> DataFrame:
+    """a, b, n: in how many documents a pair of neighbouring tokens is; of some pairs, or of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (texts,) in slices(batches, 16):
+            got = [p for t in texts for p in (pairs_of(t) if only is None else pairs_of(t) & only)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in got], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    return sample.select("text").mapInArrow(run, "a binary, b binary").groupBy("a", "b").agg(F.count("*").alias("n"))
+
 
-    rows = sample.select("toxic", "text").mapInArrow(run, "a binary, b binary, toxic int")
-    return rows.groupBy("a", "b").agg(F.sum("toxic").alias("n_toxic"), F.sum(1 - F.col("toxic")).alias("n_clean"))
+def _phrases(sample: DataFrame, counted: DataFrame, n_toxic: int, n_clean: int) -> list[tuple[bytes, bytes]]:
+    """Pairs of neighbouring tokens that tell more than either word alone, the most telling first.
+
+    Candidates come from the toxic documents, the most frequent 4096 at most; only those are looked for in the clean ones.
+    """
+    often = _paired(sample.where("toxic = 1")).where(F.col("n") >= max(2, LEAST_PHRASE * n_toxic)).orderBy(F.desc("n"), "a", "b").limit(4096)
+    toxic = {(bytes(r["a"]), bytes(r["b"])): r["n"] for r in often.collect()}
+    if not toxic:
+        return []
+    clean = {(bytes(r["a"]), bytes(r["b"])): r["n"] for r in _paired(sample.where("toxic = 0"), set(toxic)).collect()}
+    words = [_EDGES[0] + w + _EDGES[1] for w in {w for p in toxic for w in p}]
+    alone = {bytes(r["a"])[1:-1]: r["evidence"] for r in counted.where(F.col("a").isin([bytearray(w) for w in words])).select("a", "evidence").collect()}
+    evidence = {p: n / n_toxic - 3 * clean.get(p, 0) / n_clean for p, n in toxic.items()}
+    return sorted((p for p, e in evidence.items() if e > 0 and e > 2 * max(alone.get(w, 0) for w in p)), key=lambda p: (-evidence[p], p))[: 40 * PHRASE_MARKS]
 
 
 def _sentences(sample: DataFrame, model: Model) -> DataFrame:
@@ -471,14 +501,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         forget(sample)
         return constant(n_toxic / max(n_toxic + n_clean, 1))
     counted = stored(_counted(sample).withColumn("evidence", F.col("n_toxic") / n_toxic - 3 * F.col("n_clean") / n_clean), "pieces")
-    single = counted.where("b is null")
-    best = single.where(f"n_toxic >= {LEAST_SEEN} and evidence > 0 and length(a) > 4").orderBy(F.desc("evidence"), "a").limit(40 * TOXIC_MARKS)
-    common = single.where("n_clean >= 2 and evidence < 0").orderBy(F.desc("n_clean"), "a").limit(20_000)
-    # A pair counts where it tells more than either word alone.
-    edged = [single.select(F.expr(f"substring(a, 2, length(a) - 2)").alias(c), F.col("evidence").alias(f"of_{c}")) for c in ("a", "b")]
-    pairs = counted.where(f"b is not null and n_toxic >= {LEAST_PHRASE * n_toxic} and evidence > 0").join(edged[0], "a", "left").join(edged[1], "b", "left")
-    pairs = pairs.where("evidence > 2 * greatest(coalesce(of_a, 0), coalesce(of_b, 0))").orderBy(F.desc("evidence"), "a", "b").limit(40 * PHRASE_MARKS)
-    model = landmarks([bytes(r["a"]) for r in best.select("a").collect()], [(bytes(r["a"]), bytes(r["b"])) for r in pairs.select("a", "b").collect()], [bytes(r["a"]) for r in common.select("a").collect()])
+    best = counted.where(f"n_toxic >= {LEAST_SEEN} and evidence > 0 and length(a) > 4").orderBy(F.desc("evidence"), "a").limit(40 * TOXIC_MARKS)
+    common = counted.where("n_clean >= 2 and evidence < 0").orderBy(F.desc("n_clean"), "a").limit(20_000)
+    telling, frequent = ([bytes(r["a"]) for r in rows.select("a").collect()] for rows in (best, common))
+    model = landmarks(telling, _phrases(sample, counted, n_toxic, n_clean), frequent)
     sentences = stored(_sentences(sample, model), "sentences")
     draw = F.xxhash64("doc_id", "v")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("near"), "v")) == 1
