@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sillage.functions import text as T
 from sillage.functions import vectors as V
 from sillage.sources.tables import stored
 
 VERSION = 1
+#: Numbers of a set of queries that go to every task (32 MB), and digits to which scores are compared.
+MOST_ASKED, DIGITS = 4_000_000, 12
 #: Kinds of index; flat searches exactly, the others look into the nearest cells only.
 KINDS = ("flat", "hnsw", "ivf_flat", "ivf_pq")
 
@@ -38,19 +46,61 @@ def added(records: DataFrame, id_col: str = "id", vector_col: str = "embedding",
 def search(index: DataFrame, queries: DataFrame, k: int, threshold: float = 0.0) -> DataFrame:
     """qid, the record, score (cosine) and rank from 0: the k nearest records of each query, ties by key, those below the threshold cut after.
 
-    queries (qid, vector) is a stated set against all rows. While it is below Spark's broadcast threshold it goes to where the records
-    lie; beyond, Spark pairs blocks of both sides instead. Either way each task keeps its own k best of each query before the
-    shuffle, so what is shuffled grows with queries and tasks, not with records.
+    queries (qid, vector) is a stated set against all rows. Up to MOST_ASKED numbers of it go to every task, which multiplies its records
+    with them a batch at a time and keeps rows that are among its own k best of a query so far, so that what is shuffled grows with
+    queries and tasks, not with records. A larger set is paired with the records in blocks by Spark instead. Records without a
+    vector, or with one of another length, are near nothing; so is a query without one.
     """
     if k <= 0:
         return index.limit(0).select(F.lit(None).cast(queries.schema["qid"].dataType).alias("qid"), *index.columns, F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
     asked = queries.select("qid", V.normalised(F.col("vector")).alias("asked"))
-    near = index.crossJoin(asked).withColumn("score", V.dot(F.col("unit"), F.col("asked"))).drop("asked")
+    numbers = asked.agg(F.coalesce(F.sum(F.greatest(F.size("asked"), F.lit(1))), F.lit(0)).alias("n")).first()["n"]
+    near = _multiplied(index, asked, k) if numbers <= MOST_ASKED else _paired(index, asked)
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "_key")
     hits = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
     return hits.where(F.col("score") >= threshold) if threshold > 0 else hits
 
 
+def _paired(index: DataFrame, asked: DataFrame) -> DataFrame:
+    scored = index.crossJoin(asked).withColumn("score", F.round(V.dot(F.col("unit"), F.col("asked")), DIGITS)).drop("asked")
+    return scored.where("score is not null").select("qid", *index.columns, "score")
+
+
+def _multiplied(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """qid, the record and score of all pairs that may be among the k best."""
+    rows = [r for r in asked.collect() if r["asked"]]
+    names, unit = [f"c{n}" for n in range(len(index.columns))], index.columns.index("unit")
+    kind = to_arrow_type(asked.schema["qid"].dataType)
+    by_size: dict[int, list[int]] = {}
+    for n, r in enumerate(rows):
+        by_size.setdefault(len(r["asked"]), []).append(n)
+    sent = index.sparkSession.sparkContext.broadcast([(size, np.array(of), np.array([rows[n]["asked"] for n in of], float).T) for size, of in by_size.items()])
+    qids = [r["qid"] for r in rows]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.full((len(qids), k), -np.inf)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2048):
+                batch = whole.slice(start, 2048)
+                vectors = batch.column(unit)
+                sizes = pc.list_value_length(vectors).fill_null(-1).to_numpy(zero_copy_only=False)
+                for size, of, matrix in sent.value:
+                    usable = np.flatnonzero(sizes == size)
+                    if not len(usable):
+                        continue
+                    scores = np.round(vectors.take(pa.array(usable)).flatten().to_numpy(zero_copy_only=False).reshape(-1, size) @ matrix, DIGITS)
+                    # Rows at a query's k-th best so far stay, since ties go by key.
+                    top = np.sort(np.concatenate([best[of].T, scores]), axis=0)[-k:]
+                    best[of] = top.T
+                    row, query = np.nonzero(scores >= top[0])
+                    if len(row):
+                        kept = batch.take(pa.array(usable[row]))
+                        yield pa.RecordBatch.from_arrays([pa.array([qids[n] for n in of[query].tolist()], kind), *kept.columns, pa.array(scores[row, query], pa.float64())], names=["qid", *names, "score"])
+
+    schema = S.StructType([asked.schema["qid"], *(S.StructField(n, f.dataType) for n, f in zip(names, index.schema, strict=True)), S.StructField("score", S.DoubleType())])
+    return index.toDF(*names).mapInArrow(run, schema).toDF("qid", *index.columns, "score")
+
+
 def cells(index: DataFrame, n_cells: int, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """index with its cell, and the cells' centres (cell, centre), by k-means over at most 100,000 sampled vectors."""
     total = index.count()

@@ -244,6 +244,21 @@ def test_index_changes(spark, records):
     assert index.search(records, q, 0).count() == 0 and [r["id"] for r in index.search(records, q, 2).orderBy("rank").collect()] == ["intro", "limits2"]
 
 
+def test_search_by_blocks_is_the_same(spark, monkeypatch):
+    """Products in tasks and pairs by Spark: equal hits, ties by key, whatever has no vector or another length apart."""
+    import random
+
+    rng = random.Random(6)
+    rows = [(f"k{n:03}", [float(rng.randint(-2, 2)) for _ in range(4)], n) for n in range(300)] + [("none", None, 1), ("short", [1.0, 2.0], 2)]
+    made = index.added(spark.createDataFrame(rows, "id string, embedding array<double>, n int").repartition(5))
+    asked = spark.createDataFrame([(n, [float(rng.randint(-2, 2)) for _ in range(4)]) for n in range(9)] + [(50, None), (51, [3.0, 1.0])], "qid int, vector array<double>")
+    told = lambda: sorted((r["qid"], r["rank"], r["id"], r["n"], round(r["score"], 9)) for r in index.search(made, asked, 7, 0.1).collect())
+    first = told()
+    assert len({q for q, *_ in first}) >= 9 and (51, 0, "short", 2) == first[-1][:4]
+    monkeypatch.setattr(index, "MOST_ASKED", -1)
+    assert [r for r in told() if r[0] != 51 and r[2] != "short"] == [r for r in first if r[0] != 51]
+
+
 def test_streams(spark, tmp_path):
     source, out = tmp_path / "in", str(tmp_path / "out")
     source.mkdir()
