@@ -28,6 +28,8 @@ class Policy:
     allow_url_patterns: list[str] = field(default_factory=list)
     block_url_patterns: list[str] = field(default_factory=list)
     skip_pattern: str = ""
+    #: Characters of a URL, without its fragment, at most.
+    longest: int = 2000
 
 
 def allowed_domains(start_url: str, given: list[str], entire_site: bool) -> list[str]:
@@ -77,7 +79,7 @@ def reason(url: Column, p: Policy, robots_ok: Column | None = None) -> Column:
         .when(U.looks_like_session(bare), "session or length")
         .when(~domain_allowed(bare, p), "domain")
         .when(~robots_ok if robots_ok is not None else F.lit(False), "robots")
-        .when(U.skip_by_rules(bare, p.skip_pattern, 2000), "skip rule")
+        .when(U.skip_by_rules(bare, p.skip_pattern, p.longest), "skip rule")
         .when(~path_allowed(bare, p), "path")
         .when(~patterns_allowed(bare, p), "pattern")
     )
