@@ -1,6 +1,6 @@
 """Media columns: HTML documents as ordered sequences of text and media references, resolved by digest.
 
-A sequence's part is (position, kind, text, digest, caption). Stored forms lie beside the pages that first had them; sequences refer
+A sequence's part is (position, kind, text, digest, caption). Stored forms are a table of their own; sequences refer
 to them by digest, and a join by digest brings a payload's facts to every place it is used, so that positions and captions
 stay with their part whatever the order of rows.
 """
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sillage.llm.common import read, slices, stored, whole
+from sillage.llm.common import forget, read, slices, stored, whole
 
 #: Samples in a row of the stored picture: payloads fill whole rows with FILL.
 WIDTH, FILL = 576, b"\xff"
@@ -227,13 +227,20 @@ def page_of(text: str, digest: str, size: int) -> str:
     return "<article>" + "\n".join(lines) + "</article>"
 
 
+def _digest(payload: bytes) -> str:
+    return hashlib.sha256(payload).hexdigest()
+
+
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, texts in slices(batches, 64):
+    for (texts,) in slices(batches, 64):
         payloads = [padded(t) for t in texts]
-        digests = [hashlib.sha256(p).hexdigest() for p in payloads]
-        sizes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
-        pages = [page_of(t, d, n) for t, d, n in zip(texts, digests, sizes, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pages), pa.array(digests), pa.array([to_png(p) for p in payloads], pa.binary())], names=["doc_id", "html", "digest", "media"])
+        yield pa.RecordBatch.from_arrays([pa.array([_digest(p) for p in payloads], pa.string()), pa.array([to_png(p) for p in payloads], pa.binary())], names=["digest", "media"])
+
+
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, texts in slices(batches, 64):
+        pages = [page_of(t, _digest(padded(t)), len(t.encode("utf-8", "surrogatepass"))) for t in texts]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pages, pa.string())], names=["doc_id", "html"])
 
 
 _FACTS = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
@@ -247,14 +254,14 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=_FACTS)
 
 
-def interleave(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A table of doc_id, html, digest, media: every text becomes a page of its paragraphs (see page_of) and a stored picture that the page refers to.
+def interleave(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Pages (doc_id, html) and media (digest, media): every text becomes a page of its paragraphs (see page_of) and a stored picture that the page refers to.
 
     Null texts are empty; an empty text is a row of FILL. Ids may be null or repeat. Other columns are ignored; empty tables give no rows.
-    The table is in the shared folder.
+    Media are in the shared folder; pages are made as they are read, since they hold no more than the texts.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
-    return stored(rows.mapInArrow(_store, "doc_id long, html string, digest string, media binary"), "media")
+    return rows.mapInArrow(_pages, "doc_id long, html string"), stored(rows.select("text").mapInArrow(_store, "digest string, media binary"), "media")
 
 
 def media_facts(kept: DataFrame) -> DataFrame:
@@ -286,8 +293,9 @@ def shown(pages: DataFrame) -> DataFrame:
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = interleave(read(spark, sf_dir, "documents"))
-    facts = stored(media_facts(kept), "facts")
+    pages, media = interleave(read(spark, sf_dir, "documents"))
+    facts = stored(media_facts(media), "facts")
+    forget(media)
     # The caption states the text's size, so it shows that captions stayed with their pictures.
     size = F.regexp_extract("caption", r"^(\d+) bytes$", 1).cast("long")
-    return resolve(shown(kept), facts).select("doc_id", size.alias("n_bytes"), *_FACTS[1:], "position", "caption", "n_parts", "text_sha256")
+    return resolve(shown(pages), facts).select("doc_id", size.alias("n_bytes"), *_FACTS[1:], "position", "caption", "n_parts", "text_sha256")

@@ -24,7 +24,7 @@ def by_row(df, *columns):
 
 
 OPERATORS = {
-    "media": lambda d: media.resolve(media.shown(k := media.interleave(d)), media.media_facts(k)),
+    "media": lambda d: media.resolve(media.shown((k := media.interleave(d))[0]), media.media_facts(k[1])),
     "mixing": mixing.mix,
     "bpe": bpe.encode_decode,
     "bpe ids": lambda d: bpe.decode(bpe.encode(d)),
