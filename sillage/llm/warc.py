@@ -179,10 +179,12 @@ def write_archives(pages: DataFrame, least_revisit: int = LEAST_REVISIT) -> Data
     refers = F.expr("page_id < to_page")
     decided = stored(ends.join(first, ["sha256", "size"], "left").select("record", "page_id", "url", "size", "sha1", F.when(refers, F.col("to_page")).alias("to_page"), F.when(refers, F.col("to_record")).alias("to_record")), "records")
     heads = decided.select("record", F.lit(0).cast("long").alias("chunk"), F.col("to_record").isNotNull().alias("last"), F.concat(head(), F.when(F.col("to_record").isNotNull(), F.encode(F.lit(_CRLF * 2), "UTF-8")).otherwise(F.lit(b""))).alias("data"), F.lit(digest(hashlib.sha1())).alias("sha1_so_far"))
-    bodies = payloads.join(decided.where("to_record is not null").select("record"), "record", "left_anti")
+    # A table of its own, so that Spark knows how small it is: where few payloads repeat, no payload moves for this.
+    revisits = stored(decided.where("to_record is not null").select("record"), "revisits")
+    bodies = payloads.join(revisits, "record", "left_anti")
     bodies = bodies.select("record", "chunk", "last", F.when(F.col("last"), F.concat("data", F.encode(F.lit(_CRLF * 2), "UTF-8"))).otherwise(F.col("data")).alias("data"), "sha1_so_far")
     archive = stored(heads.unionByName(bodies), "warc")
-    forget(payloads, decided)
+    forget(payloads, decided, revisits)
     return archive
 
 
