@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sillage.functions import segments as S
 from sillage.functions import text as T
 from sillage.functions import urls as U
 from sillage.functions import vectors as V
@@ -751,11 +752,13 @@ _BODY = _shown("regexp_replace(regexp_extract(t, '(?s)<body>(.*)', 1), '(?s)<(na
 _ARTICLE = _shown("regexp_extract(t, '(?s)</h1>(.*)</article>', 1)")
 
 
-@query(f"""
-with bare as (select page_id, {_BARE_HTML} as t from pages), told as (select page_id, {_split(_ARTICLE)} as w, {_BODY} as body from bare),
+_CHUNKS_SQL = f"""
+bare as (select page_id, {_BARE_HTML} as t from pages), told as (select page_id, {_split(_ARTICLE)} as w, {_BODY} as body from bare),
 made as (select page_id, 0 as chunk_index, case when len(w) >= 4 then array_to_string(w, ' ') else body end as text, case when len(w) >= 4 then len(w) else len({_split('body')}) end as length from told
-  union all select page_id, 1, array_to_string(list_slice(w, len(w) - 49, len(w)), ' '), 50 from told where len(w) >= 350)
-select page_id, chunk_index::int as chunk_index, length::int as length, md5(text) as digest from made""")
+  union all select page_id, 1, array_to_string(list_slice(w, len(w) - 49, len(w)), ' '), 50 from told where len(w) >= 350)"""
+
+
+@query(f"with {_CHUNKS_SQL} select page_id, chunk_index::int as chunk_index, length::int as length, md5(text) as digest from made")
 def html_chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of all pages: one section with one block each, the whole page where that is too short, and the shared words after a long block."""
     return P.chunks(table(spark, sf_dir, "pages")).select("page_id", "chunk_index", "length", F.md5(F.col("text").cast("binary")).alias("digest"))
@@ -827,7 +830,16 @@ def ingest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = table(spark, sf_dir, "pages").withColumn("crawled_at", F.lit("2024-01-01T00:00:00+00:00"))
     made = ingest.records(pages, P.links(pages), toy_vector)
-    return made.select("id", "url", "chunk_index", "seg_index", "seg_count", F.size("outgoing_links").alias("n_out"), F.size("incoming_links").alias("n_in"), F.size("embedding").alias("n_dims"))
+    return made.select("id", "url", "chunk_index", "seg_index", "seg_count", F.size("outgoing_links").alias("n_out"), F.col("n_incoming").alias("n_in"), F.size("embedding").alias("n_dims"))
+
+
+@query(_LINKS + f""", {_CHUNKS_SQL},
+outs as (select page_id, count(*) as n from kept group by page_id), ins as (select target as url, count(*) as n from kept group by target)
+select p.url || '#chunk_' || chunk_index || '__seg_0' as id, p.url, chunk_index::int as chunk_index, 0 as seg_index, 1 as seg_count, coalesce(o.n, 0)::int as n_out, coalesce(i.n, 0) as n_in, 4 as n_dims
+from made join pages p using (page_id) left join outs o using (page_id) left join ins i on i.url = p.url where trim(text) <> '' and greatest(1, length(text) // 4) <= {S.limit()}""")
+def ingest_whole_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the chunks that an embedder takes whole."""
+    return ingest_records(spark, sf_dir).where("seg_count = 1").select("id", "url", "chunk_index", "seg_index", "seg_count", "n_out", "n_in", "n_dims")
 
 
 class Yes:
