@@ -139,23 +139,16 @@ def request_key(url: Column, tracking_prefixes: list[str] = ["utm_"], tracking:
     return F.concat(scheme(url), F.lit("://"), domain(url), F.when(path(url) == "", "/").otherwise(path(url)), F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
 
 
-#: IPv4 networks that are not of the public internet, as first address and bits (fixed values).
-INTERNAL_NETWORKS = (
-    ("0.0.0.0", 8), ("10.0.0.0", 8), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24), ("192.0.2.0", 24), ("192.168.0.0", 16),
-    ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 4), ("240.0.0.0", 4),
-)
 _OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-IPV4 = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
+IPV4 = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
+#: Beginnings of IPv4 addresses that are not of the public internet (fixed values): 0/8, 10/8, 127/8, 169.254/16, 172.16/12, 192.0.0/24,
+#: 192.0.2/24, 192.168/16, 198.18/15, 198.51.100/24, 203.0.113/24, 224/4 and 240/4.
+PRIVATE_IPV4 = r"^(0|10|127|22[4-9]|23[0-9]|24[0-9]|25[0-5]|169\.254|172\.(1[6-9]|2[0-9]|3[01])|192\.0\.[02]|192\.168|198\.(18|19|51\.100)|203\.0\.113)\."
 #: IPv6 addresses that may be public: 2000::/3, but for 2001::/23, 2001:db8::/32, 2002::/16 and 3fff::/20.
 PUBLIC_IPV6 = r"^\[(2[0-9a-f]{3}|3[0-9a-f]{3}):"
 PRIVATE_IPV6 = r"^\[(2001:(0?1?[0-9a-f]{0,2}|db8):|2002:|3fff:0?[0-9a-f]{0,3}:)"
 
 
-def _number(address: str) -> int:
-    a, b, c, d = map(int, address.split("."))
-    return a << 24 | b << 16 | c << 8 | d
-
-
 def is_internal(url: Column) -> Column:
     """Whether a URL leads to this machine, a private network or a metadata service, or is no http URL at all.
 
@@ -163,11 +156,6 @@ def is_internal(url: Column) -> Column:
     """
     given = F.coalesce(url, F.lit(""))
     name = F.lower(F.regexp_replace(F.regexp_replace(netloc(given), r"^.*@", ""), r":[0-9]*$", ""))
-    octets = [F.regexp_extract(name, IPV4, k).cast("long") for k in (1, 2, 3, 4)]
-    number = octets[0] * (1 << 24) + octets[1] * (1 << 16) + octets[2] * (1 << 8) + octets[3]
-    inside = F.lit(False)
-    for first, bits in INTERNAL_NETWORKS:
-        inside = inside | number.between(_number(first), _number(first) + (1 << (32 - bits)) - 1)
-    bracketed = name.startswith("[")
     six = ~name.rlike(PUBLIC_IPV6) | name.rlike(PRIVATE_IPV6)
-    return ~scheme(given).isin("http", "https") | (name == "") | name.isin(INTERNAL_HOSTS) | F.when(bracketed, six).when(name.rlike(IPV4), inside).otherwise(False)
+    four = name.rlike(IPV4) & name.rlike(PRIVATE_IPV4)
+    return ~scheme(given).isin("http", "https") | (name == "") | name.isin(INTERNAL_HOSTS) | F.when(name.startswith("["), six).otherwise(four)

@@ -136,15 +136,13 @@ def disallowed_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ADDRESSES = ["http://127.0.0.1/", "http://10.0.0.8/x", "http://169.254.169.254/latest", "http://localhost:8080/", "ftp://example.com/", "http://224.0.0.1/", "http://[::1]/", "http://93.184.216.34/", "http://metadata.google.internal/", "nonsense"]
 _NAME = "lower(regexp_replace(regexp_replace(" + _NETLOC + r", '^.*@', ''), ':[0-9]*$', ''))"
-_INSIDE = " or ".join(f"number between {U._number(first)} and {U._number(first) + (1 << (32 - bits)) - 1}" for first, bits in U.INTERNAL_NETWORKS)
 
 
 @query(f"""
 with given as (select url from pages union all select unnest({_ADDRESSES}) as url),
-named as (select url, {_sql(_NAME)} as name, {_sql(_SCHEME)} as scheme from given),
-numbered as (select *, case when regexp_matches(name, '{U.IPV4}') then cast(split_part(name, '.', 1) as bigint) * 16777216 + cast(split_part(name, '.', 2) as bigint) * 65536 + cast(split_part(name, '.', 3) as bigint) * 256 + cast(split_part(name, '.', 4) as bigint) end as number from named)
+named as (select url, {_sql(_NAME)} as name, {_sql(_SCHEME)} as scheme from given)
 select url, scheme not in ('http', 'https') or name = '' or name in ({", ".join(f"'{h}'" for h in U.INTERNAL_HOSTS)}) or
-  case when starts_with(name, '[') then not regexp_matches(name, '{U.PUBLIC_IPV6}') or regexp_matches(name, '{U.PRIVATE_IPV6}') else coalesce({_INSIDE}, false) end as internal from numbered""")
+  case when starts_with(name, '[') then not regexp_matches(name, '{U.PUBLIC_IPV6}') or regexp_matches(name, '{U.PRIVATE_IPV6}') else regexp_matches(name, '{U.IPV4}') and regexp_matches(name, '{U.PRIVATE_IPV4}') end as internal from named""")
 def url_internal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses that a crawler must not reach: pages' URLs, and one of each kind of address."""
     rows = table(spark, sf_dir, "pages").select("url").unionByName(spark.createDataFrame([(k,) for k in _ADDRESSES], "url string"))
