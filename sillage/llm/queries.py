@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sillage.llm.bpe import op5_bpe
 from sillage.llm.chat import OP2_SQL, op2_chat
+from sillage.llm.clustering import OP13_SQL, op13_clusters
+from sillage.llm.divergence import OP12_SQL, op12_divergence
 from sillage.llm.mixing import op3_mixing
 from sillage.llm.media import op1_media
 from sillage.llm.near_dedup import OP7_SQL, op7_near_dedup
@@ -29,6 +31,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op12_divergence": op12_divergence,
+    "op13_clusters": op13_clusters,
     **PARTS,
 }
 
@@ -36,5 +40,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_chat": OP2_SQL,
     "op6_warc": OP6_SQL,
     "op7_near_dedup": OP7_SQL,
+    "op12_divergence": OP12_SQL,
+    "op13_clusters": OP13_SQL,
     **PARTS_SQL,
 }
