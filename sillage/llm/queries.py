@@ -13,6 +13,7 @@ from sillage.llm.divergence import OP12_SQL, op12_divergence
 from sillage.llm.mixing import op3_mixing
 from sillage.llm.media import op1_media
 from sillage.llm.near_dedup import OP7_SQL, op7_near_dedup
+from sillage.llm.parity_join import OP11_SQL, op11_jaccard_join
 from sillage.llm.parts import PARTS, PARTS_SQL
 from sillage.llm.quality import op9_quality
 from sillage.llm.secrets import op8_secrets
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op11_jaccard_join": op11_jaccard_join,
     "op12_divergence": op12_divergence,
     "op13_clusters": op13_clusters,
     **PARTS,
@@ -40,6 +42,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_chat": OP2_SQL,
     "op6_warc": OP6_SQL,
     "op7_near_dedup": OP7_SQL,
+    "op11_jaccard_join": OP11_SQL,
     "op12_divergence": OP12_SQL,
     "op13_clusters": OP13_SQL,
     **PARTS_SQL,

@@ -1,10 +1,10 @@
-"""Sets of hashed five-word shingles, computed for many texts at once with numpy."""
+"""Sets of hashed shingles of some words, computed for many texts at once with numpy."""
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Words in a shingle.
+#: Words in a shingle, unless another number is given.
 WIDTH = 5
 
 U = np.uint64
@@ -54,7 +54,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.diff(np.searchsorted(starts, limits))
 
 
-def shingle_sets(texts: list[str]) -> list[np.ndarray]:
+def shingle_sets(texts: list[str], width: int = WIDTH) -> list[np.ndarray]:
     """Of each text the sorted distinct hashes of its shingles: A-Z lower-cased; a text of fewer words is one shingle; none without words."""
     out: list[np.ndarray] = []
     raw = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
@@ -66,13 +66,13 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
             to += 1
         hashes, counts = word_hashes(raw[at:to])
         ends = np.cumsum(counts)
-        joined = np.zeros(max(0, len(hashes) - WIDTH + 1), np.uint64)
-        for k in range(WIDTH):
+        joined = np.zeros(max(0, len(hashes) - width + 1), np.uint64)
+        for k in range(width):
             joined = joined * _JOIN + hashes[k : k + len(joined)]
         joined = mix(joined)
         for end, n in zip(ends.tolist(), counts.tolist(), strict=True):
-            if n >= WIDTH:
-                out.append(np.unique(joined[end - n : end - WIDTH + 1]))
+            if n >= width:
+                out.append(np.unique(joined[end - n : end - width + 1]))
             elif n:
                 short = np.full(1, n, np.uint64) * _GOLD
                 for h in hashes[end - n : end]:
