@@ -24,7 +24,7 @@ from sillage.llm.shingles import U, fingerprint, mix, shingle_sets
 WIDTH, PERCENT = 3, 90
 #: Bands of sizes: ratio of neighbouring bounds, and parts for each difference that a link of the band may have. The first keeps keys
 #: few; the second, for what the first leaves open, has more parts than a link can change, so that rare keys alone will do.
-BANDS, OPEN_BANDS = (1.4, 1), (1.1, 3)
+BANDS, OPEN_BANDS = (1.4, 1), (1.1, 4)
 
 _BIT = U(0xA0761D6478BD642F)
 
@@ -65,14 +65,22 @@ def sketch(members: np.ndarray, parts: int) -> np.ndarray:
     return running[at[1:]] ^ running[at[:-1]]
 
 
-def sketches(members: np.ndarray, percent: int, ratio: float, spare: int) -> tuple[list[int], list[bytes]]:
+def digests(members: np.ndarray, parts: int) -> np.ndarray:
+    """Parity words of 2**64 bits, of which but an XOR of the places is kept: equal where two sets are equal in a part, and, but for a
+    chance of 2**-64, nowhere else. In a word of 64 bits, many copies with one change each would soon have equal words."""
+    running = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(mix(members ^ _BIT))])
+    at = np.append(np.searchsorted(members, _starts(parts)), len(members))
+    return running[at[1:]] ^ running[at[:-1]]
+
+
+def sketches(members: np.ndarray, percent: int, ratio: float, spare: int, form: Callable[[np.ndarray, int], np.ndarray] = sketch) -> tuple[list[int], list[bytes]]:
     """The bands in which a set may be linked, by the size of the larger set of a pair, and its sketch for each. Bands whose links
     may not differ at all are left out: such sets are equal, and so one already."""
     n = len(members)
     if not n:
         return [], []
     which = [k for k in range(band(n, ratio), band(n * 100 // percent, ratio) + 1) if most(k, ratio, percent)]
-    return which, [sketch(members, spare * (most(k, ratio, percent) + 1)).astype("<u8").tobytes() for k in which]
+    return which, [form(members, spare * (most(k, ratio, percent) + 1)).astype("<u8").tobytes() for k in which]
 
 
 _MADE = "id long, th long, n long, fp1 long, fp2 long, bands array<int>, words array<binary>"
@@ -95,7 +103,7 @@ def _opened(percent: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], It
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in slices(batches, 32):
-            rows = [(i, k, most(k, OPEN_BANDS[0], percent), w) for i, s in zip(ids, shingle_sets(texts, width), strict=True) for k, w in zip(*sketches(s, percent, *OPEN_BANDS), strict=True)]
+            rows = [(i, k, most(k, OPEN_BANDS[0], percent), w) for i, s in zip(ids, shingle_sets(texts, width), strict=True) for k, w in zip(*sketches(s, percent, *OPEN_BANDS, digests), strict=True)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["id", "band", "most", "words"])
 
