@@ -16,13 +16,19 @@ from sillage.llm.common import WORD, forget, read, stored, unused, whole
 WEIGHTS = (3, 1, 2)
 #: Words of the mix for each word of the input, and how often a source may be used at most.
 SHARE, REPEATS = 1.5, 2
-#: Words in a block, and about how many words of input a shard has.
-BLOCK, SHARD = 64, 1 << 16
+#: Most words in a block, least blocks in a source's target (blocks get smaller where it is small), and about how many words of input a shard has.
+BLOCK, BLOCKS, SHARD = 64, 16, 1 << 16
 SEED = 17
 #: Shards whose words are summed up in one task; above them their sums are.
 SPAN = 1024
 
 
+def block_of(targets: list[float]) -> int:
+    """Words in a block: as many as leave the smallest target, but for those of nothing, BLOCKS blocks, one at least and BLOCK at most. So no
+    source is too small for a seat, and rounding to blocks moves none by more than a part of its target."""
+    return max(1, min(BLOCK, int(min((t for t in targets if t > 0), default=0.0) / BLOCKS)))
+
+
 def apportion(targets: list[float], seats: int, caps: list[int]) -> list[int]:
     """Seats by highest quotients target / (2 * seats so far + 1); ties go to the earlier; none goes beyond its cap."""
     got = [0] * len(targets)
@@ -53,8 +59,9 @@ def _quotas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (sources,) in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             sources = sorted(sources, key=lambda c: c["place"])
             targets = [c["target"] for c in sources]
-            got = apportion(targets, round(sum(targets) / BLOCK), [-(-REPEATS * c["words"] // BLOCK) for c in sources])
-            out += [(c["place"], c["words"], min(n * BLOCK, REPEATS * c["words"])) for c, n in zip(sources, got, strict=True)]
+            block = block_of(targets)
+            got = apportion(targets, round(sum(targets) / block), [-(-REPEATS * c["words"] // block) for c in sources])
+            out += [(c["place"], c["words"], min(n * block, REPEATS * c["words"])) for c, n in zip(sources, got, strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)] or [pa.array([], pa.int64())] * 3, names=["place", "words", "quota"])
 
 
@@ -126,7 +133,7 @@ _COLUMNS = ("s", "place", "shards", "shard", "source_size", "target", "rounds",
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, size, source, source_size, target, taken for every row of docs.
 
-    The sources compete for all blocks of BLOCK words by highest quotients of their targets, which gives each its quota.
+    The sources compete for all blocks of the mix (see block_of) by highest quotients of their targets, which gives each its quota.
     Documents fall into shards of about SHARD words by a seeded hash. Every document is taken as often as its source's quota goes
     round all of the source; the rest of the quota is split over the source's shards by the words they have, its running
     total rounded down, so that fractions carry over from shard to shard and nothing of it is lost, however little of a source a

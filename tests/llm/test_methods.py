@@ -196,6 +196,18 @@ def test_apportionment_of_many_seats_is_the_same():
         assert mixing.apportion(targets, seats, caps) == [count[i] for i in range(n + 1)]
 
 
+@pytest.mark.parametrize(("small", "words"), [(20, 10), (2000, 1)])
+def test_small_sources_get_their_words(spark, small, words):
+    """Sources of a few words beside a large one: each comes within a word or two of its target."""
+    rows = [(k, "big " * 200, "big") for k in range(100)] + [(1000 + k, "w " * words, f"s{k}") for k in range(small)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    target = {r["source"]: r["target"] for r in got}
+    taken = Counter()
+    for r in got:
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - target[s]) <= 1.5 for s in target)
+
+
 @pytest.mark.parametrize("words", [1, 10, 15])
 def test_small_sources_over_many_shards_get_their_target(spark, monkeypatch, words):
     monkeypatch.setattr(mixing, "SHARD", 1 << 11)
@@ -617,8 +629,9 @@ def plain_mix(spark, docs):
     open_ = [s for s in names if s not in want]
     want |= {s: weight[s] * left / sum(weight[x] for x in open_) for s in open_}
     seats = [0] * len(names)
-    for _ in range(round(sum(want.values()) / mixing.BLOCK)):
-        free = [k for k, s in enumerate(names) if seats[k] * mixing.BLOCK < mixing.REPEATS * whole[s]]
+    block = mixing.block_of([*want.values()])
+    for _ in range(round(sum(want.values()) / block)):
+        free = [k for k, s in enumerate(names) if seats[k] * block < mixing.REPEATS * whole[s]]
         if not free:
             break
         seats[max(free, key=lambda k: (want[names[k]] / (2 * seats[k] + 1), -k))] += 1
@@ -629,7 +642,7 @@ def plain_mix(spark, docs):
     for k, s in enumerate(names):
         if not whole[s]:
             continue
-        quota = min(seats[k] * mixing.BLOCK, mixing.REPEATS * whole[s])
+        quota = min(seats[k] * block, mixing.REPEATS * whole[s])
         before = 0
         for shard in range(shards):
             of = sorted((i for i, _, x in docs if x == s and place[i][0] == shard), key=place.get)
