@@ -196,12 +196,15 @@ class Projects:
 
 
 class Chats:
-    """Chats of a project: title, settings, messages; older lists of pairs are read as messages."""
+    """Chats of a project: title, settings, messages. Names are checked before anything is touched; an older chat, a list of pairs of a
+    question and its answer, is read as a user's and an assistant's message each."""
 
     def __init__(self, root: str) -> None:
         self.root = Path(root)
 
     def path(self, name: str) -> str:
+        if not isinstance(name, str) or not name.strip() or name.startswith(".") or re.search(r"[/\\\x00]", name):
+            raise ValueError(f"no chat name: {name!r}")
         return str(self.root / f"{name}.json")
 
     def names(self) -> list[str]:
@@ -210,12 +213,13 @@ class Chats:
     @staticmethod
     def normalised(payload: object, title: str = "Untitled Chat") -> dict:
         if isinstance(payload, list):
-            messages = [{"role": m[0], "content": m[1]} if isinstance(m, list | tuple) else m for m in payload]
-            payload = {"title": title, "messages": messages}
+            pairs = [m for m in payload if isinstance(m, list | tuple) and len(m) == 2]
+            payload = {"title": title, "messages": [{"role": role, "content": text} for pair in pairs for role, text in zip(("user", "assistant"), pair, strict=True)]}
         if not isinstance(payload, dict):
             payload = {}
-        settings = payload.get("settings") or {}
-        return {"title": payload.get("title") or title, "settings": {"score_threshold": settings.get("score_threshold", 0.5), "memory_reset_at": settings.get("memory_reset_at", 0)}, "messages": list(payload.get("messages") or [])}
+        settings = payload.get("settings")
+        messages = payload.get("messages")
+        return {**payload, "title": payload.get("title") or title, "settings": {"score_threshold": 0.5, "memory_reset_at": 0, **(settings if isinstance(settings, dict) else {})}, "messages": messages if isinstance(messages, list) else []}
 
     def load(self, name: str) -> dict:
         return self.normalised(load_json(self.path(name)), name)
@@ -224,7 +228,10 @@ class Chats:
         save_json(self.path(name), self.normalised(payload, name))
 
     def rename(self, name: str, new: str) -> None:
-        os.replace(self.path(name), self.path(new))
+        """A chat that isn't there is let be."""
+        old, to = self.path(name), self.path(new)
+        if Path(old).exists():
+            os.replace(old, to)
 
     def delete(self, name: str) -> None:
         Path(self.path(name)).unlink(missing_ok=True)

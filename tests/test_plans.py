@@ -202,8 +202,15 @@ def test_projects_and_chats(tmp_path, spark):
     projects.delete("b")
     assert projects.names() == []
     chats = tables.Chats(str(tmp_path / "chats"))
-    chats.save("one", [("user", "hi"), ("assistant", "yo")])
+    chats.save("one", [["hi", "yo"], ["odd one out"], "no pair"])
     assert chats.load("one")["messages"] == [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "yo"}] and chats.load("none")["messages"] == []
+    assert chats.load("one")["settings"] == {"score_threshold": 0.5, "memory_reset_at": 0}
+    for bad in ("", " ", "..", ".x", "../config", "..\\config", "a/b", "/etc/x", None):
+        for touch in (chats.load, chats.delete, lambda n: chats.save(n, {}), lambda n: chats.rename("one", n), lambda n: chats.rename(n, "two")):
+            with pytest.raises(ValueError, match="chat name"):
+                touch(bad)
+    assert chats.names() == ["one"] and sorted(p.name for p in tmp_path.iterdir()) == ["chats"]
+    chats.rename("absent", "two")
     chats.rename("one", "two")
     assert chats.names() == ["two"] and chats.turns(spark, "two").count() == 2
 
@@ -402,6 +409,10 @@ def test_service(spark, tmp_path):
     assert code == 200 and got["answer"] == "told" and got["supported"] and got["sources"]
     assert api.handle("POST", "/v1/projects/p/query", {"question": " "})[0] == 400
     assert api.handle("PUT", "/v1/projects/p/chats/one", {"title": "T", "messages": [{"role": "user", "content": "x"}]})[1]["title"] == "T"
+    kept = (tmp_path / "p" / "config.json").read_text()
+    for bad in ("..%2Fconfig", "..%2F..%2F..%2Fevil", "%2Fetc%2Fx", "..%5Cconfig", ".hidden"):
+        assert api.handle("PUT", f"/v1/projects/p/chats/{bad}", {"title": "T"})[0] == 400
+    assert (tmp_path / "p" / "config.json").read_text() == kept and not list(tmp_path.parent.rglob("evil*"))
     assert api.handle("GET", "/v1/projects/p/chats")[1] == {"items": ["one"]} and api.handle("GET", "/v1/projects/p/chats/one")[0] == 200
     assert api.handle("DELETE", "/v1/projects/p/chats/one") == (204, None) and api.handle("GET", "/v1/projects/p/chats/one")[0] == 404
 
