@@ -1,8 +1,9 @@
 """N-gram Jaccard join by parity sketches: XOR-hashed sets whose Hamming distance is no more than their symmetric difference.
 
-A set's shingles fall into parts of the hash space, and each part keeps a word of 64 bits, in which every shingle toggles one. Words
-of two sets differ in no more bits, and so in no more parts, than their symmetric difference has members. Sets that are linked
-differ in few, so that with more parts than that some word of theirs is equal: linked sets always share a key.
+A set's shingles fall into parts of the hash space. Each part keeps a word of bits, in which every shingle toggles one, so that words
+of two sets differ in no more bits, and in no more parts, than the sets' symmetric difference has members. Sets that are linked
+differ in few, and with more parts than that some part of theirs is equal: linked sets always share a key. For keys a part's word
+is as wide as the hash space, of which but the XOR of its places is kept; for distances, a byte.
 """
 
 from __future__ import annotations
@@ -22,9 +23,11 @@ from sillage.llm.shingles import U, fingerprint, mix, shingle_sets
 
 #: Words in a shingle, and least similarity of a link: 100 * intersection >= PERCENT * union.
 WIDTH, PERCENT = 3, 90
-#: Bands of sizes: ratio of neighbouring bounds, and parts for each difference that a link of the band may have. The first keeps keys
-#: few; the second, for what the first leaves open, has more parts than a link can change, so that rare keys alone will do.
-BANDS, OPEN_BANDS = (1.4, 1), (1.1, 4)
+#: Ratio of the bounds of neighbouring bands: of the sizes of sets, and of differences from a head.
+BANDS, DIFFERENCES = 1.4, 1.25
+
+#: Members of a bucket that are tried each with each; of two, the only pair has been tried.
+FEW = 4
 
 _BIT = U(0xA0761D6478BD642F)
 
@@ -58,32 +61,36 @@ def _starts(parts: int) -> np.ndarray:
     return np.linspace(0, 2.0**64, parts, endpoint=False).astype(np.uint64)
 
 
-def sketch(members: np.ndarray, parts: int) -> np.ndarray:
-    """The parity words of a set of sorted hashes."""
-    running = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(U(1) << (mix(members ^ _BIT) & U(63)))])
+def _xored(values: np.ndarray, members: np.ndarray, parts: int) -> np.ndarray:
+    """The XOR of the values of the members in each part."""
+    running = np.concatenate([np.zeros(1, values.dtype), np.bitwise_xor.accumulate(values)])
     at = np.append(np.searchsorted(members, _starts(parts)), len(members))
     return running[at[1:]] ^ running[at[:-1]]
 
 
+def bits(members: np.ndarray, parts: int) -> np.ndarray:
+    """The parity sketch of a set of sorted hashes: a byte for each part, in which every member toggles a bit."""
+    return _xored(np.uint8(1) << (mix(members ^ _BIT) & U(7)).astype(np.uint8), members, parts)
+
+
 def digests(members: np.ndarray, parts: int) -> np.ndarray:
-    """Parity words of 2**64 bits, of which but an XOR of the places is kept: equal where two sets are equal in a part, and, but for a
-    chance of 2**-64, nowhere else. In a word of 64 bits, many copies with one change each would soon have equal words."""
-    running = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(mix(members ^ _BIT))])
-    at = np.append(np.searchsorted(members, _starts(parts)), len(members))
-    return running[at[1:]] ^ running[at[:-1]]
+    """Of each part's word of 2**64 bits the XOR of the places that are set: equal where sets are equal in a part and, but for a chance
+    of 2**-64, nowhere else."""
+    return _xored(mix(members ^ _BIT), members, parts)
 
 
-def sketches(members: np.ndarray, percent: int, ratio: float, spare: int, form: Callable[[np.ndarray, int], np.ndarray] = sketch) -> tuple[list[int], list[bytes]]:
-    """The bands in which a set may be linked, by the size of the larger set of a pair, and its sketch for each. Bands whose links
-    may not differ at all are left out: such sets are equal, and so one already."""
+def sketches(members: np.ndarray, percent: int, ratio: float = BANDS) -> tuple[list[int], list[bytes], list[bytes]]:
+    """The bands in which a set may be linked, by the size of the larger set of a pair, and its digests and bits for each. Bands whose
+    links may not differ at all are left out: such sets are equal, and so one already."""
     n = len(members)
     if not n:
-        return [], []
+        return [], [], []
     which = [k for k in range(band(n, ratio), band(n * 100 // percent, ratio) + 1) if most(k, ratio, percent)]
-    return which, [form(members, spare * (most(k, ratio, percent) + 1)).astype("<u8").tobytes() for k in which]
+    parts = [most(k, ratio, percent) + 1 for k in which]
+    return which, [digests(members, x).astype("<u8").tobytes() for x in parts], [bits(members, x).tobytes() for x in parts]
 
 
-_MADE = "id long, th long, n long, fp1 long, fp2 long, bands array<int>, words array<binary>"
+_MADE = "id long, th long, n long, fp1 long, fp2 long, bands array<int>, words array<binary>, bits array<binary>"
 
 
 def _sketched(percent: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -91,21 +98,26 @@ def _sketched(percent: int, width: int) -> Callable[[Iterator[pa.RecordBatch]],
         for ids, hashes, texts in slices(batches, 64):
             sets = shingle_sets(texts, width)
             prints = [fingerprint(s) for s in sets]
-            made = [sketches(s, percent, *BANDS) for s in sets]
-            columns = [(ids, pa.int64()), (hashes, pa.int64()), ([len(s) for s in sets], pa.int64()), ([p[0] for p in prints], pa.int64()), ([p[1] for p in prints], pa.int64()), ([m[0] for m in made], pa.list_(pa.int32())), ([m[1] for m in made], pa.list_(pa.binary()))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["id", "th", "n", "fp1", "fp2", "bands", "words"])
+            made = [sketches(s, percent) for s in sets]
+            columns = [(ids, pa.int64()), (hashes, pa.int64()), ([len(s) for s in sets], pa.int64()), ([p[0] for p in prints], pa.int64()), ([p[1] for p in prints], pa.int64()), ([m[0] for m in made], pa.list_(pa.int32())), *(([m[k] for m in made], pa.list_(pa.binary())) for k in (1, 2))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["id", "th", "n", "fp1", "fp2", "bands", "words", "bits"])
 
     return run
 
 
-def _opened(percent: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """id, band, most, words of texts (id, text), by OPEN_BANDS."""
+def _differences(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """head, id, c, n, d, h of (head, id, c, text_head, text): a set's size, its symmetric difference from the head's, and that one's members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in slices(batches, 32):
-            rows = [(i, k, most(k, OPEN_BANDS[0], percent), w) for i, s in zip(ids, shingle_sets(texts, width), strict=True) for k, w in zip(*sketches(s, percent, *OPEN_BANDS, digests), strict=True)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["id", "band", "most", "words"])
+        last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
+        for heads, ids, cs, texts_head, texts in slices(batches, 32):
+            for head, k, c, s, t in zip(heads, ids, cs, texts_head, texts, strict=True):
+                if last[0] != head:
+                    last = (head, shingle_sets([s], width)[0])
+                own = shingle_sets([t], width)[0]
+                h = np.setxor1d(last[1], own, assume_unique=True)
+                columns = [*(np.full(len(h), x, np.int64) for x in (head, k, c, len(own), len(h))), h.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["head", "id", "c", "n", "d", "h"])
 
     return run
 
@@ -118,12 +130,12 @@ def _close(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     """Of pairs those whose sketches differ in no more bits than a link's sets may in members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, b, n_a, n_b, bands_a, bands_b, words_a, words_b in slices(batches, 512):
+        for a, b, n_a, n_b, bands_a, bands_b, bits_a, bits_b in slices(batches, 512):
             keep = []
-            for x, y, of_x, of_y, left, right in zip(n_a, n_b, bands_a, bands_b, words_a, words_b, strict=True):
-                k = band(max(x, y), BANDS[0])
+            for x, y, of_x, of_y, left, right in zip(n_a, n_b, bands_a, bands_b, bits_a, bits_b, strict=True):
+                k = band(max(x, y), BANDS)
                 fit = 100 * min(x, y) >= percent * max(x, y) and k in of_x and k in of_y
-                keep.append(fit and int(np.bitwise_count(np.frombuffer(left[of_x.index(k)], "<u8") ^ np.frombuffer(right[of_y.index(k)], "<u8")).sum()) <= allowed(x, y, percent))
+                keep.append(fit and int(np.bitwise_count(np.frombuffer(left[of_x.index(k)], np.uint8) ^ np.frombuffer(right[of_y.index(k)], np.uint8)).sum()) <= allowed(x, y, percent))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -157,8 +169,8 @@ def verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int,
     Texts are fetched for those alone that the first test leaves. Both sides of every join are plain exchanges, so that a text
     with many partners is split over tasks.
     """
-    met = pairs.join(_sided(reps, "b", "n", "bands", "words"), "b").join(_sided(reps, "a", "n", "bands", "words"), "a")
-    close = stored(met.select("a", "b", "n_a", "n_b", "bands_a", "bands_b", "words_a", "words_b").mapInArrow(_close(percent), "a long, b long"), "close")
+    met = pairs.join(_sided(reps, "b", "n", "bands", "bits"), "b").join(_sided(reps, "a", "n", "bands", "bits"), "a")
+    close = stored(met.select("a", "b", "n_a", "n_b", "bands_a", "bands_b", "bits_a", "bits_b").mapInArrow(_close(percent), "a long, b long"), "close")
     wanted = stored(with_text(close.select(F.explode(F.array("a", "b")).alias("id")).distinct(), reps, texts), "wanted")
     both = close.join(_sided(wanted, "b", "text"), "b").join(_sided(wanted, "a", "text"), "a").select("a", "b", "text_a", "text_b")
     linked = stored(both.mapInArrow(_linked(percent, width), "a long, b long"), "linked")
@@ -172,33 +184,51 @@ def with_text(ids: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     return texts.withColumnRenamed("id", "doc").hint("merge").join(named.hint("merge"), ["doc", "th"]).groupBy("doc", "th").agg(F.max("id").alias("id"), F.max("text").alias("text")).select("id", "text")
 
 
-def across(open_: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
-    """Pairs (a, b) of open_ (id, c) with different c that may be linked; none that is linked is missing.
+def across(headed: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """Pairs (a, b) of headed (head, id, c) of one head and different c that may be linked; none that is linked is missing.
 
-    Here a set has more parts than a link may change, so linked sets share all words but most of them, and each has one of the shared
-    words among its most + 1 rarest. A copy that was changed in more places than a link allows has as many words of its own,
-    and is paired with nothing; a word all of whose owners have one c drops out, so that a group is never paired with itself.
+    Sets are compared by how they differ from their head: x and y differ in |X| + |Y| - 2 |X and Y| members, where X and Y are their differences
+    from it. Where |X| + |Y| is no more than a link may differ, both are linked with the head and so of one c. All other links share
+    members of X and Y, as many as that sum is above it, half of it at least. So differences are joined by their rarest
+    members, by bands of their size; what a large group of copies has in common is in none of them, and is never joined on.
     """
-    made = stored(with_text(open_.select("id"), reps, texts).mapInArrow(_opened(percent, width), "id long, band int, most int, words binary"), "opened")
-    keyed = made.select("id", "band", "most", F.explode(F.expr(_KEYS)).alias("key"))
-    frequent = stored(keyed.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "frequent")
-    by_rarity = Window.partitionBy("id", "band").orderBy("df", "key")
-    ranked = keyed.join(frequent, "key", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("place", F.row_number().over(by_rarity)).where("place <= most + 1 and df > 1")
-    rare = stored(ranked.select("key", "id").join(open_, "id"), "rare")
-    mixed = stored(rare.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "mixed")
+    wanted = stored(with_text(headed.select(F.explode(F.array("head", "id")).alias("id")).distinct(), reps, texts), "wanted")
+    both = headed.where("head <> id").join(wanted, "id").join(_sided(wanted, "head", "text"), "head").select("head", "id", "c", "text_head", "text")
+    rows = stored(both.mapInArrow(_differences(width), "head long, id long, c long, n long, d long, h long"), "differences")
+    frequent = stored(rows.groupBy("head", "h").agg(F.count("*").alias("df"), F.min("c").alias("least"), F.max("c").alias("greatest")).where("df > 1"), "frequent")
+    by_rarity = Window.partitionBy("head", "id").orderBy(F.coalesce("df", F.lit(1)), "h")
+    ranked = rows.join(frequent, ["head", "h"], "left").withColumn("place", F.row_number().over(by_rarity)).where("least <> greatest")
+    d, n, step = F.col("d"), F.col("n"), float(np.log(DIFFERENCES))
+    at = lambda size: F.floor(F.log(size) / step)
+    most = F.floor((n + F.floor(n * 100 / percent)) * (100 - percent) / (100 + percent) + 1e-9)
+    # A partner's difference is as large as this one's, give or take what a link may differ; of those in band q this is the least.
+    fewest = F.greatest(d - most, F.lit(1))
+    banded = ranked.withColumn("k", at(d)).withColumn("q", F.explode(F.sequence(at(fewest), at(d + most))))
+    shared = F.greatest(F.ceil((d + F.greatest(fewest, F.floor(F.exp(F.col("q") * step))) - most) / 2), F.lit(1))
+    rare = banded.where(F.col("place") <= d - shared + 1).select(F.xxhash64("head", "h", F.least("k", "q"), F.greatest("k", "q")).alias("key"), "id", "c", (F.col("k") <= F.col("q")).alias("low"), (F.col("k") >= F.col("q")).alias("high"))
+    rare = stored(rare, "rare")
+    mixed = stored(rare.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("greatest")).where("least <> greatest").select("key"), "mixed")
     kept = stored(rare.join(mixed, "key", "left_semi"), "kept")
-    left, right = (kept.select("key", F.col("id").alias(x), F.col("c").alias(f"c_{x}")) for x in "ab")
-    pairs = stored(left.join(right, "key").where("a < b and c_a <> c_b").select("a", "b").distinct(), "pairs")
-    forget(made, frequent, rare, mixed, kept)
+    low, high = (kept.where(side).select("key", F.col("id").alias(f"id_{side}"), F.col("c").alias(f"c_{side}")) for side in ("low", "high"))
+    met = low.join(high, "key").where("id_low <> id_high and c_low <> c_high")
+    pairs = stored(met.select(F.least("id_low", "id_high").alias("a"), F.greatest("id_low", "id_high").alias("b")).distinct(), "across")
+    forget(wanted, rows, frequent, rare, mixed, kept)
     return pairs
 
 
+def met_across(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows (key, id, c) of one key and different c."""
+    left, right = (rows.select("key", F.col("id").alias(x), F.col("c").alias(f"c_{x}")) for x in "ab")
+    return left.join(right, "key").where("a < b and c_a <> c_b").select("a", "b")
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """doc_id, th (a hash of the text), n_shingles, component_id for every row of docs.
 
     Documents of equal sets are one class, and classes go on. Those that share a key are in one bucket; each bucket ties its
     members to the one that shares most keys, which is linear in its size. Where a bucket still spans components, its members
-    are tried across these (see across). No link is lost: keys are shared by every linked pair, and no bucket is capped.
+    are tried across these: each with each where they are FEW at most, else by how they differ from its head (see across). No link is lost: keys are
+    shared by every linked pair, and no bucket is capped.
 
     Null and empty texts have no shingles and are linked with nothing, nor is a row without an id: component_id null.
     Repeated rows get equal results; rows of one id with different texts have the links of their own text. An empty table gives no rows.
@@ -206,8 +236,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     texts = texts_of(docs, id_col, text_col)
     made = stored(texts.mapInArrow(_sketched(percent, width), _MADE), "sketches")
     sets = ["fp1", "fp2", "n"]
-    classes = made.where("n > 0 and id is not null").groupBy(*sets).agg(F.min(F.struct("id", "th")).alias("first"), F.first("bands").alias("bands"), F.first("words").alias("words"))
-    reps = stored(classes.select(F.monotonically_increasing_id().alias("id"), F.col("first.id").alias("doc"), F.col("first.th").alias("th"), *sets, "bands", "words"), "reps")
+    classes = made.where("n > 0 and id is not null").groupBy(*sets).agg(F.min(F.struct("id", "th")).alias("first"), *(F.first(c).alias(c) for c in ("bands", "words", "bits")))
+    reps = stored(classes.select(F.monotonically_increasing_id().alias("id"), F.col("first.id").alias("doc"), F.col("first.th").alias("th"), *sets, "bands", "words", "bits"), "reps")
 
     by_band = reps.select("id", F.explode(F.arrays_zip("bands", "words")).alias("s")).select("id", F.col("s.bands").alias("band"), F.col("s.words").alias("words"))
     keyed = by_band.select(F.explode(F.expr(_KEYS)).alias("key"), "id")
@@ -218,16 +248,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     headed = members.join(heads, "key").where("head <> id")
     pairs = stored(headed.select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct(), "pairs")
     first = verified(pairs, reps, texts, percent, width)
-    forget(buckets, degree, heads, pairs)
+    forget(buckets, degree, pairs)
 
     grouped = components(first)
     labelled = stored(members.join(grouped.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), "labelled")
-    mixed = stored(labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "mixed")
-    open_ = stored(labelled.join(mixed, "key", "left_semi").select("id", "c").distinct(), "open")
-    forget(labelled, mixed, members, grouped)
-    pairs = across(open_, reps, texts, percent, width)
+    mixed = stored(labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size"), "mixed")
+    few = labelled.join(mixed.where(f"size between 3 and {FEW}"), "key")
+    open_ = stored(labelled.join(mixed.where(f"size > {FEW}").select("key").join(heads, "key"), "key").select("head", "id", "c").distinct(), "open")
+    rare = across(open_, reps, texts, percent, width)
+    pairs = stored(met_across(few).union(rare).distinct(), "pairs")
     second = verified(pairs, reps, texts, percent, width)
-    forget(pairs, open_)
+    forget(heads, labelled, mixed, members, grouped, rare, pairs, open_)
 
     final = components(first.union(second))
     joined = final.join(reps.select(F.col("id").alias("node"), "doc"), "node")

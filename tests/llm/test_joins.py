@@ -76,18 +76,16 @@ def test_sketches_bound_differences_and_links_share_keys(shared, only_a, only_b,
     rng.shuffle(pool)
     a, b = np.sort(np.concatenate([pool[:shared], pool[shared : shared + only_a]])), np.sort(np.concatenate([pool[:shared], pool[shared + only_a :]]))
     differ = len(np.setxor1d(a, b))
-    for ratio, spare in (parity_join.BANDS, parity_join.OPEN_BANDS):
-        k = parity_join.band(max(len(a), len(b)), ratio)
-        parts = spare * (parity_join.most(k, ratio) + 1)
-        x, y = parity_join.sketch(a, parts), parity_join.sketch(b, parts)
-        assert int(np.bitwise_count(x ^ y).sum()) <= differ
-        union = (len(a) + len(b) + differ) // 2
-        if 100 * (union - differ) >= 90 * union and differ:
-            assert differ <= parity_join.allowed(len(a), len(b)) <= parity_join.most(k, ratio)
-            assert (x == y).sum() >= parts - parity_join.most(k, ratio)
-            assert (parity_join.digests(a, parts) == parity_join.digests(b, parts)).sum() >= parts - parity_join.most(k, ratio)
-            for s in (a, b):
-                assert k in parity_join.sketches(s, 90, ratio, spare)[0]
+    k = parity_join.band(max(len(a), len(b)), parity_join.BANDS)
+    most = parity_join.most(k, parity_join.BANDS)
+    x, y = parity_join.bits(a, most + 1), parity_join.bits(b, most + 1)
+    assert int(np.bitwise_count(x ^ y).sum()) <= differ
+    union = (len(a) + len(b) + differ) // 2
+    if 100 * (union - differ) >= 90 * union and differ:
+        assert differ <= parity_join.allowed(len(a), len(b)) <= most
+        assert (x == y).any() and (parity_join.digests(a, most + 1) == parity_join.digests(b, most + 1)).any()
+        for s in (a, b):
+            assert k in parity_join.sketches(s, 90)[0]
 
 
 def test_a_large_group_is_not_paired_with_itself(spark, monkeypatch):
@@ -97,7 +95,7 @@ def test_a_large_group_is_not_paired_with_itself(spark, monkeypatch):
 
     def counted(df, tag):
         made = kept(df, tag)
-        if tag == "pairs":
+        if tag in ("pairs", "across"):
             tried.append(made.count())
         return made
 
@@ -108,8 +106,8 @@ def test_a_large_group_is_not_paired_with_itself(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in parity_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sorted(got.items()) == [(i, c) for i, _, c in linked_by_all_pairs(rows)]
     assert sum(c == 0 for c in got.values()) > 200
-    heads, across = tried
-    assert heads < 20 * len(rows) and across < len(rows)
+    heads, across, both = tried
+    assert heads < 20 * len(rows) and across < len(rows) and both < 10 * len(rows)
 
 
 def test_join_edges(spark):
@@ -220,7 +218,7 @@ def test_annulus_is_exact_on_ties_and_edges():
             nearest, distance, compared = clustering.annulus(x, last, centroids)
             assert (nearest == d.argmin(axis=1)).all() and (distance == d.min(axis=1)).all()
             if spread == 4000 and (last == d.argmin(axis=1)).all():
-                assert compared.mean() < 20
+                assert compared.mean() < 0.6 * len(centroids)
 
 
 @pytest.mark.parametrize(("n", "k"), [(120, 7), (5, 16), (1, 3)])
