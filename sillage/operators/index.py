@@ -22,6 +22,8 @@ from sillage.sources.tables import stored
 VERSION = 1
 #: Numbers of a set of queries that go to every task (32 MB), and digits to which scores are compared.
 MOST_ASKED, DIGITS = 4_000_000, 12
+#: Numbers of a block of records and of a block of questions that meet in one task.
+ROWS_CELL, ASKED_CELL = 4_000_000, 1_000_000
 #: Kinds of index; flat searches exactly, the others look into the nearest cells only.
 KINDS = ("flat", "hnsw", "ivf_flat", "ivf_pq")
 
@@ -43,27 +45,64 @@ def added(records: DataFrame, id_col: str = "id", vector_col: str = "embedding",
     return made.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
 
 
-def search(index: DataFrame, queries: DataFrame, k: int, threshold: float = 0.0) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int, threshold: float = 0.0, sent: int = MOST_ASKED) -> DataFrame:
     """qid, the record, score (cosine) and rank from 0: the k nearest records of each query, ties by key, those below the threshold cut after.
 
-    queries (qid, vector) is a stated set against all rows. Up to MOST_ASKED numbers of it go to every task, which multiplies its records
+    queries (qid, vector) is a stated set against all rows. Up to sent numbers of it go to every task, which multiplies its records
     with them a batch at a time and keeps rows that are among its own k best of a query so far, so that what is shuffled grows with
-    queries and tasks, not with records. A larger set is paired with the records in blocks by Spark instead. Records without a
+    queries and tasks, not with records. A larger set meets the records block by block (see _gridded). Records without a
     vector, or with one of another length, are near nothing; so is a query without one.
     """
     if k <= 0:
         return index.limit(0).select(F.lit(None).cast(queries.schema["qid"].dataType).alias("qid"), *index.columns, F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
     asked = queries.select("qid", V.normalised(F.col("vector")).alias("asked"))
     numbers = asked.agg(F.coalesce(F.sum(F.greatest(F.size("asked"), F.lit(1))), F.lit(0)).alias("n")).first()["n"]
-    near = _multiplied(index, asked, k) if numbers <= MOST_ASKED else _paired(index, asked)
+    near = _multiplied(index, asked, k) if numbers <= sent else _gridded(index, asked, k)
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "_key")
     hits = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
     return hits.where(F.col("score") >= threshold) if threshold > 0 else hits
 
 
-def _paired(index: DataFrame, asked: DataFrame) -> DataFrame:
-    scored = index.crossJoin(asked).withColumn("score", F.round(V.dot(F.col("unit"), F.col("asked")), DIGITS)).drop("asked")
-    return scored.where("score is not null").select("qid", *index.columns, "score")
+def _gridded(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """qid, the record and score of all pairs that may be among the k best, for sets of questions too large for every task.
+
+    Records and questions are dealt into blocks by hash, ROWS_CELL and ASKED_CELL numbers large, and every block of records meets every
+    block of questions in a cell of its own, which multiplies them as matrices and hands on its own k best of each question. So a
+    task holds two blocks, however many questions there are, and a record is shuffled once for each block of questions.
+    """
+    sizes = lambda df, c: df.agg(F.coalesce(F.sum(F.greatest(F.size(c), F.lit(1)).cast("long")), F.lit(1)).alias("n")).first()["n"]
+    across, down = (max(1, -(-sizes(df, c) // most)) for df, c, most in ((asked, "asked", ASKED_CELL), (index, "unit", ROWS_CELL)))
+    names, unit = [f"c{n}" for n in range(len(index.columns))], index.columns.index("unit")
+    dealt = lambda df, of, other, own, n, m: df.withColumn(own, F.pmod(F.xxhash64(*of), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    rows = dealt(index.toDF(*names), [names[index.columns.index("_key")]], "_across", "_down", down, across)
+    questions = dealt(asked, ["qid"], "_down", "_across", across, down)
+    schema = S.StructType([asked.schema["qid"], *(S.StructField(n, f.dataType) for n, f in zip(names, index.schema, strict=True)), S.StructField("score", S.DoubleType())])
+    kind = to_arrow_type(asked.schema["qid"].dataType)
+
+    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        body = left.select(names).combine_chunks()
+        vectors, wanted = (t.column(c).combine_chunks() for t, c in ((left, f"c{unit}"), (right, "asked")))
+        long, long_asked = (pc.list_value_length(v).fill_null(-1).to_numpy(zero_copy_only=False) for v in (vectors, wanted))
+        picked: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for size in np.unique(long_asked[long_asked > 0]).tolist():
+            usable, of = np.flatnonzero(long == size), np.flatnonzero(long_asked == size)
+            matrix = wanted.take(pa.array(of)).flatten().to_numpy(zero_copy_only=False).reshape(-1, size).T
+            best = np.full((k, len(of)), -np.inf)
+            for at in range(0, len(usable), 512):
+                some = usable[at : at + 512]
+                scores = np.round(vectors.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).reshape(-1, size) @ matrix, DIGITS)
+                best = np.partition(np.concatenate([best, scores]), len(scores), axis=0)[len(scores) :]
+                row, question = np.nonzero(scores >= best.min(axis=0))
+                picked.append((some[row], of[question], scores[row, question]))
+            least = np.full(len(long_asked), -np.inf)
+            least[of] = best.min(axis=0)
+            picked = [(r[keep], q[keep], s[keep]) for r, q, s in picked for keep in [(long_asked[q] != size) | (s >= least[q])]]
+        row, question, score = (np.concatenate([p[n] for p in picked]) if picked else np.zeros(0, t) for n, t in enumerate((np.int64, np.int64, np.float64)))
+        kept = body.take(pa.array(row))
+        return pa.table([right.column("qid").take(pa.array(question)).cast(kind), *kept.columns, pa.array(score)], names=["qid", *names, "score"])
+
+    cells = ("_down", "_across")
+    return rows.groupBy(*cells).cogroup(questions.groupBy(*cells)).applyInArrow(cell, schema).toDF("qid", *index.columns, "score")
 
 
 def _multiplied(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
@@ -102,11 +141,16 @@ def _multiplied(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
 
 
 def cells(index: DataFrame, n_cells: int, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """index with its cell, and the cells' centres (cell, centre), by k-means over at most 100,000 sampled vectors."""
+    """index with its cell, and the cells' centres (cell, centre), by k-means over at most 100,000 sampled vectors. Records without a vector, or
+    with one of another length than most, are in no cell."""
+    spark = index.sparkSession
+    dim = index.agg(F.mode(F.when(F.size("unit") > 0, F.size("unit")), True).alias("n")).first()["n"]
+    if not dim:
+        return index.limit(0).withColumn("cell", F.lit(0)), spark.createDataFrame([], "cell int, centre array<double>")
+    index = index.where(F.size("unit") == dim)
     total = index.count()
     sample = index.sample(False, min(1.0, 100_000 / max(total, 1)), seed).select(array_to_vector("unit").alias("features"))
     model = KMeans(k=max(1, min(n_cells, total)), seed=seed, maxIter=10).fit(sample)
-    spark = index.sparkSession
     centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cell int, centre array<double>")
     placed = model.transform(index.withColumn("features", array_to_vector("unit"))).withColumnRenamed("prediction", "cell").drop("features")
     return placed, centres
@@ -168,7 +212,7 @@ def build(index: DataFrame, n_cells: int | None = None, k: int = 10, recall: flo
     n_cells = n_cells or max(1, min(1024, round(total**0.5)))
     placed, centres = cells(index, n_cells, seed)
     placed = stored(placed, "cells")
-    queries = index.orderBy(F.xxhash64(F.lit(seed), "_key"), "_key").limit(asked).select(F.col("_key").alias("qid"), F.col("unit").alias("vector"))
+    queries = placed.orderBy(F.xxhash64(F.lit(seed), "_key"), "_key").limit(asked).select(F.col("_key").alias("qid"), F.col("unit").alias("vector"))
     queries = stored(queries, "asked")
     near = search(placed, queries, k).select("qid", "cell")
     # asked * n_cells rows.
@@ -179,11 +223,20 @@ def build(index: DataFrame, n_cells: int | None = None, k: int = 10, recall: flo
 
 
 def find(index: DataFrame | Cells, queries: DataFrame, k: int, kind: str = "flat", n_cells: int | None = None, probes: int | None = None) -> DataFrame:
-    """search() by kind: exact for flat; within the nearest cells for the others, whose cells are made anew unless index has them (see build).
-
-    Graphs and product codes, which other engines walk record by record, have no counterpart in a table scan; cells take their place.
+    """search() by kind: exact for flat, within the nearest cells for ivf_flat, by product codes for ivf_pq (see codes.Codes), along a graph
+    of neighbours for hnsw (see graph.Graph). What a kind needs is made anew; build it once, and search it, for more than one set of queries.
     """
     if create(kind) == "flat":
         return search(index.placed if isinstance(index, Cells) else index, queries, k)
-    made = index if isinstance(index, Cells) else build(index, n_cells, k)
-    return search_cells(made.placed, made.centres, queries, k, probes or made.probes)
+    if kind == "ivf_flat":
+        made = index if isinstance(index, Cells) else build(index, n_cells, k)
+        return search_cells(made.placed, made.centres, queries, k, probes or made.probes)
+    from sillage.operators import codes, graph
+
+    records = index.placed.drop("cell") if isinstance(index, Cells) else index
+    if kind == "hnsw":
+        return graph.build(records).search(queries, k)
+    dim = records.agg(F.coalesce(F.mode(F.when(F.size("unit") > 0, F.size("unit")), True), F.lit(0)).alias("n")).first()["n"]
+    if not dim:
+        return search(records, queries, k)
+    return codes.build(records, dim, next(p for p in (codes.PARTS, 4, 2, 1) if dim % p == 0), k=k).search(queries, k)

@@ -11,7 +11,7 @@ from sillage.functions import segments as S
 from sillage.functions import text as T
 from sillage.functions import urls as U
 from sillage.functions import vectors as V
-from sillage.operators import bm25, context, corpus, crawl, index, rerank
+from sillage.operators import bm25, codes, context, corpus, crawl, graph, index, postings, rerank
 from sillage.operators import pages as P
 from sillage.session import ship, spread
 from sillage.sources import tables
@@ -383,6 +383,13 @@ def search_bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.top(bm25.scores(bm25.index(docs), questions).withColumn("score", F.round("score", 6)), 10)
 
 
+@query(ORACLE_SQL["search_bm25"])
+def search_bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as search_bm25 from a stored inverted index: every text is read once, to build it, and none to search it."""
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    return postings.build(table(spark, sf_dir, "documents"), "doc_id").search(questions, 10, 6)
+
+
 _COS = "round(list_inner_product(a.e, b.e) / nullif(sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e)), 0), 6)"
 _NEAREST = f"""
 with v as (select vec_id, embedding::double[] as e from embeddings),
@@ -432,6 +439,27 @@ def search_vectors_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(index.find(ix, vector_queries(ix), 10, "ivf_flat")).select("qid", "vec_id", "score", "rank")
 
 
+@query(_NEAREST + "select qid, vec_id, score, cast(rank as int) as rank from r where rank < 10")
+def search_vectors_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as search_vectors by blocks of records and of questions, as a set of questions too large for every task is searched."""
+    ix = vector_index(spark, sf_dir)
+    return _rounded(index.search(ix, vector_queries(ix), 10, sent=0)).select("qid", "vec_id", "score", "rank")
+
+
+@query()
+def search_vectors_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest by product codes of 8 bytes, the best of them compared exactly; recall against search_vectors is 0.9 or more."""
+    ix = vector_index(spark, sf_dir)
+    return _rounded(codes.build(ix, 64).search(vector_queries(ix), 10)).select("qid", "vec_id", "score", "rank")
+
+
+@query()
+def search_vectors_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest that a walk along the graph of neighbours meets; recall against search_vectors is 0.9 or more."""
+    ix = vector_index(spark, sf_dir)
+    return _rounded(graph.build(ix).search(vector_queries(ix), 10)).select("qid", "vec_id", "score", "rank")
+
+
 @query("select vec_id, round(list_sum(list_transform(e, lambda x: x * x)), 6) as square, round(list_sum(list_transform(e, lambda x: x / n)), 6) as sum_of_unit from (select vec_id, embedding::double[] as e, coalesce(nullif(sqrt(list_inner_product(embedding::double[], embedding::double[])), 0), 1) as n from embeddings)")
 def vectors_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("embedding")

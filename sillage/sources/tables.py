@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import json
 import os
 import re
@@ -32,11 +34,39 @@ def scratch(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def unique(spark: SparkSession, tag: str) -> str:
+    """A path of its own in the shared folder. What is there when the driver's Python ends goes then."""
+    folder = f"{scratch(spark)}/sillage/{spark.sparkContext.applicationId}-tables"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_clear, spark, folder)
+    return f"{folder}/{tag}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends there."""
-    path = f"{scratch(df.sparkSession)}/sillage/{tag}-{uuid.uuid4().hex}"
+    """df written to the shared folder and read again: its lineage ends there, and its rows survive lost executors. What nothing removes, since a result
+    still reads it, goes with unique()'s folder."""
+    spark = df.sparkSession
+    path = unique(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])).parquet(path)
+    kept = spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])).parquet(path)
+    kept.stored_at = path  # type: ignore[attr-defined]
+    return kept
+
+
+_folders: set[str] = set()
+
+
+def _clear(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        remove(spark, folder)
+
+
+def remove_stored(*given: DataFrame) -> None:
+    """Delete stored tables that nothing will read any more; tables that aren't stored are let be."""
+    for df in given:
+        if hasattr(df, "stored_at"):
+            remove(df.sparkSession, df.stored_at)  # type: ignore[attr-defined]
 
 
 def now() -> str:
