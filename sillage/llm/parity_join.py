@@ -25,6 +25,8 @@ from sillage.llm.shingles import U, fingerprint, mix, shingle_sets
 WIDTH, PERCENT = 3, 90
 #: Ratio of the bounds of neighbouring bands: of the sizes of sets, and of differences from a head.
 BANDS, DIFFERENCES = 1.4, 1.25
+#: Parts for each difference that a link may have, and members below which a part is thin: equal by chance in sets that have little in common.
+SPARE, THIN = 1.15, 3
 
 #: Members of a bucket that are tried each with each; of two, the only pair has been tried.
 FEW = 4
@@ -73,10 +75,19 @@ def bits(members: np.ndarray, parts: int) -> np.ndarray:
     return _xored(np.uint8(1) << (mix(members ^ _BIT) & U(7)).astype(np.uint8), members, parts)
 
 
-def digests(members: np.ndarray, parts: int) -> np.ndarray:
+def digests(members: np.ndarray, parts: int, most: int) -> np.ndarray:
     """Of each part's word of 2**64 bits the XOR of the places that are set: equal where sets are equal in a part and, but for a chance
-    of 2**-64, nowhere else."""
-    return _xored(mix(members ^ _BIT), members, parts)
+    of 2**-64, nowhere else. 0 stands for a part that makes no key.
+
+    Linked sets are equal in parts - most parts at least. A set with fewer thin parts than that is equal to each it is linked with in a part that
+    isn't thin, so its thin ones make no key; a set with more keeps them all.
+    """
+    made = _xored(mix(members ^ _BIT), members, parts)
+    made[made == 0] = 1
+    thin = np.diff(np.append(np.searchsorted(members, _starts(parts)), len(members))) < THIN
+    if thin.sum() < parts - most:
+        made[thin] = 0
+    return made
 
 
 def sketches(members: np.ndarray, percent: int, ratio: float = BANDS) -> tuple[list[int], list[bytes], list[bytes]]:
@@ -85,9 +96,9 @@ def sketches(members: np.ndarray, percent: int, ratio: float = BANDS) -> tuple[l
     n = len(members)
     if not n:
         return [], [], []
-    which = [k for k in range(band(n, ratio), band(n * 100 // percent, ratio) + 1) if most(k, ratio, percent)]
-    parts = [most(k, ratio, percent) + 1 for k in which]
-    return which, [digests(members, x).astype("<u8").tobytes() for x in parts], [bits(members, x).tobytes() for x in parts]
+    limits = {k: m for k in range(band(n, ratio), band(n * 100 // percent, ratio) + 1) if (m := most(k, ratio, percent))}
+    parts = {k: int(SPARE * (m + 1)) for k, m in limits.items()}
+    return [*limits], [digests(members, parts[k], m).astype("<u8").tobytes() for k, m in limits.items()], [bits(members, x).tobytes() for x in parts.values()]
 
 
 _MADE = "id long, th long, n long, fp1 long, fp2 long, bands array<int>, words array<binary>, bits array<binary>"
@@ -123,7 +134,7 @@ def _differences(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 
 #: A key of each part of a band's sketch.
-_KEYS = "transform(sequence(0, cast(length(words) / 8 as int) - 1), i -> xxhash64(band, i, substring(words, i * 8 + 1, 8)))"
+_KEYS = "transform(filter(sequence(0, cast(length(words) / 8 as int) - 1), i -> substring(words, i * 8 + 1, 8) <> X'0000000000000000'), i -> xxhash64(band, i, substring(words, i * 8 + 1, 8)))"
 
 
 def _close(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
