@@ -908,3 +908,59 @@ def answer_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     The pages' anchors and headings are not part of documents, so there is nothing to expand by.
     """
     return flow(spark, sf_dir, "classic").drop("n_covered", "n_missing")
+
+
+def _batch(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    """Every benchmark text as a question, its vector that of the same number, through a flow at once."""
+    from sillage.plans.agents import Answerer, Planner
+    from sillage.plans.batch import Batch
+
+    known = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("_q"), F.col("embedding").alias("vector"))
+    vectors = lambda rows: rows.withColumn("_q", F.expr("substring(sid, instr(sid, ':') + 1)")).join(known, "_q", "left").select("sid", "vector")
+    batch = Batch(index.added(flow_records(spark, sf_dir)), None, Answerer(Yes()), Planner(Yes()), mode=mode, expand=False, vectors=vectors, digits=6)
+    got = batch.answers(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question")))
+    return got.select(F.col("qid").cast("long").alias("qid"), "path", "supported", "n_hits", F.size("sources").alias("n_sources"), F.array_join(F.transform("sources", lambda x: x["chunk_id"]), ",").alias("chunk_ids"), F.size("covered").alias("n_covered"))
+
+
+@query(rf"""
+with questions as (select item_id as qid, text as query from benchmark), {_BM25}, {_SCORED},
+v as (select vec_id, embedding::double[] as e from embeddings),
+vec as (select a.vec_id as qid, b.vec_id as id, {_COS.replace("6)", "12)")} as score from v a join questions q on q.qid = a.vec_id, v b),
+top_vec as (select *, row_number() over (partition by qid order by score desc, id) - 1 as r from vec qualify r < 8),
+top_bm as (select qid, id, score as bm, row_number() over (partition by qid order by score desc, id) - 1 as r from scored where score > 0 qualify r < 8),
+hits as (select qid, id, max(score) as score, max(vr) as vr, max(bm) as bm, max(br) as br, min(seq) as seq from
+  (select qid, id, score, r as vr, null as bm, null as br, r as seq from top_vec union all select qid, id, null, null, bm, r, 1000 + r from top_bm) group by qid, id),
+ranked as (select h.*, d.source, d.text, row_number() over (partition by qid order by 0.75 * coalesce(nullif(score, 0), score, 0) + 0.25 * coalesce(bm, 0) desc, case when vr is not null then 3 else 0 end desc, coalesce(vr, br), seq) as p
+  from hits h join documents d on d.doc_id = h.id),
+few as (select *, row_number() over (partition by qid order by p) as place from (select *, row_number() over (partition by qid, source order by p) as n from ranked) where n = 1),
+told as (select *, '[' || source || ']' || chr(10) || regexp_replace(text, '^\s+|\s+$', '', 'g') || chr(10) || chr(10) || '(Source: http://x/' || source || ')' as piece from few where place <= 40),
+cut as (select *, coalesce(sum(length(piece)) over (partition by qid order by place rows between unbounded preceding and 1 preceding), 0) as before from told where regexp_replace(text, '^\s+|\s+$', '', 'g') <> ''),
+counts as (select qid, count(*) as n_hits from told group by qid),
+made as (select qid, count(*)::int as n_sources, string_agg(lpad(id::varchar, 12, '0'), ',' order by place) as chunk_ids from cut where before < 12000 group by qid)
+select q.qid, case when n_hits > 0 then 'answerable_initial' end as path, n_hits is not null as supported, coalesce(n_hits, 0) as n_hits, coalesce(n_sources, 0)::int as n_sources, coalesce(chunk_ids, '') as chunk_ids
+from questions q left join counts using (qid) left join made using (qid)""")
+def answers_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark text through the classic flow: found, ranked, put in context, judged, answered."""
+    return _batch(spark, sf_dir, "classic").drop("n_covered")
+
+
+@query()
+def builder_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark text through the builder's flow; tests/test_batch.py holds it against one question after the other."""
+    return _batch(spark, sf_dir, "builder")
+
+
+# ---- many concepts at once --------------------------------------------------------------------------------------------------
+
+_PHRASES = r"phrases as (select distinct lower(w[1] || ' ' || w[2]) as concept from (select regexp_extract_all(text, '[A-Za-z]+') as w from documents) where len(w) >= 2)"
+
+
+@query(f"""
+with {_PHRASES}
+select concept, count(d.doc_id) as n_rows, min(d.doc_id) as first from phrases left join documents d on contains(lower(d.text), concept) group by concept""")
+def concepts_everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two words of every document as a concept, looked for in all documents, each of which is read once for all of them."""
+    docs = table(spark, sf_dir, "documents")
+    w = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    concepts = docs.select(w.alias("w")).where(F.size("w") >= 2).select(F.lower(F.concat(F.get("w", 0), F.lit(" "), F.get("w", 1))).alias("concept")).distinct()
+    return context.covered_by(docs, concepts, "doc_id")
