@@ -964,3 +964,16 @@ def concepts_everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
     concepts = docs.select(w.alias("w")).where(F.size("w") >= 2).select(F.lower(F.concat(F.get("w", 0), F.lit(" "), F.get("w", 1))).alias("concept")).distinct()
     return context.covered_by(docs, concepts, "doc_id")
+
+
+@query("select vec_id, case when vec_id % 100 = 3 then -1 else label end as label from embeddings where vec_id % 97 <> 5")
+def index_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored index changed in place: one record in a hundred replaced, one in ninety-seven deleted, buckets of these written alone."""
+    from sillage.sources.store import Store
+
+    made = Store(spark, tables.unique(spark, "index"))
+    ix = vector_index(spark, sf_dir)
+    made.create(ix)
+    made.put(ix.where("vec_id % 100 = 3").withColumn("label", F.lit(-1)))
+    made.delete(ix.where("vec_id % 97 = 5").select("_key"))
+    return made.records().select("vec_id", "label")

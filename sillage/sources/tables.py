@@ -149,9 +149,18 @@ def write_graph(links: DataFrame, path: str) -> None:
 
 
 def save_index(index: DataFrame, path: str, kind: str = "flat", version: int = 1) -> None:
-    """The index as a table, and its settings as a table of one row beside it."""
-    index.write.mode("overwrite").parquet(f"{path}/records")
-    index.sparkSession.createDataFrame([(version, kind)], "index_version int, index_type string").coalesce(1).write.mode("overwrite").json(f"{path}/settings")
+    """The index as a table, and its settings as a table of one row beside it.
+
+    Both are written beside the old ones and take their places when they are whole: a write that fails leaves the old index.
+    """
+    spark, beside = index.sparkSession, f"{path}/new-{uuid.uuid4().hex}"
+    index.write.parquet(f"{beside}/records")
+    spark.createDataFrame([(version, kind)], "index_version int, index_type string").coalesce(1).write.json(f"{beside}/settings")
+    for part in ("records", "settings"):
+        remove(spark, f"{path}/{part}")
+        store, there = _store(spark, f"{beside}/{part}")
+        store.rename(there, _store(spark, f"{path}/{part}")[1])
+    remove(spark, beside)
 
 
 def load_index(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
