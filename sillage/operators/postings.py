@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from sillage.functions import text as T
 from sillage.operators.bm25 import K1, B
-from sillage.sources.tables import put_json, remove_stored, stored, unique
+from sillage.sources.tables import put_json, remove, remove_stored, stored, unique
 
 #: Documents of a block, blocks that are scored together, folders that terms are dealt to, and questions that are scored at a time.
 BLOCK, RANGE, FOLDERS, TOGETHER = 256, 64, 32, 512
@@ -190,6 +190,7 @@ def build(records: DataFrame, id_col: str = "id", text_col: str = "text", summar
     """
     spark = records.sparkSession
     path = path or unique(spark, "postings")
+    remove(spark, f"{path}/settings.json")
     text = F.coalesce(F.nullif(F.col(text_col), F.lit("")), F.col(summary_col)) if summary_col else F.col(text_col)
     texts = records.select(F.col(id_col).alias("id"), text.alias("text"))
     of_id = texts.schema["id"].dataType

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sillage.operators import bm25, context, corpus, index, rerank
+from sillage.operators import bm25, context, corpus, index, postings, rerank
 from sillage.plans.agents import Answerer, Planner
 
 FIRST_K, SECOND_K, EXPANSION_K, MOST_HITS, HOPS = 8, 10, 3, 40, 2
@@ -32,7 +32,8 @@ class Result:
 class Retriever:
     """Searches of an index (id, url, text, hierarchy, parent, incoming_links, unit, _key). embed turns questions into vectors on the driver.
 
-    Both scores of a record meet on one row, by id, before ranking. Records without a vector are found by their words only.
+    Both scores of a record meet on one row, by id, before ranking. Records without a vector are found by their words only: in words, a stored
+    inverted index of the records, or where there is none in their texts.
     """
 
     spark: SparkSession
@@ -40,6 +41,7 @@ class Retriever:
     embed: Callable[[str], list[float] | None]
     hybrid: bool = True
     threshold: float = 0.0
+    words: postings.Index | None = None
 
     def search(self, questions: list[str], k: int, tag: str, boost: str | None = None, at: int = 0) -> DataFrame:
         """Hits of all questions in one pass, seq in order of question and rank."""
@@ -49,7 +51,8 @@ class Retriever:
         if self.hybrid:
             texts = self.spark.createDataFrame([(n, q) for n, q, _ in asked], "qid int, query string")
             # At most max(8, k) rows for each question.
-            best = bm25.best(self.records, texts, max(8, k)).withColumnRenamed("score", "_score_bm25")
+            scored = self.words.search(texts, max(8, k)) if self.words else bm25.best(self.records, texts, max(8, k))
+            best = scored.withColumnRenamed("score", "_score_bm25")
             words = self.records.join(F.broadcast(best), "id").withColumn("_origin", F.lit(f"{tag}-bm25")).withColumn("part", F.lit(1))
             found = found.unionByName(words, allowMissingColumns=True)
         order = Window.partitionBy(F.lit(0)).orderBy("qid", "part", "rank")

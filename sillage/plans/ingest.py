@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from sillage.functions import segments as S
 from sillage.functions import text as X
-from sillage.operators import corpus, index
+from sillage.operators import corpus, index, postings
 from sillage.operators import pages as P
 from sillage.sources import tables
 
@@ -178,6 +178,7 @@ class Ingest:
                 preview.write.mode("overwrite").json(f"{self.folder}/debug/raw_chunks")
             made = index.added(records(pages, graph, self.embed, self.summarise, cache=self.cache))
             tables.save_index(made, f"{self.folder}/index")
+            postings.build(tables.load_index(self.spark, f"{self.folder}/index"), path=f"{self.folder}/words")
             if self.debug and self.summarise is not None:
                 kept = tables.load_index(self.spark, f"{self.folder}/index").where("seg_index = 0 and trim(summary) <> ''")
                 kept.select("url", "chunk_index", F.col("original").alias("original_preview"), F.substring("summary", 1, 500).alias("summary_preview")).write.mode("overwrite").json(f"{self.folder}/debug/summaries")

@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from sillage.functions import text as T
-from sillage.operators import context
+from sillage.operators import context, postings
 from sillage.plans.agents import Answerer, Llm, Planner, Summariser, system_prompt
 from sillage.plans.answers import Pipeline, Result, Retriever
 from sillage.plans.config import Config
@@ -89,7 +89,9 @@ class Runtime:
     def _pipeline(self) -> Pipeline:
         c = self.config
         records = tables.load_index(self.spark, f"{self.ingest.folder}/index")
-        retriever = Retriever(self.spark, records, self.embed, threshold=c.score_threshold)
+        words = f"{self.ingest.folder}/words"
+        stored = postings.Index(self.spark, words) if tables.exists(self.spark, f"{words}/settings.json") else None
+        retriever = Retriever(self.spark, records, self.embed, threshold=c.score_threshold, words=stored)
         system = system_prompt(c.answering_mode, c.system_prompt, c.system_prompt_custom_override, c.allow_generated_examples)
         window = self.spark.range(1).select(T.budget_chars(T.window_tokens(F.lit(c.chat_model)), F.lit(12_000), F.lit(c.chat_model))).first()[0]
         return Pipeline(retriever, Answerer(self.llm, system), Planner(self.llm), c.retrieval_mode, int(window), c.builder_max_rounds)

@@ -283,17 +283,22 @@ def hard_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.posexplode(T.hard_splits(F.col("text"), 100)).alias("piece", "part")).select("doc_id", F.col("piece").cast("long").alias("piece"), F.md5(F.col("part").cast("binary")).alias("digest"))
 
 
-@query("""
-with m as (select unnest(['gpt-4.1-mini', 'gpt-4o', 'o4-mini', 'gpt-3.5-turbo', 'local']) as model), c as (select unnest([5000, 12000, 60000]) as most),
-w as (select model, most, case when contains(model, 'gpt-4.1') then 1000000 when contains(model, 'gpt-4o') or contains(model, 'o4') or contains(model, 'gpt-4') then 128000 else 16000 end as tokens from m, c)
-select model, most::bigint as most, tokens::bigint as tokens,
+_CHAT_MODELS = ("gpt-4.1-mini", "gpt-4o", "o4-mini", "gpt-3.5-turbo", "local")
+
+
+@query(f"""
+with given as (select event_id, {list(_CHAT_MODELS)}[(event_id % 5 + 1)::int] as model, 5000 + user_id * 131 % 90000 as most from events),
+w as (select *, case when contains(model, 'gpt-4.1') then 1000000 when contains(model, 'gpt-4o') or contains(model, 'o4') or contains(model, 'gpt-4') then 128000 else 16000 end as tokens from given)
+select event_id, most::bigint as most, tokens::bigint as tokens,
   greatest(greatest(most, 8000), least(greatest(2000, tokens - greatest(2000, floor(tokens * 0.15))) * 4, 180000))::bigint as budget,
   case when contains(model, '4o') or contains(model, 'gpt-4.1') then least(greatest(most, 8000) * 5, 100000) else greatest(most, 8000) end::bigint as budget_by_name
 from w""")
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(m, c) for m in ("gpt-4.1-mini", "gpt-4o", "o4-mini", "gpt-3.5-turbo", "local") for c in (5000, 12000, 60000)], "model string, most bigint")
+    """Every event as a request of one of five models with a setting of its own."""
+    model = F.element_at(F.array(*map(F.lit, _CHAT_MODELS)), (F.col("event_id") % 5 + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select("event_id", model.alias("model"), (5000 + F.col("user_id") * 131 % 90000).cast("long").alias("most"))
     w = rows.withColumn("tokens", T.window_tokens(F.col("model")).cast("long"))
-    return w.select("model", "most", "tokens", T.budget_chars(F.col("tokens"), F.col("most"), F.col("model")).alias("budget"), T.budget_chars(F.lit(0), F.col("most"), F.col("model")).alias("budget_by_name"))
+    return w.select("event_id", "most", "tokens", T.budget_chars(F.col("tokens"), F.col("most"), F.col("model")).alias("budget"), T.budget_chars(F.lit(0), F.col("most"), F.col("model")).alias("budget_by_name"))
 
 
 @query("""
@@ -741,9 +746,7 @@ def distinct_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select count(*) as n_pages, count(distinct url) as n_urls, sum(length(html))::bigint as n_chars from pages where url <> '' and trim(html) <> ''")
 def pages_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as JSON lines and read back."""
-    import uuid
-
-    path = f"{tables.scratch(spark)}/sillage/pages-{uuid.uuid4().hex}"
+    path = tables.unique(spark, "pages")
     tables.append_pages(table(spark, sf_dir, "pages"), path)
     return tables.pages(spark, path).agg(F.count("*").alias("n_pages"), F.countDistinct("url").alias("n_urls"), F.sum("length").cast("long").alias("n_chars"))
 
@@ -751,9 +754,7 @@ def pages_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select vec_id, label from embeddings")
 def index_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vector index saved with its version, loaded again."""
-    import uuid
-
-    path = f"{tables.scratch(spark)}/sillage/index-{uuid.uuid4().hex}"
+    path = tables.unique(spark, "index")
     tables.save_index(vector_index(spark, sf_dir), path)
     return tables.load_index(spark, path).select("vec_id", "label")
 

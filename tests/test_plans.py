@@ -360,8 +360,10 @@ def test_crawl_and_ask_by_settings(spark, tmp_path):
     assert {r["summary_preview"] for r in spark.read.json(f"{folder}/debug/summaries").collect()} == {"in short"}
     known = spark.read.parquet(str(tmp_path / "cache"))
     assert known.count() == known.select("key").distinct().count() > 0
+    assert tables.exists(spark, f"{folder}/words/settings.json")
     chats = tables.Chats(str(tmp_path / "chats"))
     assert rt.query_chat(chats, "one", "what is told?").answer == "told" and [m["role"] for m in chats.load("one")["messages"]] == ["user", "assistant"]
+    assert rt.pipeline.retriever.words is not None
     assert rt.query_chat(chats, "one", "and then?").supported and len(chats.load("one")["messages"]) == 4
     assert len(list((tmp_path / "p" / "debug" / "queries").glob("*.json"))) == 2
 
