@@ -207,6 +207,51 @@ def chunks(url: str, html: str, most: int = MAX_WORDS, overlap: int = OVERLAP) -
     return out
 
 
+#: Elements that a run of text doesn't go across, and those that hold what surrounds a page's text.
+BREAKS = {"p", "div", "li", "ul", "ol", "dl", "dt", "dd", "table", "tr", "td", "th", "section", "article", "main", "body", "pre", "blockquote", "figure", "figcaption", "br", "hr", "h1", "h2", "h3", "h4", "h5", "h6", "option", "form"} | REMOVED
+AROUND = {"nav", "footer", "header", "aside", "form"}
+
+
+def text_blocks(html: str) -> list[dict]:
+    """The runs of text of a page in order: text (white space collapsed), words, those of them in links, whether it stands around the page's text, and whether it is a heading."""
+    out: list[dict] = []
+    held: list[tuple[str, bool]] = []
+    place = {"around": 0, "a": 0, "heading": 0, "title": 0}
+
+    def flush() -> None:
+        words = " ".join(t for t, _ in held).split()
+        if words:
+            out.append({"text": " ".join(words), "words": len(words), "linked": sum(len(t.split()) for t, a in held if a), "around": place["around"] > 0, "heading": place["heading"] > 0})
+        held.clear()
+
+    def kind(name: str) -> str | None:
+        return "around" if name in AROUND else "heading" if _HEADING.fullmatch(name) else name if name in ("a", "title") else None
+
+    root = tree(html)
+    stack: list[tuple[Node, Iterator[Node | str]]] = [(root, iter(root.children))]
+    while stack:
+        node, below = stack[-1]
+        for c in below:
+            if isinstance(c, str):
+                if not place["title"]:
+                    held.append((c, place["a"] > 0))
+            elif c.name not in _UNSEEN and c.name != "noscript":
+                if c.name in BREAKS:
+                    flush()
+                if kind(c.name):
+                    place[kind(c.name)] += 1
+                stack.append((c, iter(c.children)))
+                break
+        else:
+            if node.name in BREAKS:
+                flush()
+            if kind(node.name):
+                place[kind(node.name)] -= 1
+            stack.pop()
+    flush()
+    return out
+
+
 def page_text(html: str) -> str:
     return tree(html).text()
 

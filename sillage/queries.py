@@ -11,7 +11,7 @@ from sillage.functions import segments as S
 from sillage.functions import text as T
 from sillage.functions import urls as U
 from sillage.functions import vectors as V
-from sillage.operators import bm25, codes, context, corpus, crawl, graph, index, postings, rerank
+from sillage.operators import bm25, codes, context, corpus, crawl, graph, index, maintext, postings, rerank
 from sillage.operators import pages as P
 from sillage.session import ship, spread
 from sillage.sources import tables
@@ -978,3 +978,10 @@ def index_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     made.put(ix.where("vec_id % 100 = 3").withColumn("label", F.lit(-1)))
     made.delete(ix.where("vec_id % 97 = 5").select("_key"))
     return made.records().select("vec_id", "label")
+
+
+@query()
+def main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; tests/test_maintext.py holds it against plain Python."""
+    made = maintext.main_texts(table(spark, sf_dir, "pages"))
+    return made.select("page_id", "n_runs", "n_kept", F.length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
