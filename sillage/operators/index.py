@@ -45,10 +45,10 @@ def added(records: DataFrame, id_col: str = "id", vector_col: str = "embedding",
     return made.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
 
 
-def search(index: DataFrame, queries: DataFrame, k: int, threshold: float = 0.0, sent: int = MOST_ASKED) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int, threshold: float = 0.0, sent: int | None = None) -> DataFrame:
     """qid, the record, score (cosine) and rank from 0: the k nearest records of each query, ties by key, those below the threshold cut after.
 
-    queries (qid, vector) is a stated set against all rows. Up to sent numbers of it go to every task, which multiplies its records
+    queries (qid, vector) is a stated set against all rows. Up to sent (MOST_ASKED) numbers of it go to every task, which multiplies its records
     with them a batch at a time and keeps rows that are among its own k best of a query so far, so that what is shuffled grows with
     queries and tasks, not with records. A larger set meets the records block by block (see _gridded). Records without a
     vector, or with one of another length, are near nothing; so is a query without one.
@@ -57,7 +57,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, threshold: float = 0.0,
         return index.limit(0).select(F.lit(None).cast(queries.schema["qid"].dataType).alias("qid"), *index.columns, F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
     asked = queries.select("qid", V.normalised(F.col("vector")).alias("asked"))
     numbers = asked.agg(F.coalesce(F.sum(F.greatest(F.size("asked"), F.lit(1))), F.lit(0)).alias("n")).first()["n"]
-    near = _multiplied(index, asked, k) if numbers <= sent else _gridded(index, asked, k)
+    near = _multiplied(index, asked, k) if numbers <= (MOST_ASKED if sent is None else sent) else _gridded(index, asked, k)
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "_key")
     hits = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
     return hits.where(F.col("score") >= threshold) if threshold > 0 else hits

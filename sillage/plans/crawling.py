@@ -20,6 +20,10 @@ from sillage.sources.tables import stored
 Fetch = Callable[[DataFrame], DataFrame]
 
 
+#: URLs of a host that end in errors before it is left alone.
+MOST_FAILURES = 20
+
+
 @dataclass
 class Crawl:
     """pages (url, html, depth) in the project's form, the links of those that are followed, and every URL that is not a page, with the reason."""
@@ -36,6 +40,7 @@ class Robots:
     fetch: Fetch
     agent: str
     known: DataFrame | None = None
+    levels: int = 0
 
     def allowed(self, urls: DataFrame) -> DataFrame:
         """urls with allowed."""
@@ -45,16 +50,19 @@ class Robots:
         asked = stored(hosts.select("host", F.concat("home", F.lit("/robots.txt")).alias("url")), "hosts")
         got = self.fetch(asked.select("url")).select("url", F.col("html").alias("robots_txt"))
         fresh = stored(asked.join(got, "url", "left").select("host", "robots_txt"), "robots")
-        self.known = fresh if self.known is None else self.known.unionByName(fresh)
+        self.known, self.levels = fresh if self.known is None else self.known.unionByName(fresh), self.levels + 1
+        if self.levels % C.MERGED == 0:
+            self.known = stored(self.known, "robots")
         return web.robots_allowed(urls, self.known, self.agent)
 
 
-def live(spark: SparkSession, seeds: list[str], fetch: Fetch, policy: C.Policy, *, robots: bool = True, max_depth: int | None = None, deduplicate: bool = True, blacklist: list[str] | None = None, agent: str = "sillage") -> Crawl:
+def live(spark: SparkSession, seeds: list[str], fetch: Fetch, policy: C.Policy, *, robots: bool = True, max_depth: int | None = None, deduplicate: bool = True, blacklist: list[str] | None = None, agent: str = "sillage", most_failures: int | None = MOST_FAILURES) -> Crawl:
     """Everything that a crawl from seeds comes to by admitted links, at most max_depth links away (None or below 0: any distance).
 
     A URL is known without its fragment, is looked at once, and goes through the whole policy before it is asked for: blacklist, policy,
     robots.txt of its host. Pages that are no HTML, fail, or repeat the content of an earlier one (of a level the least URL is
-    first) are not followed. Each level is stored: a lost executor costs one level, and nothing of it reaches the driver but
+    first) are not followed. A host of which most_failures URLs gave errors, retries and all, is on the blacklist from the next level on; how many did is
+    carried from level to level, a row for each such host. Each level is stored: a lost executor costs one level, and nothing of it reaches the driver but
     whether there is a next one.
     """
     start = [(s,) for s in dict.fromkeys(s.strip() for s in seeds) if s]
@@ -62,9 +70,13 @@ def live(spark: SparkSession, seeds: list[str], fetch: Fetch, policy: C.Policy,
     seen, guard, depth = level, Robots(fetch, agent) if robots else None, 0
     out: dict[str, list[DataFrame]] = {"pages": [], "links": [], "refused": []}
     digests: DataFrame | None = None
+    host, failed = F.lower(U.netloc(F.col("url"))), stored(spark.createDataFrame([], "host string, n long"), "failed")
     while not level.isEmpty():
         why = F.when(F.col("url").isin(blacklist), "blacklist").otherwise(C.reason(F.col("url"), policy)) if blacklist else C.reason(F.col("url"), policy)
-        judged = level.withColumn("reason", why)
+        judged = level.withColumn("reason", why.cast("string"))
+        if most_failures is not None:
+            bad = failed.where(F.col("n") >= most_failures).select("host", F.lit("blacklist").alias("_bad"))
+            judged = judged.withColumn("host", host).join(bad, "host", "left").select("url", F.coalesce("_bad", "reason").alias("reason"))
         open_ = judged.where("reason is null").select("url")
         refused = judged.where("reason is not null")
         if guard is not None:
@@ -72,6 +84,9 @@ def live(spark: SparkSession, seeds: list[str], fetch: Fetch, policy: C.Policy,
             refused = refused.unionByName(asked.where("not allowed").select("url", F.lit("robots").alias("reason")))
             open_ = asked.where("allowed").select("url")
         got = stored(fetch(open_).withColumn("depth", F.lit(depth)), "fetched")
+        if most_failures is not None:
+            errors = got.where(F.col("reason").startswith("error")).groupBy(host.alias("host")).agg(F.count("*").alias("n"))
+            failed = stored(failed.unionByName(errors).groupBy("host").agg(F.sum("n").alias("n")), "failed")
         page = C.is_page(F.coalesce("content_type", F.lit("")), F.coalesce("html", F.lit("")))
         out["refused"].append(stored(refused.unionByName(got.where(~page).select("url", F.coalesce("reason", F.lit("content type")).alias("reason"))), "refused"))
         found = got.where(page).select("url", "html", "depth").withColumn("digest", F.md5(F.col("html").cast("binary")))
@@ -79,6 +94,8 @@ def live(spark: SparkSession, seeds: list[str], fetch: Fetch, policy: C.Policy,
             firsts = found.groupBy("digest").agg(F.min("url").alias("url"))
             firsts = stored(firsts if digests is None else firsts.join(digests.select("digest"), "digest", "left_anti"), "digests")
             digests = firsts if digests is None else digests.unionByName(firsts)
+            if depth % C.MERGED == C.MERGED - 1:
+                digests = stored(digests, "digests")
             found = found.join(firsts.select("url"), "url", "left_semi")
         found = stored(found.drop("digest"), "pages")
         out["pages"].append(found)
@@ -117,14 +134,17 @@ def fetch_by(c: Config, fetcher: web.Fetcher, most_bytes: int | None = None) ->
 def crawler(spark: SparkSession, c: Config, fetch: Fetch) -> Callable[[str], None]:
     """A crawl of a project as Ingest takes it: writes pages to the results path, and beside it graph.json and disallowed.json.
 
-    A whole site is crawled from its seeds, or else its start URL, at any depth; without crawl_entire_site seeds are fetched alone, or the
+    URLs that end in errors are added to blacklist.json, and not asked for by a later crawl. A whole site is crawled from its seeds, or else its start URL, at any depth; without crawl_entire_site seeds are fetched alone, or the
     start URL is followed to max_depth.
     """
 
     def run(results: str) -> None:
         depth = None if c.crawl_entire_site else c.max_depth
-        made = live(spark, c.seed_urls or [c.start_url], fetch, policy_of(c), robots=c.respect_robots, max_depth=depth)
         base = results.rsplit("/", 1)[0]
+        known = f"{base}/blacklist.json"
+        listed = [r["url"] for r in spark.read.schema("url string").json(known).distinct().collect()] if tables.exists(spark, known) else None
+        made = live(spark, c.seed_urls or [c.start_url], fetch, policy_of(c), robots=c.respect_robots, max_depth=depth, blacklist=listed)
+        made.refused.where(F.col("reason").startswith("error")).select("url").coalesce(1).write.mode("append").json(known)
         tables.written_pages(made.pages).write.mode("overwrite").json(results)
         tables.write_graph(made.links, f"{base}/graph.json")
         corpus.reasons(made.refused).write.mode("overwrite").json(f"{base}/disallowed.json")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sillage.functions import urls as U
+
 #: Statuses after which a request is tried again (fixed values).
 RETRIED = (429, 500, 502, 503, 504)
 #: (status, content type, declared length or None, body) of a URL.
@@ -52,24 +55,45 @@ def fetched(url: str, fetch: Fetcher, manners: Manners) -> tuple[str | None, str
     return None, None, reason
 
 
+def paced(urls: list[str], manners: Manners, now: Callable[[], float] = time.monotonic, last: dict[str, float] | None = None) -> Iterator[int]:
+    """Places of urls in the order in which they may be asked for: hosts in turn, each after its pause, so that a pause of one host is another's time.
+
+    last holds when each host was asked, from one call to the next. Of equal hosts the first URL is first.
+    """
+    last = {} if last is None else last
+    by_host: dict[str, list[int]] = {}
+    for n, url in enumerate(urls):
+        by_host.setdefault(urlsplit(url).netloc, []).append(n)
+    due = [(last.get(host, float("-inf")) + manners.pause, of[0], host) for host, of in by_host.items()]
+    heapq.heapify(due)
+    at = dict.fromkeys(by_host, 0)
+    while due:
+        when, place, host = heapq.heappop(due)
+        if when > now():
+            manners.sleep(when - now())
+        yield place
+        last[host] = now()
+        at[host] += 1
+        if at[host] < len(by_host[host]):
+            heapq.heappush(due, (last[host] + manners.pause, by_host[host][at[host]], host))
+
+
 def fetch_all(urls: DataFrame, fetch: Fetcher, manners: Manners | None = None) -> DataFrame:
-    """urls (url) with html, content_type and reason. Rows go by host, so that one task paces all requests to a host."""
+    """urls (url) with html, content_type and reason; what is asked for is the URL in its normal form.
+
+    Rows go by host, so that one task paces all requests to a host; it takes the hosts it has in turn (see paced).
+    """
     manners = manners or Manners()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: dict[str, float] = {}
         for frame in frames:
-            out = []
-            for url in frame["url"]:
-                name = urlsplit(url).netloc
-                wait = last.get(name, -1e9) + manners.pause - time.monotonic()
-                if wait > 0:
-                    manners.sleep(wait)
-                out.append((url, *fetched(url, fetch, manners)))
-                last[name] = time.monotonic()
+            given, asked = frame["url"].tolist(), frame["asked"].tolist()
+            out = [(given[n], *fetched(asked[n], fetch, manners)) for n in paced(asked, manners, last=last)]
             yield pd.DataFrame(out, columns=["url", "html", "content_type", "reason"])
 
-    by_host = urls.select("url").repartition(F.regexp_extract("url", r"//([^/?#]*)", 1))
+    normal = urls.select("url", F.coalesce(U.request_key(F.col("url")), F.col("url")).alias("asked"))
+    by_host = normal.repartition(F.regexp_extract("asked", r"//([^/?#]*)", 1))
     return by_host.mapInPandas(run, "url string, html string, content_type string, reason string")
 
 

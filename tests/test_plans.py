@@ -242,6 +242,47 @@ def test_fetching(spark):
     assert {r["html"] for r in web.fetch_all(urls, lambda u: (200, "text/html", None, u), web.Manners(pause=0)).collect()} == {"http://a/1", "http://b/2"}
 
 
+def test_hosts_take_turns():
+    """A hundred hosts by ten URLs, in any order: about ten pauses, each host paced."""
+    clock, slept = [0.0], []
+
+    def sleep(seconds):
+        slept.append(seconds)
+        clock[0] += seconds
+
+    urls = [f"http://h{h}/{k}" for h in range(100) for k in range(10)]
+    asked: dict[str, list[float]] = {}
+    order = []
+    for n in web.paced(urls, web.Manners(pause=0.2, sleep=sleep), lambda: clock[0]):
+        order.append(n)
+        asked.setdefault(urls[n].split("/")[2], []).append(clock[0])
+    assert sorted(order) == list(range(1000)) and sum(slept) < 0.2 * 10
+    assert all(b - a >= 0.2 - 1e-9 for times in asked.values() for a, b in zip(times, times[1:], strict=False))
+    assert [urls[n] for n in order if "//h7/" in urls[n]] == [f"http://h7/{k}" for k in range(10)]
+
+
+def test_failing_hosts_and_urls_are_left_alone(spark, tmp_path):
+    def broken(url):
+        if url.startswith("http://bad"):
+            raise OSError("no route")
+        n = int(url.rsplit("/", 1)[1] or 0) if url[-1].isdigit() else 0
+        return (404, "", None, "") if url.endswith("robots.txt") else (200, "text/html", None, f"<p>{url}</p>" + "".join(f"<a href=http://bad/{2 * n + k}>x</a>" for k in range(2)) + f"<a href=/{n + 1}>next</a>" * (n < 4))
+
+    fetch = lambda urls: web.fetch_all(urls, broken, web.Manners(retries=0, pause=0))
+    made = crawling.live(spark, ["http://s/0"], fetch, crawl.Policy(allowed_domains=["s", "bad"]), most_failures=3)
+    got = {r["url"]: r["reason"] for r in made.refused.collect()}
+    assert sum(v == "error: OSError" for v in got.values()) == 4 and sum(v == "blacklist" for v in got.values()) == 6
+    c = config.Config.of({"start_url": "http://s/0", "allowed_domains": ["s", "bad"], "rate_limit_delay": 0}, output_dir=str(tmp_path), index_dir=str(tmp_path / "i"))
+    asked = []
+    counted = lambda urls: (asked.append({r["url"] for r in urls.collect()}), fetch(urls))[1]
+    crawling.crawler(spark, c, counted)(f"{tmp_path}/results.jsonl")
+    first = {u for a in asked for u in a if u.startswith("http://bad") and "robots" not in u}
+    asked.clear()
+    crawling.crawler(spark, c, counted)(f"{tmp_path}/results.jsonl")
+    assert first and not {u for a in asked for u in a if u.startswith("http://bad") and "robots" not in u}
+    assert spark.read.json(f"{tmp_path}/disallowed.json").where("url = 'http://bad/0'").first() is not None
+
+
 def test_index_changes(spark, records):
     with pytest.raises(KeyError):
         index.require(records, "nothing")
