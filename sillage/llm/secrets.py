@@ -5,7 +5,10 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
+from math import inf, log2
 
 import pyarrow as pa
 import zstandard
@@ -24,11 +27,18 @@ SENSITIVE = ("passw", "secret", "token", "key", "auth", "bearer", "credential",
 _SENSITIVE = re.compile("(?ai)" + "|".join(SENSITIVE))
 NEAR = 48
 #: Candidates: so many characters at least; each must cost so many bytes for each of its own. Those of letters and digits are told from
-#: prose by that alone. Those of letters alone must cost more, since words that the dictionary lacks cost much as well, and have
-#: capitals inside, as no word has; those before a sensitive word, or where one is only near, must cost more, too.
-LEAST_LENGTH, LEAST_NOVELTY, LEAST_OF_LETTERS, LEAST_BEFORE = 16, 0.6, 0.8, 0.8
-#: Capitals that start no word of three letters or more: so many of them, for each letter, has a candidate of letters alone.
-LEAST_CAPITALS = 0.12
+#: prose by that alone. Those of one of them alone must cost more, as must those before a sensitive word, or where one is only near.
+LEAST_LENGTH, LEAST_NOVELTY, LEAST_OF_ONE_KIND, LEAST_BEFORE = 16, 0.6, 0.8, 0.8
+#: From so many characters on, and among prose for letters of one case, the compressor codes characters by their frequency: a random value then costs no
+#: more than its alphabet asks for.
+CODED = 30
+#: Letters alone: words that the dictionary lacks cost much as well, so such a value also has capitals that start no word of three letters or
+#: more, so many for each letter, or so many pairs of neighbours, of all its pairs, that no two identifiers of the dictionary have.
+LEAST_CAPITALS, LEAST_ODD_PAIRS = 0.12, 0.5
+#: Digits alone: dates, numbers of cards and times in microseconds have fewer, a key of 64 bits has more.
+LEAST_DIGITS = 19
+#: Values with other signs, which stand in quotes: so many neighbours, of all, are of different kinds (small, capital, digit, sign), unlike in paths and code.
+LEAST_CHANGES = 0.45
 _CHARS = "A-Za-z0-9+/_-"
 _PADDED = rf"[{_CHARS}]{{{LEAST_LENGTH},}}(?:={{1,2}}(?![={_CHARS}]))?"
 #: A value, which may follow '='; a value joined to a sensitive word by a separator; a run with any '=' inside.
@@ -36,6 +46,8 @@ _VALUE = re.compile(rf"(?<![{_CHARS}]){_PADDED}")
 _JOINED = re.compile(rf"[+/_-]+({_PADDED})")
 _RUN = re.compile(rf"(?<![={_CHARS}])[={_CHARS}]{{{LEAST_LENGTH},}}")
 _NAME = re.compile("[A-Za-z+/_-]+=+")
+_QUOTED = re.compile(rf"""["'`]([!#-&(-_a-~]{{{LEAST_LENGTH},}})["'`]""")
+_CHANGES = re.compile("(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]|(?<=[^A-Za-z0-9])[A-Za-z0-9]")
 #: Code and text around a candidate that prime the compressor.
 AROUND = 256
 #: What programs and settings call things: the identifier dictionary.
@@ -58,6 +70,9 @@ vector version void while width with world write xml yaml yield
 """.encode()
 
 _compressor: list[zstandard.ZstdCompressor] = []
+_seen = Counter(a + b for name in re.findall("[a-z]{2,}", IDENTIFIERS.decode().split("0123456789")[0]) for a, b in pairwise(name))
+#: Pairs of letters that two identifiers have, or one has twice.
+_PAIRS = frozenset(pair for pair, n in _seen.items() if n > 1)
 
 
 def _size(data: bytes) -> int:
@@ -117,9 +132,34 @@ def _candidates(text: str) -> Iterator[tuple[int, int, bool]]:
 
 
 def _novel_letters(word: str) -> bool:
-    """Whether capitals lie in a run of letters as no name has them: inside, and before fewer than two small letters."""
+    """Whether letters follow one another as in no name: capitals inside, and before fewer than two small letters, or pairs that no names have."""
     odd = len(re.findall("(?<=[A-Za-z])[A-Z](?![a-z]{2})", word))
-    return bool(re.search("[a-z]", word)) and odd >= LEAST_CAPITALS * len(word)
+    if re.search("[a-z]", word) and odd >= LEAST_CAPITALS * len(word):
+        return True
+    pairs = [a + b for a, b in pairwise(word.lower()) if a.isalpha() and b.isalpha()]
+    return len(pairs) >= LEAST_LENGTH // 2 and sum(p not in _PAIRS for p in pairs) >= LEAST_ODD_PAIRS * len(pairs)
+
+
+def _least(word: str, behind: bool) -> float:
+    """The novelty from which a candidate is a secret, by its alphabet and length; without bound where its characters tell it for a name or a number."""
+    digits, letters = sum(c.isdigit() for c in word), sum(c.isalpha() for c in word)
+    if digits and letters:
+        return LEAST_NOVELTY if behind else max(LEAST_NOVELTY, LEAST_BEFORE)
+    if digits < LEAST_DIGITS if digits else not _novel_letters(word):
+        return inf
+    one_case = not digits and (word == word.lower() or word == word.upper())
+    asked = log2(10 if digits else 26 if one_case else 52) / 8
+    return min(LEAST_OF_ONE_KIND, asked) if one_case or len(word) >= CODED else LEAST_OF_ONE_KIND
+
+
+def _quoted(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of values with signs that stand in quotes, at most NEAR characters after a sensitive word: one pass over the text."""
+    ends = [m.end() for m in _SENSITIVE.finditer(text)]
+    for m in _QUOTED.finditer(text):
+        start, end = m.span(1)
+        at = bisect.bisect_right(ends, start)
+        if at and start - ends[at - 1] <= NEAR and not _VALUE.fullmatch(text, start, end) and len(_CHANGES.findall(text, start, end)) >= LEAST_CHANGES * (end - start):
+            yield start, end
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
@@ -136,19 +176,24 @@ def _joined(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
 def novel_spans(text: str, lowered: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Candidates outside the known spans that stand near a sensitive word and that the primed compressor cannot shorten.
 
-    Of candidates in one another the longest counts, without a name and '=' before a novel value.
+    Every candidate is measured; how much it must cost depends on its alphabet and length. Of candidates in one another the longest counts, without a name and '=' before a novel value.
     """
     if not any(k in lowered for k in SENSITIVE):
         return []
     novel = set()
     taken = _joined(known)
+
+    def measured(start: int, end: int) -> float:
+        return novelty(text[max(0, start - AROUND) : start], text[start:end], text[end : end + AROUND])
+
     for start, end, behind in _candidates(text):
-        word = text[start:end]
-        mixed = bool(re.search("[0-9]", word) and re.search("[A-Za-z]", word))
-        if (start, end) in novel or not (mixed or _novel_letters(word)) or ((at := bisect.bisect_left(taken, (end, 0))) and taken[at - 1][1] > start):
+        if (start, end) in novel or ((at := bisect.bisect_left(taken, (end, 0))) and taken[at - 1][1] > start):
             continue
-        least = max(LEAST_NOVELTY, 0 if mixed else LEAST_OF_LETTERS, 0 if behind else LEAST_BEFORE)
-        if novelty(text[max(0, start - AROUND) : start], word, text[end : end + AROUND]) >= least:
+        if (least := _least(text[start:end], behind)) < inf and measured(start, end) >= least:
+            novel.add((start, end))
+    for start, end in _quoted(text):
+        # A fixed pattern may end at the value's first sign: the rest is no less of a secret.
+        if not ((at := bisect.bisect_left(taken, (end, 0))) and taken[at - 1][1] >= end) and measured(start, end) >= LEAST_OF_ONE_KIND:
             novel.add((start, end))
     found: list[tuple[int, int, int]] = []
     for start, end in sorted(novel, key=lambda s: (s[0], -s[1])):

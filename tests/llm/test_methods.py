@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from html import unescape
@@ -456,6 +457,33 @@ def test_recall_of_random_values(documents, alphabet):
     assert found >= 0.93 * tried
 
 
+@pytest.mark.parametrize(("alphabet", "contexts", "lengths"), [("abcdefghijklmnopqrstuvwxyz", CONTEXTS, (16, 20, 32, 40)), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", CONTEXTS, (16, 20, 32, 40)), ("0123456789", CONTEXTS, (20, 24, 32, 40)), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!@#$%^&*?~", ['auth: "{}"', "password = '{}'", "the session key is `{}`"], (16, 20, 32, 40))])
+def test_recall_of_values_of_one_kind_or_with_signs(documents, alphabet, contexts, lengths):
+    rng = random.Random(6)
+    prose = [t for t in documents.values() if len(t) > 300]
+    found = tried = 0
+    for context in contexts:
+        for length in lengths:
+            for _ in range(40):
+                value, before = "".join(rng.choice(alphabet) for _ in range(length)), rng.choice(prose)[:300]
+                text = f"{before} {context.format(value)} {rng.choice(prose)[:300]}"
+                found += value[2:-2] not in secrets.redacted(text, secrets.scan(text)) and value[-8:] not in secrets.redacted(text, secrets.scan(text))
+                tried += 1
+    assert found >= 0.9 * tried
+
+
+def test_plain_values_are_left_alone():
+    plain = ["2024-01-02-03-04-05-06", "4913615156729033", "00000000000000000000", "https://example.com/path/to/page?next=/home", "%(asctime)s-%(name)s-%(levelname)s", "counterrevolutionaries", "donaudampfschifffahrtsgesellschaft", "MAX_TOKEN_LENGTH_LIMIT", "abcdefghijklmnopqrstuvwxyz", "config['database']['url']", "----------------------------"]
+    assert [v for v in plain if secrets.scan(f"the session header '{v}' stays; the secret")] == []
+
+
+@pytest.mark.parametrize("text", ["key '" * 50_000, "key " + "'" * 200_000, "key '" + "a!" * 100_000 + "'", "key '" + "aB3!" * 50_000])
+def test_quoted_values_take_linear_time(text):
+    began = time.perf_counter()
+    secrets.scan(text)
+    assert time.perf_counter() - began < 10
+
+
 def test_few_false_alarms(documents):
     names = "getUserNameFromRequestBody HttpServletRequestWrapper XMLHttpRequestFactory createAuthorizationHeader internationalization SessionManagementConfig tokenizerConfiguration MAX_TOKEN_LENGTH_LIMIT OAuthClientCredentials IllegalArgumentException donaudampfschifffahrt AESGCMKeyGenerator iPhoneXSMaxUserAgent".split()
     assert [n for n in names if secrets.scan(f"the token function {n} stays; the secret")] == []
