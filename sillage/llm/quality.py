@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sillage.llm.common import read, slices, stored, whole, words
+from sillage.llm.common import forget, read, slices, stored, whole, words
 
 #: Base rules: least words, and most words in repeated windows of WINDOW words, in percent.
 LEAST_WORDS, MOST_REPEATED, WINDOW = 10, 20, 5
@@ -24,6 +24,8 @@ COMMON = (
 WORDS = sorted({w for line in COMMON for w in line.split()})
 #: A text is judged by character classes from so many characters in words on, by common words from so many words on.
 GUARD_CHARS, GUARD_WORDS = 120, 60
+#: A language's own reference is of so many texts at least.
+LEAST_TEXTS = 8
 #: Greatest Jensen-Shannon distances (0 to 1) of kept texts. That of character classes grows as texts get shorter, by so much
 #: over the square root of the characters in words, since short texts stray further by chance.
 MOST_CHARS, SHORT_CHARS, MOST_WORDS = 0.12, 1.2, 0.36
@@ -158,18 +160,31 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first += width
 
 
-def references(measured: DataFrame) -> DataFrame:
-    """ref_lang, ref: by language the median share of each class, then of each common word, over all texts that pass the base rules.
+def _medians(counted: DataFrame, *by: str) -> DataFrame:
+    """by, place, share, texts: the lower median of each share, and how many texts it is of."""
+    upto = F.sum("n").over(Window.partitionBy(*by, "place").orderBy("bin"))
+    total = F.sum("n").over(Window.partitionBy(*by, "place"))
+    return counted.withColumn("upto", upto).withColumn("texts", total).where("2 * upto >= texts").groupBy(*by, "place").agg((F.min("bin") / BINS).alias("share"), F.first("texts").alias("texts"))
+
+
+def references(measured: DataFrame) -> tuple[DataFrame, list[float]]:
+    """ref_lang, ref: by language the median share of each class, then of each common word, over all texts that pass the base rules; and those of all languages.
 
     Shares are counted in steps of 1 / BINS, so that the medians (the lower one of two) are exact for these whatever the order of
-    rows, and a language's table has BINS + 1 rows for each share at most.
+    rows, and a language's table has BINS + 1 rows for each share at most. A histogram that fewer than LEAST_TEXTS texts of a language have is that of all
+    languages: a few texts would be judged by themselves. Languages without any histogram of their own have no row.
     """
     enough = [F.col("word_chars") >= GUARD_CHARS, F.col("n_words") >= GUARD_WORDS]
     counted = measured.where("not base_failed").select("lang", *enough, "classes", "common").mapInArrow(_tally, "lang string, place int, bin int, n long").groupBy("lang", "place", "bin").agg(F.sum("n").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("lang", "place").orderBy("bin"))
-    total = F.sum("n").over(Window.partitionBy("lang", "place"))
-    medians = counted.withColumn("upto", upto).withColumn("total", total).where("2 * upto >= total").groupBy("lang", "place").agg(F.min("bin").cast("double").alias("share"))
-    return medians.groupBy(F.col("lang").alias("ref_lang")).agg(F.map_from_entries(F.collect_list(F.struct("place", "share"))).alias("shares")).select("ref_lang", F.transform(F.sequence(F.lit(0), F.lit(sum(_WIDTHS.values()) - 1)), lambda k: F.coalesce(F.try_element_at("shares", k), F.lit(0.0))).alias("ref"))
+    counted = stored(counted, "counted")
+    places = sum(_WIDTHS.values())
+    shares = {r["place"]: r["share"] for r in _medians(counted.groupBy("place", "bin").agg(F.sum("n").alias("n"))).collect()}  # a row for each place
+    common = [shares.get(k, 0.0) for k in range(places)]
+    own = _medians(counted, "lang").where(F.col("texts") >= LEAST_TEXTS).groupBy(F.col("lang").alias("ref_lang")).agg(F.map_from_entries(F.collect_list(F.struct("place", "share"))).alias("shares"))
+    ref = F.array(*[F.coalesce(F.try_element_at("shares", F.lit(k)), F.lit(common[k])) for k in range(places)])
+    made = stored(own.select("ref_lang", ref.alias("ref")), "references")
+    forget(counted)
+    return made, common
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,13 +208,14 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     A language's reference is the median share of each class or word over all its texts that pass the base rules, the judged one
     among them, so that it covers the whole table and junk, while less than half of it, doesn't move it; rows without a language share
-    one reference. Texts too short for a histogram are judged by the base rules alone. Null texts are empty (and fail the base
+    one reference. A language of fewer than LEAST_TEXTS texts, each long enough for the histogram, is judged by that of all languages. Texts too short for a histogram are judged by the base rules alone. Null texts are empty (and fail the base
     rules), null ids stay null, repeated rows repeat, other columns are ignored, an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), whole(text_col).alias("text"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     measured = stored(rows.mapInArrow(_measure, _DDL).withColumn("base_failed", failed), "measured")
-    met = measured.join(stored(references(measured), "references"), F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
+    refs, common = references(measured)
+    met = measured.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left").withColumn("ref", F.coalesce("ref", F.lit(common)))
     counts = [n for n in _NAMES if n not in ("lang", "classes", "common")]
     ddl = ", ".join(f"{n} long" for n in counts) + ", base_failed boolean, class_distance double, word_distance double"
     met = met.select(*counts, "base_failed", F.col("word_chars") >= GUARD_CHARS, F.col("n_words") >= GUARD_WORDS, "classes", "common", "ref").mapInArrow(_compare, ddl)

@@ -500,6 +500,19 @@ def test_long_runs_are_read_once(text):
     assert all(0 <= a < b <= len(text) for a, _, b in secrets.scan(text))
 
 
+def test_few_texts_of_a_language_do_not_judge_themselves(spark, documents):
+    rng = random.Random(8)
+    junk = lambda: " ".join("".join(rng.choice("#*$%&|<>{}~^") for _ in range(6)) for _ in range(120))
+    english = [t for t in documents.values() if 400 < len(t) < 3000][:60]
+    rows = [(k, t, "en") for k, t in enumerate(english)] + [(1000, junk(), "xx"), (1001, junk(), "yy"), (1002, junk(), "yy"), (1003, junk(), None), (1004, junk(), "en")]
+    rows += [(2000 + k, t, "few") for k, t in enumerate(english[:2])]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(got[k]["base_failed"] or got[k]["kept"] for k in range(1000, 1005))
+    assert [got[2000 + k]["kept"] for k in range(2)] == [got[k]["kept"] for k in range(2)]
+    alone = quality.judge(spark.createDataFrame(rows[-1:], "doc_id long, text string, lang string")).collect()
+    assert alone[0]["kept"] or alone[0]["base_failed"]
+
+
 def test_op9(spark, sf, documents):
     got = rows(spark, sf, "op9_quality")
     labels = dict(zip(*(pq.read_table(f"{sf}/labels.parquet").to_pydict()[c] for c in ("doc_id", "quality")), strict=True))
@@ -532,6 +545,8 @@ def test_op9(spark, sf, documents):
         of = [i for i in documents if langs[i] == lang]
         for side, column in ((0, "class_distance"), (1, "word_distance")):
             known = [shares[i][side] for i in of if shares[i][side] is not None]
+            if len(known) < quality.LEAST_TEXTS:
+                known = [s[side] for s in shares.values() if s[side] is not None]
             reference = np.array([median(v) for v in zip(*known, strict=True)], float) if known else None
             for i in of:
                 if shares[i][side] is not None:
