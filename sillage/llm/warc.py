@@ -165,6 +165,21 @@ def cut(pages: DataFrame) -> DataFrame:
     return stored(rows.mapInArrow(_cut, _PIECES), "payloads")
 
 
+def firsts(payloads: DataFrame, least_revisit: int) -> tuple[DataFrame, DataFrame]:
+    """The last chunks of payloads, one for each record; and of payloads that repeat, by sha256 and size, the page and record that the others revisit."""
+    ends = payloads.where("last").select("record", "page_id", "url", "size", "sha256", F.col("sha1_so_far").alias("sha1"))
+    able = ends.where(f"page_id is not null and size >= {least_revisit}")
+    first = able.groupBy("sha256", "size").agg(F.max(F.struct("page_id", "record")).alias("to"), F.count("*").alias("n")).where("n > 1")
+    # A table of its own, so that the join with it has plain exchanges on both sides and Spark can split the pages of one hot payload.
+    return ends, stored(first.select("sha256", "size", F.col("to.page_id").alias("to_page"), F.col("to.record").alias("to_record")), "firsts")
+
+
+def referring(ends: DataFrame, first: DataFrame) -> DataFrame:
+    """record, page_id, url, size, sha1, and of revisits the page and record that they revisit."""
+    refers = F.expr("page_id < to_page")
+    return ends.join(first, ["sha256", "size"], "left").select("record", "page_id", "url", "size", "sha1", F.when(refers, F.col("to_page")).alias("to_page"), F.when(refers, F.col("to_record")).alias("to_record"))
+
+
 def write_archives(pages: DataFrame, least_revisit: int = LEAST_REVISIT) -> DataFrame:
     """The chunk table of pages (page_id, url, html), one record each: record, chunk, last, data, sha1_so_far.
 
@@ -173,18 +188,15 @@ def write_archives(pages: DataFrame, least_revisit: int = LEAST_REVISIT) -> Data
     a response of its own, to which nothing refers. Empty tables give no rows; other columns are ignored.
     """
     payloads = cut(pages)
-    ends = payloads.where("last").select("record", "page_id", "url", "size", "sha256", F.col("sha1_so_far").alias("sha1"))
-    able = ends.where(f"page_id is not null and size >= {least_revisit}")
-    first = able.groupBy("sha256", "size").agg(F.max(F.struct("page_id", "record")).alias("to"), F.count("*").alias("n")).where("n > 1").select("sha256", "size", F.col("to.page_id").alias("to_page"), F.col("to.record").alias("to_record"))
-    refers = F.expr("page_id < to_page")
-    decided = stored(ends.join(first, ["sha256", "size"], "left").select("record", "page_id", "url", "size", "sha1", F.when(refers, F.col("to_page")).alias("to_page"), F.when(refers, F.col("to_record")).alias("to_record")), "records")
+    ends, first = firsts(payloads, least_revisit)
+    decided = stored(referring(ends, first), "records")
     heads = decided.select("record", F.lit(0).cast("long").alias("chunk"), F.col("to_record").isNotNull().alias("last"), F.concat(head(), F.when(F.col("to_record").isNotNull(), F.encode(F.lit(_CRLF * 2), "UTF-8")).otherwise(F.lit(b""))).alias("data"), F.lit(digest(hashlib.sha1())).alias("sha1_so_far"))
     # A table of its own, so that Spark knows how small it is: where few payloads repeat, no payload moves for this.
     revisits = stored(decided.where("to_record is not null").select("record"), "revisits")
     bodies = payloads.join(revisits, "record", "left_anti")
     bodies = bodies.select("record", "chunk", "last", F.when(F.col("last"), F.concat("data", F.encode(F.lit(_CRLF * 2), "UTF-8"))).otherwise(F.col("data")).alias("data"), "sha1_so_far")
     archive = stored(heads.unionByName(bodies), "warc")
-    forget(payloads, decided, revisits)
+    forget(payloads, first, decided, revisits)
     return archive
 
 

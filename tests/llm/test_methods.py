@@ -419,6 +419,26 @@ def test_op8(spark, sf, documents):
         assert set(filter(None, secrets.listed(sorted(spans)).split(","))) <= set(got[i]["spans"].split(","))
 
 
+def test_pages_of_one_payload_are_split_over_tasks(spark):
+    pages = spark.range(60_000, numPartitions=8).selectExpr("id page_id", "'http://a/' || id url", "case when id % 2 = 0 then '' else 'page ' || id end html")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        payloads = warc.cut(pages)
+        ends, first = warc.firsts(payloads, warc.LEAST_REVISIT)
+        joined = warc.referring(ends, first)
+        joined.write.format("noop").mode("overwrite").save()
+        assert joined.where("to_record is not null").count() == 29_999
+        joined.collect()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in plan, plan[:3000]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_novel_secrets():
     text = "the bearer header is Zx9Qm2Lr7Tb4Vk8Wn3Yd here, the token function get_user_name_from_request_body stays; secret tokens are zzzzzzzzzzzzzzzzzzzzzzzzzz1 fine"
     found = [text[a:b] for a, k, b in secrets.scan(text) if k == 3]
