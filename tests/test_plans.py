@@ -382,6 +382,47 @@ def test_live_crawl(spark):
     assert crawling.live(spark, [" "], fetch, crawl.Policy()).pages.count() == 0
 
 
+class Stopped(Exception):
+    pass
+
+
+@pytest.mark.parametrize("after", range(1, 7))
+def test_a_stopped_crawl_goes_on(spark, tmp_path, after):
+    rows = lambda made: [sorted(map(tuple, df.collect())) for df in (made.pages, made.links, made.refused)]
+    policy, asked = crawl.Policy(allowed_domains=["s"]), []
+
+    def stopping(urls):
+        asked.append({r["url"] for r in urls.collect()})
+        if len(asked) == after:
+            raise Stopped
+        return fetch(urls)
+
+    whole = rows(crawling.live(spark, ["http://s/"], fetch, policy))
+    try:
+        crawling.live(spark, ["http://s/"], stopping, policy, folder=str(tmp_path / "crawl"))
+    except Stopped:
+        assert len(asked) == after
+    before = set().union(*asked[: max(0, 2 * ((after - 1) // 2))])
+    asked.clear()
+    after = 0
+    assert rows(crawling.live(spark, ["http://s/"], stopping, policy, folder=str(tmp_path / "crawl"))) == whole
+    assert not before & set().union(*asked)
+    asked.clear()
+    assert rows(crawling.live(spark, ["http://s/"], stopping, policy, folder=str(tmp_path / "crawl"))) == whole and not asked
+    assert crawling.live(spark, ["http://s/a"], fetch, policy, folder=str(tmp_path / "crawl")).pages.where("url = 'http://s/a' and depth = 0").count() == 1
+
+
+def test_plans_of_a_long_crawl_stay_short(spark):
+    def chain(urls):
+        n = F.regexp_extract("url", r"(\d+)$", 1).cast("int")
+        return urls.select("url", F.format_string('<p>page %d of a long chain <a href="http://s/%d">next</a>', n, n + 1).alias("html"), F.lit("text/html").alias("content_type"), F.lit(None).cast("string").alias("reason"))
+
+    size = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    made = crawling.live(spark, ["http://s/0"], chain, crawl.Policy(), robots=False, max_depth=39)
+    assert sorted(map(tuple, made.pages.select("depth", "url").collect())) == [(k, f"http://s/{k}") for k in range(40)]
+    assert size(made.pages) <= 2 and size(made.links) <= 2 and size(made.refused) <= 2
+
+
 def test_crawl_and_ask_by_settings(spark, tmp_path):
     folder, made = str(tmp_path / "p"), []
 
