@@ -97,9 +97,14 @@ def fetch_all(urls: DataFrame, fetch: Fetcher, manners: Manners | None = None) -
     return by_host.mapInPandas(run, "url string, html string, content_type string, reason string")
 
 
-def from_corpus(urls: DataFrame, corpus: DataFrame) -> DataFrame:
-    """fetch_all() against stored pages (url, html): a join."""
-    got = urls.select("url").join(corpus.select("url", "html"), "url", "left")
+def from_corpus(urls: DataFrame, corpus: DataFrame, key: str = "url") -> DataFrame:
+    """fetch_all() against stored pages (url, html): a join, with one row for each row of urls.
+
+    key is what tells pages of both tables apart: their URL, or a column of ids where pages that share a URL are to be told apart. Of stored
+    pages with one key the least html stands for all.
+    """
+    held = corpus.select(key, "html").join(urls.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.min("html").alias("html"))
+    got = urls.select(*dict.fromkeys((key, "url"))).join(held, key, "left")
     return got.select("url", "html", F.when(F.col("html").isNotNull(), "text/html").alias("content_type"), F.when(F.col("html").isNull(), "status 404").alias("reason"))
 
 
