@@ -52,10 +52,10 @@ def chunks(pages: DataFrame, most: int = H.MAX_WORDS, overlap: int = H.OVERLAP)
     return made.withColumn("chunk", F.explode("chunk")).select(*(c for c in made.columns if c != "chunk"), "chunk.*")
 
 
-def links(pages: DataFrame) -> DataFrame:
-    """from_url, pos, target, anchor_text, source_chunk of every link of every page."""
-    made = _by_page(pages.select("url", "html"), "links", _LINKS, lambda url, page: H.links(page, url))
-    return made.select(F.col("url").alias("from_url"), F.posexplode("links").alias("pos", "l")).select("from_url", "pos", "l.*")
+def links(pages: DataFrame, *keys: str) -> DataFrame:
+    """from_url, pos, target, anchor_text, source_chunk of every link of every page; before them the page's keys, which tell apart pages that share a URL."""
+    made = _by_page(pages.select(*keys, "url", "html"), "links", _LINKS, lambda url, page: H.links(page, url))
+    return made.select(*keys, F.col("url").alias("from_url"), F.posexplode("links").alias("pos", "l")).select(*keys, "from_url", "pos", "l.*")
 
 
 def texts(pages: DataFrame) -> DataFrame:
