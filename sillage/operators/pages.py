@@ -78,9 +78,12 @@ def unreadable(pages: DataFrame) -> DataFrame:
 
 
 def segments(chunked: DataFrame, most_tokens: int = S.limit(), text_col: str = "text") -> DataFrame:
-    """A row for each segment of each chunk, with seg_index and seg_count. Texts that fit never reach Python."""
+    """A row for each segment of each chunk, with seg_index, seg_count and seg_whole: whether it is the chunk as it was. Texts that fit never reach Python.
+
+    A text that is a little too long may make one segment, too, since what joins its pieces isn't counted: seg_count is 1 there, and seg_whole false.
+    """
     fits = T.token_estimate(F.col(text_col)) <= most_tokens
-    whole = chunked.where(fits & (F.trim(text_col) != "")).withColumns({"seg_index": F.lit(0), "seg_count": F.lit(1)})
+    whole = chunked.where(fits & (F.trim(text_col) != "")).withColumns({"seg_index": F.lit(0), "seg_count": F.lit(1), "seg_whole": F.lit(True)})
     long = chunked.where(~fits & (F.trim(text_col) != ""))
     at, schema = long.columns.index(text_col), long.schema
 
@@ -94,4 +97,4 @@ def segments(chunked: DataFrame, most_tokens: int = S.limit(), text_col: str = "
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(range(len(parts)), pa.int32()), pa.array([len(parts)] * len(parts), pa.int32())], names=[*body.schema.names, "seg_index", "seg_count"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return whole.unionByName(long.mapInArrow(run, f"{ddl}, seg_index int, seg_count int"))
+    return whole.unionByName(long.mapInArrow(run, f"{ddl}, seg_index int, seg_count int").withColumn("seg_whole", F.lit(False)))
