@@ -20,7 +20,7 @@ from sillage.functions import vectors as V
 from sillage.sources.tables import stored
 
 VERSION = 1
-#: Numbers of a set of queries that go to every task (32 MB), and digits to which scores are compared.
+#: Numbers of a set of queries that go to every task (32 MB), and digits to which scores are compared unless told otherwise.
 MOST_ASKED, DIGITS = 4_000_000, 12
 #: Numbers of a block of records and of a block of questions that meet in one task.
 ROWS_CELL, ASKED_CELL = 4_000_000, 1_000_000
@@ -45,8 +45,9 @@ def added(records: DataFrame, id_col: str = "id", vector_col: str = "embedding",
     return made.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
 
 
-def search(index: DataFrame, queries: DataFrame, k: int, threshold: float = 0.0, sent: int | None = None) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int, threshold: float = 0.0, sent: int | None = None, digits: int = DIGITS) -> DataFrame:
     """qid, the record, score (cosine) and rank from 0: the k nearest records of each query, ties by key, those below the threshold cut after.
+    Scores are rounded to digits before they are compared, with each other and with the threshold.
 
     queries (qid, vector) is a stated set against all rows. Up to sent (MOST_ASKED) numbers of it go to every task, which multiplies its records
     with them a batch at a time and keeps rows that are among its own k best of a query so far, so that what is shuffled grows with
@@ -57,13 +58,13 @@ def search(index: DataFrame, queries: DataFrame, k: int, threshold: float = 0.0,
         return index.limit(0).select(F.lit(None).cast(queries.schema["qid"].dataType).alias("qid"), *index.columns, F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
     asked = queries.select("qid", V.normalised(F.col("vector")).alias("asked"))
     numbers = asked.agg(F.coalesce(F.sum(F.greatest(F.size("asked"), F.lit(1))), F.lit(0)).alias("n")).first()["n"]
-    near = _multiplied(index, asked, k) if numbers <= (MOST_ASKED if sent is None else sent) else _gridded(index, asked, k)
+    near = (_multiplied if numbers <= (MOST_ASKED if sent is None else sent) else _gridded)(index, asked, k, digits)
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "_key")
     hits = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
     return hits.where(F.col("score") >= threshold) if threshold > 0 else hits
 
 
-def _gridded(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+def _gridded(index: DataFrame, asked: DataFrame, k: int, digits: int) -> DataFrame:
     """qid, the record and score of all pairs that may be among the k best, for sets of questions too large for every task.
 
     Records and questions are dealt into blocks by hash, ROWS_CELL and ASKED_CELL numbers large, and every block of records meets every
@@ -90,7 +91,7 @@ def _gridded(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
             best = np.full((k, len(of)), -np.inf)
             for at in range(0, len(usable), 512):
                 some = usable[at : at + 512]
-                scores = np.round(vectors.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).reshape(-1, size) @ matrix, DIGITS)
+                scores = np.round(vectors.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).reshape(-1, size) @ matrix, digits)
                 best = np.partition(np.concatenate([best, scores]), len(scores), axis=0)[len(scores) :]
                 row, question = np.nonzero(scores >= best.min(axis=0))
                 picked.append((some[row], of[question], scores[row, question]))
@@ -105,7 +106,7 @@ def _gridded(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     return rows.groupBy(*cells).cogroup(questions.groupBy(*cells)).applyInArrow(cell, schema).toDF("qid", *index.columns, "score")
 
 
-def _multiplied(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+def _multiplied(index: DataFrame, asked: DataFrame, k: int, digits: int) -> DataFrame:
     """qid, the record and score of all pairs that may be among the k best."""
     rows = [r for r in asked.collect() if r["asked"]]
     names, unit = [f"c{n}" for n in range(len(index.columns))], index.columns.index("unit")
@@ -127,7 +128,7 @@ def _multiplied(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
                     usable = np.flatnonzero(sizes == size)
                     if not len(usable):
                         continue
-                    scores = np.round(vectors.take(pa.array(usable)).flatten().to_numpy(zero_copy_only=False).reshape(-1, size) @ matrix, DIGITS)
+                    scores = np.round(vectors.take(pa.array(usable)).flatten().to_numpy(zero_copy_only=False).reshape(-1, size) @ matrix, digits)
                     # Rows at a query's k-th best so far stay, since ties go by key.
                     top = np.sort(np.concatenate([best[of].T, scores]), axis=0)[-k:]
                     best[of] = top.T
