@@ -33,7 +33,8 @@ class Retriever:
     """Searches of an index (id, url, text, hierarchy, parent, incoming_links, unit, _key). embed turns questions into vectors on the driver.
 
     Both scores of a record meet on one row, by id, before ranking. Records without a vector are found by their words only: in words, a stored
-    inverted index of the records, or where there is none in their texts.
+    inverted index of the records, or where there is none in their texts. Where vectors are a table of their own (id, unit, _key), units is that, and
+    the records need none: texts are read where they lie, and never joined with all vectors.
     """
 
     spark: SparkSession
@@ -42,12 +43,20 @@ class Retriever:
     hybrid: bool = True
     threshold: float = 0.0
     words: postings.Index | None = None
+    units: DataFrame | None = None
+
+    def near(self, vectors: DataFrame, k: int) -> DataFrame:
+        """index.search() among the records, or among units and then with the records of its hits, k for each question."""
+        if self.units is None:
+            return index.search(self.records.where(F.col("unit").isNotNull()), vectors, k, self.threshold)
+        hits = index.search(self.units.select("id", "_key", "unit").where(F.col("unit").isNotNull()), vectors, k, self.threshold)
+        return self.records.drop("_key", "unit").join(F.broadcast(hits), "id")
 
     def search(self, questions: list[str], k: int, tag: str, boost: str | None = None, at: int = 0) -> DataFrame:
         """Hits of all questions in one pass, seq in order of question and rank."""
         asked = [(n, q, self.embed(q)) for n, q in enumerate(questions) if q and q.strip()]
         vectors = self.spark.createDataFrame([(n, v) for n, _, v in asked if v], "qid int, vector array<double>")
-        found = index.search(self.records.where(F.col("unit").isNotNull()), vectors, k, self.threshold).withColumn("_origin", F.lit(tag)).withColumn("_score_vec", F.col("score")).withColumn("part", F.lit(0))
+        found = self.near(vectors, k).withColumn("_origin", F.lit(tag)).withColumn("_score_vec", F.col("score")).withColumn("part", F.lit(0))
         if self.hybrid:
             texts = self.spark.createDataFrame([(n, q) for n, q, _ in asked], "qid int, query string")
             # At most max(8, k) rows for each question.

@@ -46,7 +46,8 @@ class Batch:
     """Questions (qid, question, and memory if there is any) against records (id, url, chunk_index, text, hierarchy, parent, incoming_links, unit, _key).
 
     vectors puts a vector on each row of (sid, query); by default the embedder does. words is a stored inverted index of the records;
-    without one their texts are scored where they lie. Question ids are told apart as text; a null one is a question of its own, and rows
+    without one their texts are scored where they lie. units (id, unit, _key) is the records' vectors where they are a table of their own, as
+    answers.Retriever has it. Question ids are told apart as text; a null one is a question of its own, and rows
     that repeat an id are one question, the first by its text.
     """
 
@@ -65,6 +66,7 @@ class Batch:
     words: postings.Index | None = None
     vectors: Callable[[DataFrame], DataFrame] | None = None
     digits: int = 9
+    units: DataFrame | None = None
 
     def answers(self, questions: DataFrame) -> DataFrame:
         """qid, question, answer, supported, path, sources, covered, missing, n_hits: a row for each question."""
@@ -79,13 +81,18 @@ class Batch:
         """Hits of asked (qid, n, query), seq in order of n, of vectors before words, and of rank."""
         rows = stored(asked.where(F.trim("query") != "").select(F.concat_ws(":", F.col("n").cast("string"), "qid").alias("sid"), "query"), "asked")
         put = self.vectors or (lambda df: embedded(df, self.embed, "query", "vector"))
-        near = index.search(self.records.where(F.col("unit").isNotNull()), put(rows).select(F.col("sid").alias("qid"), "vector"), k, self.threshold)
+        vectors = put(rows).select(F.col("sid").alias("qid"), "vector")
+        # What meets the records, by id, is questions times k rows, stored so that their size is known: few enough, and no text is shuffled.
+        if self.units is None:
+            near = index.search(self.records.where(F.col("unit").isNotNull()), vectors, k, self.threshold)
+        else:
+            hits = index.search(self.units.select("id", "_key", "unit").where(F.col("unit").isNotNull()), vectors, k, self.threshold)
+            near = self.records.drop("_key", "unit").join(stored(hits.drop("unit"), "near"), "id")
         found = near.withColumns({"_origin": F.lit(tag), "_score_vec": F.col("score"), "_score_bm25": F.lit(None).cast("double"), "_part": F.lit(0)})
         if self.hybrid:
             given = rows.select(F.col("sid").alias("qid"), "query")
             best = self.words.search(given, max(8, k), self.digits) if self.words else bm25.best(self.records, given, max(8, k), digits=self.digits)
-            # As many rows as questions times k meet the records, by id.
-            by_words = self.records.join(best.withColumnRenamed("score", "_score_bm25"), "id").withColumns({"_origin": F.lit(f"{tag}-bm25"), "_part": F.lit(1), "score": F.lit(None).cast("double"), "_score_vec": F.lit(None).cast("double")})
+            by_words = self.records.join(stored(best.withColumnRenamed("score", "_score_bm25"), "words"), "id").withColumns({"_origin": F.lit(f"{tag}-bm25"), "_part": F.lit(1), "score": F.lit(None).cast("double"), "_score_vec": F.lit(None).cast("double")})
             found = found.unionByName(by_words, allowMissingColumns=True)
         n, qid = F.substring_index("qid", ":", 1).cast("long"), F.expr("substring(qid, instr(qid, ':') + 1)")
         named = found.withColumns({"_n": n, "qid": qid})
