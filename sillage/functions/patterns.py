@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -34,6 +34,30 @@ def found(made: ahocorasick.Automaton, text: str, longest: int) -> set[int]:
     return got
 
 
+def counted(rows: DataFrame, phrases: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """phrase, n_rows, first: how many rows' texts hold each phrase that any holds, and the least id of these, read as holding() reads them.
+
+    A task counts as it reads, and hands on a row for each phrase that it met, so that what is shuffled grows with phrases and tasks, not with
+    the pairs of a text and a phrase.
+    """
+    form = S.StructType([S.StructField("phrase", S.StringType()), S.StructField("n_rows", S.LongType()), S.StructField("first", rows.schema[id_col].dataType)])
+    kind = to_arrow_type(form[2].dataType)
+
+    def tell(chosen: list[str], hits: Iterator[tuple[object, set[int]]]) -> Iterator[pa.RecordBatch]:
+        n, first = [0] * len(chosen), [None] * len(chosen)
+        for key, got in hits:
+            for at in got:
+                n[at] += 1
+                if key is not None and (first[at] is None or key < first[at]):
+                    first[at] = key
+        met = [at for at in range(len(chosen)) if n[at]]
+        for k in range(0, len(met), 10_000):
+            some = met[k : k + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array([chosen[at] for at in some], pa.string()), pa.array([n[at] for at in some], pa.int64()), pa.array([first[at] for at in some], kind)], names=form.names)
+
+    return _read(rows, phrases, id_col, text_col, form, tell).groupBy("phrase").agg(F.sum("n_rows").alias("n_rows"), F.min("first").alias("first"))
+
+
 def holding(rows: DataFrame, phrases: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, phrase: which texts (lower-cased) hold which phrases (phrase; trimmed and lower-cased), once each however often.
 
@@ -41,9 +65,19 @@ def holding(rows: DataFrame, phrases: DataFrame, id_col: str, text_col: str) ->
     number: MOST_SENT characters of them go to the tasks at a time. Null and blank phrases are in nothing, null texts hold nothing; an id that repeats has
     the phrases of each of its rows.
     """
-    cleaned = phrases.select(F.lower(F.trim("phrase")).alias("phrase")).where("phrase <> ''").distinct()
     form = S.StructType([S.StructField("id", rows.schema[id_col].dataType), S.StructField("phrase", S.StringType())])
     kind = to_arrow_type(form[0].dataType)
+
+    def tell(chosen: list[str], hits: Iterator[tuple[object, set[int]]]) -> Iterator[pa.RecordBatch]:
+        for key, got in hits:
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(got), kind), pa.array([chosen[n] for n in sorted(got)], pa.string())], names=form.names)
+
+    return _read(rows, phrases, id_col, text_col, form, tell).distinct()
+
+
+def _read(rows: DataFrame, phrases: DataFrame, id_col: str, text_col: str, form: S.StructType, tell: Callable[[list[str], Iterator[tuple[object, set[int]]]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """What tell makes, in each task, of the ids of its texts and the places of the phrases that each holds."""
+    cleaned = phrases.select(F.lower(F.trim("phrase")).alias("phrase")).where("phrase <> ''").distinct()
     texts = rows.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
     passes: list[list[str]] = [[]]
     size = 0
@@ -60,14 +94,14 @@ def holding(rows: DataFrame, phrases: DataFrame, id_col: str, text_col: str) ->
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chosen = sent.value
             made = automaton(chosen)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 64):
-                    ids, hits = [], []
-                    for key, text in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True):
-                        got = found(made, text, longest)
-                        ids += [key] * len(got)
-                        hits += [chosen[n] for n in sorted(got)]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(hits, pa.string())], names=["id", "phrase"])
+
+            def hits() -> Iterator[tuple[object, set[int]]]:
+                for batch in batches:
+                    for at in range(0, batch.num_rows, 64):
+                        for key, text in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True):
+                            yield key, found(made, text, longest)
+
+            yield from tell(chosen, hits())
 
         return texts.mapInArrow(run, form)
 
@@ -76,4 +110,4 @@ def holding(rows: DataFrame, phrases: DataFrame, id_col: str, text_col: str) ->
     out = one(passes[0])
     for chosen in passes[1:]:
         out = out.union(one(chosen))
-    return out.distinct()
+    return out

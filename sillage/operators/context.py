@@ -68,10 +68,9 @@ def coverage(rows: DataFrame, concepts: DataFrame, most_rows: int = 10) -> DataF
 def covered_by(rows: DataFrame, concepts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """concept, n_rows, first: how many rows hold each concept (concept), and the least id that does, for any number of concepts over any
     number of rows. Concepts are compared trimmed and in lower case; those nowhere held have 0 and null."""
-    from sillage.functions.patterns import holding
+    from sillage.functions.patterns import counted
 
-    met = holding(rows, concepts.select(F.col("concept").alias("phrase")), id_col, text_col)
-    counts = met.groupBy("phrase").agg(F.count("*").alias("n_rows"), F.min("id").alias("first"))
+    counts = counted(rows, concepts.select(F.col("concept").alias("phrase")), id_col, text_col)
     named = concepts.select("concept", F.lower(F.trim("concept")).alias("phrase")).distinct()
     return named.join(counts, "phrase", "left").select("concept", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "first")
 
