@@ -15,9 +15,10 @@ def norm(a: Column) -> Column:
 
 
 def normalised(a: Column) -> Column:
-    """The vector over its length; a zero vector stays."""
+    """The vector over its length; a zero vector stays. The length is a field of a row of its own, so that it is not computed again for each number."""
     n = norm(a)
-    return F.transform(a, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))
+    once = F.array(F.struct(a.alias("a"), F.when(n == 0, 1.0).otherwise(n).alias("n")))
+    return F.get(F.transform(once, lambda v: F.transform(v["a"], lambda x: x.cast("double") / v["n"])), F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:

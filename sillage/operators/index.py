@@ -73,12 +73,18 @@ def _gridded(index: DataFrame, asked: DataFrame, k: int, digits: int) -> DataFra
     """
     sizes = lambda df, c: df.agg(F.coalesce(F.sum(F.greatest(F.size(c), F.lit(1)).cast("long")), F.lit(1)).alias("n")).first()["n"]
     across, down = (max(1, -(-sizes(df, c) // most)) for df, c, most in ((asked, "asked", ASKED_CELL), (index, "unit", ROWS_CELL)))
-    names, unit = [f"c{n}" for n in range(len(index.columns))], index.columns.index("unit")
+    names = [f"c{n}" for n in range(len(index.columns))]
     dealt = lambda df, of, other, own, n, m: df.withColumn(own, F.pmod(F.xxhash64(*of), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     rows = dealt(index.toDF(*names), [names[index.columns.index("_key")]], "_across", "_down", down, across)
     questions = dealt(asked, ["qid"], "_down", "_across", across, down)
-    schema = S.StructType([asked.schema["qid"], *(S.StructField(n, f.dataType) for n, f in zip(names, index.schema, strict=True)), S.StructField("score", S.DoubleType())])
-    kind = to_arrow_type(asked.schema["qid"].dataType)
+    return _blocks_met(index, rows, questions, ("_down", "_across"), k, digits)
+
+
+def _blocks_met(index: DataFrame, rows: DataFrame, questions: DataFrame, by: tuple[str, ...], k: int, digits: int) -> DataFrame:
+    """qid, the record and score of the k best of each question in each block: rows (index, its columns named c0 on) and questions (qid, asked), dealt by the columns by, each block a matrix product."""
+    names, unit = [f"c{n}" for n in range(len(index.columns))], index.columns.index("unit")
+    schema = S.StructType([questions.schema["qid"], *(S.StructField(n, f.dataType) for n, f in zip(names, index.schema, strict=True)), S.StructField("score", S.DoubleType())])
+    kind = to_arrow_type(questions.schema["qid"].dataType)
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
         body = left.select(names).combine_chunks()
@@ -102,8 +108,7 @@ def _gridded(index: DataFrame, asked: DataFrame, k: int, digits: int) -> DataFra
         kept = body.take(pa.array(row))
         return pa.table([right.column("qid").take(pa.array(question)).cast(kind), *kept.columns, pa.array(score)], names=["qid", *names, "score"])
 
-    cells = ("_down", "_across")
-    return rows.groupBy(*cells).cogroup(questions.groupBy(*cells)).applyInArrow(cell, schema).toDF("qid", *index.columns, "score")
+    return rows.groupBy(*by).cogroup(questions.groupBy(*by)).applyInArrow(cell, schema).toDF("qid", *index.columns, "score")
 
 
 def _multiplied(index: DataFrame, asked: DataFrame, k: int, digits: int) -> DataFrame:
@@ -158,13 +163,25 @@ def cells(index: DataFrame, n_cells: int, seed: int = 7) -> tuple[DataFrame, Dat
 
 
 def search_cells(placed: DataFrame, centres: DataFrame, queries: DataFrame, k: int, probes: int) -> DataFrame:
-    """search() within the probes nearest cells of each query: an equi-join by cell instead of all rows."""
+    """search() within the probes nearest cells of each query, instead of all rows.
+
+    The records of a cell meet the queries that look into it as matrices, each cell in tasks of its own: large ones are dealt into blocks of ROWS_CELL
+    numbers by hash, very many queries into blocks of ASKED_CELL.
+    """
     asked = queries.select("qid", V.normalised(F.col("vector")).alias("asked"))
     closest = Window.partitionBy("qid").orderBy(F.desc(V.dot(F.col("centre"), F.col("asked"))), "cell")
     probed = asked.crossJoin(F.broadcast(centres)).withColumn("n", F.row_number().over(closest)).where(F.col("n") <= probes).select("qid", "asked", "cell")
-    near = placed.join(probed, "cell").withColumn("score", V.dot(F.col("unit"), F.col("asked")))
+    down, across = (
+        max(1, -(-int(df.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]) // most))
+        for df, most in ((placed.groupBy("cell").agg(F.sum(F.size("unit").cast("long")).alias("n")), ROWS_CELL), (asked.agg(F.sum(F.size("asked").cast("long")).alias("n")), ASKED_CELL))
+    )
+    index = placed.drop("cell")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = placed.select(*(F.col(c).alias(f"c{n}") for n, c in enumerate(index.columns)), "cell", F.pmod(F.xxhash64("_key"), F.lit(down)).cast("int").alias("_down"), every(across).alias("_across"))
+    dealt = probed.withColumn("_across", F.pmod(F.xxhash64("qid"), F.lit(across)).cast("int")).withColumn("_down", every(down))
+    near = _blocks_met(index, rows, dealt, ("cell", "_down", "_across"), k, DIGITS)
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "_key")
-    return near.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k).drop("asked", "cell")
+    return near.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
 
 
 def deleted(index: DataFrame, keys: DataFrame) -> DataFrame:
