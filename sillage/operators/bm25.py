@@ -18,6 +18,8 @@ from sillage.functions import text as T
 K1, B = 1.5, 0.75
 #: Pairs of a question and one of its terms that go to every task; larger batches are joined with postings instead.
 MOST_ASKED = 1_000_000
+#: Rows of a batch that are Python's own at a time.
+TOGETHER = 64
 _TOKEN = re.compile("[a-z0-9_]{2,}")
 
 
@@ -73,6 +75,12 @@ def top(scored: DataFrame, k: int) -> DataFrame:
     return scored.where("score > 0").withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """A batch's rows, TOGETHER at a time as Python's, so that its texts are never held twice."""
+    for at in range(0, batch.num_rows, TOGETHER):
+        yield from zip(*(c.to_pylist() for c in batch.slice(at, TOGETHER).columns), strict=True)
+
+
 def _count(asked: dict[str, int]):  # noqa: ANN202
     """In how many texts each asked term is, for each task; under -1 texts with a token, and their tokens."""
 
@@ -80,7 +88,7 @@ def _count(asked: dict[str, int]):  # noqa: ANN202
         df: Counter[int] = Counter()
         texts = tokens = 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for (text,) in _rows(batch):
                 found = _TOKEN.findall((text or "").lower())
                 texts, tokens = texts + bool(found), tokens + len(found)
                 df.update([asked[t] for t in set(found) if t in asked])
@@ -126,7 +134,7 @@ def best(records: DataFrame, questions: DataFrame, k: int, id_col: str = "id", t
         least = np.zeros(len(qids))
         for batch in batches:
             kind = batch.column(0).type
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for key, text in _rows(batch):
                 found = Counter(_TOKEN.findall((text or "").lower()))
                 of = [(weights[t], n) for t, n in found.items() if t in weights]
                 if not of:
