@@ -54,18 +54,25 @@ def _placed(nodes: DataFrame, centres: np.ndarray) -> DataFrame:
 
 def _nearest(scores: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and column of the n best of each row, and of few more."""
-    # The n-th best of the best of n groups or more is a bound that no n-th best falls below.
+    # The n-th best of the best of n groups or more is a bound that no n-th best falls below: only groups that reach it are looked into.
     wide = max(1, scores.shape[1] // (32 * n))
-    tops = scores[:, : scores.shape[1] // wide * wide].reshape(len(scores), -1, wide).max(axis=2)
+    main = scores.shape[1] // wide * wide
+    groups = scores[:, :main].reshape(len(scores), -1, wide)
+    tops = groups.max(axis=2)
     if tops.shape[1] <= n:
         return np.nonzero(np.ones(scores.shape, bool))
     bound = np.partition(tops, -n, axis=1)[:, -n]
-    may = scores >= bound[:, None]
+    row, group = np.nonzero(tops >= bound[:, None])
+    at, within = np.nonzero(groups[row, group] >= bound[row, None])
+    last, rest = np.nonzero(scores[:, main:] >= bound[:, None])
+    i, j = np.concatenate([row[at], last]), np.concatenate([group[at] * wide + within, rest + main])
     # Rows with very many equals, as copies have them, are cut to n.
-    for r in np.flatnonzero(may.sum(axis=1) > 64 * n).tolist():
-        may[r] = False
-        may[r, np.argpartition(scores[r], -n)[-n:]] = True
-    return np.nonzero(may)
+    many = np.bincount(i, minlength=len(scores)) > 64 * n
+    if not many.any():
+        return i, j
+    cut = np.argpartition(scores[many], -n, axis=1)[:, -n:]
+    few = ~many[i]
+    return np.concatenate([i[few], np.repeat(np.flatnonzero(many), n)]), np.concatenate([j[few], cut.ravel()])
 
 
 def _met(degree: int) -> Callable[[pa.Table], pa.Table]:
